@@ -132,6 +132,370 @@ def e6_daily_summary_subtotal(spark, sf_dir):
     return PS.daily_summary(V.order_lines(spark, sf_dir), "subtotal")
 
 
+
+# ------------------------------------------------------------------ shared SQL pieces
+
+DAILY_SQL = """daily AS (
+  SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date,
+         COUNT(DISTINCT order_id) AS total_orders,
+         CAST(SUM(order_value) AS DOUBLE) AS total_revenue,
+         CAST(SUM(quantity) AS BIGINT) AS total_items
+  FROM order_lines GROUP BY 1, 2)"""
+
+DAILY_SUB_SQL = """daily AS (
+  SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date,
+         COUNT(DISTINCT order_id) AS total_orders,
+         CAST(SUM(subtotal) AS DOUBLE) AS total_revenue,
+         CAST(SUM(quantity) AS BIGINT) AS total_items
+  FROM order_lines GROUP BY 1, 2)"""
+
+METRICS = ("total_orders", "total_revenue", "total_items")
+
+
+def _daily(spark, sf_dir, revenue="order_value_lines"):
+    return PS.daily_summary(V.order_lines(spark, sf_dir), revenue)
+
+
+def _nearest_sql(qs, metrics=METRICS, src="daily"):
+    ranks = ",\n    ".join(f"ROW_NUMBER() OVER (PARTITION BY merchant_id ORDER BY {m}) AS r_{m}" for m in metrics)
+    picks = ",\n  ".join(
+        f"MAX(CASE WHEN r_{m} = FLOOR((n - 1) * CAST({q} AS DOUBLE) + 0.5) + 1 THEN CAST({m} AS DOUBLE) END) "
+        f"AS {m}_q{round(q * 100):02d}" for m in metrics for q in qs)
+    return f"""ranked AS (
+  SELECT *, COUNT(*) OVER (PARTITION BY merchant_id) AS n,
+    {ranks}
+  FROM {src}),
+qs AS (SELECT merchant_id, MAX(n) AS n,
+  {picks}
+  FROM ranked GROUP BY merchant_id)"""
+
+
+# ------------------------------------------------------------------ E3, E7, E8, E21
+
+@register("e3_item_sales_all_time", f"""
+WITH {OL}
+SELECT order_merchant_id AS merchant_id, item_id, item_name,
+       CAST(SUM(quantity) AS INTEGER) AS total_quantity,
+       CAST(SUM(item_price * quantity) AS DOUBLE) AS total_sales
+FROM order_lines GROUP BY 1, 2, 3
+""")
+def e3_item_sales_all_time(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    return A.item_sales(V.order_lines(spark, sf_dir))
+
+
+@register("e7_daily_item_quantity", f"""
+WITH {OL}
+SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date, item_id,
+       MIN(item_name) AS item_name, CAST(SUM(quantity) AS BIGINT) AS daily_quantity_sold
+FROM order_lines GROUP BY 1, 2, 3
+""")
+def e7_daily_item_quantity(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    return A.daily_item_quantity(V.order_lines(spark, sf_dir), by_name=False)
+
+
+@register("e8_daily_item_quantity_by_name", f"""
+WITH {OL}
+SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date, item_id, item_name,
+       CAST(SUM(quantity) AS BIGINT) AS daily_quantity_sold
+FROM order_lines GROUP BY 1, 2, 3, 4
+""")
+def e8_daily_item_quantity_by_name(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    return A.daily_item_quantity(V.order_lines(spark, sf_dir), by_name=True)
+
+
+@register("e21_distinct_item_names", f"""
+WITH {OL}
+SELECT DISTINCT order_merchant_id AS merchant_id, item_id, item_name FROM order_lines
+""")
+def e21_distinct_item_names(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    lines = V.order_lines(spark, sf_dir).withColumnRenamed("order_merchant_id", "merchant_id")
+    return A.distinct_items(lines, with_name=True)
+
+
+# ------------------------------------------------------------------ E9, E10, E14, J1
+
+@register("e9_nearest_quantiles", f"""
+WITH {OL}, {DAILY_SQL}, {_nearest_sql((0.03, 0.25, 0.75, 0.97))}
+SELECT * FROM qs
+""")
+def e9_nearest_quantiles(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    return ST.nearest_quantiles(_daily(spark, sf_dir), ["merchant_id"], METRICS, (0.03, 0.25, 0.75, 0.97))
+
+
+@register("e10_min_max", f"""
+WITH {OL}, {DAILY_SQL}
+SELECT merchant_id, MIN(total_revenue) AS min_revenue, MAX(total_revenue) AS max_revenue,
+       MIN(total_orders) AS min_orders, MAX(total_orders) AS max_orders
+FROM daily GROUP BY merchant_id
+""")
+def e10_min_max(spark, sf_dir):
+    d = _daily(spark, sf_dir)
+    return d.groupBy("merchant_id").agg(F.min("total_revenue").alias("min_revenue"),
+                                        F.max("total_revenue").alias("max_revenue"),
+                                        F.min("total_orders").alias("min_orders"),
+                                        F.max("total_orders").alias("max_orders"))
+
+
+def _iqr_sql():
+    parts = []
+    for m in METRICS:
+        parts.append(f"""SELECT d.merchant_id, '{m}' AS feature, q.{m}_q25 AS q1, q.{m}_q75 AS q3,
+       q.{m}_q25 - 1.5 * (q.{m}_q75 - q.{m}_q25) AS lower_bound,
+       q.{m}_q75 + 1.5 * (q.{m}_q75 - q.{m}_q25) AS upper_bound,
+       COUNT(*) FILTER (WHERE d.{m} < q.{m}_q25 - 1.5 * (q.{m}_q75 - q.{m}_q25)
+                           OR d.{m} > q.{m}_q75 + 1.5 * (q.{m}_q75 - q.{m}_q25)) AS n_outliers
+FROM daily d JOIN qs q ON d.merchant_id = q.merchant_id
+GROUP BY d.merchant_id, q.{m}_q25, q.{m}_q75""")
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("e14_iqr_outliers", f"""
+WITH {OL}, {DAILY_SQL}, {_nearest_sql((0.25, 0.75))}
+{_iqr_sql()}
+""")
+def e14_iqr_outliers(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    return ST.iqr_outliers(_daily(spark, sf_dir))
+
+
+def _j1_sql():
+    cols = []
+    for m in METRICS:
+        lo, hi = f"q.{m}_q03", f"q.{m}_q97"
+        w = f"LEAST(GREATEST(CAST(d.{m} AS DOUBLE), {lo}), {hi})"
+        cols.append(f"ROUND({w}, 6) AS {m}_winsor")
+        cols.append(f"ROUND(LN(1 + {w}), 9) AS {m}_log1p")
+        cols.append(f"ROUND(CASE WHEN LN(1 + {hi}) = LN(1 + {lo}) THEN NULL ELSE "
+                    f"(LN(1 + {w}) - LN(1 + {lo})) / (LN(1 + {hi}) - LN(1 + {lo})) END, 9) AS {m}_norm")
+    return ",\n       ".join(cols)
+
+
+@register("j1_preprocess", f"""
+WITH {OL}, {DAILY_SQL}, {_nearest_sql((0.03, 0.97))}
+SELECT d.merchant_id, d.order_date, d.total_orders, d.total_revenue, d.total_items,
+       {_j1_sql()}
+FROM daily d JOIN qs q ON d.merchant_id = q.merchant_id
+""")
+def j1_preprocess(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    out = ST.preprocess(_daily(spark, sf_dir))
+    for m in METRICS:
+        out = (out.withColumn(f"{m}_winsor", F.round(f"{m}_winsor", 6))
+                  .withColumn(f"{m}_log1p", F.round(f"{m}_log1p", 9))
+                  .withColumn(f"{m}_norm", F.round(f"{m}_norm", 9)))
+    return out
+
+
+# ------------------------------------------------------------------ E22-E24
+
+def _box_sql():
+    parts = []
+    for m in METRICS:
+        parts.append(f"""SELECT d.merchant_id, '{m}' AS feature, ROUND(p.{m}_q1, 4) AS q1, ROUND(p.{m}_med, 4) AS median,
+       ROUND(p.{m}_q3, 4) AS q3,
+       MIN(CASE WHEN d.{m} >= p.{m}_q1 - 1.5 * (p.{m}_q3 - p.{m}_q1) THEN CAST(d.{m} AS DOUBLE) END) AS whisker_low,
+       MAX(CASE WHEN d.{m} <= p.{m}_q3 + 1.5 * (p.{m}_q3 - p.{m}_q1) THEN CAST(d.{m} AS DOUBLE) END) AS whisker_high,
+       COUNT(*) FILTER (WHERE d.{m} < p.{m}_q1 - 1.5 * (p.{m}_q3 - p.{m}_q1)
+                           OR d.{m} > p.{m}_q3 + 1.5 * (p.{m}_q3 - p.{m}_q1)) AS n_outliers
+FROM daily d JOIN p ON d.merchant_id = p.merchant_id
+GROUP BY d.merchant_id, p.{m}_q1, p.{m}_med, p.{m}_q3""")
+    pct = ", ".join(f"quantile_cont(CAST({m} AS DOUBLE), 0.25) AS {m}_q1, quantile_cont(CAST({m} AS DOUBLE), 0.5) AS {m}_med, "
+                    f"quantile_cont(CAST({m} AS DOUBLE), 0.75) AS {m}_q3" for m in METRICS)
+    return f"p AS (SELECT merchant_id, {pct} FROM daily GROUP BY merchant_id)\n" + "\nUNION ALL\n".join(parts)
+
+
+@register("e22_box_summary", f"""
+WITH {OL}, {DAILY_SQL}, {_box_sql()}
+""")
+def e22_box_summary(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    b = ST.box_summary(_daily(spark, sf_dir))
+    return b.select(*[F.round(c, 4).alias(c) if c in ("q1", "median", "q3") else F.col(c) for c in b.columns])
+
+
+@register("e23_histogram_revenue", f"""
+WITH {OL}, {DAILY_SQL},
+r AS (SELECT merchant_id, MIN(total_revenue) AS mn, MAX(total_revenue) AS mx FROM daily GROUP BY merchant_id),
+b AS (SELECT d.merchant_id, r.mn, r.mx,
+             CAST(CASE WHEN r.mx = r.mn THEN 1 ELSE LEAST(FLOOR((d.total_revenue - r.mn) / (r.mx - r.mn) * 30) + 1, 30) END AS INTEGER) AS bin
+      FROM daily d JOIN r ON d.merchant_id = r.merchant_id)
+SELECT merchant_id, bin, COUNT(*) AS count,
+       ROUND(MAX(mn + (bin - 1) * ((mx - mn) / 30)), 4) AS bin_low,
+       ROUND(MAX(mn + bin * ((mx - mn) / 30)), 4) AS bin_high
+FROM b GROUP BY merchant_id, bin
+""")
+def e23_histogram_revenue(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    h = ST.histogram(_daily(spark, sf_dir), "total_revenue", 30)
+    return h.withColumn("bin_low", F.round("bin_low", 4)).withColumn("bin_high", F.round("bin_high", 4))
+
+
+@register("e24_kde_orders", f"""
+WITH {OL}, {DAILY_SQL},
+st AS (SELECT merchant_id, COUNT(total_orders) AS n, MIN(CAST(total_orders AS DOUBLE)) AS mn,
+              MAX(CAST(total_orders AS DOUBLE)) AS mx, STDDEV_SAMP(CAST(total_orders AS DOUBLE)) AS sd
+       FROM daily GROUP BY merchant_id),
+st2 AS (SELECT *, sd * POW(CAST(n AS DOUBLE), -0.2) AS h FROM st WHERE sd * POW(CAST(n AS DOUBLE), -0.2) > 0),
+g AS (SELECT merchant_id, CAST(gi AS INTEGER) AS grid_index, mn + gi * (mx - mn) / 63 AS x, n, h
+      FROM st2, range(0, 64) t(gi))
+SELECT g.merchant_id, g.grid_index, ROUND(g.x, 9) AS x,
+       ROUND(SUM(EXP(-0.5 * ((g.x - d.total_orders) / g.h) * ((g.x - d.total_orders) / g.h))
+                 / (g.n * g.h * SQRT(2 * PI()))), 12) AS density
+FROM g JOIN daily d ON g.merchant_id = d.merchant_id
+GROUP BY g.merchant_id, g.grid_index, g.x
+""")
+def e24_kde_orders(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    k = ST.kde(_daily(spark, sf_dir), "total_orders", 64)
+    return k.withColumn("x", F.round("x", 9)).withColumn("density", F.round("density", 12)) \
+            .withColumn("grid_index", F.col("grid_index").cast("int"))
+
+
+# ------------------------------------------------------------------ F2-F8 windows
+
+@register("f2_f3_item_lags_rolling", f"""
+WITH {OL},
+d AS (SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date, item_id,
+             MIN(item_name) AS item_name, CAST(SUM(quantity) AS BIGINT) AS daily_quantity_sold
+      FROM order_lines GROUP BY 1, 2, 3)
+SELECT *,
+  LAG(daily_quantity_sold, 1) OVER w AS lag_1,
+  LAG(daily_quantity_sold, 7) OVER w AS lag_7,
+  CASE WHEN COUNT(daily_quantity_sold) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3
+       THEN ROUND(AVG(CAST(daily_quantity_sold AS DOUBLE)) OVER (w ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 9) END AS rolling_mean_3,
+  CASE WHEN COUNT(daily_quantity_sold) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) = 7
+       THEN ROUND(AVG(CAST(daily_quantity_sold AS DOUBLE)) OVER (w ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 9) END AS rolling_mean_7
+FROM d
+WINDOW w AS (PARTITION BY merchant_id, item_id ORDER BY order_date)
+""")
+def f2_f3_item_lags_rolling(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    from stallboard.operators import windows as W
+    d = A.daily_item_quantity(V.order_lines(spark, sf_dir), by_name=False)
+    d = W.add_rolling_means(W.add_lags(d, "daily_quantity_sold"), "daily_quantity_sold")
+    return d.withColumn("rolling_mean_3", F.round("rolling_mean_3", 9)).withColumn("rolling_mean_7", F.round("rolling_mean_7", 9))
+
+
+@register("f4_rolling_12", f"""
+WITH {OL}, {DAILY_SUB_SQL}
+SELECT merchant_id, order_date, total_revenue,
+  CASE WHEN COUNT(total_revenue) OVER w12 = 12 THEN ROUND(AVG(total_revenue) OVER w12, 6) END AS rolling_mean_12,
+  CASE WHEN COUNT(total_revenue) OVER w12 = 12 THEN ROUND(STDDEV_SAMP(total_revenue) OVER w12, 6) END AS rolling_std_12
+FROM daily
+WINDOW w12 AS (PARTITION BY merchant_id ORDER BY order_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
+""")
+def f4_rolling_12(spark, sf_dir):
+    from stallboard.operators import windows as W
+    d = _daily(spark, sf_dir, "subtotal").select("merchant_id", "order_date", "total_revenue")
+    d = W.add_rolling_mean_std(d, "total_revenue", 12)
+    return d.withColumn("rolling_mean_12", F.round("rolling_mean_12", 6)).withColumn("rolling_std_12", F.round("rolling_std_12", 6))
+
+
+@register("f5_f6_diff_rolling", f"""
+WITH {OL}, {DAILY_SUB_SQL},
+df AS (SELECT merchant_id, order_date,
+              total_revenue - LAG(total_revenue, 1) OVER (PARTITION BY merchant_id ORDER BY order_date) AS diff
+       FROM daily)
+SELECT merchant_id, order_date, ROUND(diff, 6) AS diff,
+  CASE WHEN COUNT(diff) OVER w12 = 12 THEN ROUND(AVG(diff) OVER w12, 6) END AS diff_mean_12,
+  CASE WHEN COUNT(diff) OVER w12 = 12 THEN ROUND(STDDEV_SAMP(diff) OVER w12, 6) END AS diff_std_12
+FROM df WHERE diff IS NOT NULL
+WINDOW w12 AS (PARTITION BY merchant_id ORDER BY order_date ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)
+""")
+def f5_f6_diff_rolling(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    from stallboard.operators import windows as W
+    d = ST.difference(_daily(spark, sf_dir, "subtotal"), "total_revenue").select("merchant_id", "order_date", "diff")
+    d = W.add_rolling_mean_std(d, "diff", 12, prefix="diff")
+    return (d.withColumn("diff", F.round("diff", 6)).withColumn("diff_mean_12", F.round("diff_mean_12", 6))
+             .withColumn("diff_std_12", F.round("diff_std_12", 6)))
+
+
+@register("f7_positional_holdout", f"""
+WITH {OL}, {DAILY_SQL}
+SELECT merchant_id, order_date, total_revenue,
+       CASE WHEN ROW_NUMBER() OVER (PARTITION BY merchant_id ORDER BY order_date DESC) <= 30 THEN 'test' ELSE 'train' END AS split
+FROM daily
+""")
+def f7_positional_holdout(spark, sf_dir):
+    from stallboard.operators import windows as W
+    return W.positional_holdout(_daily(spark, sf_dir).select("merchant_id", "order_date", "total_revenue"))
+
+
+@register("f8_calendar_holdout", f"""
+WITH {OL},
+d AS (SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date, item_id,
+             MIN(item_name) AS item_name, CAST(SUM(quantity) AS BIGINT) AS daily_quantity_sold
+      FROM order_lines GROUP BY 1, 2, 3),
+s AS (SELECT *, CAST(MAX(order_date) OVER (PARTITION BY merchant_id) - INTERVAL 30 DAY AS DATE) AS split_date FROM d)
+SELECT *, CASE WHEN order_date < split_date THEN 'train' ELSE 'test' END AS split FROM s
+""")
+def f8_calendar_holdout(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    from stallboard.operators import windows as W
+    return W.calendar_holdout(A.daily_item_quantity(V.order_lines(spark, sf_dir), by_name=False))
+
+
+# ------------------------------------------------------------------ J8, J9, J10 diagnostics
+
+ACF_LAGS = 30
+
+
+def _acf_sql(nlags=ACF_LAGS, lb=False):
+    lags = ",\n    ".join(f"LAG(x, {k}) OVER (PARTITION BY merchant_id ORDER BY order_date) AS l{k}" for k in range(1, nlags + 1))
+    sums = ", ".join(f"SUM(x * l{k}) AS s{k}" for k in range(1, nlags + 1))
+    unp = "\n  UNION ALL ".join(f"SELECT merchant_id, {k} AS lag, s{k} AS sk, s0, n FROM s" for k in range(0, nlags + 1))
+    return f"""df AS (SELECT merchant_id, order_date,
+              total_revenue - LAG(total_revenue, 1) OVER (PARTITION BY merchant_id ORDER BY order_date) AS diff
+       FROM daily),
+dd AS (SELECT merchant_id, order_date, diff FROM df WHERE diff IS NOT NULL),
+c AS (SELECT merchant_id, order_date, diff - AVG(diff) OVER (PARTITION BY merchant_id) AS x FROM dd),
+lg AS (SELECT merchant_id, x,
+    {lags}
+  FROM c),
+s AS (SELECT merchant_id, COUNT(*) AS n, SUM(x * x) AS s0, SUM(x * x) AS s_0, {sums} FROM lg GROUP BY merchant_id),
+a AS ({unp.replace('s0 AS s0', 's0')})"""
+
+
+@register("j9_acf_diff_revenue", f"""
+WITH {OL}, {DAILY_SUB_SQL}, {_acf_sql().replace('SELECT merchant_id, 0 AS lag, s0 AS sk', 'SELECT merchant_id, 0 AS lag, s_0 AS sk')}
+SELECT merchant_id, lag, ROUND(CASE WHEN s0 = 0 THEN NULL ELSE COALESCE(sk, 0) / s0 END, 9) AS acf, n FROM a
+""")
+def j9_acf_diff_revenue(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    d = ST.difference(_daily(spark, sf_dir, "subtotal"), "total_revenue")
+    return ST.acf(d, "diff", ACF_LAGS).withColumn("acf", F.round("acf", 9)).withColumn("lag", F.col("lag").cast("int"))
+
+
+@register("j8_ljung_box_diff_revenue", f"""
+WITH {OL}, {DAILY_SUB_SQL}, {_acf_sql().replace('SELECT merchant_id, 0 AS lag, s0 AS sk', 'SELECT merchant_id, 0 AS lag, s_0 AS sk')},
+r AS (SELECT merchant_id, lag, n, CASE WHEN s0 = 0 THEN NULL ELSE COALESCE(sk, 0) / s0 END AS acf FROM a),
+q AS (SELECT merchant_id, MAX(n) AS n, MAX(n) * (MAX(n) + 2) * SUM(acf * acf / (n - lag)) AS lb_stat
+      FROM r WHERE lag BETWEEN 1 AND 10 GROUP BY merchant_id)
+SELECT merchant_id, n, 10 AS lag, ROUND(lb_stat, 6) AS lb_stat,
+       ROUND(EXP(-lb_stat / 2) * (1 + (lb_stat / 2) + POW(lb_stat / 2, 2) / 2 + POW(lb_stat / 2, 3) / 6
+                                  + POW(lb_stat / 2, 4) / 24), 9) AS lb_pvalue
+FROM q
+""")
+def j8_ljung_box_diff_revenue(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    d = ST.difference(_daily(spark, sf_dir, "subtotal"), "total_revenue")
+    lb = ST.ljung_box(ST.acf(d, "diff", ACF_LAGS), 10)
+    return lb.withColumn("lb_stat", F.round("lb_stat", 6)).withColumn("lb_pvalue", F.round("lb_pvalue", 9))
+
+
+@register("j10_pacf_diff_revenue")
+def j10_pacf_diff_revenue(spark, sf_dir):
+    from stallboard.operators import stats as ST
+    d = ST.difference(_daily(spark, sf_dir, "subtotal"), "total_revenue")
+    return ST.pacf(ST.acf(d, "diff", ACF_LAGS))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
