@@ -496,6 +496,72 @@ def j10_pacf_diff_revenue(spark, sf_dir):
     return ST.pacf(ST.acf(d, "diff", ACF_LAGS))
 
 
+
+# ------------------------------------------------------------------ J2-J8 revenue models (no SQL oracle)
+
+def _rev_daily(spark, sf_dir, revenue="order_value_lines"):
+    from stallboard.plans import forecasts as PF
+    return PF.daily_revenue(V.order_lines(spark, sf_dir), revenue)
+
+
+@register("k4_revenue_forecast")
+def k4_revenue_forecast(spark, sf_dir):
+    """SARIMA(1,1,1)(1,1,1,7) on daily order-value revenue, 30 days."""
+    from stallboard.plans import forecasts as PF
+    _, rows, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir))
+    return rows
+
+
+@register("e18_forecast_total_7_days")
+def e18_forecast_total_7_days(spark, sf_dir):
+    from stallboard.operators import aggregates as A
+    from stallboard.plans import forecasts as PF
+    _, rows, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir))
+    return A.horizon_revenue_total(rows, 7)
+
+
+@register("j3_historical_evaluation")
+def j3_historical_evaluation(spark, sf_dir):
+    from stallboard.plans import forecasts as PF
+    fits, _, series = PF.revenue_forecast(_rev_daily(spark, sf_dir))
+    return PF.historical_evaluation(fits, series)
+
+
+@register("j4_arima_111_forecast")
+def j4_arima_111_forecast(spark, sf_dir):
+    from stallboard.operators import arima as AR
+    from stallboard.plans import forecasts as PF
+    _, rows, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir, "subtotal"), order=AR.ARIMA_111, origin="end")
+    return rows
+
+
+@register("j5_arima_grid")
+def j5_arima_grid(spark, sf_dir):
+    from stallboard.plans import forecasts as PF
+    return PF.grid_search(_rev_daily(spark, sf_dir, "subtotal"))
+
+
+@register("j6_arima_213_holdout")
+def j6_arima_213_holdout(spark, sf_dir):
+    from stallboard.operators import arima as AR
+    from stallboard.plans import forecasts as PF
+    fits, _, series = PF.revenue_forecast(_rev_daily(spark, sf_dir, "subtotal"), order=AR.ARIMA_213)
+    return PF.notebook_evaluation(fits, series)
+
+
+@register("j7_sarimax_holdout")
+def j7_sarimax_holdout(spark, sf_dir):
+    from stallboard.plans import forecasts as PF
+    return PF.sarimax_holdout(V.order_lines(spark, sf_dir))
+
+
+@register("j8_residual_ljung_box")
+def j8_residual_ljung_box(spark, sf_dir):
+    from stallboard.plans import forecasts as PF
+    fits, _, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir))
+    return PF.residual_diagnostics(fits, 10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
