@@ -73,13 +73,13 @@ def seconds_between(start, end) -> Column:
 
 
 def start_of_day(ts) -> Column:
-    """I11."""
-    return F.date_trunc("DAY", _c(ts))
+    """Midnight of a date or timestamp, as a zone-less timestamp."""
+    return F.date_trunc("DAY", _c(ts).cast("timestamp_ntz"))
 
 
 def end_of_day(ts) -> Column:
-    """Last microsecond of the day."""
-    return F.date_trunc("DAY", _c(ts)) + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
+    """Last microsecond of the day, as a zone-less timestamp."""
+    return start_of_day(ts) + F.expr("INTERVAL 1 DAY") - F.expr("INTERVAL 1 MICROSECOND")
 
 
 def date_sequence(start, days: int) -> Column:

@@ -41,9 +41,11 @@ def minmax_scale(x, mn, mx) -> Column:
     return F.try_divide(_c(x) - _c(mn), _c(mx) - _c(mn))
 
 
-def round2(x) -> Column:
-    """Two decimals, half to even (numpy's rule)."""
-    return F.bround(_c(x).cast("double"), 2)
+def round2(x, digits: int = 2) -> Column:
+    """numpy's rounding, ``rint(x * 10^d) / 10^d`` (half to even on the scaled double,
+    so 2.675 -> 2.68 because 2.675*100 is exactly 267.5, and 0.125 -> 0.12)."""
+    scale = float(10 ** digits)
+    return F.rint(_c(x).cast("double") * scale) / scale
 
 
 def nonneg_int(x) -> Column:

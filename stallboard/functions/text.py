@@ -59,7 +59,13 @@ def cut_text(s, limit: int = 4000) -> Column:
     return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit(TRUNCATION_MARKER))).otherwise(c)
 
 
+def strip_text(s) -> Column:
+    """Leading and trailing whitespace removed (all whitespace, like Python's ``strip``;
+    Spark's ``trim`` only removes spaces)."""
+    return F.regexp_replace(_c(s), r"(?U)^\s+|\s+$", "")
+
+
 def clean_text(s) -> Column:
-    """Trimmed text, null when blank."""
-    t = F.trim(_c(s))
+    """Stripped text, null when blank."""
+    t = strip_text(s)
     return F.when(F.length(t) > 0, t)

@@ -104,8 +104,8 @@ def argmax_item(daily_items: DataFrame, qty: str = "daily_quantity_sold") -> Dat
 def forecast_actual_totals(df: DataFrame, keys=("merchant_id", "item_id", "order_date"),
                            pred: str = "predicted_quantity", actual: str = "daily_quantity_sold") -> DataFrame:
     """Predicted and actual totals per item and day, rounded to 2."""
-    return df.groupBy(*keys).agg(F.bround(F.sum(pred).cast("double"), 2).alias("predicted_total"),
-                                 F.bround(F.sum(actual).cast("double"), 2).alias("actual_total"))
+    return df.groupBy(*keys).agg(N.round2(F.sum(pred)).alias("predicted_total"),
+                                 N.round2(F.sum(actual)).alias("actual_total"))
 
 
 def horizon_item_totals(forecast_long: DataFrame, days: int, qty: str = "predicted_quantity",
@@ -122,7 +122,7 @@ def horizon_revenue_total(forecast: DataFrame, days: int, value: str = "forecast
     first = forecast.where(F.col("h") <= days)
     return first.groupBy("merchant_id").agg(
         F.lit(days).alias("forecast_period_days"),
-        F.bround(F.sum(value), 2).alias("total_forecasted_sales"),
+        N.round2(F.sum(value)).alias("total_forecasted_sales"),
         F.array_sort(F.collect_list(F.struct(F.col("h"), F.col("forecast_date").alias("order_date"),
                                              F.col(value).alias(value)))).alias("daily_breakdown"))
 

@@ -83,9 +83,10 @@ def snake_case_columns(df: DataFrame) -> DataFrame:
 def null_length_audit(df: DataFrame, table: str) -> DataFrame:
     """Per declared column: nulls where NOT NULL is declared, values longer than the limit.
 
-    One aggregate pass; result rows (table, column, null_count, too_long_count).
+    One aggregate pass; result rows (table, column, null_count, too_long_count). Declared
+    columns the frame does not carry are skipped.
     """
-    specs = S.NOT_NULL[table]
+    specs = [(c, n) for c, n in S.NOT_NULL[table] if c in df.columns]
     aggs = []
     for col, max_len in specs:
         nullable = (table, col) in S.NULLABLE

@@ -97,3 +97,52 @@ def residual_diagnostics(fits: DataFrame, nlags: int = 10) -> DataFrame:
     r = residual_series(fits)
     keys = ["merchant_id", "model"]
     return ST.ljung_box(ST.acf(r, "resid", nlags, keys=keys, order="t"), nlags, keys=keys)
+
+
+def seasonal_naive_holdout(daily: DataFrame, holdout: int = 30, s: int = 7) -> DataFrame:
+    """Seasonal-naive forecasts of the held-out rows (the solver's fallback method), paired
+    positionally with the actuals: the h-th test row is forecast by the train row
+    ``n_train - s + ((h-1) mod s) + 1``. A self equi-join on (merchant, t): one partner per
+    row, no pairs. Output (merchant_id, h, forecast_date, forecast, actual)."""
+    series = AR.index_series(daily, "total_revenue", holdout=holdout)
+    n_train = F.col("n_total") - holdout
+    test = (series.where(~F.col("is_train"))
+            .withColumn("h", F.col("t") - n_train)
+            .withColumn("src", n_train - s + ((F.col("h") - 1) % s) + 1))
+    src = series.select("merchant_id", F.col("t").alias("src"), F.col("y").alias("forecast"))
+    return test.join(src, ["merchant_id", "src"]).select(
+        "merchant_id", "h", F.col("order_date").alias("forecast_date"), "forecast", F.col("y").alias("actual"))
+
+
+def naive_evaluation(pairs: DataFrame) -> DataFrame:
+    """I20 + I23-I28 on (forecast, actual) pairs: both deviation conventions and all labels."""
+    f, a = F.col("forecast"), F.col("actual")
+    return pairs.select(
+        "merchant_id", "h", "forecast_date",
+        N.round2(f).alias("forecasted_revenue"), N.round2(a).alias("total_revenue"),
+        N.round2(L.deviation_api(f, a)).alias("deviation_pct"),
+        L.label5(f - a, a).alias("label"),
+        N.round2(L.deviation_nb(a, f)).alias("deviation_pct_nb"),
+        L.label3(a - f, f).alias("label_nb"),
+        L.label3_inclusive(a - f, f).alias("label_qty"))
+
+
+def naive_calendar_forecast(daily: DataFrame, horizon: int = 30, holdout: int = 30, s: int = 7) -> DataFrame:
+    """D5 + I26: seasonal-naive forecast dated by calendar days after the last train date,
+    left-joined to the actual daily revenue; days without an actual are 'Future date'."""
+    series = AR.index_series(daily, "total_revenue", holdout=holdout)
+    n_train = F.col("n_total") - holdout
+    last = (series.where("is_train").groupBy("merchant_id")
+            .agg(F.max("order_date").alias("_last"), F.max("n_total").alias("n_total")))
+    grid = last.select("merchant_id", "_last", "n_total",
+                       F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    grid = grid.withColumn("src", n_train - s + ((F.col("h") - 1) % s) + 1) \
+               .withColumn("forecast_date", F.date_add(F.col("_last"), F.col("h")))
+    src = series.select("merchant_id", F.col("t").alias("src"), F.col("y").alias("forecast"))
+    act = daily.select("merchant_id", F.col("order_date").alias("forecast_date"),
+                       F.col("total_revenue").cast("double").alias("actual"))
+    j = grid.join(src, ["merchant_id", "src"]).join(act, ["merchant_id", "forecast_date"], "left")
+    f, a = F.col("forecast"), F.col("actual")
+    return j.select("merchant_id", "h", "forecast_date", N.round2(f).alias("forecasted_revenue"),
+                    N.round2(a).alias("total_revenue"), N.round2(L.deviation_nb(a, f)).alias("deviation_pct"),
+                    L.label3(a - f, f, future=a.isNull()).alias("label"))
