@@ -45,7 +45,7 @@ def pad_date_text(col: str = "join_date", width: int = 8):
 
 def text_to_date(col: str = "join_date", fmt: str = "ddMMyyyy"):
     """Text -> date; unparseable text becomes null."""
-    return F.try_to_date(F.col(col) if isinstance(col, str) else col, F.lit(fmt))
+    return F.try_to_date(F.col(col) if isinstance(col, str) else col, fmt)
 
 
 def clean_join_date(df: DataFrame, col: str = "join_date") -> DataFrame:

@@ -66,6 +66,16 @@ def _n_categories(df: DataFrame, cols: list[str]) -> int:
     return max(int(row[c]) for c in cols)
 
 
+def _encode_ids(df: DataFrame, cols: list[str]) -> DataFrame:
+    """String id columns used as numeric features become a stable 31-bit hash code: as
+    arbitrary as a label code to a tree, but needs no dictionary collected on the driver."""
+    types = dict(df.dtypes)
+    for c in cols:
+        if types.get(c) == "string":
+            df = df.withColumn(c, (F.xxhash64(F.col(c)) % F.lit(2 ** 31)).cast("double"))
+    return df
+
+
 def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str,
         step_size: float, max_iter: int = 100, max_depth: int = 6, seed: int = 42) -> PipelineModel:
     """J12-J15 training over the panel (one distributed fit).
@@ -76,7 +86,7 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str
     right for small catalogs; the jobs pass merchant and item as ordinal ids instead, since
     a categorical feature with millions of values cannot be binned.
     """
-    data = train.withColumn("label", F.col(label).cast("double"))
+    data = _encode_ids(train.withColumn("label", F.col(label).cast("double")), numeric)
     for c in categorical:
         data = data.withColumn(c, F.col(c).cast("string"))
     prep = _prep_pipeline(numeric, categorical).fit(data)
@@ -89,11 +99,17 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str
 
 
 def predict(model: PipelineModel, df: DataFrame, categorical: list[str]) -> DataFrame:
+    asm = [st for st in model.stages if isinstance(st, VectorAssembler)][0]
+    numeric = [c for c in asm.getInputCols() if not c.endswith("__idx")]
+    for c in categorical + [n for n in numeric if dict(df.dtypes).get(n) == "string"]:
+        df = df.withColumn(f"__raw_{c}", F.col(c))
+    df = _encode_ids(df, numeric)
     for c in categorical:
-        df = df.withColumn(f"__raw_{c}", F.col(c)).withColumn(c, F.col(c).cast("string"))
+        df = df.withColumn(c, F.col(c).cast("string"))
     out = model.transform(df)
-    for c in categorical:
-        out = out.drop(c, f"{c}__idx").withColumnRenamed(f"__raw_{c}", c)
+    for c in [x for x in out.columns if x.startswith("__raw_")]:
+        orig = c[len("__raw_"):]
+        out = out.drop(orig, f"{orig}__idx").withColumnRenamed(c, orig)
     return out.drop("features")
 
 

@@ -1191,6 +1191,17 @@ def j15_quantity_encoded_holdout(spark, sf_dir):
     return PQ.notebook_model(V.order_lines(spark, sf_dir), "encoded")
 
 
+@register("j11_adf_revenue")
+def j11_adf_revenue(spark, sf_dir):
+    """J11 on the level and on the differenced daily revenue (notebook series)."""
+    from stallboard.operators import stats as ST
+    d = _daily(spark, sf_dir, "subtotal").select("merchant_id", "order_date", "total_revenue")
+    level = ST.adf(d, "total_revenue").withColumn("series", F.lit("level"))
+    diff = ST.adf(ST.difference(d, "total_revenue").select("merchant_id", "order_date", "diff"), "diff") \
+        .withColumn("series", F.lit("diff"))
+    return level.unionByName(diff)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
