@@ -31,6 +31,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallboard.session import cut_lineage
+
 STAGE1_LAGS = 15
 CLIP = 0.98
 
@@ -188,7 +190,7 @@ def prepare(series: DataFrame, orders: list[Order], keys=("merchant_id",), date_
     ma = sorted(set().union(*[o.ma_lags() for o in orders]))
     wl = sorted(set(range(1, m + 1)) | set(ar))
     # the lag frame feeds both stages: write it once to the checkpoint folder
-    df = df.select("*", *[F.lag("w", i).over(w).alias(f"_w{i}") for i in wl]).checkpoint(eager=True)
+    df = cut_lineage(df.select("*", *[F.lag("w", i).over(w).alias(f"_w{i}") for i in wl]))
     beta = stage1(df, keys, m)
     df = df.join(beta, keys, "left")
     e = F.col("w")

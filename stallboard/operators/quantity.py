@@ -23,6 +23,8 @@ from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallboard.session import cut_lineage
+
 from stallboard.functions import dates as D
 from stallboard.functions import labels as L
 from stallboard.functions import numeric as N
@@ -90,7 +92,7 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str
     for c in categorical:
         data = data.withColumn(c, F.col(c).cast("string"))
     prep = _prep_pipeline(numeric, categorical).fit(data)
-    vec = prep.transform(data).select("features", "label").checkpoint(eager=True)
+    vec = cut_lineage(prep.transform(data).select("features", "label"))
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step_size, seed=seed, lossType="squared", subsamplingRate=1.0,
                        featureSubsetStrategy="all", maxBins=max(32, _n_categories(data, categorical) + 1),

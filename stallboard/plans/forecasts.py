@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallboard.session import cut_lineage
+
 from stallboard.functions import dates as D
 from stallboard.functions import labels as L
 from stallboard.functions import numeric as N
@@ -20,7 +22,7 @@ from stallboard.operators import arima as AR
 
 def daily_revenue(lines: DataFrame, revenue: str = "order_value_lines", checkpoint: bool = True) -> DataFrame:
     daily = A.daily_summary(lines, revenue).select("merchant_id", "order_date", "total_revenue")
-    return daily.checkpoint(eager=True) if checkpoint else daily
+    return cut_lineage(daily) if checkpoint else daily
 
 
 def revenue_forecast(daily: DataFrame, horizon: int = 30, holdout: int = 30,
@@ -78,8 +80,8 @@ def grid_search(daily: DataFrame, holdout: int = 30, orders=None) -> DataFrame:
 def sarimax_holdout(lines: DataFrame, holdout: int = 30, order: AR.Order = AR.SARIMAX_213_111_7) -> DataFrame:
     """SARIMAX with day_of_week (Mon=0) and promo_flag regressors, holdout evaluation."""
     daily = A.daily_summary(lines, "subtotal").select("merchant_id", "order_date", "total_revenue")
-    daily = (daily.withColumn("day_of_week", D.weekday0("order_date"))
-                  .withColumn("promo_flag", D.promo_flag("order_date"))).checkpoint(eager=True)
+    daily = cut_lineage(daily.withColumn("day_of_week", D.weekday0("order_date"))
+                             .withColumn("promo_flag", D.promo_flag("order_date")))
     series = AR.index_series(daily, "total_revenue", holdout=holdout)
     fits = AR.fit_forecast(series, [order], holdout)
     return notebook_evaluation(fits, series)

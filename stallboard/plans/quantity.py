@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallboard.session import cut_lineage
+
 from stallboard.functions import dates as D
 from stallboard.operators import aggregates as A
 from stallboard.operators import filters as C
@@ -20,7 +22,7 @@ def training_panel(lines: DataFrame, cutoff) -> DataFrame:
     loaded = C.before_cutoff(lines, cutoff).dropna(subset=["order_time", "item_id", "item_name", "quantity"])
     daily = A.daily_item_quantity(loaded, by_name=True)
     _, last = D.training_cutoff(cutoff)
-    return daily.where(F.col("order_date") <= F.lit(last)).checkpoint(eager=True)
+    return cut_lineage(daily.where(F.col("order_date") <= F.lit(last)))
 
 
 def quantity_forecast(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
@@ -42,7 +44,7 @@ def notebook_model(lines: DataFrame, variant: str = "lags", unseen: str = "error
     if variant == "encoded":
         panel = Q.encode_items(panel, unseen)
         numeric = numeric + ["item_id_encoded"]
-    panel = panel.checkpoint(eager=True)
+    panel = cut_lineage(panel)
     train = panel.where(F.col("split") == "train")
     test = panel.where(F.col("split") == "test")
     numeric = numeric + ["merchant_id"]

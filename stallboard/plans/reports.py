@@ -58,3 +58,10 @@ def chat_history_nested(conv: DataFrame) -> DataFrame:
     msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.array("text").alias("parts"))))
     return flat.groupBy("conv_id").agg(
         F.transform(msgs, lambda m: F.struct(m["role"].alias("role"), m["parts"].alias("parts"))).alias("history"))
+
+
+def sql_rows_json(spark, text: str, args: dict | None = None):
+    """Run SQL text with named parameters (never string interpolation) and return
+    each row as a JSON object text, serialised by the executors."""
+    df = spark.sql(text, args=args or {})
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row_json"))

@@ -62,7 +62,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if current:
         return current
     d = sc.getConf().get("spark.checkpoint.dir", None)
+    if not d:
+        try:
+            d = spark.conf.get("spark.checkpoint.dir", None)
+        except Exception:  # noqa: BLE001 - not a session setting on this deployment
+            d = None
     if not d:
         d = tempfile.mkdtemp(prefix="stallboard-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
+
+
+def cut_lineage(df, eager: bool = True):
+    """Write ``df`` to the shared checkpoint folder and continue from the written copy.
+
+    Used where one intermediate result feeds several passes: a lost executor then re-reads
+    the checkpoint instead of recomputing the joins behind it. Makes sure the folder is set
+    on whatever session runs the job (the cluster's ``spark.checkpoint.dir`` if given).
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
