@@ -175,12 +175,28 @@ def notebook_panel(daily_items: DataFrame, with_rolling: bool, weekend_from: int
     return W.calendar_holdout(df)
 
 
+def dense_codes(values: DataFrame, col: str) -> DataFrame:
+    """0-based dense rank of the distinct non-null values of ``col`` (label encoding over the
+    sorted classes), without a global window: range-partition the distinct values, count each
+    partition, prefix-sum those few counts, and add each partition's offset to the row
+    number inside it. Only the per-partition offsets (one row per partition, a proven bound)
+    are broadcast."""
+    d = values.select(col).where(F.col(col).isNotNull()).distinct()
+    n_parts = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    ranged = cut_lineage(d.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id()))
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    w = Window.partitionBy("_pid").orderBy(col)
+    return (ranged.join(F.broadcast(offsets), "_pid")
+                  .select(col, (F.col("_off") + F.row_number().over(w) - 1).cast("int").alias(f"{col}_encoded")))
+
+
 def encode_items(panel: DataFrame, unseen: str = "error") -> DataFrame:
     """item_id_encoded = position of the item among the sorted distinct *train* items
     (label encoding). An item that only occurs in the test part raises, as the reference's
     encoder does; ``unseen='keep'`` gives such items the next free code instead."""
-    train_items = panel.where(F.col("split") == "train").select("item_id").distinct()
-    codes = train_items.withColumn("item_id_encoded", F.dense_rank().over(Window.orderBy("item_id")) - 1)
+    codes = dense_codes(panel.where(F.col("split") == "train"), "item_id")
     out = panel.join(codes, "item_id", "left")
     if unseen == "error":
         bad = out.where(F.col("item_id_encoded").isNull()).limit(1).count()

@@ -148,3 +148,16 @@ def naive_calendar_forecast(daily: DataFrame, horizon: int = 30, holdout: int =
     return j.select("merchant_id", "h", "forecast_date", N.round2(f).alias("forecasted_revenue"),
                     N.round2(a).alias("total_revenue"), N.round2(L.deviation_nb(a, f)).alias("deviation_pct"),
                     L.label3(a - f, f, future=a.isNull()).alias("label"))
+
+
+def forecast_vs_actual(rows: DataFrame, daily: DataFrame, how: str = "left") -> DataFrame:
+    """D4 (``how='inner'``, the API's merge) / D5 (``how='left'``, the notebook's): forecast
+    rows dated by calendar day joined to the actual daily revenue on (merchant, date); with
+    the left form, days without an actual are labelled 'Future date' (I26)."""
+    act = daily.select("merchant_id", F.col("order_date").alias("forecast_date"),
+                       F.col("total_revenue").cast("double").alias("actual"))
+    j = rows.join(act, ["merchant_id", "forecast_date"], how)
+    f, a = F.col("forecasted_revenue"), F.col("actual")
+    return j.select("merchant_id", "model", "h", "forecast_date", "forecasted_revenue",
+                    N.round2(a).alias("total_revenue"), N.round2(L.deviation_nb(a, f)).alias("deviation_pct"),
+                    L.label3(a - f, f, future=a.isNull()).alias("label"))

@@ -1202,6 +1202,27 @@ def j11_adf_revenue(spark, sf_dir):
     return level.unionByName(diff)
 
 
+@register("j15_item_label_encoding", f"""
+WITH {OL}
+SELECT item_id, CAST(DENSE_RANK() OVER (ORDER BY item_id) - 1 AS INTEGER) AS item_id_encoded
+FROM (SELECT DISTINCT item_id FROM order_lines WHERE order_time < TIMESTAMP '{CUTOFF}' + INTERVAL 1 DAY)
+""")
+def j15_item_label_encoding(spark, sf_dir):
+    """J15's encoding alone: codes of the items sold before the training cutoff."""
+    from stallboard.operators import filters as C
+    from stallboard.operators import quantity as Q
+    return Q.dense_codes(C.before_cutoff(V.order_lines(spark, sf_dir), CUTOFF), "item_id")
+
+
+@register("d5_forecast_vs_actual_by_date")
+def d5_forecast_vs_actual_by_date(spark, sf_dir):
+    """K4's SARIMA forecast (dated from the train end) left-joined to the actual daily revenue."""
+    from stallboard.plans import forecasts as PF
+    daily = _rev_daily(spark, sf_dir)
+    _, rows, _ = PF.revenue_forecast(daily)
+    return PF.forecast_vs_actual(rows, daily, "left")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -62,3 +62,7 @@ def test_plans_push_down_and_no_python(spark):
     for name in ("k1_customers", "k3_monthly_sales", "e5_daily_summary", "j1_preprocess", "k6_reengagement_page"):
         p = _plan(E.queries()[name](spark, sf))
         assert "CartesianProduct" not in p and "Python" not in p, name
+    # paging keeps only the first k rows per merchant in every task before the shuffle
+    assert "WindowGroupLimit" in _plan(E.queries()["k6_reengagement_page"](spark, sf))
+    # K1 has no window at all: two hash/sort aggregates
+    assert "Window" not in _plan(E.queries()["k1_customers"](spark, sf))

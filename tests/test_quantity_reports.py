@@ -72,6 +72,15 @@ def test_notebook_models_dense_panel(spark):
         res.unpersist()
 
 
+def test_forecast_actual_totals(spark):
+    from stallboard.operators import aggregates as A
+    res = spark.createDataFrame([("A", 1, dt.date(2024, 1, 1), 2.004, 3), ("A", 1, dt.date(2024, 1, 1), 1.0, 1),
+                                 ("A", 2, dt.date(2024, 1, 1), 0.125, 0)],
+                                "merchant_id string, item_id int, order_date date, predicted_quantity double, daily_quantity_sold int")
+    got = {r["item_id"]: (r["predicted_total"], r["actual_total"]) for r in A.forecast_actual_totals(res).collect()}
+    assert got == {1: (3.0, 4.0), 2: (0.12, 0.0)}
+
+
 def test_pivot_pred_actual(spark):
     res = spark.createDataFrame([("A", 1, dt.date(2024, 1, 1), 2.0, 3.0), ("A", 2, dt.date(2024, 1, 1), 5.0, 4.0)],
                                 "merchant_id string, item_id int, forecast_date date, forecasted_quantity double, actual_quantity double")
