@@ -105,6 +105,12 @@ def fmt_month_day(d) -> Column:
 
 # ---------------------------------------------------------------- driver-side ranges
 
+def ntz_lit(x: dt.datetime) -> Column:
+    """A zone-less timestamp literal; unlike ``lit(datetime)`` it does not pass through the
+    Python process's or the session's time zone."""
+    return F.expr(f"TIMESTAMP_NTZ '{x.isoformat(sep=' ')}'")
+
+
 def as_date(x) -> dt.date:
     if isinstance(x, dt.datetime):
         return x.date()

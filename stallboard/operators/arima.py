@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import cut_lineage
+from stallboard.session import cut_lineage, ship_package
 
 STAGE1_LAGS = 15
 CLIP = 0.98
@@ -154,6 +154,7 @@ def stage1(lagged: DataFrame, keys, m: int = STAGE1_LAGS) -> DataFrame:
     """Long AR(m) per merchant by Yule-Walker: m+1 autocovariance sums from one aggregate,
     then the Toeplitz system solved on that single row per merchant (grouped Arrow)."""
     keys = list(keys)
+    ship_package(lagged.sparkSession)
     acov = [F.sum(F.col("w") * F.col(f"_w{k}") if k else F.col("w") * F.col("w")) for k in range(m + 1)]
     sums = lagged.where(F.col("w").isNotNull()).groupBy(*keys).agg(F.array(*acov).alias("acov"))
 
@@ -419,6 +420,7 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
     resolves column names case-insensitively: p and P would collide.)
     """
     keys = list(keys)
+    ship_package(series.sparkSession)
     prepared, ar, ma = prepare(series, orders, keys, date_col, m)
     key_types = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys)
     schema = (f"{key_types}, model string, ar_p int, diff_d int, ma_q int, sar_p int, sdiff_d int, sma_q int, "

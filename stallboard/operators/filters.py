@@ -25,13 +25,13 @@ def merchant_filter(df: DataFrame, merchant_id=None, col: str = "merchant_id") -
 def lookback(df: DataFrame, days: int, as_of, col: str = "order_time") -> DataFrame:
     """Closed range of ``days`` days ending with the whole of ``as_of``."""
     lo, hi = D.lookback_bounds(as_of, days)
-    return df.where((F.col(col) >= F.lit(lo).cast("timestamp_ntz")) & (F.col(col) <= F.lit(hi).cast("timestamp_ntz")))
+    return df.where((F.col(col) >= D.ntz_lit(lo)) & (F.col(col) <= D.ntz_lit(hi)))
 
 
 def before_cutoff(df: DataFrame, cutoff, col: str = "order_time") -> DataFrame:
     """Half-open training cutoff ``col < cutoff + 1 day``."""
     bound, _ = D.training_cutoff(cutoff)
-    return df.where(F.col(col) < F.lit(bound).cast("timestamp_ntz"))
+    return df.where(F.col(col) < D.ntz_lit(bound))
 
 
 def _day_start(as_of) -> dt.datetime:
@@ -46,13 +46,13 @@ def active_within(df: DataFrame, days, as_of, col: str = "last_order_date") -> D
     lo = _day_start(as_of) - dt.timedelta(days=int(days))
     hi = _day_start(as_of) + dt.timedelta(days=1) - dt.timedelta(microseconds=1)
     c = F.col(col)
-    return df.where(c.isNotNull() & (c > F.lit(lo).cast("timestamp_ntz")) & (c < F.lit(hi).cast("timestamp_ntz")))
+    return df.where(c.isNotNull() & (c > D.ntz_lit(lo)) & (c < D.ntz_lit(hi)))
 
 
 def lapsed_more_than(df: DataFrame, days: int, as_of, col: str = "last_order_date") -> DataFrame:
     """Last order before 00:00 of ``as_of - days`` (the 'more than N days ago' reading)."""
     lo = _day_start(as_of) - dt.timedelta(days=int(days))
-    return df.where(F.col(col) < F.lit(lo).cast("timestamp_ntz"))
+    return df.where(F.col(col) < D.ntz_lit(lo))
 
 
 def search_all_columns(df: DataFrame, query: str | None, cols=None) -> DataFrame:

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stallboard.session import ship_package
+
 DAILY_METRICS = ("total_orders", "total_revenue", "total_items")
 
 
@@ -223,6 +225,7 @@ def pacf(acf_long: DataFrame, keys=("merchant_id",)) -> DataFrame:
         out["pacf"] = vals
         return out
 
+    ship_package(acf_long.sparkSession)
     schema = ", ".join(f"{k} {dict(acf_long.dtypes)[k]}" for k in keys) + ", lag int, pacf double"
     return acf_long.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(solve, schema)
 
@@ -312,6 +315,7 @@ def adf(series: DataFrame, value: str, keys=("merchant_id",), order: str = "orde
             out[c] = [res.get(c)]
         return pd.DataFrame(out)
 
+    ship_package(series.sparkSession)
     types = dict(series.dtypes)
     schema = (", ".join(f"{k} {types[k]}" for k in keys) +
               ", adf_stat double, pvalue double, used_lag int, nobs int, crit_1pct double, crit_5pct double, "

@@ -19,8 +19,8 @@ def item_sales_over_days(lines: DataFrame, days: int, as_of, merchant_id=None) -
     """
     lo, hi = D.lookback_bounds(as_of, days)
     sel = merchant_filter(lines, merchant_id, "order_merchant_id").where(
-        (F.col("order_time") >= F.lit(lo).cast("timestamp_ntz")) &
-        (F.col("order_time") <= F.lit(hi).cast("timestamp_ntz")))
+        (F.col("order_time") >= D.ntz_lit(lo)) &
+        (F.col("order_time") <= D.ntz_lit(hi)))
     return A.item_sales(sel).where(F.col("total_quantity") > 0)
 
 

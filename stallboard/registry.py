@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from stallboard.operators import views as V
 from stallboard.plans import customers as PC
 from stallboard.plans import sales as PS
+from stallboard.session import ship_package
 
 # Parameters of the registered queries (the driver's data ends 2001-08-01).
 AS_OF = "2001-08-01"
@@ -25,7 +26,14 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        import functools
+
+        @functools.wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn
