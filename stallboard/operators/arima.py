@@ -152,25 +152,37 @@ def _ls(G: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
 
 def stage1(lagged: DataFrame, keys, m: int = STAGE1_LAGS) -> DataFrame:
     """Long AR(m) per merchant by Yule-Walker: m+1 autocovariance sums from one aggregate,
-    then the Toeplitz system solved on that single row per merchant (grouped Arrow)."""
+    then the Toeplitz systems of a whole Arrow batch of merchants solved at once (stacked
+    ``numpy.linalg.solve``) -- one aggregated row per merchant, no per-group overhead."""
     keys = list(keys)
     ship_package(lagged.sparkSession)
     acov = [F.sum(F.col("w") * F.col(f"_w{k}") if k else F.col("w") * F.col("w")) for k in range(m + 1)]
     sums = lagged.where(F.col("w").isNotNull()).groupBy(*keys).agg(F.array(*acov).alias("acov"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        g = np.nan_to_num(np.asarray(pdf["acov"].iloc[0], dtype=float))
-        R = np.array([[g[abs(i - j)] for j in range(m)] for i in range(m)])
-        try:
-            beta = np.linalg.solve(R + 1e-8 * max(g[0], 1e-300) * np.eye(m), g[1:m + 1]) if g[0] > 0 else np.zeros(m)
-        except np.linalg.LinAlgError:
-            beta = np.zeros(m)
-        out = pdf[keys].copy()
-        out["ar_long"] = [beta.tolist()]
-        return out
+    def solve(batches):
+        idx = np.abs(np.arange(m)[:, None] - np.arange(m)[None, :])
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            g = np.nan_to_num(np.stack([np.asarray(a, dtype=float) for a in pdf["acov"]]))
+            R = g[:, idx] + 1e-8 * np.maximum(g[:, :1, None], 1e-300) * np.eye(m)[None]
+            ok = g[:, 0] > 0
+            beta = np.zeros((len(g), m))
+            if ok.any():
+                try:
+                    beta[ok] = np.linalg.solve(R[ok], g[ok, 1:m + 1, None])[..., 0]
+                except np.linalg.LinAlgError:
+                    for i in np.flatnonzero(ok):
+                        try:
+                            beta[i] = np.linalg.solve(R[i], g[i, 1:m + 1])
+                        except np.linalg.LinAlgError:
+                            beta[i] = 0.0
+            out = pdf[keys].copy()
+            out["ar_long"] = list(beta)
+            yield out
 
     schema = ", ".join(f"{k} {dict(sums.dtypes)[k]}" for k in keys) + ", ar_long array<double>"
-    return sums.groupBy(*keys).applyInPandas(solve, schema)
+    return sums.mapInPandas(solve, schema)
 
 
 def prepare(series: DataFrame, orders: list[Order], keys=("merchant_id",), date_col: str = "order_date",
@@ -231,25 +243,52 @@ def _expand(order: Order, params: np.ndarray):
     return sorted(a.items()), sorted(b.items())
 
 
+def _ma_filter_direct(v: np.ndarray, b) -> np.ndarray:
+    """e_t = v_t - sum_l b_l e_{t-l}, zero initial state (the recursion as written)."""
+    e = [0.0] * len(v)
+    vv = v.tolist()
+    for t in range(len(vv)):
+        acc = vv[t]
+        for l, c in b:
+            if t >= l:
+                acc -= c * e[t - l]
+        e[t] = acc
+    return np.asarray(e)
+
+
+def _ma_filter(v: np.ndarray, b) -> np.ndarray:
+    """The same filter 1/B(z) by one FFT division. Exact up to rounding when B is invertible
+    (all roots outside the unit circle), since the impulse response then decays
+    geometrically and the zero padding leaves no wrap-around; otherwise (an explosive
+    recursion) the direct loop is used so the objective sees the explosion."""
+    if not b:
+        return v
+    deg = max(l for l, _ in b)
+    poly = np.zeros(deg + 1)
+    poly[0] = 1.0
+    for l, c in b:
+        poly[l] += c
+    roots = np.roots(poly) if deg > 0 else np.array([])
+    # roots of z^deg B(1/z) inside |z| < 1 <=> B invertible; keep a margin for the decay
+    if len(roots) and np.max(np.abs(roots)) > 0.995:
+        return _ma_filter_direct(v, b)
+    n = len(v)
+    rmax = float(np.max(np.abs(roots))) if len(roots) else 0.0
+    tail = int(np.ceil(np.log(1e-18) / np.log(max(rmax, 1e-3)))) if rmax > 0 else 1
+    size = 1 << int(np.ceil(np.log2(n + min(tail, 1 << 20) + deg + 1)))
+    return np.fft.irfft(np.fft.rfft(v, size) / np.fft.rfft(poly, size), size)[:n]
+
+
 def _residuals(order: Order, params: np.ndarray, w: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     a, b = _expand(order, params)
     beta = params[order.n_arma:]
     u = w - X @ beta if len(beta) else w
     start = max([l for l, _ in a], default=0)
-    n = len(u)
-    # AR part vectorised, MA part as the recursion it is
+    # AR part vectorised; residuals are conditional on zero errors before ``start``
     v = u.copy()
     for l, c in a:
         v[l:] -= c * u[:-l]
-    e = [0.0] * n
-    uu = v.tolist()
-    for t in range(start, n):
-        acc = uu[t]
-        for l, c in b:
-            if t - l >= start:
-                acc -= c * e[t - l]
-        e[t] = acc
-    return np.asarray(e[start:]), u, start
+    return _ma_filter(v[start:], b), u, start
 
 
 def _css(order, params, w, X):

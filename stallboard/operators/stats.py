@@ -213,21 +213,25 @@ def _durbin_levinson(r):
 def pacf(acf_long: DataFrame, keys=("merchant_id",)) -> DataFrame:
     """Partial autocorrelations (Yule-Walker, as from the biased ACF) per merchant.
 
-    The recursion runs in a grouped Arrow function over the merchant's ACF rows only
-    (nlags + 1 rows), so the Python part is bounded by the lag count."""
+    The merchant's ACF values are gathered into one ordered array (nlags + 1 values, a
+    bound set by the lag count) and the Durbin-Levinson recursion runs over whole Arrow
+    batches of merchants in ``mapInPandas``."""
     keys = list(keys)
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lag")
-        vals = _durbin_levinson(pdf["acf"].astype(float).tolist())
-        out = pdf[keys].iloc[[0] * len(vals)].reset_index(drop=True)
-        out["lag"] = list(range(len(vals)))
-        out["pacf"] = vals
-        return out
-
     ship_package(acf_long.sparkSession)
+    rows = acf_long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_r"))
+    rows = rows.select(*keys, F.transform("_r", lambda x: x["acf"]).alias("_acf"))
+
+    def solve(batches):
+        for pdf in batches:
+            out = []
+            for rec in pdf.itertuples(index=False):
+                vals = _durbin_levinson([float("nan") if v is None else float(v) for v in rec[-1]])
+                for lag, v in enumerate(vals):
+                    out.append((*rec[:-1], lag, v))
+            yield pd.DataFrame(out, columns=keys + ["lag", "pacf"])
+
     schema = ", ".join(f"{k} {dict(acf_long.dtypes)[k]}" for k in keys) + ", lag int, pacf double"
-    return acf_long.select(*keys, "lag", "acf").groupBy(*keys).applyInPandas(solve, schema)
+    return rows.mapInPandas(solve, schema)
 
 
 # ------------------------------------------------------------------ J11 augmented Dickey-Fuller
