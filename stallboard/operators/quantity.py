@@ -123,13 +123,22 @@ def name_map(daily: DataFrame) -> DataFrame:
         F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"))
 
 
-def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names: bool = False) -> DataFrame:
     """Every (date, item) pair for the ``horizon`` days after ``cutoff``, per merchant, over
     the items seen in training. Each distinct item row explodes its own date sequence -- a
-    bounded fan-out per item, no join."""
+    bounded fan-out per item, no join. With ``with_names`` the item's display name (D8) is
+    attached to the distinct items *before* the fan-out, so nothing is joined or shuffled at
+    horizon size."""
     start = D.as_date(cutoff)
-    items = daily_train.select("merchant_id", "item_id").distinct()
-    return (items.select("merchant_id", "item_id",
+    if with_names:
+        items = name_map(daily_train)
+        items = (items.withColumn("item_name", F.coalesce(
+                     F.col("item_name"), F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string"))))
+                 .withColumn("safe_name", T.safe_key("item_name")))
+    else:
+        items = daily_train.select("merchant_id", "item_id").distinct()
+    extra = ["item_name", "safe_name"] if with_names else []
+    return (items.select("merchant_id", "item_id", *extra,
                          F.posexplode(D.date_sequence(F.date_add(F.lit(start), 1), horizon)).alias("_h0", "order_date"))
                  .withColumn("h", F.col("_h0") + 1).drop("_h0"))
 
@@ -137,16 +146,12 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFram
 def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30,
                      categorical=()) -> DataFrame:
     """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
-    predicted_quantity), prediction = max(0, round half to even) as int (I21)."""
-    grid = add_calendar(horizon_frame(daily_train, cutoff, horizon))
+    predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
+    a known name would show as 'UnknownID_<id>' (D8's fallback)."""
+    grid = add_calendar(horizon_frame(daily_train, cutoff, horizon, with_names=True))
     pred = predict(model, grid, list(categorical))
-    names = name_map(daily_train)
-    out = (pred.join(names, ["merchant_id", "item_id"], "left")
-               .withColumn("item_name", F.coalesce(F.col("item_name"),
-                                                   F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string")))))
-    return out.select("merchant_id", "h", "order_date", "item_id", "item_name",
-                      T.safe_key("item_name").alias("safe_name"),
-                      N.nonneg_int("prediction").alias("predicted_quantity"))
+    return pred.select("merchant_id", "h", "order_date", "item_id", "item_name", "safe_name",
+                       N.nonneg_int("prediction").alias("predicted_quantity"))
 
 
 def wide_records(forecast_long: DataFrame) -> DataFrame:

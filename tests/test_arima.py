@@ -93,3 +93,30 @@ def test_sarimax_with_exog(spark):
     o = AR.Order(1, 1, 1, exog=("promo_flag",))
     fit = AR.fit_forecast(s, [o], 30).first()
     assert fit["method"] == "css" and abs(fit["params"][-1] - 25.0) < 3.0
+
+
+def test_sarima_beats_seasonal_naive_on_seasonal_data(spark):
+    """Airline-model series (SARIMA(0,1,1)(0,1,1,7)): the fitted SARIMA's 30-step holdout
+    error is below seasonal-naive's, summed over several series."""
+    rng = np.random.default_rng(21)
+    data = {}
+    for i in range(6):
+        n = 600
+        e = rng.normal(size=n + 20)
+        w = e[8:] - 0.4 * e[7:-1] - 0.6 * e[1:-7] + 0.24 * e[:-8]        # (1-.4B)(1-.6B^7) e
+        y = np.zeros(len(w))
+        pattern = np.array([3.0, -1.0, 0.0, 2.0, -2.0, 5.0, -4.0]) * 4
+        for t in range(len(w)):
+            y[t] = w[t] + (y[t - 1] if t >= 1 else 0) + (y[t - 7] if t >= 7 else 0) - (y[t - 8] if t >= 8 else 0)
+        data[f"s{i}"] = 500 + y + pattern[np.arange(len(y)) % 7]
+    df = _series(spark, data)
+    s = AR.index_series(df, "total_revenue", holdout=30)
+    fits = AR.fit_forecast(s, [AR.SARIMA_111_111_7], 30)
+    ho = AR.holdout_rows(fits, s).collect()
+    sarima = sum((r["actual"] - r["forecast"]) ** 2 for r in ho)
+    naive = 0.0
+    for k, y in data.items():
+        train = y[:-30]
+        fc = np.array([train[len(train) - 7 + (h % 7)] for h in range(30)])
+        naive += float(np.sum((y[-30:] - fc) ** 2))
+    assert sarima < naive

@@ -66,3 +66,23 @@ def test_plans_push_down_and_no_python(spark):
     assert "WindowGroupLimit" in _plan(E.queries()["k6_reengagement_page"](spark, sf))
     # K1 has no window at all: two hash/sort aggregates
     assert "Window" not in _plan(E.queries()["k1_customers"](spark, sf))
+
+
+def test_label_shares_sum_to_100(spark):
+    df = E.queries()["e11_label_share"](spark, SF_SMALL)
+    tot = df.groupBy("merchant_id").agg({"pct": "sum"}).collect()
+    assert tot and all(abs(r[1] - 100.0) <= 0.02 + 1e-9 for r in tot)
+
+
+def test_recency_partition_is_whole(spark):
+    """active within N days, lapsed more than N days and the boundary day cover every customer."""
+    from pyspark.sql import functions as F
+    from stallboard.operators import filters as C
+    k1 = E.queries()["k1_customers"](spark, SF_SMALL).cache()
+    n = k1.count()
+    act = C.active_within(k1, 90, "2001-08-01").count()
+    lap = C.lapsed_more_than(k1, 90, "2001-08-01").count()
+    edge = k1.where((F.col("last_order_date") == F.lit("2001-05-03 00:00:00").cast("timestamp_ntz")) |
+                    (F.col("last_order_date") >= F.lit("2001-08-01 23:59:59.999999").cast("timestamp_ntz"))).count()
+    assert act + lap + edge == n
+    k1.unpersist()
