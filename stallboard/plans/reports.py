@@ -65,3 +65,24 @@ def sql_rows_json(spark, text: str, args: dict | None = None):
     each row as a JSON object text, serialised by the executors."""
     df = spark.sql(text, args=args or {})
     return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias("row_json"))
+
+
+def dashboard_bundle(monthly: DataFrame, recent_items: DataFrame, revenue_forecast: DataFrame,
+                     quantity_forecast: DataFrame, target: float = 60000.0, days: int = 30) -> DataFrame:
+    """K7 in full: one row per merchant with the month series, the last-N-day item list, the
+    KPI, the revenue forecast and the per-item forecast totals. Each list is bounded by the
+    calendar or the merchant's catalogue and is assembled by grouped aggregates."""
+    months = monthly.groupBy("merchant_id").agg(F.array_sort(F.collect_list(
+        F.struct("month", "total_sales"))).alias("monthly_sales"))
+    items = recent_items.groupBy("merchant_id").agg(F.array_sort(F.collect_list(
+        F.struct(F.col("item_id"), F.col("item_name"), F.col("total_quantity"), F.col("total_sales")))).alias("items"))
+    kpi = A.sales_kpi(recent_items, target).select("merchant_id", F.col("total_sales").alias("recent_sales"),
+                                                   "above_target")
+    rev = A.horizon_revenue_total(revenue_forecast, days).select(
+        "merchant_id", F.col("total_forecasted_sales").alias("forecast_revenue_total"),
+        F.col("daily_breakdown").alias("revenue_forecast"))
+    qty = (A.horizon_item_totals(quantity_forecast, days).groupBy("merchant_id")
+           .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("safe_name", "total_quantity"))))
+                .alias("forecast_quantities")))
+    return (months.join(items, "merchant_id", "left").join(kpi, "merchant_id", "left")
+            .join(rev, "merchant_id", "left").join(qty, "merchant_id", "left"))

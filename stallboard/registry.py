@@ -1231,6 +1231,18 @@ def d5_forecast_vs_actual_by_date(spark, sf_dir):
     return PF.forecast_vs_actual(rows, daily, "left")
 
 
+@register("k7_dashboard_bundle")
+def k7_dashboard_bundle(spark, sf_dir):
+    """K7: K3 + K2(30 days) + E19 + K4 + K5 per merchant."""
+    from stallboard.plans import forecasts as PF
+    from stallboard.plans import quantity as PQ
+    from stallboard.plans import reports as R
+    lines = V.order_lines(spark, sf_dir)
+    _, rev, _ = PF.revenue_forecast(PF.daily_revenue(lines))
+    qty = PQ.quantity_forecast(lines, CUTOFF, 30)
+    return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
