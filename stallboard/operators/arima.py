@@ -187,8 +187,8 @@ def stage1(lagged: DataFrame, keys, m: int = STAGE1_LAGS) -> DataFrame:
 
 def prepare(series: DataFrame, orders: list[Order], keys=("merchant_id",), date_col: str = "order_date",
             m: int = STAGE1_LAGS) -> DataFrame:
-    """Steps 2-4: differenced series, stage-1 residuals and the stage-2 sums, joined back to
-    the merchant's rows for the refinement. Returns the row-level frame with a ``s2`` struct."""
+    """Steps 2-4: differenced series, stage-1 residuals and the stage-2 sums. Returns the
+    merchant rows, the one-row-per-merchant ``s2`` sums, and the AR / MA lag lists."""
     keys = list(keys)
     o0 = orders[0]
     for o in orders:
@@ -214,7 +214,7 @@ def prepare(series: DataFrame, orders: list[Order], keys=("merchant_id",), date_
     reg = ["w"] + [f"_w{i}" for i in ar] + [f"_e{j}" for j in ma] + [f"_dx_{x}" for x in o0.exog]
     s2 = _sums(df, keys, reg).select(*keys, F.struct("n_obs", "sums").alias("s2"))
     base = series.select(*keys, date_col, "t", "y", "is_train", *o0.exog)
-    return base.join(s2, keys, "left"), ar, ma
+    return base, s2, ar, ma
 
 
 # ------------------------------------------------------------------ per-merchant numerics
@@ -370,7 +370,7 @@ def _seasonal_naive(y: np.ndarray, horizon: int, s: int) -> np.ndarray:
 
 
 def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma: list[int],
-                       keys: list[str], horizon: int, m: int = STAGE1_LAGS) -> pd.DataFrame:
+                       keys: list[str], horizon: int, m: int = STAGE1_LAGS, s2=None) -> pd.DataFrame:
     """Refinement and roll-out for one merchant (all requested orders)."""
     pdf = pdf.sort_values("t")
     train = pdf[pdf["is_train"]]
@@ -396,7 +396,8 @@ def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma
         Xf_all = np.zeros((len(test), 0))
     Xf = np.zeros((horizon, X.shape[1]))
     Xf[:min(horizon, len(Xf_all))] = Xf_all[:horizon]
-    s2 = pdf["s2"].iloc[0] if "s2" in pdf.columns else None
+    if s2 is None and "s2" in pdf.columns:
+        s2 = pdf["s2"].iloc[0]
     reg = ["w"] + [f"_w{i}" for i in ar] + [f"_e{j}" for j in ma] + [f"_dx_{x}" for x in o0.exog]
     G = _unpack(s2["sums"], len(reg)) if s2 is not None and s2["sums"] is not None else None
     rows = []
@@ -460,26 +461,33 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
     """
     keys = list(keys)
     ship_package(series.sparkSession)
-    prepared, ar, ma = prepare(series, orders, keys, date_col, m)
+    base, s2, ar, ma = prepare(series, orders, keys, date_col, m)
     key_types = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys)
     schema = (f"{key_types}, model string, ar_p int, diff_d int, ma_q int, sar_p int, sdiff_d int, sma_q int, "
               f"season int, n_obs int, "
               f"method string, params array<double>, sigma2 double, aic double, forecast array<double>, "
               f"resid array<double>")
-    cols = list(prepared.columns)
     ords = list(orders)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = fit_forecast_group(pdf, ords, ar, ma, keys, horizon, m)
-        return out[[c.split(" ")[0] for c in schema.split(", ")]]
-
-    # The solve is CPU-heavy but its input is tiny, so AQE would coalesce the shuffle into a
-    # single partition and run every merchant in one Python worker. An explicit partition
-    # count (scaled to the cluster's cores) is kept by AQE; the grouping reuses it.
+    out_cols = [c.split(" ")[0] for c in schema.split(", ")]
+
+    def fn(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty:
+            return pd.DataFrame(columns=out_cols)
+        s2v = sums["s2"].iloc[0] if len(sums) else None
+        out = fit_forecast_group(rows, ords, ar, ma, keys, horizon, m, s2=s2v)
+        return out[out_cols]
+
+    # The merchant's rows and its single row of stage-2 sums meet in a cogroup, so the sums
+    # travel once per merchant, not once per trading day. The solve is CPU-heavy but its
+    # input is tiny, so AQE would coalesce the shuffle into a single partition and run every
+    # merchant in one Python worker; an explicit partition count (scaled to the cluster's
+    # cores) is kept by AQE and the cogroup reuses it.
     spark = series.sparkSession
     n_parts = max(2 * spark.sparkContext.defaultParallelism, 1)
-    return (prepared.select(*cols).repartition(n_parts, *keys)
-            .groupBy(*keys).applyInPandas(fn, schema))
+    s2 = s2.select(*[F.col(k).alias(k) for k in keys], "s2")     # fresh attribute ids: both sides share lineage
+    return (base.repartition(n_parts, *keys).groupBy(*keys)
+            .cogroup(s2.repartition(n_parts, *keys).groupBy(*keys))
+            .applyInPandas(fn, schema))
 
 
 def forecast_rows(fits: DataFrame, series: DataFrame, keys=("merchant_id",), date_col: str = "order_date",
