@@ -62,3 +62,34 @@ def load_and_clean(spark: SparkSession, raw_folder: str, out_folder: str, strict
     view = V.build_order_lines(lines, stored["transaction_data"], stored["items"], stored["merchants"])
     view.createOrReplaceTempView("combined_order_view")
     return view
+
+
+def materialize_order_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Write the order-line view once, partitioned by order month: time-range jobs (K2's
+    look-back, the training cutoff) then prune whole month folders at planning time
+    (``PartitionFilters``) instead of filtering every file."""
+    out = lines.withColumn("order_month", F.date_format("order_time", "yyyy-MM"))
+    files.write_table(out, path, partition_by=["order_month"], mode=mode)
+
+
+def read_order_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The materialised view; filters on ``order_month`` prune partitions."""
+    return spark.read.parquet(path)
+
+
+def month_range_filter(df: DataFrame, lo, hi) -> DataFrame:
+    """Add the month-partition predicate implied by a time range, so pruning happens even
+    though the range itself is on ``order_time``."""
+    return df.where((F.col("order_month") >= F.lit(lo.strftime("%Y-%m"))) &
+                    (F.col("order_month") <= F.lit(hi.strftime("%Y-%m"))))
+
+
+def bucket_by_merchant(df: DataFrame, table: str, buckets: int, key: str = "merchant_id",
+                       sort_col: str | None = "order_date") -> None:
+    """Save a per-merchant table (e.g. the daily series) bucketed by merchant in the
+    session's warehouse: later per-merchant aggregates, windows and merchant joins read it
+    already clustered and skip the shuffle."""
+    w = df.write.mode("overwrite").bucketBy(buckets, key)
+    if sort_col:
+        w = w.sortBy(key, sort_col)
+    w.saveAsTable(table)

@@ -11,8 +11,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
     from stallboard.session import get_session
-    s = get_session("local[4]", app="stallboard-tests", shuffle_partitions=8)
+    s = get_session("local[4]", app="stallboard-tests", shuffle_partitions=8,
+                    extra={"spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="stallboard-wh-")})
     yield s
     s.stop()
 

@@ -79,3 +79,33 @@ def test_incremental_daily_summary(spark):
     q.awaitTermination()
     r = daily.compact(spark, sink).first()
     assert (r["total_orders"], r["total_revenue"], r["total_items"]) == (4, 34.0, 8)
+
+
+def test_month_partitions_prune_and_match(spark):
+    from stallboard.functions import dates as D
+    from stallboard.operators import views as V
+    from stallboard.plans import sales as PS
+    sf = "/root/testdata/sf0.001"
+    path = os.path.join(tempfile.mkdtemp(prefix="stallboard-lines-"), "order_lines")
+    etl.materialize_order_lines(V.order_lines(spark, sf), path)
+    lo, hi = D.lookback_bounds("2001-08-01", 30)
+    stored = etl.month_range_filter(etl.read_order_lines(spark, path), lo, hi)
+    a = PS.item_sales_over_days(stored, 30, "2001-08-01")
+    b = PS.item_sales_over_days(V.order_lines(spark, sf), 30, "2001-08-01")
+    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    plan = a._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(order_month" in plan
+
+
+def test_bucketed_daily_series_skips_shuffle(spark):
+    from stallboard.operators import aggregates as A
+    from stallboard.operators import views as V
+    daily = A.daily_summary(V.order_lines(spark, "/root/testdata/sf0.001"))
+    spark.sql("DROP TABLE IF EXISTS daily_bucketed")
+    etl.bucket_by_merchant(daily, "daily_bucketed", 4)
+    t = spark.table("daily_bucketed")
+    agg = t.groupBy("merchant_id").agg(F.sum("total_revenue").alias("r"))
+    plan = agg._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert agg.count() == daily.select("merchant_id").distinct().count()
+    spark.sql("DROP TABLE IF EXISTS daily_bucketed")
