@@ -2,8 +2,9 @@
 
 A daily series holds one row per merchant and trading day, so each merchant's group is
 bounded by the calendar (a few thousand rows), not by order volume; window sorts keyed by
-merchant are therefore safe. Heavy row-level work (lags, products, sums) is SQL; only
-Durbin-Levinson (J10) runs in a grouped Arrow function on one aggregated row per merchant.
+merchant are therefore safe. Heavy row-level work (lags, products, sums) is SQL; Python runs
+only for Durbin-Levinson (J10, over Arrow batches of per-merchant ACF arrays) and the ADF
+regressions (J11, one bounded series per merchant).
 """
 
 from __future__ import annotations
@@ -19,10 +20,6 @@ from stallboard.session import ship_package
 DAILY_METRICS = ("total_orders", "total_revenue", "total_items")
 
 
-def _round(c, nd: int = 9):
-    return F.round(c, nd)
-
-
 def nearest_rank(q: float):
     """1-based row of the 'nearest' quantile of n sorted values: round_half_up((n-1)q) + 1."""
     return F.floor((F.col("_n") - 1) * F.lit(float(q)) + F.lit(0.5)) + 1
