@@ -92,7 +92,14 @@ def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str
     for c in categorical:
         data = data.withColumn(c, F.col(c).cast("string"))
     prep = _prep_pipeline(numeric, categorical).fit(data)
-    vec = cut_lineage(prep.transform(data).select("features", "label"))
+    vec = prep.transform(data).select("features", "label")
+    # every tree level is one pass of one task per partition: a partition count that is a
+    # multiple of the cores avoids a straggling second wave on each of the ~600 passes
+    cores = max(1, train.sparkSession.sparkContext.defaultParallelism)
+    n = vec.rdd.getNumPartitions()
+    if n % cores:
+        vec = vec.repartition(max(cores, round(n / cores) * cores))
+    vec = cut_lineage(vec)
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step_size, seed=seed, lossType="squared", subsamplingRate=1.0,
                        featureSubsetStrategy="all", maxBins=max(32, _n_categories(data, categorical) + 1),
@@ -137,6 +144,14 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
                  .withColumn("safe_name", T.safe_key("item_name")))
     else:
         items = daily_train.select("merchant_id", "item_id").distinct()
+    # the distinct items are few bytes, so AQE would coalesce them into a handful of
+    # partitions; the fan-out then multiplies the rows (and the scoring) by ``horizon``,
+    # so spread them explicitly (a count-only repartition: neither elided as redundant nor
+    # coalesced by AQE; Spark sorts before it, so a retried task sees the same rows)
+    spark = daily_train.sparkSession
+    n_parts = max(2 * spark.sparkContext.defaultParallelism,
+                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+    items = items.repartition(n_parts)
     extra = ["item_name", "safe_name"] if with_names else []
     return (items.select("merchant_id", "item_id", *extra,
                          F.posexplode(D.date_sequence(F.date_add(F.lit(start), 1), horizon)).alias("_h0", "order_date"))
