@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import cut_lineage, ship_package
+from stallboard.session import cut_lineage, ship_package, spread_by
 
 STAGE1_LAGS = 15
 CLIP = 0.98
@@ -479,14 +479,10 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
 
     # The merchant's rows and its single row of stage-2 sums meet in a cogroup, so the sums
     # travel once per merchant, not once per trading day. The solve is CPU-heavy but its
-    # input is tiny, so AQE would coalesce the shuffle into a single partition and run every
-    # merchant in one Python worker; an explicit partition count (scaled to the cluster's
-    # cores) is kept by AQE and the cogroup reuses it.
-    spark = series.sparkSession
-    n_parts = max(2 * spark.sparkContext.defaultParallelism, 1)
+    # input is tiny: ``spread_by`` keeps AQE from coalescing it into one Python worker.
     s2 = s2.select(*[F.col(k).alias(k) for k in keys], "s2")     # fresh attribute ids: both sides share lineage
-    return (base.repartition(n_parts, *keys).groupBy(*keys)
-            .cogroup(s2.repartition(n_parts, *keys).groupBy(*keys))
+    return (spread_by(base, keys).groupBy(*keys)
+            .cogroup(spread_by(s2, keys).groupBy(*keys))
             .applyInPandas(fn, schema))
 
 

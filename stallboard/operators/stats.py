@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import ship_package
+from stallboard.session import ship_package, spread_by
 
 DAILY_METRICS = ("total_orders", "total_revenue", "total_items")
 
@@ -321,6 +321,5 @@ def adf(series: DataFrame, value: str, keys=("merchant_id",), order: str = "orde
     schema = (", ".join(f"{k} {types[k]}" for k in keys) +
               ", adf_stat double, pvalue double, used_lag int, nobs int, crit_1pct double, crit_5pct double, "
               "crit_10pct double")
-    n_parts = max(2 * series.sparkSession.sparkContext.defaultParallelism, 1)
-    return (series.select(*keys, order, F.col(value).cast("double").alias(value))
-            .repartition(n_parts, *keys).groupBy(*keys).applyInPandas(fn, schema))
+    return spread_by(series.select(*keys, order, F.col(value).cast("double").alias(value)), keys) \
+        .groupBy(*keys).applyInPandas(fn, schema)

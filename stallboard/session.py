@@ -110,3 +110,20 @@ def ship_package(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, root))
     sc.addPyFile(out)
     _SHIPPED.add(app)
+
+
+def spread_by(df, keys, factor: int = 3):
+    """Hash-repartition ``df`` by ``keys`` into ``factor`` x the cluster's cores, for grouped
+    Python stages whose input is small in bytes but heavy in CPU.
+
+    AQE coalesces small shuffles into a few partitions (one Python worker would then fit
+    every merchant), but it never coalesces a repartition with an explicit count. Spark
+    drops such a repartition when the child is already hash-partitioned the same way with
+    the same count, so the count is kept different from ``spark.sql.shuffle.partitions``.
+    """
+    spark = df.sparkSession
+    cores = max(1, spark.sparkContext.defaultParallelism)
+    n = factor * cores
+    if str(n) == spark.conf.get("spark.sql.shuffle.partitions", "200"):
+        n += cores
+    return df.repartition(n, *keys)
