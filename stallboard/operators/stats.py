@@ -65,21 +65,30 @@ def preprocess(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS,
                low_q: float = 0.03, high_q: float = 0.97) -> DataFrame:
     """Winsorize each metric to its [q.03, q.97] (nearest), log1p, then min-max scale.
 
-    The winsor bounds are values of the series, so after clipping min = lo and max = hi and
-    the min-max scale is (log1p(w) - log1p(lo)) / (log1p(hi) - log1p(lo)) -- no second
-    pass over the data. A constant series gives null (the reference gets NaN).
+    The bounds come from window functions over the merchant's own rows (row numbers per
+    metric, then a partition-wide max of the value at the target row), so the series is
+    shuffled once by merchant and never joined back to an aggregate. The winsor bounds are
+    values of the series, so after clipping min = lo and max = hi, and the min-max scale is
+    (log1p(w) - log1p(lo)) / (log1p(hi) - log1p(lo)). A constant series gives null (the
+    reference gets NaN).
     """
     keys = list(keys)
-    qs = nearest_quantiles(daily, keys, metrics, (low_q, high_q))
-    lo_s, hi_s = f"_q{round(low_q * 100):02d}", f"_q{round(high_q * 100):02d}"
-    out = daily.join(qs.drop("n"), keys)
+    wp = Window.partitionBy(*keys)
+    out = daily.withColumn("_n", F.count(F.lit(1)).over(wp))
     for m in metrics:
-        lo, hi = F.col(m + lo_s), F.col(m + hi_s)
+        out = out.withColumn(f"_rn_{m}", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(m))))
+    for m in metrics:
+        x = F.col(m).cast("double")
+        lo = F.max(F.when(F.col(f"_rn_{m}") == nearest_rank(low_q), x)).over(wp)
+        hi = F.max(F.when(F.col(f"_rn_{m}") == nearest_rank(high_q), x)).over(wp)
+        out = out.withColumn(f"_lo_{m}", lo).withColumn(f"_hi_{m}", hi)
+    for m in metrics:
+        lo, hi = F.col(f"_lo_{m}"), F.col(f"_hi_{m}")
         w = F.least(F.greatest(F.col(m).cast("double"), lo), hi)
         out = (out.withColumn(f"{m}_winsor", w)
                   .withColumn(f"{m}_log1p", F.log1p(w))
                   .withColumn(f"{m}_norm", F.try_divide(F.log1p(w) - F.log1p(lo), F.log1p(hi) - F.log1p(lo))))
-    return out.drop(*[m + s for m in metrics for s in (lo_s, hi_s)])
+    return out.drop("_n", *[f"_{p}_{m}" for m in metrics for p in ("rn", "lo", "hi")])
 
 
 def box_summary(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS) -> DataFrame:
