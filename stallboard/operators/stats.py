@@ -45,18 +45,26 @@ def nearest_quantiles(df: DataFrame, keys, metrics, qs) -> DataFrame:
 
 def iqr_outliers(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS) -> DataFrame:
     """Per group and metric, q1/q3 (nearest), bounds q1-1.5iqr / q3+1.5iqr and the
-    number of values outside them (C10)."""
+    number of values outside them (C10). The quartiles are window aggregates over the
+    merchant partition and the counts a grouped aggregate on the same partitioning, so the
+    series is shuffled once."""
     keys = list(keys)
-    qs = nearest_quantiles(daily, keys, metrics, (0.25, 0.75))
-    j = daily.join(qs, keys)
+    wp = Window.partitionBy(*keys)
+    x = daily.withColumn("_n", F.count(F.lit(1)).over(wp))
+    for m in metrics:
+        x = x.withColumn(f"_rn_{m}", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(m))))
+    for m in metrics:
+        v = F.col(m).cast("double")
+        x = (x.withColumn(f"_q1_{m}", F.max(F.when(F.col(f"_rn_{m}") == nearest_rank(0.25), v)).over(wp))
+              .withColumn(f"_q3_{m}", F.max(F.when(F.col(f"_rn_{m}") == nearest_rank(0.75), v)).over(wp)))
     aggs = []
     for m in metrics:
-        q1, q3 = F.col(f"{m}_q25"), F.col(f"{m}_q75")
+        q1, q3 = F.col(f"_q1_{m}"), F.col(f"_q3_{m}")
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         aggs += [F.max(q1).alias(f"{m}__q1"), F.max(q3).alias(f"{m}__q3"),
                  F.max(lo).alias(f"{m}__lo"), F.max(hi).alias(f"{m}__hi"),
                  F.count_if((F.col(m) < lo) | (F.col(m) > hi)).alias(f"{m}__n")]
-    row = j.groupBy(*keys).agg(*aggs)
+    row = x.groupBy(*keys).agg(*aggs)
     stack = ", ".join(f"'{m}', {m}__q1, {m}__q3, {m}__lo, {m}__hi, {m}__n" for m in metrics)
     return row.selectExpr(*keys, f"stack({len(metrics)}, {stack}) as (feature, q1, q3, lower_bound, upper_bound, n_outliers)")
 
@@ -114,15 +122,16 @@ def box_summary(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS)
 
 def histogram(daily: DataFrame, metric: str, bins: int = 30, keys=("merchant_id",)) -> DataFrame:
     """Equal-width bins between the group's min and max; x = max falls in the last bin.
-    A constant group puts everything in bin 1."""
+    A constant group puts everything in bin 1. Min and max are window aggregates over the
+    merchant partition; the bin counts a grouped aggregate (map-side combined)."""
     keys = list(keys)
-    rng = daily.groupBy(*keys).agg(F.min(F.col(metric).cast("double")).alias("_mn"),
-                                   F.max(F.col(metric).cast("double")).alias("_mx"))
+    wp = Window.partitionBy(*keys)
     x = F.col(metric).cast("double")
+    d = daily.withColumn("_mn", F.min(x).over(wp)).withColumn("_mx", F.max(x).over(wp))
     b = F.when(F.col("_mx") == F.col("_mn"), F.lit(1)).otherwise(
         F.least(F.floor((x - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * bins) + 1, F.lit(bins)))
     width = (F.col("_mx") - F.col("_mn")) / bins
-    return (daily.join(rng, keys).withColumn("bin", b.cast("int"))
+    return (d.withColumn("bin", b.cast("int"))
             .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"),
                                        F.max(F.col("_mn") + (F.col("bin") - 1) * width).alias("bin_low"),
                                        F.max(F.col("_mn") + F.col("bin") * width).alias("bin_high")))
