@@ -101,11 +101,13 @@ def preprocess(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS,
 
 def box_summary(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS) -> DataFrame:
     """Five-number box summary per metric: linear quartiles, whiskers at the most extreme
-    values within 1.5 IQR, and the count of points beyond them."""
+    values within 1.5 IQR, and the count of points beyond them. Quartiles are window
+    aggregates over the merchant partition, so the series is shuffled once."""
     keys = list(keys)
-    qa = daily.groupBy(*keys).agg(*[F.percentile(F.col(m).cast("double"), [0.25, 0.5, 0.75]).alias(f"{m}__p")
-                                    for m in metrics])
-    j = daily.join(qa, keys)
+    wp = Window.partitionBy(*keys)
+    j = daily
+    for m in metrics:
+        j = j.withColumn(f"{m}__p", F.percentile(F.col(m).cast("double"), [0.25, 0.5, 0.75]).over(wp))
     aggs = []
     for m in metrics:
         q1, med, q3 = F.col(f"{m}__p")[0], F.col(f"{m}__p")[1], F.col(f"{m}__p")[2]
@@ -141,21 +143,23 @@ def kde(daily: DataFrame, metric: str, grid: int = 64, keys=("merchant_id",)) ->
     """Gaussian kernel density on ``grid`` equally spaced points over [min, max], Scott's
     bandwidth ``sd * n^(-1/5)``.
 
-    Every sample row emits its contribution to each grid point (``grid`` rows per sample,
-    generated in place), and the contributions are summed with map-side combine -- linear
-    in the data, no pairing of samples, no join of grid with sample.
+    The merchant's n, min, max and sd are window aggregates over its partition; every sample
+    row then emits its contribution to each grid point (``grid`` rows per sample, generated
+    in place), summed with map-side combine -- linear in the data, no pairing of samples,
+    no join of grid with sample.
     """
     keys = list(keys)
+    wp = Window.partitionBy(*keys)
     x = F.col(metric).cast("double")
-    st = daily.groupBy(*keys).agg(F.count(x).alias("_n"), F.min(x).alias("_mn"), F.max(x).alias("_mx"),
-                                  F.stddev_samp(x).alias("_sd"))
-    st = st.withColumn("_h", F.col("_sd") * F.pow(F.col("_n"), F.lit(-0.2)))
+    st = (daily.select(*keys, x.alias("_x"))
+          .withColumn("_n", F.count("_x").over(wp)).withColumn("_mn", F.min("_x").over(wp))
+          .withColumn("_mx", F.max("_x").over(wp))
+          .withColumn("_h", F.stddev_samp("_x").over(wp) * F.pow(F.col("_n"), F.lit(-0.2))))
     g = F.col("_mn") + F.col("_g") * (F.col("_mx") - F.col("_mn")) / F.lit(grid - 1)
-    z = (g - x) / F.col("_h")
+    z = (g - F.col("_x")) / F.col("_h")
     contrib = F.exp(-0.5 * z * z) / (F.col("_n") * F.col("_h") * F.lit(math.sqrt(2 * math.pi)))
-    return (daily.join(st.where(F.col("_h") > 0), keys)
-            .select(*keys, x.alias(metric), "_n", "_mn", "_mx", "_h",
-                    F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_g"))
+    return (st.where(F.col("_h") > 0)
+            .select(*keys, "_x", "_n", "_mn", "_mx", "_h", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("_g"))
             .groupBy(*keys, F.col("_g").alias("grid_index"))
             .agg(F.max(g).alias("x"), F.sum(contrib).alias("density")))
 
