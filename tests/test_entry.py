@@ -86,3 +86,11 @@ def test_recency_partition_is_whole(spark):
                     (F.col("last_order_date") >= F.lit("2001-08-01 23:59:59.999999").cast("timestamp_ntz"))).count()
     assert act + lap + edge == n
     k1.unpersist()
+
+
+def test_solver_stage_is_spread_over_cores(spark):
+    """The grouped ARIMA fit reads a repartition with an explicit count, which AQE never
+    coalesces into one Python worker."""
+    df = E.queries()["k4_revenue_forecast"](spark, SF_SMALL)
+    plan = _plan(df)
+    assert "FlatMapCoGroupsInPandas" in plan and "REPARTITION_BY_NUM" in plan
