@@ -101,19 +101,29 @@ def residual_diagnostics(fits: DataFrame, nlags: int = 10) -> DataFrame:
     return ST.ljung_box(ST.acf(r, "resid", nlags, keys=keys, order="t"), nlags, keys=keys)
 
 
+def _last_season(series: DataFrame, holdout: int, s: int):
+    """The last ``s`` train values of each merchant, oldest first: a window collect bounded
+    by the season length, on the partitioning the row numbers already use (no self-join)."""
+    n_train = F.col("n_total") - holdout
+    last = F.when(F.col("t") > n_train - s, F.when(F.col("t") <= n_train, F.struct("t", "y")))
+    return F.transform(F.array_sort(F.collect_list(last).over(Window.partitionBy("merchant_id"))),
+                       lambda r: r["y"])
+
+
 def seasonal_naive_holdout(daily: DataFrame, holdout: int = 30, s: int = 7) -> DataFrame:
     """Seasonal-naive forecasts of the held-out rows (the solver's fallback method), paired
     positionally with the actuals: the h-th test row is forecast by the train row
-    ``n_train - s + ((h-1) mod s) + 1``. A self equi-join on (merchant, t): one partner per
-    row, no pairs. Output (merchant_id, h, forecast_date, forecast, actual)."""
+    ``n_train - s + ((h-1) mod s) + 1``, picked from the merchant's last ``s`` train values.
+    Output (merchant_id, h, forecast_date, forecast, actual)."""
     series = AR.index_series(daily, "total_revenue", holdout=holdout)
     n_train = F.col("n_total") - holdout
-    test = (series.where(~F.col("is_train"))
+    x = series.withColumn("_season", _last_season(series, holdout, s))
+    test = (x.where(~F.col("is_train"))
             .withColumn("h", F.col("t") - n_train)
-            .withColumn("src", n_train - s + ((F.col("h") - 1) % s) + 1))
-    src = series.select("merchant_id", F.col("t").alias("src"), F.col("y").alias("forecast"))
-    return test.join(src, ["merchant_id", "src"]).select(
-        "merchant_id", "h", F.col("order_date").alias("forecast_date"), "forecast", F.col("y").alias("actual"))
+            .where(F.size("_season") == s))            # as the equi-join: no forecast without a full season
+    return test.select("merchant_id", "h", F.col("order_date").alias("forecast_date"),
+                       F.element_at("_season", ((F.col("h") - 1) % s + 1).cast("int")).alias("forecast"),
+                       F.col("y").alias("actual"))
 
 
 def naive_evaluation(pairs: DataFrame) -> DataFrame:
@@ -134,16 +144,17 @@ def naive_calendar_forecast(daily: DataFrame, horizon: int = 30, holdout: int =
     left-joined to the actual daily revenue; days without an actual are 'Future date'."""
     series = AR.index_series(daily, "total_revenue", holdout=holdout)
     n_train = F.col("n_total") - holdout
-    last = (series.where("is_train").groupBy("merchant_id")
-            .agg(F.max("order_date").alias("_last"), F.max("n_total").alias("n_total")))
-    grid = last.select("merchant_id", "_last", "n_total",
-                       F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
-    grid = grid.withColumn("src", n_train - s + ((F.col("h") - 1) % s) + 1) \
-               .withColumn("forecast_date", F.date_add(F.col("_last"), F.col("h")))
-    src = series.select("merchant_id", F.col("t").alias("src"), F.col("y").alias("forecast"))
+    last = F.when((F.col("t") > n_train - s) & (F.col("t") <= n_train), F.struct("t", "y"))
+    per_m = (series.groupBy("merchant_id")
+             .agg(F.max(F.when(F.col("is_train"), F.col("order_date"))).alias("_last"),
+                  F.transform(F.array_sort(F.collect_list(last)), lambda r: r["y"]).alias("_season")))
+    grid = (per_m.where(F.size("_season") == s)
+            .select("merchant_id", "_last", "_season", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+            .withColumn("forecast_date", F.date_add(F.col("_last"), F.col("h")))
+            .withColumn("forecast", F.element_at("_season", ((F.col("h") - 1) % s + 1).cast("int"))))
     act = daily.select("merchant_id", F.col("order_date").alias("forecast_date"),
                        F.col("total_revenue").cast("double").alias("actual"))
-    j = grid.join(src, ["merchant_id", "src"]).join(act, ["merchant_id", "forecast_date"], "left")
+    j = grid.join(act, ["merchant_id", "forecast_date"], "left")
     f, a = F.col("forecast"), F.col("actual")
     return j.select("merchant_id", "h", "forecast_date", N.round2(f).alias("forecasted_revenue"),
                     N.round2(a).alias("total_revenue"), N.round2(L.deviation_nb(a, f)).alias("deviation_pct"),
