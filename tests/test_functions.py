@@ -119,3 +119,51 @@ def test_seconds_between_negative(spark):
     assert df.select(D.seconds_between("a", "b")).first()[0] == -3600
     eod = df.select(D.end_of_day("a")).first()[0]
     assert eod == dt.datetime(2024, 1, 2, 23, 59, 59, 999999)
+
+
+def _py_pct(num, den):
+    """pandas semantics: x/0 is +-inf, 0/0 is NaN."""
+    import math
+    if den == 0:
+        return math.nan if num == 0 else math.copysign(math.inf, num)
+    return num / den * 100
+
+
+def _py_label5(p):
+    if p >= 10:
+        return "Much Better than Expected"
+    if 0 < p < 10:
+        return "Better than Expected"
+    if p == 0:
+        return "As Expected"
+    if -10 < p < 0:
+        return "Worse than Expected"
+    return "Much Worse than Expected"
+
+
+def _py_label3(p, inclusive=False):
+    within = abs(p) <= 10 if inclusive else abs(p) < 10
+    if within:
+        return "As Expected"
+    if p > 10:
+        return "Better Than Expected" if inclusive else "Better than Expected"
+    return "Worse Than Expected" if inclusive else "Worse than Expected"
+
+
+def test_labels_match_python_rules_on_generated_pairs(spark):
+    import random
+    rnd = random.Random(17)
+    pairs = [(0.0, 0.0), (5.0, 0.0), (-5.0, 0.0), (0.0, 5.0), (110.0, 100.0), (90.0, 100.0)]
+    for _ in range(3000):
+        a = rnd.choice([0.0, round(rnd.uniform(-50, 500), 2), float(rnd.randint(0, 30))])
+        f = rnd.choice([a, a * 1.1, a * 0.9, round(rnd.uniform(-50, 500), 2), float(rnd.randint(0, 30)), 0.0])
+        pairs.append((f, a))
+    df = spark.createDataFrame(pairs, "f double, a double")
+    got = df.select("f", "a", L.label5(F.col("f") - F.col("a"), F.col("a")).alias("l5"),
+                    L.label3(F.col("a") - F.col("f"), F.col("f")).alias("l3"),
+                    L.label3_inclusive(F.col("a") - F.col("f"), F.col("f")).alias("l3i")).collect()
+    for r in got:
+        f, a = r["f"], r["a"]
+        assert r["l5"] == _py_label5(_py_pct(f - a, a)), (f, a)
+        assert r["l3"] == _py_label3(_py_pct(a - f, f)), (f, a)
+        assert r["l3i"] == _py_label3(_py_pct(a - f, f), inclusive=True), (f, a)
