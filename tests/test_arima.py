@@ -120,3 +120,18 @@ def test_sarima_beats_seasonal_naive_on_seasonal_data(spark):
         fc = np.array([train[len(train) - 7 + (h % 7)] for h in range(30)])
         naive += float(np.sum((y[-30:] - fc) ** 2))
     assert sarima < naive
+
+
+def test_grid_search_ranks_by_holdout_mse(spark):
+    from stallboard.plans import forecasts as PF
+    rng = np.random.default_rng(4)
+    data = {f"g{i}": 300 + np.cumsum(_sim_arma(rng, 250, 0.4, 0.3)) for i in range(2)}
+    df = _series(spark, data)
+    res = PF.grid_search(df, holdout=30).collect()
+    for m in data:
+        rows = sorted((r for r in res if r["merchant_id"] == m), key=lambda r: r["rank"])
+        assert len(rows) == 16
+        assert {(r["ar_p"], r["ma_q"]) for r in rows} == {(p, q) for p in range(4) for q in range(4)}
+        assert [r["rank"] for r in rows] == list(range(1, 17))
+        assert all(rows[i]["mse"] <= rows[i + 1]["mse"] for i in range(15))
+        assert all(r["aic"] is not None for r in rows)
