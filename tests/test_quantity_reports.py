@@ -103,3 +103,21 @@ def test_reports_and_chat(spark):
                                    "merchant_id string, month string, total_sales double")
     cp = R.chart_payload(months, 50).first()
     assert cp["payload_chars"] > 50 and cp["payload_cut"].endswith("... (data truncated)")
+
+
+def test_json_records_and_sql_rows(spark):
+    import json
+    import os
+    import tempfile
+    from stallboard.sources import files
+    df = spark.createDataFrame([("A", "2020-02", 2.5), ("A", "2020-01", 1.0), ("B", "2020-01", 3.0)],
+                               "merchant_id string, month string, total_sales double")
+    recs = {r["merchant_id"]: json.loads(r["records"]) for r in files.json_records_per_merchant(df, order=["month"]).collect()}
+    assert recs["A"] == [{"month": "2020-01", "total_sales": 1.0}, {"month": "2020-02", "total_sales": 2.5}]
+    out = os.path.join(tempfile.mkdtemp(prefix="stallboard-json-"), "rows")
+    files.write_json_records(df, out)
+    assert spark.read.json(out).count() == 3
+    df.createOrReplaceTempView("monthly_for_test")
+    got = [json.loads(r[0]) for r in R.sql_rows_json(
+        spark, "SELECT month, total_sales FROM monthly_for_test WHERE merchant_id = :m ORDER BY month", {"m": "A"}).collect()]
+    assert got == [{"month": "2020-01", "total_sales": 1.0}, {"month": "2020-02", "total_sales": 2.5}]
