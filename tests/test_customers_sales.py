@@ -93,3 +93,18 @@ def test_pages_concatenate_to_whole(spark):
     assert seen == whole
     found = PC.reengagement(df, "2023-12-31", search="F2").select("customer_id").count()
     assert found == len([d for d in data if d[3] == "f2"])
+
+
+def test_lookup_head_sort_suffix(spark):
+    from stallboard.operators import ordering as G
+    df = spark.createDataFrame([("A", 3, "b"), ("A", 1, "a"), ("B", 2, "c"), ("A", 2, "a")],
+                               "merchant_id string, customer_id int, favorite_food string")
+    first = C.first_by_key(df, "merchant_id", "A", order_by="customer_id").collect()
+    assert [r["customer_id"] for r in first] == [1]
+    assert [r["customer_id"] for r in G.head(df, 2, [F.col("customer_id").desc()]).collect()] == [3, 2]
+    s = G.sort_by(df, "favorite_food", descending=False, tie_break="customer_id").collect()
+    assert [(r["merchant_id"], r["customer_id"]) for r in s] == [("A", 1), ("A", 2), ("A", 3), ("B", 2)]
+    wide = spark.createDataFrame([(1, 2, 3)], "order_date int, soup_pred int, tea_pred int")
+    assert C.columns_with_suffix(wide) == ["soup_pred", "tea_pred"]
+    best = G.best_per_group(df, ["merchant_id"], [F.col("customer_id").desc()]).orderBy("merchant_id").collect()
+    assert [(r["merchant_id"], r["customer_id"]) for r in best] == [("A", 3), ("B", 2)]
