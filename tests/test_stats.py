@@ -99,3 +99,17 @@ def test_adf_rejects_white_noise_not_random_walk(spark):
     assert got["wn"]["pvalue"] < 0.01 and got["wn"]["adf_stat"] < got["wn"]["crit_1pct"]
     assert got["rw"]["pvalue"] > 0.05
     assert abs(ST.adf_pvalue(-2.86154) - 0.05) < 0.005 and abs(ST.adf_pvalue(-3.43035) - 0.01) < 0.003
+
+
+def test_nearest_quantiles_brute_force(spark):
+    rng = np.random.default_rng(99)
+    groups = {f"g{i}": [float(v) for v in rng.integers(0, 50, size=int(n))] for i, n in
+              enumerate(rng.integers(1, 120, size=25))}
+    data = [(g, v) for g, vs in groups.items() for v in vs]
+    df = spark.createDataFrame(data, "merchant_id string, total_items double")
+    qs = (0.03, 0.25, 0.75, 0.97)
+    got = {r["merchant_id"]: r for r in ST.nearest_quantiles(df, ["merchant_id"], ["total_items"], qs).collect()}
+    for g, vs in groups.items():
+        assert got[g]["n"] == len(vs)
+        for q in qs:
+            assert got[g][f"total_items_q{round(q * 100):02d}"] == _nearest(vs, q), (g, q, len(vs))
