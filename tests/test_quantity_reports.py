@@ -121,3 +121,13 @@ def test_json_records_and_sql_rows(spark):
     got = [json.loads(r[0]) for r in R.sql_rows_json(
         spark, "SELECT month, total_sales FROM monthly_for_test WHERE merchant_id = :m ORDER BY month", {"m": "A"}).collect()]
     assert got == [{"month": "2020-01", "total_sales": 1.0}, {"month": "2020-02", "total_sales": 2.5}]
+
+
+def test_dense_codes_match_sorted_classes(spark):
+    import random
+    rnd = random.Random(5)
+    ids = [f"it{rnd.randint(0, 400):04d}" for _ in range(3000)] + [None]
+    df = spark.createDataFrame([(i,) for i in ids], "item_id string").repartition(13)
+    got = {r["item_id"]: r["item_id_encoded"] for r in Q.dense_codes(df, "item_id").collect()}
+    classes = sorted({i for i in ids if i is not None})
+    assert got == {c: k for k, c in enumerate(classes)}
