@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallboard.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
+from stallboard.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, suffix_dedup
 from stallboard.llm.common import checkpointed, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("mix_slot").alias("slot"), F.col("mix_position").alias("position"))
 
 
+@register
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
+
+
 @register
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
