@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallboard.llm import decontaminate, language_id, mixing, sharding, simhash_dedup, suffix_dedup
-from stallboard.llm.common import checkpointed, read
+from stallboard.llm import bit_pack, chat_format, decontaminate, language_id, mixing, sharding, simhash_dedup, suffix_dedup
+from stallboard.llm.common import read, scratch_path
+
+TOKENIZER = "word_bpe_49k.json"
+PLANTED = r"\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +36,16 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op5_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document, read back from the packed files."""
+    import public_tokenizers
+
+    path = scratch_path(spark, "op5")
+    bit_pack.write(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), path)
+    return bit_pack.documents(bit_pack.blocks(spark, path))
+
+
 @register
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, block, slot and position in the mixed stream of every document."""
@@ -53,6 +66,16 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+@register
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns and digests of every conversation and of conversation -7, read back from the formatted pieces."""
+    planted = spark.createDataFrame([(-7, 0, "user", PLANTED), (-7, 1, "assistant", PLANTED)],
+                                    "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select(
+        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return chat_format.digests(chat_format.format_conversations(turns.unionByName(planted)))
+
+
 def source_shard(shards: int):
     """The given layout: every source lies in the shard of its name's checksum."""
     return (F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary")) % shards).cast("int")
