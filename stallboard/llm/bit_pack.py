@@ -39,7 +39,7 @@ BLOCK_IDS = 1 << 20
 MAGIC = b"BPK1"
 BLOCKS = "shard int, block int, doc_ids array<long>, first_id long, n_ids long, payload binary"
 # Words a worker remembers between batches; beyond that it starts anew.
-REMEMBERED_WORDS = 400_000
+REMEMBERED_WORDS = 2_000_000
 
 
 def id_bits(vocabulary: int) -> int:
@@ -177,7 +177,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, block_ids: int = BLOCK_IDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         block, first = 0, 0
-        for batch in byte_slices(batches, "text", 8 << 20):
+        for batch in byte_slices(batches, "text", 24 << 20):
             ids, offsets = own.encode(batch.column(1))
             at = 0
             while at < batch.num_rows:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallboard.llm import bit_pack, chat_format, decontaminate, language_id, mixing, sharding, simhash_dedup, suffix_dedup
+from stallboard.llm import bit_pack, chat_format, decontaminate, language_id, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
 from stallboard.llm.common import read, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -36,6 +36,13 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@register
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, word figures, base_failed, kept and the two distances of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit(docs))
+
+
 @register
 def op5_bit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, read back from the packed files."""
