@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallboard.llm import bit_pack, chat_format, decontaminate, language_id, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
+from stallboard.llm import bit_pack, chat_format, decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
 from stallboard.llm.common import read, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +22,13 @@ def register(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
     return fn
 
 
+@register
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text and n_chars of every page."""
+    pages = read(spark, sf_dir, "pages")
+    return html_extract.main_texts(pages, html_extract.fit(pages))
+
+
 @register
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word) of every leak of a test item into a document."""
