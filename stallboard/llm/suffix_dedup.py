@@ -13,8 +13,8 @@ bits and is sorted on its own. Only places within reach of a tied sample suffix
 ties; all other suffixes are settled by their sample ranks and are never moved.
 
 Blockwise sort. The remaining suffixes are again sorted one bucket at a time, by a 64-bit key of
-their ``LENGTH`` bytes and then by a second, independent 32-bit key: equal keys are long ties.
-(The bytes of two suffixes are rarely on one machine, so a bucket compares fixed-width keys of
+their ``LENGTH`` bytes and then by a second, independent key: equal keys are long ties. A bucket
+answers a block with one bit per suffix, in the order in which the block sent them. (The bytes of two suffixes are rarely on one machine, so a bucket compares fixed-width keys of
 the cut suffixes where a shared-memory sorter would compare the bytes before the sample.)
 
 Documents lie in blocks by a hash of their id. A block sends each key once however often it
@@ -30,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -69,13 +70,9 @@ def difference_cover(v: int = V, size: int = 17) -> np.ndarray:
     return np.array(cover, np.int64)
 
 
-_COVER: list[np.ndarray] = []
-
-
+@lru_cache(maxsize=1)
 def cover() -> np.ndarray:
-    if not _COVER:
-        _COVER.append(difference_cover())
-    return _COVER[0]
+    return difference_cover()
 
 
 class Keys:
@@ -85,7 +82,7 @@ class Keys:
     its bytes' numbers, taken from prefix sums, then mixed."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        table = np.random.default_rng(20 + which).integers(0, 1 << 64, 256, np.uint64)
+        table = _byte_numbers(which)
         n = len(data)
         self.powers = _powers(n + 1, BASE[which])
         self.inverse = _powers(n + 1, pow(BASE[which], -1, 1 << 64))
@@ -100,6 +97,11 @@ class Keys:
         return key
 
 
+@lru_cache(maxsize=2)
+def _byte_numbers(which: int) -> np.ndarray:
+    return np.random.default_rng(20 + which).integers(0, 1 << 64, 256, np.uint64)
+
+
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -137,27 +139,6 @@ def candidate_places(n: int, tied: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(np.cumsum(mark[:-1]) > 0)
 
 
-class Known:
-    """Sorted tied keys of one block with their second keys; a bit table settles most look-ups."""
-
-    def __init__(self, key: np.ndarray, second: np.ndarray):
-        order = np.lexsort((second, key))
-        self.key, self.second = key[order], second[order]
-        self.mask = np.uint64((1 << 22) - 1)
-        self.bits = np.zeros(1 << 22 if len(key) else 0, bool)
-        if len(key):
-            self.bits[self.key & self.mask] = True
-
-    def holds(self, values: np.ndarray) -> np.ndarray:
-        """Whether each value is a tied key."""
-        out = np.zeros(len(values), bool)
-        if len(self.key) and len(values):
-            some = np.flatnonzero(self.bits[values & self.mask])
-            place = np.minimum(np.searchsorted(self.key, values[some]), len(self.key) - 1)
-            out[some] = self.key[place] == values[some]
-        return out
-
-
 def _bytes(text: str | None) -> np.ndarray:
     return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
@@ -178,70 +159,99 @@ def _text_rows(docs: pd.DataFrame, status: dict[tuple, int]) -> Iterator[tuple[i
 
 
 def _status(notes: pd.DataFrame) -> dict[tuple, int]:
-    own = notes[notes["kind"] == 0]
+    own = notes[notes["kind"] == STATUS]
     return {(r, t): s for r, t, s in zip(own["row_key"], own["text_key"], own["bucket"])}
 
 
-def _pack(block: int, buckets: int, key: np.ndarray, twice: np.ndarray, second: np.ndarray | None = None) -> pd.DataFrame:
-    """Rows (bucket, block, entries): the sorted keys of one block cut by their leading bits."""
-    bucket = (key >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((key, bucket))
-    bucket, key, twice = bucket[order], key[order], twice[order]
-    cuts = np.flatnonzero(np.diff(bucket)) + 1
-    rows = []
-    parts = zip(np.split(key, cuts), np.split(twice, cuts), np.split(second[order], cuts) if second is not None else [None] * (len(cuts) + 1))
-    for first, (k, t, s) in zip(np.concatenate(([0], cuts)), parts):
-        if len(k):
-            rows.append((int(bucket[first]), block, k.tobytes(), np.packbits(t).tobytes(), b"" if s is None else s.tobytes()))
-    return pd.DataFrame(rows, columns=["bucket", "block", "keys", "twice", "second"])
-
-
-ENTRIES = "bucket long, block long, keys binary, twice binary, second binary"
-NOTES = "block long, kind int, bucket long, row_key long, text_key long, keys binary, second binary"
-
-
-def _sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
-    """Sorts one bucket and tells each block which of its keys tie with another suffix."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    lens = np.array([len(k) for k in keys])
-    key = np.concatenate(keys)
-    twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(rows["twice"], lens)]).astype(bool)
-    owner = np.repeat(np.arange(len(rows)), lens)
-    has_second = bool(rows["second"].iat[0])
-    second = np.concatenate([np.frombuffer(s, np.uint32) for s in rows["second"]]) if has_second else np.zeros(len(key), np.uint32)
-    order = np.lexsort((second, key)) if has_second else np.argsort(key, kind="stable")
-    key, second, twice, owner = key[order], second[order], twice[order], owner[order]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = (key[1:] == key[:-1]) & (second[1:] == second[:-1])
-    tie = same[1:] | same[:-1] | twice
-    key, second, owner = key[tie], second[tie], owner[tie]
-    order = np.argsort(owner, kind="stable")
-    out = []
-    cuts = np.searchsorted(owner[order], np.arange(len(rows) + 1))
-    for k in range(len(rows)):
-        own = order[cuts[k]:cuts[k + 1]]
-        if len(own):
-            out.append((int(rows["block"].iat[k]), 1, int(rows["bucket"].iat[k]), 0, 0, key[own].tobytes(),
-                        second[own].tobytes() if has_second else b""))
-    return pd.DataFrame(out, columns=["block", "kind", "bucket", "row_key", "text_key", "keys", "second"])
-
-
-def _received(notes: pd.DataFrame) -> Known:
-    own = notes[notes["kind"] == 1]
-    key = np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(k, np.uint64) for k in own["keys"])])
-    second = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(s, np.uint32) for s in own["second"])])
-    return Known(key, second if len(second) == len(key) else np.zeros(len(key), np.uint32))
-
-
-def _once(key: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (key, second) pairs and whether each occurs twice or more."""
-    order = np.lexsort((second, key))
-    key, second = key[order], second[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff(np.concatenate((first, [len(key)])))
-    return key[first], second[first], count > 1
+ENTRIES = "bucket long, block long, keys binary, seconds binary, twice binary"
+NOTES = "block long, kind int, bucket long, row_key long, text_key long, tied binary"
+STATUS, SAMPLES, SUFFIXES = 0, 1, 2
+
+
+class Entries:
+    """The distinct (bucket, key, second) suffix keys of one block, in that order."""
+
+    def __init__(self, bucket: np.ndarray, key: np.ndarray, second: np.ndarray):
+        order = np.lexsort((second, key, bucket))
+        bucket, key, second = bucket[order], key[order], second[order]
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (second[1:] != second[:-1]) | (bucket[1:] != bucket[:-1])
+        first = np.flatnonzero(new)
+        self.bucket, self.key, self.second = bucket[first], key[first], second[first]
+        self.twice = np.diff(np.append(first, len(key))) > 1
+        #: for each given suffix its place among the distinct ones
+        self.place = np.empty(len(key), np.int64)
+        self.place[order] = np.cumsum(new) - 1
+        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
+        self.cuts = np.concatenate(([0], cuts, [len(first)])) if len(first) else np.zeros(1, np.int64)
+
+    def rows(self, block: int) -> pd.DataFrame:
+        """One row per bucket that this block has suffixes for."""
+        out = [(int(self.bucket[a]), block, self.key[a:b].tobytes(), self.second[a:b].tobytes(), np.packbits(self.twice[a:b]).tobytes())
+               for a, b in zip(self.cuts, self.cuts[1:])]
+        return pd.DataFrame(out, columns=["bucket", "block", "keys", "seconds", "twice"])
+
+    def tied(self, notes: pd.DataFrame, kind: int) -> np.ndarray:
+        """For each given suffix whether its bucket found it tied."""
+        own = notes[notes["kind"] == kind]
+        found = dict(zip(own["bucket"], own["tied"]))
+        out = np.zeros(len(self.key), bool)
+        for a, b in zip(self.cuts, self.cuts[1:]):
+            if (bits := found.get(int(self.bucket[a]))) is not None:
+                out[a:b] = np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a)
+        return out[self.place]
+
+
+def sample_entries(texts: list[np.ndarray], length: int, buckets: int) -> tuple[Entries, list[np.ndarray]]:
+    """Sample suffixes of a block by (bucket, 32-bit key), and their places in each text.
+
+    A bucket holds about ``BUCKET_ENTRIES`` keys at any corpus size, so few keys agree by
+    chance; such a chance tie only adds candidates."""
+    places = [sample_places(len(t), length) for t in texts]
+    key = np.concatenate([np.empty(0, np.uint64), *(Keys(t).at(p, length - V + 1) for t, p in zip(texts, places))])
+    return Entries(((key >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), key.astype(np.uint32), np.zeros(len(key), np.uint8)), places
+
+
+def suffix_entries(texts: list[np.ndarray], places: list[np.ndarray], tied: np.ndarray, length: int,
+                   buckets: int) -> tuple[Entries, list[np.ndarray]]:
+    """Possible long ties of a block by (bucket, 64-bit key, 16-bit second key), and their places.
+
+    The bucket comes from the upper half of the second key's 32 bits, so equal entries agree on all of
+    64 + 16 bits and the bucket."""
+    ends = np.cumsum([len(p) for p in places])
+    own = [candidate_places(len(t), p[flag], length) for t, p, flag in zip(texts, places, np.split(tied, ends[:-1]))] if texts else []
+    key = [np.empty(0, np.uint64), *(Keys(t).at(p, length) for t, p in zip(texts, own) if len(p))]
+    second = [np.empty(0, np.uint64), *(Keys(t, 1).at(p, length) for t, p in zip(texts, own) if len(p))]
+    key, second = np.concatenate(key), np.concatenate(second)
+    return Entries(((second >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), key, second.astype(np.uint16)), own
+
+
+def _sort_bucket(kind: int, key_type: type, second_type: type):
+    """Sorts one bucket; answers each block which of its entries tie with another suffix."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(k, key_type) for k in rows["keys"]]
+        lens = np.array([len(k) for k in keys])
+        key = np.concatenate(keys)
+        second = np.concatenate([np.frombuffer(k, second_type) for k in rows["seconds"]])
+        order = np.argsort(key, kind="stable") if kind == SAMPLES else np.lexsort((second, key))
+        key, second = key[order], second[order]
+        same = np.zeros(len(key) + 1, bool)
+        same[1:-1] = (key[1:] == key[:-1]) & (second[1:] == second[:-1])
+        tie = np.empty(len(key), bool)
+        tie[order] = same[1:] | same[:-1]
+        tie |= np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for t, n in zip(rows["twice"], lens)]).astype(bool)
+        out = [(block, kind, bucket, 0, 0, np.packbits(own).tobytes())
+               for block, bucket, own in zip(rows["block"], rows["bucket"], np.split(tie, np.cumsum(lens)[:-1])) if own.any()]
+        return pd.DataFrame(out, columns=["block", "kind", "bucket", "row_key", "text_key", "tied"])
+    return run
+
+
+def covered(size: int, starts: np.ndarray, length: int) -> np.ndarray:
+    """Bytes covered by the windows that start at ``starts``."""
+    mark = np.zeros(size + 1, np.int32)
+    mark[starts] += 1
+    mark[starts + length] -= 1
+    return np.cumsum(mark[:-1]) > 0
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -251,12 +261,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         raise ValueError(f"length must be at least {V}")
     n = parallelism(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    light = docs.select(F.xxhash64(F.col("doc_id").cast("string"), text).alias("row_key"), F.xxhash64(text).alias("text_key"),
+    row_key, text_key = F.xxhash64(F.col("doc_id").cast("string"), text), F.xxhash64(text)
+    light = docs.select(row_key.alias("row_key"), text_key.alias("text_key"),
                         F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n"))
     total = light.agg(F.sum("n")).first()[0] or 0
     blocks = max(4 * n, -(-total // block_bytes))
-    samples = max(2 * n, total * len(cover()) // V // BUCKET_ENTRIES)
-    suffixes = max(2 * n, total // (4 * BUCKET_ENTRIES))
+    sample_buckets = max(2 * n, total * len(cover()) // V // BUCKET_ENTRIES)
+    suffix_buckets = max(2 * n, total // (4 * BUCKET_ENTRIES))
 
     def block_of(key):
         return F.pmod(F.xxhash64(key), F.lit(blocks))
@@ -265,89 +276,53 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     copies = checkpointed(light.where(F.col("n") >= length).groupBy("digest", "n")
                           .agg(F.count(F.lit(1)).alias("c"), F.min("row_key").alias("first")).where("c > 1"))
     status = (light.where(F.col("n") >= length).join(copies, ["digest", "n"])
-              .select(block_of(F.col("row_key")).alias("block"), F.lit(0).alias("kind"),
+              .select(block_of(F.col("row_key")).alias("block"), F.lit(STATUS).alias("kind"),
                       F.when(F.col("row_key") == F.col("first"), 1).otherwise(2).cast("long").alias("bucket"),
-                      "row_key", "text_key", F.lit(b"").alias("keys"), F.lit(b"").alias("second")))
+                      "row_key", "text_key", F.lit(b"").alias("tied")))
     status = checkpointed(status)
     texts = (docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), text.alias("text"),
-                         F.xxhash64(F.col("doc_id").cast("string"), text).alias("row_key"), F.xxhash64(text).alias("text_key"))
+                         row_key.alias("row_key"), text_key.alias("text_key"))
              .withColumn("block", block_of(F.col("row_key"))).repartition(n, "block"))
 
     def with_notes(notes: DataFrame, fn, schema: str) -> DataFrame:
         return texts.groupBy("block").cogroup(notes.repartition(n, "block").groupBy("block")).applyInPandas(fn, schema)
 
-    depth = length - V + 1
+    def taking_part(rows: pd.DataFrame, notes: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
+        """All rows (doc_id, bytes, status), and the bytes of those whose suffixes are sorted."""
+        every = list(_text_rows(rows, _status(notes)))
+        return every, [data for _, data, state in every if state < 2 and len(data) >= length]
 
     def send_samples(key: tuple, rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        found = [np.empty(0, np.uint64)]
-        for _, data, state in _text_rows(rows, _status(notes)):
-            if state < 2 and len(data) >= length:
-                found.append(Keys(data).at(sample_places(len(data), length), depth))
-        key1, _, twice = _once(np.concatenate(found), np.zeros(sum(map(len, found)), np.uint32))
-        return _pack(int(key[0]), samples, key1, twice)
-
-    def suffix_keys(rows: pd.DataFrame, notes: pd.DataFrame):
-        """Per row: doc_id, bytes, status, places of possible long ties, their keys."""
-        known = _received(notes)
-        for doc_id, data, state in _text_rows(rows, _status(notes)):
-            if state == 2 or len(data) < length:
-                yield doc_id, data, state, None, None, None
-                continue
-            keys = Keys(data)
-            places = sample_places(len(data), length)
-            tied = places[known.holds(keys.at(places, depth))]
-            own = candidate_places(len(data), tied, length)
-            second = Keys(data, 1).at(own, length).astype(np.uint32) if len(own) else np.empty(0, np.uint32)
-            yield doc_id, data, state, own, keys.at(own, length), second
+        return sample_entries(taking_part(rows, notes)[1], length, sample_buckets)[0].rows(int(key[0]))
+
+    def suffixes(own: list[np.ndarray], notes: pd.DataFrame) -> tuple[Entries, list[np.ndarray]]:
+        samples, places = sample_entries(own, length, sample_buckets)
+        return suffix_entries(own, places, samples.tied(notes, SAMPLES), length, suffix_buckets)
 
     def send_suffixes(key: tuple, rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        first, second = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)]
-        for _, _, _, own, k1, k2 in suffix_keys(rows, notes):
-            if own is not None:
-                first.append(k1)
-                second.append(k2)
-        k1, k2, twice = _once(np.concatenate(first), np.concatenate(second))
-        return _pack(int(key[0]), suffixes, k1, twice, k2)
+        return suffixes(taking_part(rows, notes)[1], notes)[0].rows(int(key[0]))
 
     def cut(key: tuple, rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
-        known = _received(notes)
+        every, own = taking_part(rows, notes)
+        entries, places = suffixes(own, notes)
+        tied = entries.tied(notes, SUFFIXES)
+        starts = iter([p[flag] for p, flag in zip(places, np.split(tied, np.cumsum([len(p) for p in places])[:-1]))] if own else [])
         out = []
-        for doc_id, data, state in _text_rows(rows, _status(notes)):
+        for doc_id, data, state in every:
             size = len(data)
-            if size < length:
-                keep = np.ones(size, bool)
-            elif state:
-                keep = np.zeros(size, bool)
-            else:
-                keep = ~covered(data, known, length)
-            edges = np.diff(np.concatenate(([0], (~keep).view(np.int8), [0])))
-            out.append((doc_id, size, size - int(keep.sum()), int((edges == 1).sum()), hashlib.sha256(data[keep].tobytes()).hexdigest()))
+            gone = np.zeros(size, bool)
+            if size >= length:
+                gone = covered(size, next(starts), length) if state < 2 else ~gone
+                if state == 1:
+                    gone[:] = True
+            edges = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
+            out.append((doc_id, size, int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
         frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
         return frame.astype({"doc_id": "Int64"})
 
-    def sorted_buckets(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("bucket").applyInPandas(_sort_bucket, NOTES)
-
-    sample_ties = sorted_buckets(with_notes(status, send_samples, ENTRIES))
-    suffix_ties = sorted_buckets(with_notes(status.unionByName(sample_ties), send_suffixes, ENTRIES))
-    return with_notes(status.unionByName(suffix_ties), cut, RESULT)
-
-
-def covered(data: np.ndarray, known: Known, length: int) -> np.ndarray:
-    """Bytes covered by a window whose keys are tied."""
-    size = len(data)
-    keys = Keys(data).at(np.arange(size - length + 1), length)
-    hit = np.flatnonzero(known.holds(keys))
-    if len(hit):
-        second = Keys(data, 1).at(hit, length).astype(np.uint32)
-        first = np.searchsorted(known.key, keys[hit])
-        ok = known.second[first] == second
-        # several second keys under one first key: look at them all
-        last = np.searchsorted(known.key, keys[hit], "right")
-        for k in np.flatnonzero(~ok & (last - first > 1)):
-            ok[k] = second[k] in known.second[first[k]:last[k]]
-        hit = hit[ok]
-    mark = np.zeros(size + 1, np.int32)
-    mark[hit] += 1
-    np.add.at(mark, hit + length, -1)
-    return np.cumsum(mark[:-1]) > 0
+    sample_ties = (with_notes(status, send_samples, ENTRIES).groupBy("bucket")
+                   .applyInPandas(_sort_bucket(SAMPLES, np.uint32, np.uint8), NOTES))
+    known = status.unionByName(sample_ties)
+    suffix_ties = (with_notes(known, send_suffixes, ENTRIES).groupBy("bucket")
+                   .applyInPandas(_sort_bucket(SUFFIXES, np.uint64, np.uint16), NOTES))
+    return with_notes(known.unionByName(suffix_ties), cut, RESULT)
