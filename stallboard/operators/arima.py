@@ -13,12 +13,14 @@ Plan (all merchants in one job):
    columns over the union of all requested orders' lags -- one aggregate serves every order.
 5. Refinement: per merchant, a grouped Arrow function over the merchant's own differenced
    series minimises the conditional sum of squares of the multiplicative model from the
-   stage-2 start values (damped Gauss-Newton, ARMA parameters clipped to +-0.98), then rolls
-   the recursion forward ``horizon`` steps and undoes the differencing.
+   stage-2 start values (damped Gauss-Newton; stationarity and invertibility are not
+   enforced, as in the reference), then rolls the recursion forward ``horizon`` steps and undoes the differencing.
 
 This is conditional least squares, not the exact Kalman-filter likelihood, so coefficients
 differ from a state-space fit; AIC uses the Gaussian CSS likelihood with sigma^2 = S/n.
-Series too short for the model fall back to seasonal-naive (``method`` column).
+A series with fewer rows than the model has lags and parameters gets seasonal-naive, one without
+any training row a null forecast (``method`` says which); ``converged`` is false where the
+refinement ran out of iterations. No merchant is left out.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from stallboard.session import cut_lineage, ship_package, spread_by
 
 STAGE1_LAGS = 15
-CLIP = 0.98
+MAX_ITERATIONS = 50
 
 
 @dataclass(frozen=True)
@@ -296,14 +298,16 @@ def _css(order, params, w, X):
     return float(e @ e), e
 
 
-def _refine(order: Order, x0: np.ndarray, w: np.ndarray, X: np.ndarray, iters: int = 20):
+def _refine(order: Order, x0: np.ndarray, w: np.ndarray, X: np.ndarray, iters: int = MAX_ITERATIONS):
+    """Least conditional sum of squares from ``x0``: (parameters, sum, residuals, converged)."""
     k = len(x0)
-    na = order.n_arma
     x = x0.copy()
-    x[:na] = np.clip(x[:na], -CLIP, CLIP)
     S, e = _css(order, x, w, X)
+    if not np.isfinite(S):  # an explosive start: begin at zero
+        x = np.zeros(k)
+        S, e = _css(order, x, w, X)
     if k == 0:
-        return x, S, len(e)
+        return x, S, len(e), True
     lam = 1e-3
     for _ in range(iters):
         J = np.empty((len(e), k))
@@ -322,7 +326,6 @@ def _refine(order: Order, x0: np.ndarray, w: np.ndarray, X: np.ndarray, iters: i
                 lam *= 10
                 continue
             xn = x + step
-            xn[:na] = np.clip(xn[:na], -CLIP, CLIP)
             Sn, en = _css(order, xn, w, X)
             if np.isfinite(Sn) and Sn < S:
                 rel = (S - Sn) / max(S, 1e-300)
@@ -332,8 +335,8 @@ def _refine(order: Order, x0: np.ndarray, w: np.ndarray, X: np.ndarray, iters: i
                 break
             lam *= 4
         if not improved or rel < 1e-7:
-            break
-    return x, S, len(e)
+            return x, S, len(e), True
+    return x, S, len(e), False
 
 
 def _forecast(order: Order, params: np.ndarray, y: np.ndarray, w: np.ndarray, X: np.ndarray,
@@ -370,7 +373,8 @@ def _seasonal_naive(y: np.ndarray, horizon: int, s: int) -> np.ndarray:
 
 
 def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma: list[int],
-                       keys: list[str], horizon: int, m: int = STAGE1_LAGS, s2=None) -> pd.DataFrame:
+                       keys: list[str], horizon: int, m: int = STAGE1_LAGS, s2=None,
+                       residuals: bool = False) -> pd.DataFrame:
     """Refinement and roll-out for one merchant (all requested orders)."""
     pdf = pdf.sort_values("t")
     train = pdf[pdf["is_train"]]
@@ -394,8 +398,9 @@ def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma
     else:
         X = np.zeros((len(ws), 0))
         Xf_all = np.zeros((len(test), 0))
-    Xf = np.zeros((horizon, X.shape[1]))
-    Xf[:min(horizon, len(Xf_all))] = Xf_all[:horizon]
+    if o0.exog:  # regressors are known for the held-out rows only: no forecast beyond them
+        horizon = min(horizon, len(Xf_all))
+    Xf = Xf_all[:horizon] if o0.exog else np.zeros((horizon, 0))
     if s2 is None and "s2" in pdf.columns:
         s2 = pdf["s2"].iloc[0]
     reg = ["w"] + [f"_w{i}" for i in ar] + [f"_e{j}" for j in ma] + [f"_dx_{x}" for x in o0.exog]
@@ -406,17 +411,21 @@ def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma
         k = o.n_params
         rec = dict(key_vals, model=o.name, ar_p=o.p, diff_d=o.d, ma_q=o.q, sar_p=o.P, sdiff_d=o.D,
                    sma_q=o.Q, season=o.s, n_obs=int(len(ws)))
-        need = 3 * (k + 1) + m + max(o.ar_lags() + o.ma_lags() + [0])
+        rec.update(converged=None, resid=None)
+        need = max(o.ar_lags() + o.ma_lags() + [0]) + k + 2   # one residual more than parameters
+        if len(y) == 0:
+            rec.update(method="too_short", params=[], sigma2=None, aic=None, forecast=None)
+            rows.append(rec)
+            continue
         if len(ws) < need:
             rec.update(method="seasonal_naive", params=[], sigma2=None, aic=None,
-                       forecast=_seasonal_naive(y, horizon, o.s).tolist(), resid=None)
+                       forecast=_seasonal_naive(y, horizon, o.s).tolist())
             rows.append(rec)
             continue
         if sd == 0:
             x0 = np.zeros(k)
             fc = _forecast(o, x0, y, ws, X, Xf, horizon, 1.0)
-            rec.update(method="zero_variance", params=x0.tolist(), sigma2=0.0, aic=None, forecast=fc.tolist(),
-                       resid=None)
+            rec.update(method="zero_variance", params=x0.tolist(), sigma2=0.0, aic=None, forecast=fc.tolist())
             rows.append(rec)
             continue
         x0 = np.zeros(k)
@@ -435,28 +444,31 @@ def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma
                             + list(ex), dtype=float)
             x0 = np.nan_to_num(x0)
         try:
-            xh, S, n_eff = _refine(o, x0, ws, X)
+            with np.errstate(over="ignore", invalid="ignore"):
+                xh, S, n_eff, converged = _refine(o, x0, ws, X)
             if not np.isfinite(S):
                 raise FloatingPointError
+            S = max(S, 1e-300)
             sigma2 = S / n_eff * sd * sd
             aic = n_eff * math.log(S / n_eff * sd * sd) + n_eff * (1 + math.log(2 * math.pi)) + 2 * (k + 1)
             fc = _forecast(o, xh, y, ws, X, Xf, horizon, sd)
-            resid = _residuals(o, xh, ws, X)[0] * sd
-            rec.update(method="css", params=xh.tolist(), sigma2=float(sigma2), aic=float(aic),
-                       forecast=fc.tolist(), resid=resid.tolist())
+            rec.update(method="css", params=xh.tolist(), sigma2=float(sigma2), aic=float(aic), forecast=fc.tolist(),
+                       converged=bool(converged))
+            if residuals:
+                rec["resid"] = (_residuals(o, xh, ws, X)[0] * sd).tolist()
         except (FloatingPointError, ValueError, np.linalg.LinAlgError):
-            rec.update(method="failed", params=[], sigma2=None, aic=None, forecast=None, resid=None)
+            rec.update(method="failed", params=[], sigma2=None, aic=None, forecast=None)
         rows.append(rec)
     return pd.DataFrame(rows)
 
 
 def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys=("merchant_id",),
-                 date_col: str = "order_date", m: int = STAGE1_LAGS) -> DataFrame:
+                 date_col: str = "order_date", m: int = STAGE1_LAGS, residuals: bool = False) -> DataFrame:
     """Fit every order for every merchant on the train rows of ``series`` (from
     ``index_series``) and forecast ``horizon`` steps after the last train row.
 
     One output row per (merchant, order): model, order numbers, method, params, sigma2, aic,
-    n_obs, forecast and in-sample residuals. (Order columns have distinct names because Spark
+    n_obs, forecast, converged and, with ``residuals``, the in-sample residuals. (Order columns have distinct names because Spark
     resolves column names case-insensitively: p and P would collide.)
     """
     keys = list(keys)
@@ -466,7 +478,7 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
     schema = (f"{key_types}, model string, ar_p int, diff_d int, ma_q int, sar_p int, sdiff_d int, sma_q int, "
               f"season int, n_obs int, "
               f"method string, params array<double>, sigma2 double, aic double, forecast array<double>, "
-              f"resid array<double>")
+              f"converged boolean, resid array<double>")
     ords = list(orders)
     out_cols = [c.split(" ")[0] for c in schema.split(", ")]
 
@@ -474,7 +486,7 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
         if rows.empty:
             return pd.DataFrame(columns=out_cols)
         s2v = sums["s2"].iloc[0] if len(sums) else None
-        out = fit_forecast_group(rows, ords, ar, ma, keys, horizon, m, s2=s2v)
+        out = fit_forecast_group(rows, ords, ar, ma, keys, horizon, m, s2=s2v, residuals=residuals)
         return out[out_cols]
 
     # The merchant's rows and its single row of stage-2 sums meet in a cogroup, so the sums
@@ -492,12 +504,13 @@ def forecast_rows(fits: DataFrame, series: DataFrame, keys=("merchant_id",), dat
 
     ``origin='holdout'`` dates the forecast from the last *train* date, calendar day by
     calendar day, as the reference's API does (so it overlaps the held-out rows);
-    ``origin='end'`` is the same when the fit used the whole series.
+    ``origin='end'`` is the same when the fit used the whole series. A merchant without a forecast
+    is one row with its method and null ``h``, date and value.
     """
     keys = list(keys)
     last = series.where("is_train").groupBy(*keys).agg(F.max(date_col).alias("_last"))
-    ex = fits.select(*keys, "model", "method", F.posexplode("forecast").alias("_h0", "forecast"))
-    return (ex.join(last, keys)
+    ex = fits.select(*keys, "model", "method", F.posexplode_outer("forecast").alias("_h0", "forecast"))
+    return (ex.join(last, keys, "left")
               .select(*keys, "model", "method", (F.col("_h0") + 1).alias("h"),
                       F.date_add(F.col("_last"), F.col("_h0") + 1).alias("forecast_date"), "forecast"))
 

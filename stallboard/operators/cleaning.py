@@ -8,22 +8,26 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stallboard.session import cut_lineage
+
 from stallboard.sources import schemas as S
 
 
-def keep_first(df: DataFrame, key: str = "order_id", order: str = "id") -> DataFrame:
-    """B1: one row per ``key``, the one with the lowest ``order`` (``ON CONFLICT DO NOTHING``
-    after loading in id order).
+def keep_first(df: DataFrame, key: str | list[str] = "order_id", order="id") -> DataFrame:
+    """B1: one row per ``key`` (a column or several), the one with the lowest ``order`` (a column or
+    an expression; ``ON CONFLICT DO NOTHING`` after loading in id order).
 
     An aggregate (``min_by`` over the whole row) rather than a window: partial aggregation
     collapses a heavily duplicated key map-side instead of sorting it in one task.
     """
     cols = df.columns
-    return (df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+    keys = [key] if isinstance(key, str) else list(key)
+    order = F.col(order) if isinstance(order, str) else order
+    return (df.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_r"))
               .select(*[F.col(f"_r.{c}").alias(c) for c in cols]))
 
 
@@ -156,25 +160,47 @@ def dedupe_column_names(df: DataFrame) -> DataFrame:
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def profile(df: DataFrame, cols: list[str] | None = None, keys=(), accuracy: int | None = None) -> DataFrame:
-    """Per numeric column n, nulls, mean, sd, p0/p25/p50/p75/p100 -- one aggregate pass,
-    unpivoted with ``stack``. ``keys`` profiles per group (e.g. merchant).
+QUANTILES = {"p0": 0.0, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p100": 1.0}
 
-    Quantiles are exact and linear (``percentile``) by default; pass ``accuracy`` to use
-    ``percentile_approx`` on very large high-cardinality columns.
-    """
+
+def profile(df: DataFrame, cols: list[str] | None = None, keys=()) -> DataFrame:
+    """Per numeric column n, nulls, mean, sd, p0/p25/p50/p75/p100 (exact, linear).
+    ``keys`` profiles per group (e.g. merchant).
+
+    Quantiles come from distributed ranks: equal values are counted first (map-side combined),
+    the distinct (group, column, value) rows are range-partitioned, and each partition adds the
+    counts of the same column in the partitions before it; no task holds a whole column."""
+    keys = list(keys)
     cols = cols or [f.name for f in df.schema.fields if isinstance(f.dataType, _NUMERIC)]
-    aggs = []
-    for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        if accuracy:
-            q = F.percentile_approx(x, [0.0, 0.25, 0.5, 0.75, 1.0], accuracy)
-        else:
-            q = F.percentile(x, [0.0, 0.25, 0.5, 0.75, 1.0])
-        aggs += [F.count(x).alias(f"n{i}"), F.count_if(x.isNull()).alias(f"z{i}"),
-                 F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"), q.alias(f"q{i}")]
-    row = df.groupBy(*keys).agg(*aggs)
-    stack = ", ".join(f"'{c}', n{i}, z{i}, m{i}, s{i}, q{i}" for i, c in enumerate(cols))
-    out = row.selectExpr(*keys, f"stack({len(cols)}, {stack}) as (column_name, n, null_count, mean, sd, q)")
-    return out.select(*keys, "column_name", "n", "null_count", "mean", "sd",
-                      *[F.col("q")[k].alias(n) for k, n in enumerate(["p0", "p25", "p50", "p75", "p100"])])
+    stack = ", ".join(f"'{c}', cast({c} as double)" for c in cols)
+    long = df.selectExpr(*keys, f"stack({len(cols)}, {stack}) as (column_name, x)")
+    group = [*keys, "column_name"]
+    summary = long.groupBy(*group).agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("null_count"),
+                                       F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    values = long.where(F.col("x").isNotNull()).groupBy(*group, "x").agg(F.count(F.lit(1)).alias("c"))
+    ranged = cut_lineage(values.repartitionByRange(parts, *group, "x").withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy(*group, "_part").agg(F.sum("c").alias("_c"))
+               .select(*group, "_part", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before")))
+    inside = Window.partitionBy(*group, "_part").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+    same = [F.col(f"v.{c}").eqNullSafe(F.col(f"o.{c}")) for c in [*group, "_part"]]
+    ranked = (ranged.withColumn("_to", F.sum("c").over(inside)).alias("v").join(offsets.alias("o"), same)
+              .select(*[F.col(f"v.{c}").alias(c) for c in group], "x", "c", (F.col("_before") + F.col("_to")).alias("_to")))
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in group]
+    placed = ranked.alias("r").join(summary.alias("s"), same).select(
+        *[F.col(f"s.{c}").alias(c) for c in group], "x", "c", "_to", "n")
+    picks = []
+    for name, q in QUANTILES.items():
+        place = (F.col("n") - 1) * F.lit(q)
+        for end, at in (("lo", F.floor(place)), ("hi", F.ceil(place))):
+            picks.append(F.max(F.when((at < F.col("_to")) & (at >= F.col("_to") - F.col("c")), F.col("x"))).alias(f"{name}_{end}"))
+    picked = placed.groupBy(*group).agg(F.max("n").alias("_n"), *picks)
+
+    def value(name: str, q: float):
+        place = (F.col("_n") - 1) * F.lit(q)
+        return F.col(f"{name}_lo") + (place - F.floor(place)) * (F.col(f"{name}_hi") - F.col(f"{name}_lo"))
+    quantiles = picked.select(*group, *[value(name, q).alias(name) for name, q in QUANTILES.items()])
+    same = [F.col(f"s.{c}").eqNullSafe(F.col(f"q.{c}")) for c in group]
+    return summary.alias("s").join(quantiles.alias("q"), same, "left").select(
+        *[F.col(f"s.{c}").alias(c) for c in group], "n", "null_count", "mean", "sd", *QUANTILES)

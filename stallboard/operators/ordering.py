@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stallboard.session import cut_lineage
+
 PAGE_SIZES = (5, 10, 20, 50, 100)
 
 
@@ -28,27 +30,50 @@ def head(df: DataFrame, n: int, order=None) -> DataFrame:
 def page(df: DataFrame, page_index: int, page_size: int, order, keys=("merchant_id",)) -> DataFrame:
     """Page ``page_index`` (0-based) of a sorted result, per merchant, with the page count.
 
-    Rows are numbered per merchant with ``row_number`` (a window partitioned by merchant and
-    sorted within it), so each merchant pages independently and nothing is pulled to the
-    driver. ``page_count`` = ceil(rows / page_size), at least 1.
+    Rows are range-partitioned by (merchant, order), so a huge merchant is sorted by many tasks
+    at any page depth; rows are numbered inside a partition and each partition adds the
+    counts of the same merchant in the partitions before it (one row per partition and merchant
+    that lies in it). The input is written once to the checkpoint folder and read from there by
+    the numbering and the counts. ``page_count`` = ceil(rows / page_size), at least 1.
     """
     if page_size not in PAGE_SIZES:
         raise ValueError(f"page_size must be one of {PAGE_SIZES}")
     from pyspark.sql import Window
     keys = list(keys)
     lo = page_index * page_size
-    w = Window.partitionBy(*keys).orderBy(*order)
-    # filtering on row_number <= k is planned as a WindowGroupLimit: every task keeps only
-    # its first k rows per merchant before the shuffle, so a huge merchant is not sorted
-    # whole in one task for an early page
-    numbered = df.withColumn("row_number", F.row_number().over(w)).where(F.col("row_number") <= lo + page_size)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("row_count"))
-    return (numbered.where(F.col("row_number") > lo)
-            .join(counts, keys)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select(*keys, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+                      F.sum("_n").over(Window.partitionBy(*keys)).alias("row_count")))
+    numbered = ranged.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy(*order)))
+    return (numbered.join(counts, [*keys, "_part"])
+            .withColumn("row_number", (F.col("_before") + F.col("_rn")).cast("int"))
+            .where((F.col("row_number") > lo) & (F.col("row_number") <= lo + page_size))
+            .drop("_part", "_rn", "_before")
             .withColumn("page_index", F.lit(page_index))
             .withColumn("page_count", F.greatest(F.lit(1), F.ceil(F.col("row_count") / page_size)).cast("int")))
 
 
+def numbered(df: DataFrame, order, name: str = "output_row") -> DataFrame:
+    """G1-G4 with the output order as a column: a gapless number from 1 over the whole result.
+
+    Rows are range-partitioned by the order and numbered inside their partition; the counts of
+    the partitions before (one row per partition) are added, so no task holds the whole result."""
+    from pyspark.sql import Window
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut_lineage(df.repartitionByRange(n, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+              .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return (ranged.withColumn("_rn", own).join(F.broadcast(counts), "_part")
+            .withColumn(name, (F.col("_before") + F.col("_rn")).cast("long")).drop("_part", "_rn", "_before"))
+
+
 def best_per_group(df: DataFrame, keys, order) -> DataFrame:
     """The first row per group under ``order`` (planned as a WindowGroupLimit)."""
     from pyspark.sql import Window

@@ -1,14 +1,14 @@
 """Per-item daily quantity models on Spark ML.
 
-The reference trains one boosted-tree model per merchant in one process. Here one
-distributed ``GBTRegressor`` is trained over the whole (merchant, item, day) panel, with the
-merchant and the item as features, so trees can still specialise per merchant and item.
-They enter as ordinal ids (a tree is invariant to the monotone map between an id and its
-label code); true categorical splits (``StringIndexer`` metadata carried by
-``VectorAssembler``) are available for small catalogs but need ``maxBins`` >= the number of
-categories, which does not scale to millions of items. Tree training aggregates histograms
-per partition and merges them, so it scales with the panel; the model state is checkpointed
-to the shared checkpoint folder every 10 trees.
+The reference trains one boosted-tree model per merchant in one process, with the item as a
+category. Here one distributed ``GBTRegressor`` is trained over the whole (merchant, item, day)
+panel. A category with millions of values cannot be binned, so an item enters by its own level:
+the mean and count of its quantities on *earlier* days, shrunk towards its merchant's level, and
+the merchant by its mean on earlier days (``add_levels``). A row's own quantity is never part
+of its features; a forecast uses the levels of the whole training part (``final_levels``). The
+number of items does not limit how finely they are told apart: levels are ordered numbers in
+``MAX_BINS`` bins. Tree training aggregates histograms per partition and merges them, so it
+scales with the panel; the model state is checkpointed to the shared folder every 10 trees.
 
 Hyper-parameters follow the reference (100 trees, depth 6, learning rate 0.3 for the API
 model and 0.1 for the notebook models, seed 42, squared error). xgboost's own histogram
@@ -17,8 +17,8 @@ trainer (regularisation lambda, child weight) is not reproduced.
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,74 +52,61 @@ def add_notebook_calendar(df: DataFrame, date_col: str = "order_date", weekend_f
               .withColumn("is_weekend", D.is_weekend(date_col, weekend_from)))
 
 
-def _prep_pipeline(numeric: list[str], categorical: list[str]) -> Pipeline:
-    """Indexers for categorical columns (unseen values get their own index) and the assembler."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-           for c in categorical]
-    asm = VectorAssembler(inputCols=numeric + [f"{c}__idx" for c in categorical], outputCol="features",
-                          handleInvalid="keep")
-    return Pipeline(stages=[*idx, asm])
+LEVELS = ["item_level", "item_days", "merchant_level"]
+PRIOR_DAYS = 3.0
+MAX_BINS = 128
 
 
-def _n_categories(df: DataFrame, cols: list[str]) -> int:
-    if not cols:
-        return 0
-    row = df.agg(*[F.count_distinct(c).alias(c) for c in cols]).first()
-    return max(int(row[c]) for c in cols)
+def _shrunk(total, days, prior):
+    return (F.coalesce(total, F.lit(0.0)) + PRIOR_DAYS * prior) / (F.coalesce(days, F.lit(0)) + PRIOR_DAYS)
 
 
-def _encode_ids(df: DataFrame, cols: list[str]) -> DataFrame:
-    """String id columns used as numeric features become a stable 31-bit hash code: as
-    arbitrary as a label code to a tree, but needs no dictionary collected on the driver."""
-    types = dict(df.dtypes)
-    for c in cols:
-        if types.get(c) == "string":
-            df = df.withColumn(c, (F.xxhash64(F.col(c)) % F.lit(2 ** 31)).cast("double"))
-    return df
+def add_levels(panel: DataFrame, label: str = "daily_quantity_sold", keys=("merchant_id", "item_id"),
+               order: str = "order_date") -> DataFrame:
+    """Features of J12-J15 that tell items and merchants apart, from earlier days only.
+
+    The item's running sum and count are windows over its own series; the merchant's come from
+    its daily totals (one row per trading day) joined back on (merchant, day), so no window
+    spans a merchant's whole item-day panel. Before a merchant's first day the level is 0."""
+    keys = list(keys)
+    y = F.col(label).cast("double")
+    earlier = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    days = Window.partitionBy(keys[0]).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    per_day = panel.groupBy(keys[0], order).agg(F.sum(y).alias("_s"), F.count(y).alias("_c"))
+    merchant = per_day.select(keys[0], order, F.coalesce(F.try_divide(F.sum("_s").over(days), F.sum("_c").over(days)),
+                                                         F.lit(0.0)).alias("merchant_level"))
+    return (panel.withColumn("_is", F.sum(y).over(earlier)).withColumn("item_days", F.count(y).over(earlier))
+            .join(merchant, [keys[0], order])
+            .withColumn("item_level", _shrunk(F.col("_is"), F.col("item_days"), F.col("merchant_level"))).drop("_is"))
+
 
+def final_levels(panel: DataFrame, label: str = "daily_quantity_sold", keys=("merchant_id", "item_id")) -> DataFrame:
+    """(keys, item_level, item_days, merchant_level) over the whole training part, for scoring."""
+    keys = list(keys)
+    y = F.col(label).cast("double")
+    merchant = panel.groupBy(keys[0]).agg(F.avg(y).alias("merchant_level"))
+    return (panel.groupBy(*keys).agg(F.sum(y).alias("_is"), F.count(y).alias("item_days")).join(merchant, keys[0])
+            .withColumn("item_level", _shrunk(F.col("_is"), F.col("item_days"), F.col("merchant_level"))).drop("_is"))
 
-def fit(train: DataFrame, numeric: list[str], categorical: list[str], label: str,
-        step_size: float, max_iter: int = 100, max_depth: int = 6, seed: int = 42) -> PipelineModel:
+
+def fit(train: DataFrame, features: list[str], label: str, step_size: float, max_iter: int = 100,
+        max_depth: int = 6, seed: int = 42) -> PipelineModel:
     """J12-J15 training over the panel (one distributed fit).
 
     Features are assembled once and the (features, label) frame is checkpointed, so each of
-    the ~7 passes per tree reads compact vectors instead of re-running the feature plan.
-    ``categorical`` columns become true categorical splits (``maxBins`` >= category count):
-    right for small catalogs; the jobs pass merchant and item as ordinal ids instead, since
-    a categorical feature with millions of values cannot be binned.
-    """
-    data = _encode_ids(train.withColumn("label", F.col(label).cast("double")), numeric)
-    for c in categorical:
-        data = data.withColumn(c, F.col(c).cast("string"))
-    prep = _prep_pipeline(numeric, categorical).fit(data)
-    vec = prep.transform(data).select("features", "label")
-    # every tree level is one pass of one task per partition: a partition count that is a
-    # multiple of the cores avoids a straggling second wave on each of the ~600 passes
-    cores = max(1, train.sparkSession.sparkContext.defaultParallelism)
-    n = vec.rdd.getNumPartitions()
-    if n % cores:
-        vec = vec.repartition(max(cores, round(n / cores) * cores))
-    vec = cut_lineage(vec)
+    the ~6 passes per tree reads compact vectors instead of re-running the feature plan. Node
+    ids are cached per row, and histograms of a whole tree level fit one pass."""
+    asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    vec = cut_lineage(asm.transform(train.withColumn("label", F.col(label).cast("double"))).select("features", "label"))
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step_size, seed=seed, lossType="squared", subsamplingRate=1.0,
-                       featureSubsetStrategy="all", maxBins=max(32, _n_categories(data, categorical) + 1),
+                       featureSubsetStrategy="all", maxBins=MAX_BINS, cacheNodeIds=True, maxMemoryInMB=512,
                        checkpointInterval=10)
-    return PipelineModel(stages=[*prep.stages, gbt.fit(vec)])
+    return PipelineModel(stages=[asm, gbt.fit(vec)])
 
 
-def predict(model: PipelineModel, df: DataFrame, categorical: list[str]) -> DataFrame:
-    asm = [st for st in model.stages if isinstance(st, VectorAssembler)][0]
-    numeric = [c for c in asm.getInputCols() if not c.endswith("__idx")]
-    for c in categorical + [n for n in numeric if dict(df.dtypes).get(n) == "string"]:
-        df = df.withColumn(f"__raw_{c}", F.col(c))
-    df = _encode_ids(df, numeric)
-    for c in categorical:
-        df = df.withColumn(c, F.col(c).cast("string"))
-    out = model.transform(df)
-    for c in [x for x in out.columns if x.startswith("__raw_")]:
-        orig = c[len("__raw_"):]
-        out = out.drop(orig, f"{orig}__idx").withColumnRenamed(c, orig)
-    return out.drop("features")
+def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+    return model.transform(df).drop("features")
 
 
 # ------------------------------------------------------------------ API model
@@ -134,11 +121,11 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     """Every (date, item) pair for the ``horizon`` days after ``cutoff``, per merchant, over
     the items seen in training. Each distinct item row explodes its own date sequence -- a
     bounded fan-out per item, no join. With ``with_names`` the item's display name (D8) is
-    attached to the distinct items *before* the fan-out, so nothing is joined or shuffled at
+    and its levels for scoring are attached to the distinct items *before* the fan-out, so nothing is joined or shuffled at
     horizon size."""
     start = D.as_date(cutoff)
     if with_names:
-        items = name_map(daily_train)
+        items = name_map(daily_train).join(final_levels(daily_train), ["merchant_id", "item_id"])
         items = (items.withColumn("item_name", F.coalesce(
                      F.col("item_name"), F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string"))))
                  .withColumn("safe_name", T.safe_key("item_name")))
@@ -148,35 +135,36 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     # partitions; the fan-out then multiplies the rows (and the scoring) by ``horizon``,
     # so spread them explicitly (a count-only repartition: neither elided as redundant nor
     # coalesced by AQE; Spark sorts before it, so a retried task sees the same rows)
-    spark = daily_train.sparkSession
-    n_parts = max(2 * spark.sparkContext.defaultParallelism,
-                  int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    items = items.repartition(n_parts)
-    extra = ["item_name", "safe_name"] if with_names else []
+    items = items.repartition(2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    extra = ["item_name", "safe_name", *LEVELS] if with_names else []
     return (items.select("merchant_id", "item_id", *extra,
                          F.posexplode(D.date_sequence(F.date_add(F.lit(start), 1), horizon)).alias("_h0", "order_date"))
                  .withColumn("h", F.col("_h0") + 1).drop("_h0"))
 
 
-def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30,
-                     categorical=()) -> DataFrame:
+def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
     """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
     predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
     a known name would show as 'UnknownID_<id>' (D8's fallback)."""
     grid = add_calendar(horizon_frame(daily_train, cutoff, horizon, with_names=True))
-    pred = predict(model, grid, list(categorical))
+    pred = predict(model, grid)
     return pred.select("merchant_id", "h", "order_date", "item_id", "item_name", "safe_name",
                        N.nonneg_int("prediction").alias("predicted_quantity"))
 
 
+def long_records(forecast_long: DataFrame) -> DataFrame:
+    """E16 as rows: (merchant_id, order_date, '<safe_name>_pred', quantity). Items whose safe names
+    collide are summed (the reference keeps the last one). The form for catalogues of any size."""
+    return (forecast_long.groupBy("merchant_id", "order_date", T.add_suffix("safe_name").alias("record_key"))
+            .agg(F.sum("predicted_quantity").cast("long").alias("quantity")))
+
+
 def wide_records(forecast_long: DataFrame) -> DataFrame:
-    """One record per (merchant, date) with a map '<safe_name>_pred' -> quantity. Items
-    whose safe names collide are summed (the reference keeps the last one)."""
-    per_key = (forecast_long.groupBy("merchant_id", "order_date", "safe_name")
-               .agg(F.sum("predicted_quantity").cast("long").alias("q")))
-    return (per_key.groupBy("merchant_id", "order_date")
-            .agg(F.map_from_entries(F.array_sort(F.collect_list(
-                F.struct(T.add_suffix("safe_name"), F.col("q"))))).alias("predictions")))
+    """E16 as the reference returns it: one record per (merchant, date) with a map
+    '<safe_name>_pred' -> quantity. A record holds a merchant's whole catalogue, so this is an
+    output format for catalogues that fit one value; jobs use ``long_records``."""
+    return (long_records(forecast_long).groupBy("merchant_id", "order_date")
+            .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("record_key", "quantity")))).alias("predictions")))
 
 
 # ------------------------------------------------------------------ notebook models
@@ -202,7 +190,7 @@ def dense_codes(values: DataFrame, col: str) -> DataFrame:
     number inside it. Only the per-partition offsets (one row per partition, a proven bound)
     are broadcast."""
     d = values.select(col).where(F.col(col).isNotNull()).distinct()
-    n_parts = max(1, values.sparkSession.sparkContext.defaultParallelism)
+    n_parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = cut_lineage(d.repartitionByRange(n_parts, col).withColumn("_pid", F.spark_partition_id()))
     counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(

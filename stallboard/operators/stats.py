@@ -122,16 +122,18 @@ def box_summary(daily: DataFrame, keys=("merchant_id",), metrics=DAILY_METRICS)
                                  f"(feature, q1, median, q3, whisker_low, whisker_high, n_outliers)")
 
 
-def histogram(daily: DataFrame, metric: str, bins: int = 30, keys=("merchant_id",)) -> DataFrame:
-    """Equal-width bins between the group's min and max; x = max falls in the last bin.
+def histogram(daily: DataFrame, metric: str, bins: int | None = 30, keys=("merchant_id",)) -> DataFrame:
+    """``bins`` (None: Sturges' number, ceil(log2 n + 1)) equal-width bins between the group's min and max; x = max falls in the last bin.
     A constant group puts everything in bin 1. Min and max are window aggregates over the
     merchant partition; the bin counts a grouped aggregate (map-side combined)."""
     keys = list(keys)
     wp = Window.partitionBy(*keys)
     x = F.col(metric).cast("double")
     d = daily.withColumn("_mn", F.min(x).over(wp)).withColumn("_mx", F.max(x).over(wp))
+    bins = F.lit(bins) if bins else F.col("_bins")
+    d = d.withColumn("_bins", F.ceil(F.log2(F.count(F.lit(1)).over(wp)) + 1))
     b = F.when(F.col("_mx") == F.col("_mn"), F.lit(1)).otherwise(
-        F.least(F.floor((x - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * bins) + 1, F.lit(bins)))
+        F.least(F.floor((x - F.col("_mn")) / (F.col("_mx") - F.col("_mn")) * bins) + 1, bins))
     width = (F.col("_mx") - F.col("_mn")) / bins
     return (d.withColumn("bin", b.cast("int"))
             .groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("count"),
@@ -213,44 +215,36 @@ def ljung_box(acf_long: DataFrame, lags: int = 10, keys=("merchant_id",)) -> Dat
     return q.select(*keys, "n", F.lit(lags).alias("lag"), "lb_stat", (F.exp(-half) * tail).alias("lb_pvalue"))
 
 
-def _durbin_levinson(r):
-    """PACF from autocorrelations r[0..K] (r[0] = 1) by the Durbin-Levinson recursion."""
-    K = len(r) - 1
-    pacf = [1.0]
-    phi_prev: list[float] = []
-    v = r[0]
-    for k in range(1, K + 1):
-        num = r[k] - sum(phi_prev[j] * r[k - 1 - j] for j in range(k - 1))
-        a = num / v if v else float("nan")
-        phi = [phi_prev[j] - a * phi_prev[k - 2 - j] for j in range(k - 1)] + [a]
-        v = v * (1 - a * a)
-        phi_prev = phi
-        pacf.append(a)
-    return pacf
-
-
 def pacf(acf_long: DataFrame, keys=("merchant_id",)) -> DataFrame:
     """Partial autocorrelations (Yule-Walker, as from the biased ACF) per merchant.
 
-    The merchant's ACF values are gathered into one ordered array (nlags + 1 values, a
-    bound set by the lag count) and the Durbin-Levinson recursion runs over whole Arrow
-    batches of merchants in ``mapInPandas``."""
+    The merchant's ACF values are gathered into one ordered array (nlags + 1 values, a bound set
+    by the lag count) and the Durbin-Levinson recursion is one ``aggregate`` over the lags:
+    state (phi, v, partials), step k: a = (r_k - sum phi_j r_(k-j)) / v, phi_j - a phi_(k-j), v (1 - a^2)."""
     keys = list(keys)
-    ship_package(acf_long.sparkSession)
     rows = acf_long.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lag", "acf"))).alias("_r"))
     rows = rows.select(*keys, F.transform("_r", lambda x: x["acf"]).alias("_acf"))
-
-    def solve(batches):
-        for pdf in batches:
-            out = []
-            for rec in pdf.itertuples(index=False):
-                vals = _durbin_levinson([float("nan") if v is None else float(v) for v in rec[-1]])
-                for lag, v in enumerate(vals):
-                    out.append((*rec[:-1], lag, v))
-            yield pd.DataFrame(out, columns=keys + ["lag", "pacf"])
-
-    schema = ", ".join(f"{k} {dict(acf_long.dtypes)[k]}" for k in keys) + ", lag int, pacf double"
-    return rows.mapInPandas(solve, schema)
+    recursion = """
+        aggregate(sequence(1, size(_acf) - 1),
+                  named_struct('phi', cast(array() as array<double>), 'v', 1.0D, 'out', array(1.0D)),
+                  (s, k) -> transform(array(try_divide(_acf[k] - aggregate(
+                                zip_with(s.phi, reverse(slice(_acf, 2, k - 1)), (p, q) -> p * q), 0.0D, (x, y) -> x + y), s.v)),
+                            a -> named_struct('phi', concat(zip_with(s.phi, reverse(s.phi), (p, q) -> p - a * q), array(a)),
+                                              'v', s.v * (1 - a * a), 'out', concat(s.out, array(a))))[0],
+                  s -> s.out)"""
+    return rows.select(*keys, F.posexplode(F.expr(recursion)).alias("lag", "pacf"))
+
+
+def dickey_fuller(series: DataFrame, value: str, keys=("merchant_id",), order: str = "order_date") -> DataFrame:
+    """J11 without augmenting lags: the tau statistic of dy on y_(t-1) with a constant, from the
+    regression sums of one aggregate. (keys, nobs, adf_stat)."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    y = F.col(value).cast("double")
+    x = series.select(*keys, F.lag(y).over(w).alias("_l"), (y - F.lag(y).over(w)).alias("_d")).where(F.col("_l").isNotNull())
+    s = x.groupBy(*keys).agg(F.count("_l").alias("nobs"), F.regr_slope("_d", "_l").alias("_b"), F.regr_sxx("_d", "_l").alias("_xx"),
+                             F.regr_syy("_d", "_l").alias("_yy"), F.regr_sxy("_d", "_l").alias("_xy"))
+    error = F.try_divide(F.try_divide(F.col("_yy") - F.col("_b") * F.col("_xy"), F.col("nobs") - 2), F.col("_xx"))
+    return s.select(*keys, "nobs", F.try_divide(F.col("_b"), F.sqrt(error)).alias("adf_stat"))
 
 
 # ------------------------------------------------------------------ J11 augmented Dickey-Fuller

@@ -1,7 +1,8 @@
 """Window features over daily series (F2-F8).
 
-Windows are partitioned by (merchant[, item]) and ordered by date over *daily aggregates*,
-so a partition holds at most one row per calendar day -- bounded regardless of order volume.
+Windows are partitioned by the series' own key, (merchant) over daily totals or (merchant,
+item) over the item panel, and ordered by date over *daily aggregates*, so a partition holds at
+most one row per calendar day -- bounded regardless of order volume.
 Lags and rolling frames count rows (selling days), not calendar days, as the reference does.
 """
 
@@ -55,7 +56,11 @@ def positional_holdout(df: DataFrame, n_test: int = 30, keys=("merchant_id",), o
 
 
 def calendar_holdout(df: DataFrame, days: int = 30, keys=("merchant_id",), order: str = "order_date") -> DataFrame:
-    """F8: split date = max(date) - ``days`` per merchant; train before it, test from it."""
-    split = F.date_sub(F.max(order).over(Window.partitionBy(*keys)), days)
-    return (df.withColumn("split_date", split)
+    """F8: split date = max(date) - ``days`` per merchant; train before it, test from it.
+
+    A merchant's rows are items x days, so the last date is a grouped maximum (map-side
+    combined) joined back, not a window over the merchant."""
+    keys = list(keys)
+    last = df.groupBy(*keys).agg(F.date_sub(F.max(order), days).alias("split_date"))
+    return (df.join(last, keys)
               .withColumn("split", F.when(F.col(order) < F.col("split_date"), "train").otherwise("test")))

@@ -26,7 +26,7 @@ def daily_revenue(lines: DataFrame, revenue: str = "order_value_lines", checkpoi
 
 
 def revenue_forecast(daily: DataFrame, horizon: int = 30, holdout: int = 30,
-                     order: AR.Order = AR.SARIMA_111_111_7, origin: str = "holdout"):
+                     order: AR.Order = AR.SARIMA_111_111_7, origin: str = "holdout", residuals: bool = False):
     """Fit on the series minus its last ``holdout`` rows (``origin='holdout'``, the
     reference API's behaviour) or on the whole series (``origin='end'``), forecast
     ``horizon`` calendar days after the last fitted date, rounded to 2 (half to even).
@@ -35,7 +35,7 @@ def revenue_forecast(daily: DataFrame, horizon: int = 30, holdout: int = 30,
     """
     D.check_days(horizon, 1, 30)
     series = AR.index_series(daily, "total_revenue", holdout=holdout if origin == "holdout" else 0)
-    fits = AR.fit_forecast(series, [order], horizon)
+    fits = AR.fit_forecast(series, [order], horizon, residuals=residuals)
     rows = AR.forecast_rows(fits, series)
     out = rows.select("merchant_id", "h", "forecast_date", N.round2("forecast").alias("forecasted_revenue"),
                       "model", "method")
@@ -65,15 +65,18 @@ def notebook_evaluation(fits: DataFrame, series: DataFrame) -> DataFrame:
 
 def grid_search(daily: DataFrame, holdout: int = 30, orders=None) -> DataFrame:
     """Every (p,1,q), p,q in 0..3, fitted on the train rows; holdout MSE and AIC; failed
-    fits dropped; ``rank`` 1 = lowest MSE per merchant (G9)."""
+    fits dropped, as in the reference; ``rank`` 1 = lowest MSE per merchant (G9). Series that are
+    short or constant keep their rows with the method that made the forecast."""
     orders = orders or AR.GRID_PQ
     series = AR.index_series(daily, "total_revenue", holdout=holdout)
     fits = AR.fit_forecast(series, orders, holdout)
-    ho = AR.holdout_rows(fits.where(F.col("method") == "css"), series)
-    scored = (ho.groupBy("merchant_id", "model")
-                .agg(N.mse(F.col("actual") - F.col("forecast")).alias("mse"))
-                .join(fits.select("merchant_id", "model", "ar_p", "diff_d", "ma_q", "aic"), ["merchant_id", "model"]))
-    w = Window.partitionBy("merchant_id").orderBy("mse", "model")
+    fits = cut_lineage(fits)                     # read twice: errors and the list of fits
+    mse = (AR.holdout_rows(fits, series).groupBy("merchant_id", "model")
+           .agg(N.mse(F.col("actual") - F.col("forecast")).alias("mse")))
+    scored = (fits.where(F.col("method") != "failed")
+              .select("merchant_id", "model", "ar_p", "diff_d", "ma_q", "aic", "method")
+              .join(mse, ["merchant_id", "model"], "left"))
+    w = Window.partitionBy("merchant_id").orderBy(F.col("mse").asc_nulls_last(), "model")
     return scored.withColumn("rank", F.row_number().over(w))
 
 
@@ -89,16 +92,18 @@ def sarimax_holdout(lines: DataFrame, holdout: int = 30, order: AR.Order = AR.SA
 
 def residual_series(fits: DataFrame) -> DataFrame:
     """J8 input: the refined model's in-sample one-step residuals, in time order."""
-    return fits.where(F.col("method") == "css").select(
+    return fits.where(F.col("resid").isNotNull()).select(
         "merchant_id", "model", F.posexplode("resid").alias("t", "resid"))
 
 
 def residual_diagnostics(fits: DataFrame, nlags: int = 10) -> DataFrame:
-    """J8 + J9 on residuals: Ljung-Box Q and p-value at ``nlags`` per (merchant, model)."""
+    """J8 + J9 on residuals: Ljung-Box Q and p-value at ``nlags`` per (merchant, model); a series
+    without a fitted model has null statistics and its method."""
     from stallboard.operators import stats as ST
     r = residual_series(fits)
     keys = ["merchant_id", "model"]
-    return ST.ljung_box(ST.acf(r, "resid", nlags, keys=keys, order="t"), nlags, keys=keys)
+    lb = ST.ljung_box(ST.acf(r, "resid", nlags, keys=keys, order="t"), nlags, keys=keys)
+    return fits.select(*keys, "method").join(lb, keys, "left")
 
 
 def _last_season(series: DataFrame, holdout: int, s: int):
@@ -110,6 +115,12 @@ def _last_season(series: DataFrame, holdout: int, s: int):
                        lambda r: r["y"])
 
 
+def _season_value(h: str):
+    """The h-th value of the repeated last season (shorter if the training part is), else null."""
+    n = F.size("_season")
+    return F.when(n > 0, F.get("_season", ((F.col(h) - 1) % F.greatest(n, F.lit(1))).cast("int")))
+
+
 def seasonal_naive_holdout(daily: DataFrame, holdout: int = 30, s: int = 7) -> DataFrame:
     """Seasonal-naive forecasts of the held-out rows (the solver's fallback method), paired
     positionally with the actuals: the h-th test row is forecast by the train row
@@ -119,11 +130,9 @@ def seasonal_naive_holdout(daily: DataFrame, holdout: int = 30, s: int = 7) -> D
     n_train = F.col("n_total") - holdout
     x = series.withColumn("_season", _last_season(series, holdout, s))
     test = (x.where(~F.col("is_train"))
-            .withColumn("h", F.col("t") - n_train)
-            .where(F.size("_season") == s))            # as the equi-join: no forecast without a full season
+            .withColumn("h", F.when(n_train > 0, F.col("t") - n_train).otherwise(F.col("t"))))
     return test.select("merchant_id", "h", F.col("order_date").alias("forecast_date"),
-                       F.element_at("_season", ((F.col("h") - 1) % s + 1).cast("int")).alias("forecast"),
-                       F.col("y").alias("actual"))
+                       _season_value("h").alias("forecast"), F.col("y").alias("actual"))
 
 
 def naive_evaluation(pairs: DataFrame) -> DataFrame:
@@ -148,10 +157,9 @@ def naive_calendar_forecast(daily: DataFrame, horizon: int = 30, holdout: int =
     per_m = (series.groupBy("merchant_id")
              .agg(F.max(F.when(F.col("is_train"), F.col("order_date"))).alias("_last"),
                   F.transform(F.array_sort(F.collect_list(last)), lambda r: r["y"]).alias("_season")))
-    grid = (per_m.where(F.size("_season") == s)
-            .select("merchant_id", "_last", "_season", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
+    grid = (per_m.select("merchant_id", "_last", "_season", F.explode(F.sequence(F.lit(1), F.lit(horizon))).alias("h"))
             .withColumn("forecast_date", F.date_add(F.col("_last"), F.col("h")))
-            .withColumn("forecast", F.element_at("_season", ((F.col("h") - 1) % s + 1).cast("int"))))
+            .withColumn("forecast", _season_value("h")))
     act = daily.select("merchant_id", F.col("order_date").alias("forecast_date"),
                        F.col("total_revenue").cast("double").alias("actual"))
     j = grid.join(act, ["merchant_id", "forecast_date"], "left")

@@ -12,34 +12,49 @@ from stallboard.operators import aggregates as A
 from stallboard.operators import filters as C
 from stallboard.operators import quantity as Q
 
-# merchant and item enter the panel model as ordinal ids (see operators.quantity)
-API_FEATURES = ["weekday", "month", "day", "year", "day_of_year", "item_id", "merchant_id"]
+# merchant and item enter the panel model by their levels (see operators.quantity)
+API_FEATURES = [*Q.CAL_FEATURES, *Q.LEVELS]
+
+
+def training_lines(lines: DataFrame, cutoff) -> DataFrame:
+    """C3 + B11: the complete lines before cutoff + 1 day, keyed by merchant."""
+    kept = C.before_cutoff(lines, cutoff).dropna(subset=["order_time", "item_id", "item_name", "quantity"])
+    return kept.withColumnRenamed("order_merchant_id", "merchant_id")
 
 
 def training_panel(lines: DataFrame, cutoff) -> DataFrame:
-    """C3 (load before cutoff + 1 day) -> B11 -> E8 -> C3 (order_date <= cutoff), checkpointed:
-    the panel feeds the index fitting, every boosting round and the horizon frame."""
+    """C3 (load before cutoff + 1 day) -> B11 -> E8 -> C3 (order_date <= cutoff)."""
     loaded = C.before_cutoff(lines, cutoff).dropna(subset=["order_time", "item_id", "item_name", "quantity"])
     daily = A.daily_item_quantity(loaded, by_name=True)
     _, last = D.training_cutoff(cutoff)
-    return cut_lineage(daily.where(F.col("order_date") <= F.lit(last)))
+    return daily.where(F.col("order_date") <= F.lit(last))
 
 
 def quantity_forecast(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
                       max_iter: int = 100) -> DataFrame:
     """K5 = D1 -> C3 -> E8 -> J12 -> J16: long-form per-item forecasts for ``horizon`` days."""
     D.check_days(horizon, 1, 30)
-    train = Q.add_calendar(training_panel(lines, cutoff))
-    model = Q.fit(train, API_FEATURES, [], "daily_quantity_sold", step_size, max_iter)
+    train = cut_lineage(training_panel(lines, cutoff))   # feeds the levels, the fit and the horizon frame
+    model = Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter)
     return Q.horizon_forecast(model, train, cutoff, horizon)
 
 
+def notebook_panel(lines: DataFrame, variant: str = "lags", item_key: str = "item_id") -> DataFrame:
+    """Feature panel of J13 ('lags'), J14 ('rolling') or J15 ('encoded') with its split.
+
+    ``item_key='item_name'`` keys the series by name: a catalogue that lists one dish under many
+    ids has series of useful length only by name."""
+    daily = A.daily_item_quantity(lines, by_name=False) if item_key == "item_id" else (
+        A.daily_item_quantity(lines, by_name=True).groupBy("merchant_id", "order_date", F.col("item_name").alias("item_id"))
+        .agg(F.sum("daily_quantity_sold").cast("long").alias("daily_quantity_sold")))
+    return Q.notebook_panel(daily, with_rolling=variant in ("rolling", "encoded"))
+
+
 def notebook_model(lines: DataFrame, variant: str = "lags", unseen: str = "error",
-                   max_iter: int = 100) -> DataFrame:
-    """J13 ('lags'), J14 ('rolling'), J15 ('encoded'): calendar holdout, depth 6, rate 0.1.
-    Returns the J17 holdout table. The merchant is a categorical feature of the panel model."""
-    daily = A.daily_item_quantity(lines, by_name=False)
-    panel = Q.notebook_panel(daily, with_rolling=variant in ("rolling", "encoded"))
+                   max_iter: int = 100, item_key: str = "item_id") -> DataFrame:
+    """Calendar holdout, depth 6, rate 0.1. Returns the J17 holdout table; item and
+    merchant enter by their levels (train part only), J15 also by the item's code."""
+    panel = notebook_panel(lines, variant, item_key)
     numeric = Q.NB_BASE + Q.NB_LAGS + (Q.NB_ROLL if variant in ("rolling", "encoded") else [])
     if variant == "encoded":
         panel = Q.encode_items(panel, unseen)
@@ -47,12 +62,18 @@ def notebook_model(lines: DataFrame, variant: str = "lags", unseen: str = "error
     panel = cut_lineage(panel)
     train = panel.where(F.col("split") == "train")
     test = panel.where(F.col("split") == "test")
-    numeric = numeric + ["merchant_id"]
     if train.limit(1).count() == 0:
         # no item series long enough for the lag features: a typed empty result
         return Q.holdout_results(test.withColumn("prediction", F.lit(None).cast("double")))
-    model = Q.fit(train, numeric, [], "daily_quantity_sold", 0.1, max_iter)
-    return Q.holdout_results(Q.predict(model, test, []))
+    model = Q.fit(Q.add_levels(train), numeric + Q.LEVELS, "daily_quantity_sold", 0.1, max_iter)
+    overall = train.agg(F.avg("daily_quantity_sold")).first()[0]   # one number: for merchants unseen in training
+    levels = Q.final_levels(train)
+    merchants = levels.groupBy("merchant_id").agg(F.max("merchant_level").alias("_m"))
+    scored = (test.join(levels.drop("merchant_level"), ["merchant_id", "item_id"], "left").join(merchants, "merchant_id", "left")
+              .withColumn("merchant_level", F.coalesce(F.col("_m"), F.lit(overall)))
+              .withColumn("item_level", F.coalesce("item_level", "merchant_level"))
+              .withColumn("item_days", F.coalesce("item_days", F.lit(0))).drop("_m"))
+    return Q.holdout_results(Q.predict(model, scored))
 
 
 def holdout_rmse(results: DataFrame) -> DataFrame:

@@ -9,6 +9,40 @@ from pyspark.sql import functions as F
 
 from stallboard.functions import text as T
 from stallboard.operators import aggregates as A
+from stallboard.operators import ordering as G
+
+
+def item_report_lines(item_sales: DataFrame, with_sales: bool = True) -> DataFrame:
+    """I31 in long form: (merchant_id, line, line_number) in the report's order."""
+    line = T.item_line("item_name", "total_quantity", "total_sales" if with_sales else None)
+    lines = item_sales.select("merchant_id", line.alias("line"))
+    numbered = G.numbered(lines, ["merchant_id", "line"], "_row")
+    first = numbered.groupBy("merchant_id").agg(F.min("_row").alias("_first"))
+    return numbered.join(first, "merchant_id").select("merchant_id", "line", (F.col("_row") - F.col("_first") + 1).alias("line_number"))
+
+
+def item_payload(item_sales: DataFrame) -> DataFrame:
+    """K8's item rows as JSON objects, one per row (money as exact decimals)."""
+    return item_sales.select("merchant_id", "item_id", F.to_json(F.struct(
+        "item_name", "total_quantity", F.col("total_sales").cast("decimal(18,2)").alias("total_sales"))).alias("payload"))
+
+
+def chat_parts(conv: DataFrame) -> DataFrame:
+    """K9 as the model client receives it, one message a row: {role, parts: [{text}]}."""
+    flat = chat_messages(conv)
+    return flat.select("conv_id", "turn", F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts"))).alias("message"))
+
+
+def bundle_long(monthly: DataFrame, recent_items: DataFrame, revenue_forecast: DataFrame) -> DataFrame:
+    """K7 as rows (merchant_id, section, entry, value): months, items of the last days, their total
+    and the forecast. The form for catalogues of any size; ``dashboard_bundle`` nests it."""
+    def rows(df, section, entry, value):
+        return df.select("merchant_id", F.lit(section).alias("section"), entry.cast("string").alias("entry"), F.round(value, 2).alias("value"))
+    total = A.sales_kpi(recent_items).select("merchant_id", "total_sales")
+    return (rows(monthly, "month", F.col("month"), F.col("total_sales"))
+            .unionByName(rows(recent_items, "item", F.col("item_id"), F.col("total_sales")))
+            .unionByName(rows(total, "recent sales", F.lit(None), F.col("total_sales")))
+            .unionByName(rows(revenue_forecast, "revenue forecast", F.col("forecast_date"), F.col("forecasted_revenue"))))
 
 
 def item_report(item_sales: DataFrame, with_sales: bool = True) -> DataFrame:
@@ -41,21 +75,26 @@ def dashboard_summary(monthly: DataFrame, recent_items: DataFrame, target: float
     return m.join(kpi, "merchant_id", "left")
 
 
-def chat_history(conv: DataFrame) -> DataFrame:
-    """K9 in flat form: roles mapped (user -> user, anything else -> model), text stripped,
-    blank messages dropped, position = order within the conversation by turn."""
-    kept = (conv.select("conv_id", "turn",
+def chat_messages(conv: DataFrame) -> DataFrame:
+    """K9's messages: roles mapped (user -> user, anything else -> model), text stripped, blank
+    messages dropped."""
+    return (conv.select("conv_id", "turn",
                         F.when(F.col("role") == "user", "user").otherwise("model").alias("role"),
                         T.clean_text("text").alias("text"))
             .where(F.col("text").isNotNull()))
+
+
+def chat_history(conv: DataFrame) -> DataFrame:
+    """K9 in flat form: ``chat_messages`` with position = order within the conversation by turn."""
+    kept = chat_messages(conv)
     w = Window.partitionBy("conv_id").orderBy("turn")
     return kept.withColumn("position", F.row_number().over(w).cast("long"))
 
 
 def chat_history_nested(conv: DataFrame) -> DataFrame:
-    """K9 as the model client receives it: one ordered list of {role, parts:[text]} per conversation."""
+    """K9 as the model client receives it: one ordered list of {role, parts: [{text}]} per conversation."""
     flat = chat_history(conv)
-    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.array("text").alias("parts"))))
+    msgs = F.array_sort(F.collect_list(F.struct("turn", "role", F.array(F.struct("text")).alias("parts"))))
     return flat.groupBy("conv_id").agg(
         F.transform(msgs, lambda m: F.struct(m["role"].alias("role"), m["parts"].alias("parts"))).alias("history"))
 

@@ -566,7 +566,7 @@ def j7_sarimax_holdout(spark, sf_dir):
 @register("j8_residual_ljung_box")
 def j8_residual_ljung_box(spark, sf_dir):
     from stallboard.plans import forecasts as PF
-    fits, _, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir))
+    fits, _, _ = PF.revenue_forecast(_rev_daily(spark, sf_dir), residuals=True)
     return PF.residual_diagnostics(fits, 10)
 
 
@@ -1130,8 +1130,8 @@ FROM it, range(1, 31) r(h)
 def d6_horizon_grid(spark, sf_dir):
     from stallboard.operators import quantity as Q
     from stallboard.plans import quantity as PQ
-    panel = PQ.training_panel(V.order_lines(spark, sf_dir), CUTOFF)
-    return Q.horizon_frame(panel, CUTOFF, 30).select("merchant_id", "item_id", "h", "order_date")
+    return Q.horizon_frame(PQ.training_lines(V.order_lines(spark, sf_dir), CUTOFF), CUTOFF, 30).select(
+        "merchant_id", "item_id", "h", "order_date")
 
 
 @register("a6_parameterised_item_sales", f"""
@@ -1203,7 +1203,7 @@ def j15_quantity_encoded_holdout(spark, sf_dir):
 def j11_adf_revenue(spark, sf_dir):
     """J11 on the level and on the differenced daily revenue (notebook series)."""
     from stallboard.operators import stats as ST
-    d = _daily(spark, sf_dir, "subtotal").select("merchant_id", "order_date", "total_revenue")
+    d = _rev_daily(spark, sf_dir, "subtotal").select("merchant_id", "order_date", "total_revenue")
     level = ST.adf(d, "total_revenue").withColumn("series", F.lit("level"))
     diff = ST.adf(ST.difference(d, "total_revenue").select("merchant_id", "order_date", "diff"), "diff") \
         .withColumn("series", F.lit("diff"))
@@ -1243,6 +1243,9 @@ def k7_dashboard_bundle(spark, sf_dir):
     return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
 
 
+from stallboard import registry_forms  # noqa: E402, F401 - registers its queries
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

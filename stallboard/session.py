@@ -24,6 +24,8 @@ BASE_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.execution.arrow.maxRecordsPerBatch": "20000",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # a checkpoint's files go with the last reference to it
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -56,8 +58,9 @@ def get_session(master: str | None = None, app: str = "stallboard",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for ``checkpoint()`` and written intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; it is only invented here when unset
-    (local tests), as a fresh scratch folder.
+    The cluster names it in ``spark.checkpoint.dir``. A fresh scratch folder is invented only
+    for a local master (tests); elsewhere a machine-local folder would be lost to the other
+    executors, so an unset folder is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -70,6 +73,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - not a session setting on this deployment
             d = None
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="stallboard-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
@@ -113,17 +118,14 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def spread_by(df, keys, factor: int = 3):
-    """Hash-repartition ``df`` by ``keys`` into ``factor`` x the cluster's cores, for grouped
-    Python stages whose input is small in bytes but heavy in CPU.
+    """Hash-repartition ``df`` by ``keys`` into ``factor`` x the configured shuffle partitions, for
+    grouped Python stages whose input is small in bytes but heavy in CPU. (The number of cores
+    is not known before executors register, so it is not used.)
 
     AQE coalesces small shuffles into a few partitions (one Python worker would then fit
     every merchant), but it never coalesces a repartition with an explicit count. Spark
     drops such a repartition when the child is already hash-partitioned the same way with
     the same count, so the count is kept different from ``spark.sql.shuffle.partitions``.
     """
-    spark = df.sparkSession
-    cores = max(1, spark.sparkContext.defaultParallelism)
-    n = factor * cores
-    if str(n) == spark.conf.get("spark.sql.shuffle.partitions", "200"):
-        n += cores
+    n = factor * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(n, *keys)
