@@ -265,9 +265,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     light = docs.select(row_key.alias("row_key"), text_key.alias("text_key"),
                         F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n"))
     total = light.agg(F.sum("n")).first()[0] or 0
-    blocks = max(4 * n, -(-total // block_bytes))
-    sample_buckets = max(2 * n, total * len(cover()) // V // BUCKET_ENTRIES)
-    suffix_buckets = max(2 * n, total // (4 * BUCKET_ENTRIES))
+    blocks = max(3 * n, -(-total // block_bytes))
+    sample_buckets = max(n, total * len(cover()) // V // BUCKET_ENTRIES)
+    suffix_buckets = max(n, total // (4 * BUCKET_ENTRIES))
 
     def block_of(key):
         return F.pmod(F.xxhash64(key), F.lit(blocks))
