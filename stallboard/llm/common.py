@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from stallboard.session import checkpoint_dir, cut_lineage, ship_package
 
 __all__ = ["read", "utf8", "byte_slices", "checkpointed", "scratch_path", "parallelism",
-           "group_ranks", "connected_components", "ship_package"]
+           "group_ranks", "hash_bound", "connected_components", "ship_package"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,13 @@ def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_bound(rows: int, wanted: int) -> int:
+    """A bound on 64-bit hashes under which about four times ``wanted`` of ``rows`` hashes lie (all of
+    them if there are no more): sorting only those keeps what tasks send to the driver bounded."""
+    share = min(1.0, 4 * wanted / max(rows, 1))
+    return min((1 << 63) - 1, -(1 << 63) + int(share * (1 << 64)))
+
+
 def group_ranks(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rank: str,
                 parts: int) -> DataFrame:
     """Adds ``rank``: a gapless number from 0 within each group of (non-null) ``keys``.

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallboard.llm.common import byte_slices
+from stallboard.llm.common import byte_slices, hash_bound
 
 TRAIN_PAGES = 100
 TRAIN_PAGE_CHARS = 200_000
@@ -384,8 +384,9 @@ def _article_labels(page: Page) -> bool:
 def fit(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> Model:
     """Model from the drawn layouts and a bounded sample of the table's marked pages."""
     html = F.col("html").cast("string")
+    bound = hash_bound(pages.select("page_id").count(), train_pages)
     sample = (pages.select(F.xxhash64(html).alias("k"), html.alias("h"))
-              .where(F.col("h").contains("<article") & (F.length("h") <= TRAIN_PAGE_CHARS))
+              .where((F.col("k") <= F.lit(bound)) & F.col("h").contains("<article") & (F.length("h") <= TRAIN_PAGE_CHARS))
               .orderBy("k").limit(train_pages).collect())
     own = [page for r in sample if _article_labels(page := parse(r.h))]
     return train([parse(h) for h in labelled_layouts()] + own)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stallboard.llm.common import byte_slices, utf8
+from stallboard.llm.common import byte_slices, hash_bound, utf8
 
 HIDDEN = 6
 WINDOW = 256
@@ -177,10 +177,12 @@ def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS, train_chars: int =
     stays below a megabyte at any corpus size; each document offers ``DRAWS`` windows and those
     with the smallest hashes are taken."""
     text = F.col("text").cast("string")
-    key = F.xxhash64(F.col("doc_id").cast("string"), text, F.col("__k"))
+    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("__k"))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    bound = hash_bound(labelled.select("doc_id").count() * DRAWS, train_windows)
     start = F.pmod(key, F.greatest(F.length(text) - train_chars, F.lit(1))).cast("int") + 1
-    sample = (docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-              .withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
+    sample = (labelled.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
+              .where(F.col("text").isNotNull() & (key <= F.lit(bound)))
               .select(key.alias("k"), F.substring(text, start, F.lit(train_chars)).alias("w"), F.col("lang").cast("string").alias("y"))
               .where(F.col("w").rlike(r"\p{L}")).orderBy("k", "w", "y").limit(train_windows).collect())
     return train([r.w.encode()[:train_chars] for r in sample], [r.y for r in sample])
