@@ -7,11 +7,14 @@ Constraint violations abort the load (``strict=True``), as the relational load d
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallboard.operators import cleaning as B
 from stallboard.operators import views as V
+from stallboard.session import checkpoint_dir
 from stallboard.sources import files
 
 
@@ -50,8 +53,15 @@ def audit(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def load_and_clean(spark: SparkSession, raw_folder: str, out_folder: str, strict: bool = True) -> DataFrame:
-    """Run the whole bootstrap; returns the registered order-line view."""
-    tables = clean_tables(files.read_raw_tables(spark, raw_folder))
+    """Run the whole bootstrap; returns the registered order-line view.
+
+    The raw files are parsed and cleaned once, into a staging copy under the checkpoint folder; the
+    audits and the published tables read that copy."""
+    staging = f"{checkpoint_dir(spark)}/staging-{uuid.uuid4().hex}"
+    tables = {}
+    for name, df in clean_tables(files.read_raw_tables(spark, raw_folder)).items():
+        files.write_table(df, f"{staging}/{name}")
+        tables[name] = spark.read.parquet(f"{staging}/{name}")
     report = audit(tables)
     if strict:
         B.require_clean(report.groupBy().agg(F.sum("violations").alias("violations")), "violations")

@@ -465,6 +465,23 @@ def c8_merchant_lookup(spark, sf_dir):
     return C.first_by_key(tables.merchants(spark, sf_dir), "merchant_id", MERCHANT, "merchant_name")
 
 
+@register("k2_from_stored_lines", f"""
+WITH {OL}, {K2_SQL}
+SELECT * FROM k2
+""")
+def k2_from_stored_lines(spark, sf_dir):
+    """K2 over the order-line view stored by month: the range prunes whole month folders."""
+    import uuid
+
+    from stallboard.functions.dates import lookback_bounds
+    from stallboard.plans import etl
+    from stallboard.session import checkpoint_dir
+    path = f"{checkpoint_dir(spark)}/order-lines-{uuid.uuid4().hex}"
+    etl.materialize_order_lines(_lines(spark, sf_dir), path)
+    stored = etl.month_range_filter(etl.read_order_lines(spark, path), *lookback_bounds(AS_OF, ITEM_DAYS))
+    return PS.item_sales_over_days(stored, ITEM_DAYS, AS_OF)
+
+
 # ------------------------------------------------------------------ reports
 
 @register("i31_item_report_lines", f"""

@@ -79,6 +79,10 @@ def test_incremental_daily_summary(spark):
     q.awaitTermination()
     r = daily.compact(spark, sink).first()
     assert (r["total_orders"], r["total_revenue"], r["total_items"]) == (4, 34.0, 8)
+    b1.write.mode("append").parquet(src)             # further lines of orders 1 and 2, in another file
+    daily.start(spark, src, sink, ck).awaitTermination()
+    r = daily.compact(spark, sink).first()
+    assert (r["total_orders"], r["total_revenue"], r["total_items"]) == (4, 51.0, 12)
 
 
 def test_month_partitions_prune_and_match(spark):

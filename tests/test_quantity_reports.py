@@ -98,7 +98,7 @@ def test_reports_and_chat(spark):
     flat = [(r["conv_id"], r["position"], r["role"], r["text"]) for r in R.chat_history(conv).orderBy("conv_id", "position").collect()]
     assert flat == [(1, 1, "user", "hello"), (1, 2, "model", "ok"), (2, 1, "user", "x")]
     nested = R.chat_history_nested(conv).where("conv_id = 1").first()["history"]
-    assert [(m["role"], list(m["parts"])) for m in nested] == [("user", ["hello"]), ("model", ["ok"])]
+    assert [(m["role"], [p["text"] for p in m["parts"]]) for m in nested] == [("user", ["hello"]), ("model", ["ok"])]
     months = spark.createDataFrame([("A", f"2020-{m:02d}", 1000.5 * m) for m in range(1, 13)] * 1,
                                    "merchant_id string, month string, total_sales double")
     cp = R.chart_payload(months, 50).first()
