@@ -266,8 +266,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
                         F.md5(text.cast("binary")).alias("digest"), F.octet_length(text).cast("long").alias("n"))
     total = light.agg(F.sum("n")).first()[0] or 0
     blocks = max(3 * n, -(-total // block_bytes))
-    sample_buckets = max(n, total * len(cover()) // V // BUCKET_ENTRIES)
-    suffix_buckets = max(n, total // (4 * BUCKET_ENTRIES))
+    sample_buckets = max(1, n // 3, total * len(cover()) // V // BUCKET_ENTRIES)
+    suffix_buckets = max(1, n // 3, total // (4 * BUCKET_ENTRIES))
 
     def block_of(key):
         return F.pmod(F.xxhash64(key), F.lit(blocks))
