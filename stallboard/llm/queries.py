@@ -47,7 +47,8 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, word figures, base_failed, kept and the two distances of every document."""
     docs = read(spark, sf_dir, "documents")
-    return quality_rules.judge(docs, quality_rules.fit(docs))
+    judged = quality_rules.judge(docs, quality_rules.fit(docs))
+    return judged.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 @register
@@ -114,6 +115,73 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+def _distance_sql(p: str, q: str) -> str:
+    """Jensen-Shannon distance of two joined share columns, as an aggregate."""
+    def part(x: str) -> str:
+        return f"CASE WHEN {x} > 0 THEN {x} * LOG2({x} / (({p} + {q}) / 2)) ELSE 0 END"
+    return f"SQRT(GREATEST(SUM({part(p)} + {part(q)}) / 2, 0))"
+
+
+_CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{N}", r"\p{Z}\x09-\x0D", r".,;:!?'\"()\-")
+_COUNTS = [f"length(regexp_replace(text, '[^{c.replace(chr(39), chr(39) * 2)}]', '', 'g'))" for c in _CLASSES]
+
+ORACLE["op4_quality_rules"] = f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, lang, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT k, lang, text, doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
+u AS (SELECT k, len(ws) AS n, unnest(range(1, len(ws) - {quality_rules.WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {quality_rules.WINDOW}),
+g AS (SELECT k, i, COUNT(*) OVER (PARTITION BY k, list_slice(ws, i, i + {quality_rules.WINDOW - 1})) AS c FROM u),
+rp AS (SELECT k, COUNT(DISTINCT i + j) AS n_repeat FROM g, range(0, {quality_rules.WINDOW}) t(j) WHERE c > 1 GROUP BY k),
+ln AS (SELECT k, COUNT(*) - COUNT(DISTINCT line) AS n_dup FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM d)
+       WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY k),
+b AS (SELECT w.k, w.doc_id, w.lang, w.text, CAST(len(ws) AS BIGINT) AS n_words, CAST(COALESCE(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+             CAST(length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+             COALESCE(ln.n_dup, 0) AS n_dup_lines, COALESCE(rp.n_repeat, 0) AS n_repeat_words
+      FROM w LEFT JOIN rp ON rp.k = w.k LEFT JOIN ln ON ln.k = w.k),
+hc AS (SELECT k, lang, {', '.join(f'{c} AS c{i}' for i, c in enumerate(_COUNTS))}, length(text) AS t FROM d),
+ch AS (SELECT k, lang, t, unnest([{', '.join(f'c{i}' for i in range(6))}, t - {' - '.join(f'c{i}' for i in range(6))}]) AS c, generate_subscripts([1, 2, 3, 4, 5, 6, 7], 1) AS cell FROM hc),
+rc AS (SELECT lang, cell, SUM(c) / SUM(SUM(c)) OVER (PARTITION BY lang) AS q FROM ch WHERE lang IS NOT NULL GROUP BY lang, cell),
+cd AS (SELECT ch.k, rc.lang, CASE WHEN MAX(t) >= {quality_rules.MIN_CHARS} THEN {_distance_sql('(c / t)', 'q')} ELSE 0 END AS dist
+       FROM ch JOIN rc ON rc.cell = ch.cell AND (rc.lang = ch.lang OR ch.lang IS NULL) GROUP BY ch.k, rc.lang),
+lw AS (SELECT k, lang, unnest(regexp_extract_all(lower(text), '\\p{{L}}+|[^\\p{{L}}\\p{{N}}_\\s]+')) AS word FROM d),
+dw AS (SELECT k, lang, word, COUNT(*) AS c FROM lw GROUP BY k, lang, word),
+dt AS (SELECT k, SUM(c) AS t FROM dw GROUP BY k),
+lt AS (SELECT lang, SUM(c) AS t FROM dw WHERE lang IS NOT NULL GROUP BY lang),
+cw AS (SELECT dw.lang, word, SUM(c) / MAX(lt.t) AS q FROM dw JOIN lt ON lt.lang = dw.lang GROUP BY dw.lang, word HAVING SUM(c) >= {quality_rules.COMMON_SHARE} * MAX(lt.t)),
+rw AS (SELECT lang, word, q FROM cw UNION ALL SELECT lt.lang, NULL, 1 - COALESCE((SELECT SUM(q) FROM cw WHERE cw.lang = lt.lang), 0) FROM lt),
+long_enough AS (SELECT d.k, d.lang, dt.t FROM d JOIN dt ON dt.k = d.k WHERE dt.t >= {quality_rules.MIN_HISTOGRAM_WORDS}),
+pw AS (SELECT l.k, rw.lang, rw.word, rw.q, CASE WHEN rw.word IS NULL THEN NULL ELSE COALESCE(dw.c, 0) / l.t END AS p
+       FROM long_enough l JOIN rw ON rw.lang = l.lang OR l.lang IS NULL LEFT JOIN dw ON dw.k = l.k AND dw.word = rw.word),
+pf AS (SELECT k, lang, q, COALESCE(p, 1 - COALESCE(SUM(p) OVER (PARTITION BY k, lang), 0)) AS p FROM pw),
+wd AS (SELECT k, lang, {_distance_sql('p', 'q')} AS dist FROM (SELECT k, lang, q, GREATEST(p, 0) AS p FROM pf) GROUP BY k, lang),
+far AS (SELECT b.k, COALESCE((SELECT MIN(dist) FROM cd WHERE cd.k = b.k), 0) AS c, COALESCE((SELECT MIN(dist) FROM wd WHERE wd.k = b.k), 0) AS w FROM b),
+v AS (SELECT b.*, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT} * n_words AS base_failed, far.c, far.w
+      FROM b JOIN far ON far.k = b.k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND c <= {quality_rules.MAX_CHAR_DISTANCE} AND w <= {quality_rules.MAX_WORD_DISTANCE} AS kept,
+       ROUND(c, 6) AS char_distance, ROUND(w, 6) AS word_distance
+FROM v
+"""
+
+
+def _escaped_sql(column: str, also: str = "") -> str:
+    """Characters of an escaped role or text."""
+    extra = "".join(f" + (length({column}) - length(replace({column}, '{c}', '')))" for c in also)
+    return (f"(length({column}) + (length({column}) - length(replace({column}, '\\', '')))"
+            f" + CAST((length({column}) - length(replace({column}, '<|', ''))) / 2 AS BIGINT){extra})")
+
+
+_PLANTED_SQL = PLANTED.replace("'", "''")
+ORACLE["op9_chat_format"] = f"""
+WITH c AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{_PLANTED_SQL}' UNION ALL SELECT -7, 1, 'assistant', '{_PLANTED_SQL}')
+SELECT conv_id, COUNT(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(COALESCE(SUM(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(COALESCE(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(SUM({len(chat_format.OPEN + chat_format.ROLE_END + chat_format.TURN_END)} + {_escaped_sql('role', '>')} + {_escaped_sql('text')}) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
