@@ -1,10 +1,10 @@
-"""Per-merchant statistics over daily series.
+"""Per-merchant statistics over daily series.
 
 A daily series holds one row per merchant and trading day, so each merchant's group is
 bounded by the calendar (a few thousand rows), not by order volume; window sorts keyed by
-merchant are therefore safe. Heavy row-level work (lags, products, sums) is SQL; Python runs
-only for Durbin-Levinson (J10, over Arrow batches of per-merchant ACF arrays) and the ADF
-regressions (J11, one bounded series per merchant).
+merchant are therefore safe. Row-level work (lags, products, sums) and the recursions are SQL;
+Python runs only for the small regressions of J11, over Arrow batches of one aggregated row
+per merchant.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import ship_package, spread_by
+from stallboard.session import cut_lineage, ship_package
 
 DAILY_METRICS = ("total_orders", "total_revenue", "total_items")
 
@@ -275,67 +275,106 @@ def adf_critical(nobs: int) -> dict[str, float]:
     return {k: c[0] + c[1] / nobs + c[2] / nobs ** 2 + c[3] / nobs ** 3 for k, c in ADF_CRIT.items()}
 
 
-def _ols(X, y):
+ADF_EMPTY = dict(adf_stat=None, pvalue=None, used_lag=None, nobs=None, crit_1pct=None, crit_5pct=None, crit_10pct=None)
+
+
+def _regression(gram, lags: int, last: int, n: int):
+    """Regression of the last column on columns 0 .. lags + 1 from the product sums ``gram``:
+    (coefficients, inverse of their matrix, residual sum of squares), or None if singular."""
     import numpy as np
-    beta, *_ = np.linalg.lstsq(X, y, rcond=None)
-    resid = y - X @ beta
-    ssr = float(resid @ resid)
-    n, k = X.shape
-    sigma2 = ssr / (n - k)
-    cov = sigma2 * np.linalg.pinv(X.T @ X)
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(ssr / n) + 1)
-    return beta, np.sqrt(np.diag(cov)), -2 * llf + 2 * k
-
-
-def adf_series(y) -> dict:
-    """ADF with constant, lag length by AIC over 0..ceil(12 (n/100)^(1/4)) on a common
-    sample, then refitted with the chosen lag on all usable rows."""
+    cols = list(range(lags + 2))
+    a, b = gram[np.ix_(cols, cols)], gram[cols, last]
+    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+    try:
+        inverse = np.linalg.inv(a / np.outer(scale, scale)) / np.outer(scale, scale)
+    except np.linalg.LinAlgError:
+        return None
+    beta = inverse @ b
+    ssr = float(gram[last, last] - beta @ b)
+    return (beta, inverse, ssr) if n > len(cols) and ssr > 0 else None
+
+
+def _gram(frame: DataFrame, keys: list[str], cols: list[str], used) -> DataFrame:
+    """Rows in use and the upper triangle of the product sums, one row per group."""
+    products = [F.sum(F.when(used, F.coalesce(F.col(cols[i]) * F.col(cols[j]), F.lit(0.0))))
+                for i in range(len(cols)) for j in range(i, len(cols))]
+    return frame.groupBy(*keys).agg(F.count_if(used).alias("rows"), F.max("_lags").alias("lags"), F.array(*products).alias("sums"))
+
+
+def _square(sums, size: int):
     import numpy as np
-    y = np.asarray(y, dtype=float)
-    n = len(y)
-    maxlag = int(math.ceil(12.0 * (n / 100.0) ** 0.25))
-    maxlag = max(0, min(n // 2 - 2, maxlag))
-    dy = np.diff(y)
-
-    def design(lags, start):
-        rows = range(start, len(dy))
-        X = [[1.0, y[t]] + [dy[t - i] for i in range(1, lags + 1)] for t in rows]
-        return np.asarray(X), dy[start:]
-
-    if n < 6:
-        return dict(adf_stat=None, pvalue=None, used_lag=None, nobs=None)
-    best = None
-    for L in range(maxlag + 1):
-        X, yy = design(L, maxlag)
-        _, _, aic = _ols(X, yy)
-        if best is None or aic < best[0]:
-            best = (aic, L)
-    L = best[1]
-    X, yy = design(L, L)
-    beta, se, _ = _ols(X, yy)
-    stat = float(beta[1] / se[1]) if se[1] > 0 else float("nan")
-    crit = adf_critical(len(yy))
-    return dict(adf_stat=stat, pvalue=adf_pvalue(stat) if math.isfinite(stat) else None, used_lag=L,
-                nobs=len(yy), crit_1pct=crit["1%"], crit_5pct=crit["5%"], crit_10pct=crit["10%"])
+    out = np.zeros((size, size))
+    upper = np.triu_indices(size)
+    out[upper] = [0.0 if v is None else v for v in sums]
+    return out + np.triu(out, 1).T
 
 
 def adf(series: DataFrame, value: str, keys=("merchant_id",), order: str = "order_date") -> DataFrame:
-    """J11 per merchant. Each merchant's series (one row per trading day, so bounded by the
-    calendar) is handled by one grouped Arrow call; merchants run in parallel."""
-    keys = list(keys)
-
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        res = adf_series(pdf[value].to_numpy(dtype=float))
-        out = {k: [pdf[k].iloc[0]] for k in keys}
-        for c in ("adf_stat", "pvalue", "used_lag", "nobs", "crit_1pct", "crit_5pct", "crit_10pct"):
-            out[c] = [res.get(c)]
-        return pd.DataFrame(out)
+    """J11 per merchant: augmented Dickey-Fuller with a constant, lag length by AIC over
+    0..ceil(12 (n/100)^(1/4)) on a common sample, then refitted on all usable rows.
 
+    Spark builds the lag columns and the product sums: one aggregate over the common sample serves
+    every lag length, a second one the chosen length. Python only solves the small systems of one
+    aggregated row per merchant. The level is centred, which the constant absorbs."""
+    import numpy as np
+    keys = list(keys)
     ship_package(series.sparkSession)
-    types = dict(series.dtypes)
-    schema = (", ".join(f"{k} {types[k]}" for k in keys) +
-              ", adf_stat double, pvalue double, used_lag int, nobs int, crit_1pct double, crit_5pct double, "
-              "crit_10pct double")
-    return spread_by(series.select(*keys, order, F.col(value).cast("double").alias(value)), keys) \
-        .groupBy(*keys).applyInPandas(fn, schema)
+    w = Window.partitionBy(*keys).orderBy(order)
+    wa = Window.partitionBy(*keys)
+    y = F.col(value).cast("double")
+    n = F.count(F.lit(1)).over(wa)
+    # the lag limit of the longest series bounds the columns: one number comes to the driver
+    longest = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    most = max(0, min(longest // 2 - 2, math.ceil(12.0 * (longest / 100.0) ** 0.25)))
+    limit = F.greatest(F.lit(0), F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))))
+    x = series.select(*keys, F.col(order).alias("_o"), F.row_number().over(w).alias("_t"), n.alias("_n"), limit.cast("int").alias("_lags"),
+                      F.lit(1.0).alias("_c0"), (F.lag(y).over(w) - F.avg(y).over(wa)).alias("_c1"), (y - F.lag(y).over(w)).alias("_d"))
+    lag_w = Window.partitionBy(*keys).orderBy("_o")
+    x = x.select("*", *[F.lag("_d", k).over(lag_w).alias(f"_c{k + 1}") for k in range(1, most + 1)])
+    x = cut_lineage(x)                                     # read by both passes
+    cols = [f"_c{k}" for k in range(most + 2)] + ["_d"]
+    kinds = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys)
+    size, last = len(cols), len(cols) - 1
+
+    def choose(batches):
+        for pdf in batches:
+            chosen = []
+            for rows, lags, sums in zip(pdf["rows"], pdf["lags"], pdf["sums"]):
+                best = None
+                gram = _square(sums, size)
+                for k in range(int(lags) + 1):
+                    fit = _regression(gram, k, last, int(rows))
+                    if fit is not None:
+                        aic = rows * (math.log(2 * math.pi) + math.log(fit[2] / rows) + 1) + 2 * (k + 2)
+                        if best is None or aic < best[0]:
+                            best = (aic, k)
+                chosen.append(best[1] if best else 0)
+            yield pdf[keys].assign(_chosen=np.array(chosen, np.int32))
+
+    def solve(batches):
+        names = list(ADF_EMPTY)
+        for pdf in batches:
+            out = []
+            for rows, used, total, sums in zip(pdf["rows"], pdf["lags"], pdf["total"], pdf["sums"]):
+                rec = dict(ADF_EMPTY)
+                fit = _regression(_square(sums, size), int(used), last, int(rows)) if total >= 6 else None
+                if fit is not None:
+                    beta, inverse, ssr = fit
+                    stat = float(beta[1] / math.sqrt(ssr / (rows - int(used) - 2) * inverse[1, 1]))
+                    crit = adf_critical(int(rows))
+                    rec = dict(adf_stat=stat, pvalue=adf_pvalue(stat), used_lag=int(used), nobs=int(rows), crit_1pct=crit["1%"],
+                               crit_5pct=crit["5%"], crit_10pct=crit["10%"])
+                out.append([rec[c] for c in names])
+            frame = pd.DataFrame(out, columns=names)
+            for c in ("used_lag", "nobs"):
+                frame[c] = frame[c].astype("Int32")
+            yield pd.concat([pdf[keys].reset_index(drop=True), frame], axis=1)
+
+    # row _t holds the difference from row _t - 1, so k lags exist from row k + 2 on
+    common = _gram(x, keys, cols, F.col("_t") >= F.col("_lags") + 2)
+    chosen = common.mapInPandas(choose, f"{kinds}, _chosen int")
+    y2 = x.drop("_lags").join(chosen.withColumnRenamed("_chosen", "_lags"), keys)
+    final = _gram(y2, keys, cols, F.col("_t") >= F.col("_lags") + 2).join(
+        x.groupBy(*keys).agg(F.max("_n").alias("total")), keys)
+    return final.select(*keys, "rows", "lags", "total", "sums").mapInPandas(
+        solve, f"{kinds}, adf_stat double, pvalue double, used_lag int, nobs int, crit_1pct double, crit_5pct double, crit_10pct double")

@@ -101,6 +101,37 @@ def test_adf_rejects_white_noise_not_random_walk(spark):
     assert abs(ST.adf_pvalue(-2.86154) - 0.05) < 0.005 and abs(ST.adf_pvalue(-3.43035) - 0.01) < 0.003
 
 
+def _plain_adf(y):
+    """Least squares as written, lag by AIC on the common sample, refit on all usable rows."""
+    n = len(y)
+    most = max(0, min(n // 2 - 2, int(np.ceil(12 * (n / 100) ** 0.25))))
+    dy = np.diff(y)
+
+    def fit(lags, start):
+        x = np.column_stack([np.ones(len(dy) - start), y[start:-1]] + [dy[start - i:len(dy) - i] for i in range(1, lags + 1)])
+        beta, *_ = np.linalg.lstsq(x, dy[start:], rcond=None)
+        e = dy[start:] - x @ beta
+        m, k = x.shape
+        se = np.sqrt(e @ e / (m - k) * np.linalg.inv(x.T @ x)[1, 1])
+        return m * (np.log(2 * np.pi) + np.log(e @ e / m) + 1) + 2 * k, beta[1] / se, m
+    lag = min(range(most + 1), key=lambda k: fit(k, most)[0])
+    _, stat, m = fit(lag, lag)
+    return lag, stat, m
+
+
+def test_adf_equals_plain_regressions(spark):
+    rng = np.random.default_rng(8)
+    series = {"a": np.cumsum(rng.normal(size=300)) + 5000, "b": rng.normal(size=120) * 30 + 900, "c": np.cumsum(rng.normal(size=40)),
+              "d": 1e5 + 300 * np.sin(np.arange(250) / 4) + rng.normal(size=250)}
+    data = [(m, t, float(v)) for m, ys in series.items() for t, v in enumerate(ys)] + [("short", t, float(t)) for t in range(4)]
+    got = {r["merchant_id"]: r for r in ST.adf(spark.createDataFrame(data, "merchant_id string, order_date int, y double"), "y").collect()}
+    for m, ys in series.items():
+        lag, stat, rows = _plain_adf(ys)
+        assert (got[m]["used_lag"], got[m]["nobs"]) == (lag, rows)
+        assert abs(got[m]["adf_stat"] - stat) < 1e-4 * abs(stat)
+    assert got["short"]["adf_stat"] is None
+
+
 def test_nearest_quantiles_brute_force(spark):
     rng = np.random.default_rng(99)
     groups = {f"g{i}": [float(v) for v in rng.integers(0, 50, size=int(n))] for i, n in
