@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stallboard.operators import views as V
@@ -1204,10 +1204,13 @@ def j11_adf_revenue(spark, sf_dir):
     """J11 on the level and on the differenced daily revenue (notebook series)."""
     from stallboard.operators import stats as ST
     d = _rev_daily(spark, sf_dir, "subtotal").select("merchant_id", "order_date", "total_revenue")
-    level = ST.adf(d, "total_revenue").withColumn("series", F.lit("level"))
-    diff = ST.adf(ST.difference(d, "total_revenue").select("merchant_id", "order_date", "diff"), "diff") \
-        .withColumn("series", F.lit("diff"))
-    return level.unionByName(diff)
+    w = Window.partitionBy("merchant_id").orderBy("order_date")
+    d = d.withColumn("_diff", F.col("total_revenue") - F.lag("total_revenue").over(w))
+    both = d.select("merchant_id", "order_date", F.explode(F.array(
+        F.struct(F.lit("level").alias("series"), F.col("total_revenue").alias("y")),
+        F.struct(F.lit("diff").alias("series"), F.col("_diff").alias("y")))).alias("_s"))
+    both = both.select("merchant_id", "_s.series", "order_date", "_s.y").where(F.col("y").isNotNull())
+    return ST.adf(both, "y", keys=("merchant_id", "series"))
 
 
 @register("j15_item_label_encoding", f"""
