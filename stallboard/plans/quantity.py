@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,15 +31,29 @@ def training_panel(lines: DataFrame, cutoff) -> DataFrame:
     return daily.where(F.col("order_date") <= F.lit(last))
 
 
+def fit_quantity_model(train: DataFrame, step_size: float = 0.3, max_iter: int = 100):
+    """J12 over a training panel."""
+    return Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter)
+
+
 def quantity_forecast(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
-                      max_iter: int = 100) -> DataFrame:
-    """K5 = D1 -> C3 -> E8 -> J12 -> J16: long-form per-item forecasts for ``horizon`` days."""
+                      max_iter: int = 100, model_path: str | None = None) -> DataFrame:
+    """K5 = D1 -> C3 -> E8 -> J12 -> J16: long-form per-item forecasts for ``horizon`` days.
+
+    With ``model_path`` the forecast is scored by the model saved there (``save_quantity_model``)
+    instead of a fresh fit."""
     D.check_days(horizon, 1, 30)
     train = cut_lineage(training_panel(lines, cutoff))   # feeds the levels, the fit and the horizon frame
-    model = Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter)
+    model = PipelineModel.load(model_path) if model_path else fit_quantity_model(train, step_size, max_iter)
     return Q.horizon_forecast(model, train, cutoff, horizon)
 
 
+def save_quantity_model(lines: DataFrame, cutoff, path: str, step_size: float = 0.3, max_iter: int = 100) -> str:
+    """J12's model, fitted on the lines before ``cutoff`` and saved under ``path``."""
+    fit_quantity_model(training_panel(lines, cutoff), step_size, max_iter).write().overwrite().save(path)
+    return path
+
+
 def notebook_panel(lines: DataFrame, variant: str = "lags", item_key: str = "item_id") -> DataFrame:
     """Feature panel of J13 ('lags'), J14 ('rolling') or J15 ('encoded') with its split.
 

@@ -1161,6 +1161,21 @@ def a6_parameterised_item_sales(spark, sf_dir):
 
 # ------------------------------------------------------------------ K5 / J12-J17 (Spark ML, no SQL oracle)
 
+_MODELS: dict[tuple[str, str], str] = {}
+
+
+def _saved_model(spark, sf_dir) -> str:
+    """Path of K5's model for these tables, fitted and saved once per application."""
+    import uuid
+
+    from stallboard.plans import quantity as PQ
+    from stallboard.session import checkpoint_dir
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _MODELS:
+        _MODELS[key] = PQ.save_quantity_model(V.order_lines(spark, sf_dir), CUTOFF, f"{checkpoint_dir(spark)}/quantity-model-{uuid.uuid4().hex}")
+    return _MODELS[key]
+
+
 @register("k5_quantity_forecast")
 def k5_quantity_forecast(spark, sf_dir):
     from stallboard.plans import quantity as PQ
@@ -1171,14 +1186,14 @@ def k5_quantity_forecast(spark, sf_dir):
 def e16_wide_forecast_records(spark, sf_dir):
     from stallboard.operators import quantity as Q
     from stallboard.plans import quantity as PQ
-    return Q.wide_records(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30))
+    return Q.wide_records(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)))
 
 
 @register("e17_forecast_item_totals_7_days")
 def e17_forecast_item_totals_7_days(spark, sf_dir):
     from stallboard.operators import aggregates as A
     from stallboard.plans import quantity as PQ
-    return A.horizon_item_totals(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30), 7)
+    return A.horizon_item_totals(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)), 7)
 
 
 @register("j13_quantity_lags_holdout")
@@ -1242,7 +1257,7 @@ def k7_dashboard_bundle(spark, sf_dir):
     from stallboard.plans import reports as R
     lines = V.order_lines(spark, sf_dir)
     _, rev, _ = PF.revenue_forecast(PF.daily_revenue(lines))
-    qty = PQ.quantity_forecast(lines, CUTOFF, 30)
+    qty = PQ.quantity_forecast(lines, CUTOFF, 30, model_path=_saved_model(spark, sf_dir))
     return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
 
 
