@@ -39,7 +39,7 @@ BLOCK_IDS = 1 << 20
 MAGIC = b"BPK1"
 BLOCKS = "shard int, block int, doc_ids array<long>, first_id long, n_ids long, payload binary"
 # Words a worker remembers between batches; beyond that it starts anew.
-REMEMBERED_WORDS = 2_000_000
+REMEMBERED_WORDS = 1_000_000
 
 
 def id_bits(vocabulary: int) -> int:
