@@ -2,8 +2,6 @@
 
 import datetime as dt
 
-from pyspark.sql import functions as F
-
 from stallboard.operators import cleaning as B
 from tests.conftest import rows
 

@@ -1,8 +1,6 @@
 """Driver contract: entry(), queries() / oracle_sql() consistency, oracle matches on the
 smallest data and plan checks."""
 
-import math
-
 import pytest
 
 import __spark_entry__ as E
