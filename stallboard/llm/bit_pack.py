@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallboard.llm.common import byte_slices, parallelism, utf8
+from stallboard.llm.common import byte_slices, parallelism
 
 END_ID = 1
 BLOCK_IDS = 1 << 20

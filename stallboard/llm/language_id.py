@@ -134,9 +134,9 @@ def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, steps:
     langs = sorted(set(labels))
     rng = np.random.default_rng(seed)
     width = max((len(w) for w in windows), default=0)
-    rows = [(w, langs.index(y)) for w, y in zip(windows, labels) if len(w) == width]
-    rows = rows or [(w.ljust(width), langs.index(y)) for w, y in zip(windows, labels)]
-    if not rows or not width:
+    # shorter windows are repeated to the common width, so languages of short texts train too
+    rows = [((w * (width // len(w) + 1))[:width], langs.index(y)) for w, y in zip(windows, labels) if w]
+    if not rows:
         return Model([], {})
     xs = np.frombuffer(b"".join(w for w, _ in rows), np.uint8).reshape(len(rows), width)
     ys = np.array([y for _, y in rows])
