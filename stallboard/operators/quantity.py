@@ -94,13 +94,16 @@ def fit(train: DataFrame, features: list[str], label: str, step_size: float, max
     """J12-J15 training over the panel (one distributed fit).
 
     Features are assembled once and the (features, label) frame is checkpointed, so each of
-    the ~6 passes per tree reads compact vectors instead of re-running the feature plan. Node
-    ids are cached per row, and histograms of a whole tree level fit one pass."""
+    the ~6 passes per tree reads compact vectors instead of re-running the feature plan. They are
+    dealt over the configured partitions first: the panel is few bytes, which AQE would leave to a
+    handful of tasks, but every pass over it is CPU-heavy."""
     asm = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
-    vec = cut_lineage(asm.transform(train.withColumn("label", F.col(label).cast("double"))).select("features", "label"))
+    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    vec = asm.transform(train.withColumn("label", F.col(label).cast("double"))).select("features", "label")
+    vec = cut_lineage(vec.repartition(n))
     gbt = GBTRegressor(featuresCol="features", labelCol="label", maxIter=max_iter, maxDepth=max_depth,
                        stepSize=step_size, seed=seed, lossType="squared", subsamplingRate=1.0,
-                       featureSubsetStrategy="all", maxBins=MAX_BINS, cacheNodeIds=True, maxMemoryInMB=512,
+                       featureSubsetStrategy="all", maxBins=MAX_BINS, maxMemoryInMB=512,
                        checkpointInterval=10)
     return PipelineModel(stages=[asm, gbt.fit(vec)])
 
