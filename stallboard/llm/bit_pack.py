@@ -177,7 +177,7 @@ def write(docs: DataFrame, tokenizer: str, path: str, block_ids: int = BLOCK_IDS
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         block, first = 0, 0
-        for batch in byte_slices(batches, "text", 24 << 20):
+        for batch in byte_slices(batches, "text", 10 << 20):
             ids, offsets = own.encode(batch.column(1))
             at = 0
             while at < batch.num_rows:
