@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stallboard.llm.common import byte_slices, parallelism
+from stallboard.llm.common import byte_slices, parallelism, utf8
 
 END_ID = 1
 BLOCK_IDS = 1 << 20
@@ -131,7 +131,11 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, document offsets) of the texts, each with the end id appended."""
-        texts = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+        # a compact copy first: string kernels misread arrays whose offsets do not begin at 0
+        offsets, data = utf8(texts)
+        data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+        texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1,
+                                      [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
         texts = pc.replace_substring_regex(texts, r"([a-z])([.,!#$%&*])", r"\1 \2")
         parts = pc.ascii_split_whitespace(texts)
         coded = parts.values.dictionary_encode()

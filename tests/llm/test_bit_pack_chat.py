@@ -43,6 +43,18 @@ def test_encoder_equals_the_library():
             assert ids[offsets[k]:offsets[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
+def test_encoder_on_slices():
+    """Slices of a string column, with nulls and capitals, as the batches of a large partition are cut."""
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = random.Random(6)
+    texts = [None if k % 9 == 0 else "".join(rng.choice("ab É,XY. \n☃") for _ in range(rng.randint(0, 200))) for k in range(600)]
+    own = B.Encoder(PATH)
+    for at in (0, 137, 400):
+        ids, offsets = own.encode(pa.array(texts, pa.string()).slice(at, 150))
+        for k, text in enumerate(texts[at:at + 150]):
+            assert ids[offsets[k]:offsets[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def test_write_and_read_back(spark, tmp_path):
     tokenizer = Tokenizer.from_file(PATH)
     rows = [(k * 7 % 31, t, k) for k, t in enumerate(ODD * 3)] + [(None, "none", 1), (5, "again", 2)]
