@@ -2,11 +2,17 @@
 
 Test items and documents are cut into lower-case words (``\\w+``). The corpus document
 frequency of every item n-gram is counted over all documents; the rarer half of an item's
-n-grams (document frequency at most the item's median) are its seeds, so an item keeps seeds
-even if its passage is very common. A document's words around the places where it shares
-seeds with an item are aligned with the whole item (Smith-Waterman, match 1, mismatch and gap
--1); the score is the best local alignment over the item's number of words, so that copies
-with replaced, dropped or inserted words still score. A pair is a leak from ``MIN_SCORE`` on.
+n-grams (document frequency at most the item's median) are its seeds. The score of a pair is the
+best local alignment (Smith-Waterman, match 1, mismatch and gap -1) over the item's number of
+words, so that copies with replaced, dropped or inserted words still score. A pair is a leak from
+``MIN_SCORE`` on.
+
+Which pairs and places are aligned is decided without loss: an alignment of m matches and e errors
+has at most e + 1 runs of matches, so a score of m - e leaves at least m - e - 1 pairs of
+neighbouring item words intact, on diagonals (place in the document less place in the item) at
+most (item words - score) apart. Every (document, item) that shares as many word pairs within
+such a band is aligned there. Seeds only shorten this: all of them lie in a whole copy, which is
+aligned around them alone.
 
 The items go to the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
 characters, one pass over the documents per block, so what is broadcast is bounded for any
@@ -44,36 +50,56 @@ def words(text: str | None) -> list[str]:
 
 @dataclass
 class Block:
-    """Items of one block: ids, word numbers, and their n-grams as sorted codes with places."""
+    """Items of one block: ids, word numbers, their n-grams as sorted codes with places, and their
+    word pairs: sorted codes, and the item of each place of code g at ``pair_from[g]:pair_from[g + 1]``."""
     item_ids: list[int]
     items: list[np.ndarray]
     vocabulary: dict[str, int]
     codes: np.ndarray
     places: list[list[tuple[int, int]]]
+    lengths: np.ndarray
+    pairs: np.ndarray
+    pair_from: np.ndarray
+    pair_item: np.ndarray
 
     def grams(self, ids: np.ndarray) -> np.ndarray:
         """Index in ``codes`` of the n-gram at each position, -1 where it is no item's."""
-        n = len(ids) - NGRAM + 1
-        if n <= 0 or not len(self.codes):
+        return self._find(ids, self.codes, NGRAM)
+
+    def _find(self, ids: np.ndarray, codes: np.ndarray, length: int) -> np.ndarray:
+        n = len(ids) - length + 1
+        if n <= 0 or not len(codes):
             return np.empty(0, np.int64)
         known = ids >= 0
-        at = np.flatnonzero(np.logical_and.reduce([known[k:k + n] for k in range(NGRAM)]))
-        code = _codes(ids, at, len(self.vocabulary))
+        at = np.flatnonzero(np.logical_and.reduce([known[k:k + n] for k in range(length)]))
+        code = _codes(ids, at, len(self.vocabulary), length)
         found = np.full(n, -1, np.int64)
-        place = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        ok = self.codes[place] == code
+        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
+        ok = codes[place] == code
         found[at[ok]] = place[ok]
         return found
 
+    def near(self, ids: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items with ``needed`` word pairs or more somewhere in the words, and the word pair at each position."""
+        found = self._find(ids, self.pairs, 2)
+        own = np.unique(found[found >= 0])
+        many = self.pair_from[own + 1] - self.pair_from[own]
+        total = int(many.sum())
+        if total < needed.min(initial=total + 1):
+            return np.empty(0, np.int64), found
+        at = np.repeat(self.pair_from[own] - np.cumsum(many) + many, many) + np.arange(total)
+        count = np.bincount(self.pair_item[at], minlength=len(self.items))
+        return np.flatnonzero(count >= needed), found
+
     def ids(self, text: str | None) -> np.ndarray:
         get = self.vocabulary.get
         found = [get(w, -1) for w in words(text)]
         return np.array(found, np.int64)
 
 
-def _codes(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+def _codes(ids: np.ndarray, at: np.ndarray, size: int, length: int = NGRAM) -> np.ndarray:
     code = np.zeros(len(at), np.int64)
-    for k in range(NGRAM):
+    for k in range(length):
         code = code * size + ids[at + k]
     return code
 
@@ -93,7 +119,12 @@ def make_block(rows: list[tuple[int, str]]) -> Block:
         for k, code in enumerate(_codes(item, np.arange(len(item) - NGRAM + 1), len(vocabulary)).tolist()):
             where[code].append((i, k))
     codes = np.array(sorted(where), np.int64)
-    return Block(item_ids, items, vocabulary, codes, [where[c] for c in codes.tolist()])
+    owner = np.repeat(np.arange(len(items)), [len(item) - 1 for item in items])
+    pair = np.concatenate([_codes(item, np.arange(len(item) - 1), len(vocabulary), 2) for item in items] or [codes])
+    order = np.argsort(pair, kind="stable")
+    pairs, first = np.unique(pair[order], return_index=True)
+    return Block(item_ids, items, vocabulary, codes, [where[c] for c in codes.tolist()],
+                 np.array([len(item) for item in items], np.int64), pairs, np.append(first, len(pair)), owner[order])
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Block]:
@@ -174,26 +205,62 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]
     return best, first, last
 
 
+def _aligned(item: np.ndarray, ids: np.ndarray, starts: np.ndarray, slack: int) -> tuple[int, int, int]:
+    """Best alignment of the item with the words around the sorted ``starts``, ``slack`` more on both sides."""
+    best = (0, 0, -1)
+    for group in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
+        a, b = max(0, int(group[0]) - slack), min(len(ids), int(group[-1]) + len(item) + slack)
+        score, first, last = smith_waterman(item, ids[a:b])
+        if score > best[0]:
+            best = (score, a + first, a + last)
+    return best
+
+
+def _band_starts(item_pairs: np.ndarray, found: np.ndarray, needed: int, width: int) -> np.ndarray | None:
+    """Diagonals from which on ``needed`` shared word pairs lie at most ``width`` diagonals apart; None: any place."""
+    if needed <= 0:
+        return None
+    order = np.argsort(item_pairs, kind="stable")
+    low, high = (np.searchsorted(item_pairs[order], found, side) for side in ("left", "right"))
+    many = high - low
+    total = int(many.sum())
+    if total > 64 * (len(found) + len(item_pairs)):  # one word pair over and over in both
+        return None
+    at = np.repeat(low - np.cumsum(many) + many, many) + np.arange(total)
+    diagonal = np.sort(np.repeat(np.arange(len(found)), many) - order[at])
+    if total < needed:
+        return diagonal[:0]
+    begins = diagonal[:total - needed + 1]
+    return begins[diagonal[needed - 1:] - begins <= width]
+
+
 def document_leaks(block: Block, own_seeds: dict[int, list[tuple[int, int]]], text: str | None,
                    min_score: float) -> list[tuple[int, float, int, int]]:
     """(item_id, score, first word, last word) of the items that leak into one text, best place each."""
     ids = block.ids(text)
+    least = np.ceil(min_score * block.lengths).astype(np.int64)
+    near, found = block.near(ids, least - 1)
+    bands = {}
+    for i in near.tolist():
+        own = block._find(block.items[i], block.pairs, 2)
+        starts = _band_starts(own, found, int(least[i]) - 1, int(block.lengths[i] - least[i]))
+        if starts is None or len(starts):
+            bands[i] = starts
+    if not bands:
+        return []
+    seeded = defaultdict(list)
     grams = block.grams(ids)
-    starts = defaultdict(list)
     for p in np.flatnonzero(grams >= 0).tolist():
         for i, k in own_seeds.get(int(grams[p]), ()):
-            starts[i].append(p - k)
+            if i in bands:
+                seeded[i].append(p - k)
     out = []
-    for i, found in sorted(starts.items()):
-        item, found = block.items[i], np.sort(found)
-        slack = len(item) // 2 + 2
-        best = (0, 0, -1)
-        for group in np.split(found, np.flatnonzero(np.diff(found) > len(item)) + 1):
-            a, b = max(0, int(group[0]) - slack), min(len(ids), int(group[-1]) + len(item) + slack)
-            score, first, last = smith_waterman(item, ids[a:b])
-            if score > best[0]:
-                best = (score, a + first, a + last)
-        if best[0] >= min_score * len(item):
+    for i, starts in bands.items():
+        item, slack = block.items[i], int(block.lengths[i] - least[i]) + 2
+        best = _aligned(item, ids, np.sort(seeded[i]), slack) if i in seeded else (0, 0, -1)
+        if best[0] < len(item):  # no whole copy
+            best = smith_waterman(item, ids) if starts is None else _aligned(item, ids, starts, slack)
+        if best[0] and best[0] >= min_score * len(item):
             out.append((block.item_ids[i], best[0] / len(item), best[1], best[2]))
     return out
 

@@ -179,6 +179,37 @@ def test_copies_and_edited_copies_are_found(spark, monkeypatch):
     assert left == Counter(r[0] for r in rows if r[0] not in {d for d, _ in planted})
 
 
+def test_edits_up_to_the_limit_equal_all_alignments(spark):
+    """Every pair that Smith-Waterman of all pairs scores, with edits up to the limit and half copies in many documents."""
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(words) for _ in range(rng.randint(8, 40))] for _ in range(12)]
+    bodies = []
+    for k in range(150):
+        copy = list(items[k % 12])
+        if k % 3 == 0:  # every 4th word replaced: the score is the limit
+            copy[3::4] = ["new"] * len(copy[3::4])
+        elif k % 3 == 1:
+            for _ in range(rng.randint(0, len(copy) // 2)):
+                at = rng.randrange(len(copy))
+                copy[at:at + 1] = rng.choice([["new"], [], [copy[at], "new"]])
+        else:
+            copy = copy[:rng.randint(len(copy) // 2, len(copy) // 2 + 2)]
+        around = [rng.choice(words) for _ in range(rng.randint(0, 60))]
+        bodies.append(around + copy + around[:7])
+    bodies += [[w for k in range(0, len(item), 2) for w in (*item[k:k + 2], "new")] for item in items]  # no 3-gram left
+    df = spark.createDataFrame([(k, " ".join(b), "en", "a", 1, 2) for k, b in enumerate(bodies)], SCHEMA)
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    want = {}
+    for d, body in enumerate(bodies):
+        for i, item in enumerate(items):
+            score = D.smith_waterman(np.array([hash(w) for w in item]), np.array([hash(w) for w in body]))[0] / len(item)
+            if score >= D.MIN_SCORE:
+                want[d, i] = score
+    assert sum(score < 0.7 for score in want.values()) > 40
+    assert {(r.doc_id, r.item_id): r.score for r in D.leaks(df, bench).collect()} == want
+
+
 def test_given_benchmark_passages(spark):
     """Every document that holds a whole item's words leaks, and no other but near copies of one."""
     sf = "/root/testdata/sf0.01"
