@@ -5,9 +5,10 @@ made from the target weights, block k of source s may not run before slot floor(
 must have run by slot ceil((k + 1) Q / a_s); earliest deadline first among released blocks
 meets every deadline, so at any slot each source has run within one block of its share. The
 schedule of one period of Q slots repeats, so it is solved once on the driver (its size is the
-number of shares, not of documents) and every block finds its slot by arithmetic. When a
-source has less than a period left, a closing period takes what it has and the other sources
-go on with renewed shares: all documents are emitted exactly once.
+number of shares, not of documents) and every block finds its slot by arithmetic. A source
+with less than a period left goes on in its own slots; the period is cut at the slot where an
+empty source would be due, and the others go on with renewed shares: all documents are emitted
+exactly once, and the bound holds until a source is empty, whatever the sizes.
 
 Nulls and empties: null sources form one source of their own (named by ``NO_SOURCE``); null
 texts count like others. Repeated rows are separate documents, ordered among themselves by
@@ -18,6 +19,7 @@ An empty table gives an empty result.
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Mapping
 from fractions import Fraction
 
@@ -72,15 +74,23 @@ def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: in
     out, slot = [], 0
     while left:
         share = shares({s: weights[s] for s in left}, max(period, len(left)))
+        period_slots, length = edf_period(share), sum(share.values())
         whole = min(left[s] // a for s, a in share.items())
-        if not whole:  # closing period: what the shortest sources have left
-            share, whole = {s: min(a, left[s]) for s, a in share.items()}, 1
-        length = sum(share.values())
-        for s, own in edf_period(share).items():
-            out.append((s, done[s], share[s], whole, slot, length, own))
-            done[s] += share[s] * whole
-            left[s] -= share[s] * whole
-        slot += length * whole
+        if whole:
+            for s, own in period_slots.items():
+                out.append((s, done[s], share[s], whole, slot, length, own))
+                done[s] += share[s] * whole
+                left[s] -= share[s] * whole
+            slot += length * whole
+        # the next period runs up to the slot where a source has no block left
+        end = min((own[left[s]] for s, own in period_slots.items() if left[s] < share[s]), default=0)
+        for s, own in period_slots.items():
+            own = own[:bisect_left(own, end)]
+            if own:
+                out.append((s, done[s], len(own), 1, slot, end, own))
+                done[s] += len(own)
+                left[s] -= len(own)
+        slot += end
         left = {s: n for s, n in left.items() if n}
     return out
 

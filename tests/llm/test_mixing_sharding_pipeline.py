@@ -51,6 +51,26 @@ def test_schedule_emits_every_block_once():
         assert sorted(slots) == list(range(sum(blocks.values()))) and count == Counter({s: n for s, n in blocks.items() if n})
 
 
+def test_shares_hold_until_a_source_is_empty():
+    """The one-block bound up to the slot where the first source is empty, also on sources below a period's share."""
+    rng = random.Random(5)
+    sizes = [{f"s{k:02}": 32 for k in range(19)} | {"hot": 313}]
+    sizes += [{f"s{k}": rng.randint(1, 300) for k in range(rng.randint(2, 25))} for _ in range(25)]
+    for blocks in sizes:
+        goal = M.damped_weights(blocks)
+        share = M.shares(goal)
+        order = {}
+        for s, first, n, periods, slot, length, own in M.schedule(blocks, goal):
+            order |= {slot + p * length + x: s for p in range(periods) for x in own}
+        assert sorted(order) == list(range(sum(blocks.values())))
+        done, period = Counter(), sum(share.values())
+        for t in range(len(order)):
+            done[order[t]] += 1
+            assert all(abs(done[s] - (t + 1) * share[s] / period) < 1 for s in share)
+            if done[order[t]] == blocks[order[t]]:
+                break
+
+
 def mixed_rows():
     rows = [(k, f"text {k}", "hot" if k % 3 else f"src{k % 5}", "en", "x", "y", "z") for k in range(2500)]
     return rows + [(None, None, None, None, None, None, None), (5000, "", "", "en", "", "", ""), rows[0], rows[0], (None, "a", "hot", None, None, None, None)]
