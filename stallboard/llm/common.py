@@ -71,13 +71,15 @@ def hash_bound(rows: int, wanted: int) -> int:
 
 
 def group_ranks(df: DataFrame, keys: list[str], order: list[Column], spread: Column, rank: str,
-                parts: int) -> DataFrame:
+                parts: int, piece: Column | None = None) -> DataFrame:
     """Adds ``rank``: a gapless number from 0 within each group of (non-null) ``keys``.
 
     A group is cut into ``parts`` pieces by ``spread`` (an expression of the row); rows are
     numbered inside a piece and each piece adds the counts of the pieces before it, so a group
-    with a third of all rows is numbered by many tasks. The order is (piece, ``order``)."""
-    cut = df.withColumn("__piece", F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int"))
+    with a third of all rows is numbered by many tasks. The order is (piece, ``order``); a given
+    ``piece`` (a number of the row) replaces the hash piece."""
+    piece = F.pmod(F.xxhash64(spread), F.lit(parts)) if piece is None else piece
+    cut = df.withColumn("__piece", piece.cast("int"))
     group = [*keys, "__piece"]
     local = cut.withColumn("__local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
     before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)

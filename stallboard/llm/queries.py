@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallboard.llm import bit_pack, chat_format, decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
-from stallboard.llm.common import read, scratch_path
+from stallboard.llm.common import group_ranks, parallelism, read, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
 PLANTED = r"\### Assistant: </turn> ok"
@@ -98,11 +98,16 @@ def source_shard(shards: int):
 
 @register
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document; rows move as little as can be."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document, read back from the rewritten shards."""
     docs = read(spark, sf_dir, "documents").select(
         "doc_id", "source", "text", sharding.text_size().alias("size"),
         F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"))
-    placed = sharding.reshard(docs, source_shard(sharding.SHARDS))
+    path = scratch_path(spark, "op10")
+    old = sharding.write_layout(docs, source_shard(sharding.SHARDS), path)
+    sharding.rewrite(sharding.reshard(old, F.col("shard")).drop("slot"), path)
+    new = sharding.read_layout(spark, path, old.schema).withColumn("old_shard", source_shard(sharding.SHARDS))
+    placed = group_ranks(new, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")],
+                         F.concat_ws("/", "doc_id", "text_crc32"), "slot", max(parallelism(spark) // 4, 1))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 

@@ -2,12 +2,14 @@
 
 Documents lie in old shards. The new shards take equal row counts (at most one apart), and the
 plan says which rows leave their shard so that the fewest bytes move. Rows are grouped into
-blocks: one per old shard and size class. The flow network has one node per block and shard:
+blocks: one per old shard and size class; the class in which a shard's leaving rows end is cut at
+the exact size, so that no row that leaves is larger than one of its shard that stays. The flow network has one node per block and shard:
 a block's rows stay at cost 0 or go to another shard at the block's bytes per row, and shard
 capacities bound what arrives; successive cheapest paths solve it. Only block totals reach the
 driver (old shards x ``SIZE_CLASSES``), whatever the number of documents. The plan cuts each
 block's numbered rows into runs with a target shard, so every row finds its shard and its
-gapless slot by arithmetic. ``rewrite`` then writes only the shards whose rows changed.
+gapless slot by arithmetic. ``write_layout`` writes the old layout, ``rewrite`` only the shards
+whose rows changed, and ``read_layout`` reads the files back with their slots.
 
 Nulls and empties: a null text has size 8 (no bytes) and the checksum of the empty text. Rows
 with an old shard outside 0..shards-1 or null have no place to stay in and count as moved.
@@ -16,9 +18,10 @@ Repeated rows are separate rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import uuid
 from collections import deque
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,47 +117,126 @@ def text_size() -> Column:
     return F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long") + ROW_BYTES
 
 
+def _cut_sizes(rows: DataFrame, totals: list, leave: list[int]) -> list[tuple[int, int, int]]:
+    """(old shard, size class, size): where a class leaves its shard only in part, the size of the last row to stay."""
+    cuts = []
+    for r in totals:  # smaller classes first
+        old = r["__old"]
+        if 0 <= old < len(leave):
+            if 0 < leave[old] < r.n:
+                cuts.append((old, r["__class"], r.n - leave[old]))
+            leave[old] -= min(leave[old], r.n)
+    if not cuts:
+        return []
+    kept = F.broadcast(rows.sparkSession.createDataFrame(cuts, "__old int, __class int, __keep long"))
+    sizes = rows.select("__old", "__class", "__size").join(kept, ["__old", "__class"]).groupBy(
+        "__old", "__class", "__keep", "__size").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("__old").orderBy(F.desc("__size")))
+    last = sizes.withColumn("__upto", upto).where("__upto >= __keep AND __upto - n < __keep")
+    return [(r["__old"], r["__class"], r["__size"]) for r in last.collect()]
+
+
 def reshard(docs: DataFrame, old_shard: Column, shards: int = SHARDS) -> DataFrame:
     """All columns of ``docs`` with ``old_shard``, ``shard`` and ``slot`` (gapless from 0 per shard)."""
     spark = docs.sparkSession
     own = docs.drop("old_shard", "shard", "slot")
-    size = text_size()
-    rows = (own.withColumn("__old", F.coalesce(old_shard.cast("int"), F.lit(-1))).withColumn("__size", size)
-            .withColumn("__class", F.floor(F.log2("__size") * CLASSES_PER_DOUBLING).cast("int")))
-    totals = (rows.groupBy("__old", "__class").agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("b"))
-              .orderBy("__old", "__class").collect())
+    rows = (docs.withColumn("__old", F.coalesce(old_shard.cast("int"), F.lit(-1))).withColumn("__size", text_size())
+            .withColumn("__class", F.floor(F.log2("__size") * CLASSES_PER_DOUBLING).cast("int"))
+            .drop("old_shard", "shard", "slot"))
+
+    def block_totals(*keys: str) -> list:
+        return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("__size").alias("b")).orderBy(*keys).collect()
+
+    totals = block_totals("__old", "__class")
     held = [0] * shards
     for r in totals:
         if 0 <= r["__old"] < shards:
             held[r["__old"]] += r.n
     room = capacities(sum(r.n for r in totals), held)
+    edges = _cut_sizes(rows, totals, [max(0, n - m) for n, m in zip(held, room)])
+    cut = F.lit(0)
+    for old, kind, size in edges:  # one per shard at most
+        cut = F.when((F.col("__old") == old) & (F.col("__class") == kind), F.signum(F.col("__size") - size)).otherwise(cut)
+    rows = rows.withColumn("__part", cut.cast("int"))
+    if edges:
+        totals = block_totals("__old", "__class", "__part")
+    else:
+        totals = [Row(**r.asDict(), __part=0) for r in totals]
     flow = min_cost_flow([(r["__old"], r.n, r.b / r.n) for r in totals], room)
     runs, at, used = [], [0] * len(totals), [0] * shards
     for b, j, n in sorted(flow, key=lambda f: (f[0], f[1] != totals[f[0]]["__old"], f[1])):
-        runs.append((totals[b]["__old"], totals[b]["__class"], at[b], at[b] + n, j, used[j] - at[b]))
+        runs.append((totals[b]["__old"], totals[b]["__class"], totals[b]["__part"], at[b], at[b] + n, j, used[j] - at[b]))
         at[b] += n
         used[j] += n
     # one row per run: at most blocks + shards rows
     plan = F.broadcast(spark.createDataFrame(runs, T.StructType(
-        [T.StructField("__o", T.IntegerType()), T.StructField("__c", T.IntegerType()), T.StructField("__from", T.LongType()),
+        [T.StructField("__o", T.IntegerType()), T.StructField("__c", T.IntegerType()), T.StructField("__p", T.IntegerType()),
+         T.StructField("__from", T.LongType()),
          T.StructField("__to", T.LongType()), T.StructField("shard", T.IntegerType()), T.StructField("__base", T.LongType())])))
     parts = max(parallelism(spark) // 4, sum(held) // 1_000_000, 1)
-    ranked = group_ranks(rows, ["__old", "__class"], [F.col("doc_id"), F.xxhash64("text")],
+    ranked = group_ranks(rows, ["__old", "__class", "__part"], [F.col("doc_id"), F.xxhash64("text")],
                          F.concat_ws("/", F.col("doc_id").cast("string"), F.col("__size").cast("string")), "__rank", parts)
     placed = ranked.join(plan, (F.col("__old") == F.col("__o")) & (F.col("__class") == F.col("__c"))
-                         & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
+                         & (F.col("__part") == F.col("__p")) & (F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__to")))
     return placed.select(*own.columns, F.when(F.col("__old") >= 0, F.col("__old")).alias("old_shard"), "shard",
                          (F.col("__base") + F.col("__rank")).cast("long").alias("slot"))
 
 
+def write_layout(docs: DataFrame, old_shard: Column, path: str) -> DataFrame:
+    """Writes the rows as ``path/shard=J`` by their old shard (-1 for none) and returns them read back."""
+    old = docs.withColumn("__old", F.coalesce(old_shard.cast("int"), F.lit(-1))).drop("old_shard", "shard", "slot")
+    old = old.withColumnRenamed("__old", "shard")
+    old.write.option("compression", "zstd").partitionBy("shard").parquet(path)
+    return read_layout(docs.sparkSession, path, old.schema)
+
+
+def read_layout(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The rows of a layout with their ``shard``; a rewrite that was broken off is ended or undone first."""
+    recover(spark, path)
+    return spark.read.schema(schema).parquet(path)
+
+
 def rewrite(resharded: DataFrame, path: str) -> list[int]:
     """Rewrites, under ``path/shard=J``, only the shards that lose or gain rows; returns those shards.
 
-    ``path`` holds the old layout. Affected shard folders are replaced by dynamic partition
-    overwrite, whose commit swaps whole folders, so a lost executor leaves no half-written shard."""
-    moved = resharded.where(~F.col("old_shard").eqNullSafe(F.col("shard")))
-    pairs = moved.select("old_shard", "shard").distinct().collect()  # at most shards x (shards + 1) rows
-    affected = sorted({r.shard for r in pairs} | {r.old_shard for r in pairs if r.old_shard is not None})
+    ``path`` holds the old layout. New folders are written aside with a list of the folders that
+    end up empty, then marked as committed, then put in place by ``recover``: a rewrite that ends
+    before the mark changes nothing, one that ends after it is finished by the next ``recover``."""
+    spark = resharded.sparkSession
+    recover(spark, path)
+    pairs = resharded.select("old_shard", "shard").distinct().collect()  # at most shards x (shards + 1) rows
+    moved = [r for r in pairs if r.old_shard != r.shard]
+    affected = sorted({r.shard for r in moved} | {r.old_shard for r in moved if r.old_shard is not None})
+    staging = f"{path}/_rewrite-{uuid.uuid4().hex}"
     (resharded.where(F.col("shard").isin(affected)).drop("old_shard")
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path))
+     .write.option("compression", "zstd").partitionBy("shard").parquet(staging))
+    fs, at = _file_system(spark, path)
+    filled = {f"shard={r.shard}" for r in pairs}
+    for folder in fs.globStatus(at(f"{path}/shard=*")):
+        if folder.getPath().getName() not in filled:
+            fs.mkdirs(at(f"{staging}/_gone/{folder.getPath().getName()}"))
+    fs.create(at(f"{staging}/_COMMITTED")).close()
+    recover(spark, path)
     return affected
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Ends every committed rewrite under ``path`` and removes what others have written aside."""
+    fs, at = _file_system(spark, path)
+    for found in fs.globStatus(at(f"{path}/_rewrite-*")) or []:
+        staging = found.getPath().toString()
+        if fs.exists(at(f"{staging}/_COMMITTED")):
+            for gone in fs.globStatus(at(f"{staging}/_gone/*")) or []:
+                fs.delete(at(f"{path}/{gone.getPath().getName()}"), True)
+            for new in fs.globStatus(at(f"{staging}/shard=*")) or []:
+                place = at(f"{path}/{new.getPath().getName()}")
+                fs.delete(place, True)
+                if not fs.rename(new.getPath(), place):
+                    raise OSError(f"{new.getPath()} could not be put in place")
+        fs.delete(found.getPath(), True)
+
+
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system of ``path``, and its path constructor."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark._jsc.hadoopConfiguration()), at

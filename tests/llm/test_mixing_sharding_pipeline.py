@@ -154,6 +154,32 @@ def test_reshard(spark, tmp_path):
     assert R.reshard(spark.createDataFrame([], SCHEMA), F.lit(0)).collect() == []
 
 
+def test_fewer_shards_leave_no_old_files(spark, tmp_path):
+    """From 9 shards and rows without one to 4, read back without filters; rows that leave are the smallest."""
+    rows = [(k, "x" * (1000 + 37 * k % 150), "s", "en", k % 9 if k % 10 else None) for k in range(900)] + [
+        (2000 + k, "x" * (1000 + 31 * k % 150), "s", "en", 2) for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, place int")
+    path = str(tmp_path / "shards")
+    old = R.write_layout(docs, F.col("place"), path)
+    placed = R.reshard(old, F.col("shard"), shards=4)
+    out = placed.collect()
+    gone, stayed = ([len(r.text) for r in out if r.old_shard == 2 and (r.shard == 2) == stay] for stay in (False, True))
+    assert gone and stayed and max(gone) <= min(stayed)
+    assert set(R.rewrite(placed, path)) >= {4, 5, 6, 7, 8}
+    back = spark.read.parquet(path)
+    assert Counter(r.doc_id for r in back.collect()) == Counter(r[0] for r in rows)
+    assert {r.doc_id: r["shard"] for r in back.collect()} == {r.doc_id: r["shard"] for r in out}
+    assert not list((tmp_path / "shards").glob("_rewrite-*"))
+    # broken off before the mark: undone; after it: ended
+    (tmp_path / "shards" / "_rewrite-1" / "shard=0").mkdir(parents=True)
+    R.recover(spark, path)
+    assert spark.read.parquet(path).count() == len(rows)
+    (tmp_path / "shards" / "_rewrite-2" / "_gone" / "shard=0").mkdir(parents=True)
+    (tmp_path / "shards" / "_rewrite-2" / "_COMMITTED").touch()
+    R.recover(spark, path)
+    assert spark.read.parquet(path).where("shard = 0").count() == 0
+
+
 def test_queries_over_the_small_tables(spark):
     q = E.queries()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{DIRECTORY}/documents.parquet").collect()}
