@@ -10,15 +10,17 @@ documents pass through unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stallboard.llm import decontaminate, language_id, mixing, sharding, simhash_dedup
-from stallboard.llm.common import parallelism, read, scratch_path, ship_package
-from stallboard.llm.queries import source_shard
+from stallboard.llm.common import group_ranks, parallelism, read, scratch_path, ship_package
 
 #: No stage of this pipeline can be stated in SQL alone (a trained network, SimHash over XXH64,
 #: alignments, schedules): its tests compare run() with a brute-force version.
 ORACLE_SQL = None
+#: Columns that carry the mixed stream's order from the mixing to the sharding stage.
+STREAM = ("stream_position", "stream_rank")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,17 +41,37 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mixed stream (operator 6): files and rows follow it."""
+    """The documents in the order of the mixed stream (operator 6): files and rows follow it.
+
+    ``stream_position`` holds the order for the next stage, ``stream_rank`` a number of the document
+    within its source that goes up block by block."""
     ship_package(spark)
-    mixed = mixing.mix(docs)
-    return (mixed.repartitionByRange(parallelism(spark), "mix_position").sortWithinPartitions("mix_position")
-            .select(*docs.columns))
+    block, position = F.col("mix_block"), F.col("mix_position")
+    mixed = mixing.mix(docs).select(*docs.drop(*STREAM).columns, position.alias("stream_position"), (
+        block * mixing.BLOCK_DOCS + position % mixing.BLOCK_DOCS).alias("stream_rank"))
+    return mixed.repartitionByRange(parallelism(spark), "stream_position").sortWithinPartitions("stream_position")
+
+
+def dealt_shard(shards: int) -> Column:
+    """The old layout of the last stage: each source's documents are dealt to all shards in turn, so
+    that every shard holds an equal part of every source's stream."""
+    source = F.crc32(F.coalesce(F.col("source").cast("string"), F.lit("")).cast("binary"))
+    return ((F.col("stream_rank") + source) % shards).cast("int")
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their shard and slot in equal shards (operator 10)."""
+    """The documents with their shard and slot in equal shards (operator 10), read back from the rewritten
+    shards; the slots of a shard follow the order of the mixed stream."""
     ship_package(spark)
-    return sharding.reshard(docs, source_shard(sharding.SHARDS))
+    path = scratch_path(spark, "pipeline-shards")
+    old = sharding.write_layout(docs, dealt_shard(sharding.SHARDS), path)
+    sharding.rewrite(sharding.reshard(old, F.col("shard")).drop("slot"), path)
+    new = sharding.read_layout(spark, path, old.schema).withColumn("old_shard", dealt_shard(sharding.SHARDS))
+    parts, rows = max(parallelism(spark) // 4, 1), max(new.count(), 1)
+    ranked = group_ranks(new, ["shard"], [F.col("stream_position")], F.col("stream_position"), "slot", parts,
+                         F.floor(F.col("stream_position") * parts / rows))
+    own = docs.drop(*STREAM, "old_shard", "shard", "slot").columns
+    return ranked.select(*own, "old_shard", "shard", "slot")
 
 
 STAGES = [

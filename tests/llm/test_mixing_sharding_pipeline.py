@@ -194,6 +194,31 @@ def test_queries_over_the_small_tables(spark):
     assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in q if k.startswith("op")} and "pipeline" in q
 
 
+def test_shards_follow_the_mixed_stream(spark, tmp_path):
+    """Slots follow the written stream, and every shard's prefix the target weights until a source runs out."""
+    sizes = {"hot": 4000, "b": 1500, "c": 1500, "d": 700}
+    rows = [(k, f"{s} {k}" + " x" * (k % 9), s) for s, n in sizes.items() for k in range(10_000 * len(s) + ord(s[0]) * 100_000, 10_000 * len(s) + ord(s[0]) * 100_000 + n)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    path = str(tmp_path / "mixed")
+    corpus_pipeline.mix_sources(spark, docs, "").write.parquet(path)
+    stream = {r.doc_id: r.stream_position for r in spark.read.parquet(path).collect()}
+    assert sorted(stream.values()) == list(range(len(rows)))
+    out = corpus_pipeline.shard(spark, spark.read.parquet(path), "").collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+    share = M.shares(M.damped_weights(sizes))
+    period = sum(share.values())
+    for j in range(R.SHARDS):
+        own = sorted((r.slot, stream[r.doc_id], r.source) for r in out if r.shard == j)
+        assert [x[0] for x in own] == list(range(len(own)))
+        assert [x[1] for x in own] == sorted(x[1] for x in own)
+        done = Counter()
+        for n, (_, _, s) in enumerate(own, 1):
+            done[s] += 1
+            if done[s] >= sizes[s] // R.SHARDS - 1:
+                break
+            assert all(abs(done[x] - n * share[x] / period) < 6 for x in share)
+
+
 @pytest.mark.parametrize("empty", [False, True])
 def test_pipeline_equals_its_operators(spark, tmp_path, empty):
     """run() against the operators applied to plain Python rows; clean documents stay."""
