@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stallboard.session import checkpoint_dir, cut_lineage, ship_package
 
-__all__ = ["read", "utf8", "byte_slices", "checkpointed", "scratch_path", "parallelism",
+__all__ = ["read", "utf8", "byte_slices", "word_table", "packed_words", "checkpointed", "scratch_path", "parallelism",
            "group_ranks", "hash_bound", "connected_components", "ship_package"]
 
 
@@ -48,6 +48,33 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 16
             at = end
 
 
+def word_table(excluded: str) -> np.ndarray:
+    """256 numbers: the byte itself (A-Z lower-cased) where it belongs to a word, else 0.
+
+    ``excluded`` are the ASCII characters that part words (NUL always does); other bytes are
+    letters of longer UTF-8 characters and belong to words."""
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    table[[0, *map(ord, excluded)]] = 0
+    return table
+
+
+def packed_words(offsets: np.ndarray, data: np.ndarray, table: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in order, as one binary array, and the row of each; no word spans two rows."""
+    data = table[data]
+    inside = data != 0
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | edge[1:-1]
+    last = inside.copy()
+    last[:-1] &= ~inside[1:] | edge[1:-1]
+    begin = np.flatnonzero(first)
+    bounds = np.concatenate(([0], np.cumsum(np.flatnonzero(last) + 1 - begin)))
+    words = pa.Array.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[inside])])
+    return words, np.searchsorted(offsets, begin, "right") - 1
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder; later plans start from the written copy."""
     return cut_lineage(df)

@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stallboard.llm import bit_pack, chat_format, decontaminate, html_extract, language_id, mixing, quality_rules, sharding, simhash_dedup, suffix_dedup
+from stallboard.llm import (bit_pack, chat_format, decontaminate, divergence, html_extract, importance, language_id, mixing, quality_rules,
+                            sentence_pieces, sharding, simhash_dedup, suffix_dedup)
 from stallboard.llm.common import group_ranks, parallelism, read, scratch_path
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 PLANTED = r"\### Assistant: </turn> ok"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,6 +114,32 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+@register
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_features, weight, score of every document and the rank of the drawn ones."""
+    ranked = importance.drawn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return ranked.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@register
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: divergence of every (lang, source) group from other sources and of its terms."""
+    return divergence.audit(read(spark, sf_dir, "documents"))
+
+
+@register
+def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every document."""
+    import public_tokenizers
+
+    model = public_tokenizers.path(PIECES)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model).drop("text"), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
+                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @register
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """corpus_pipeline.run over the documents."""
@@ -187,6 +215,62 @@ FROM c GROUP BY conv_id
 """
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LETTERS = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_CRC_STEP = "CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+
+# CRC-32 by its table of 256 entries, folded over the bytes of each distinct word
+ORACLE["op11_importance_resampling"] = f"""
+WITH RECURSIVE steps AS (SELECT CAST(i AS BIGINT) AS i, CAST(i AS BIGINT) AS c, 0 AS k FROM range(256) t(i)
+                         UNION ALL SELECT i, {_CRC_STEP}, k + 1 FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, {_LOWER} AS text FROM documents),
+dw AS (SELECT k, unnest(regexp_extract_all(text, '{_WORD}')) AS w FROM d),
+bw AS (SELECT unnest(regexp_extract_all({_LOWER}, '{_WORD}')) AS w FROM benchmark),
+words AS (SELECT w, hex(encode(w)) AS h FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+coded AS (SELECT w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(CAST(length(h) / 2 AS BIGINT)),
+                 lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+                 lambda c, b: xor(c >> 8, crc.t[xor(c, b) % 256 + 1])), 4294967295) % {importance.BUCKETS} AS b FROM words, crc),
+dc AS (SELECT b, COUNT(*) AS s FROM dw JOIN coded USING (w) GROUP BY b),
+bc AS (SELECT b, COUNT(*) AS t FROM bw JOIN coded USING (w) GROUP BY b),
+total AS (SELECT COALESCE((SELECT SUM(s) FROM dc), 0) AS s, COALESCE((SELECT SUM(t) FROM bc), 0) AS t),
+gain AS (SELECT dc.b, CAST(floor(1000 * ln(((COALESCE(bc.t, 0) + 1)::DOUBLE * (total.s + {importance.BUCKETS})::DOUBLE)
+                / ((dc.s + 1)::DOUBLE * (total.t + {importance.BUCKETS})::DOUBLE))) AS BIGINT) AS g FROM dc LEFT JOIN bc USING (b), total),
+weighed AS (SELECT k, COUNT(*) AS n, CAST(floor(SUM(g) / COUNT(*)) AS BIGINT) AS w FROM dw JOIN coded USING (w) JOIN gain USING (b) GROUP BY k),
+noise AS (SELECT k, doc_id, CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{importance.SEED}:' || COALESCE(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+                 / 4294967296::DOUBLE))) AS BIGINT) AS z FROM d),
+scored AS (SELECT doc_id, COALESCE(n, 0) AS n_features, COALESCE(w, 0) AS weight, COALESCE(w, 0) + z AS score FROM noise LEFT JOIN weighed USING (k)),
+placed AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY n_features >= {importance.MIN_WORDS} ORDER BY score DESC, doc_id NULLS LAST, weight, n_features) AS r,
+                  COUNT(*) OVER (PARTITION BY n_features >= {importance.MIN_WORDS}) AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= {importance.MIN_WORDS} AND r <= n * {importance.DRAWN_PERCENT} // 100 THEN r END AS rank FROM placed
+"""
+
+
+def _share_sql(count: str, total: str) -> str:
+    return f"(1 + (1000000000::HUGEINT * ({count} + 2)) // ({total} + 2 * v))"
+
+
+ORACLE["op12_source_divergence"] = f"""
+WITH d AS (SELECT ROW_NUMBER() OVER () AS k, COALESCE(lang, '') AS lang, COALESCE(source, '') AS source, {_LOWER} AS text FROM documents),
+w AS (SELECT k, lang, source, unnest(regexp_extract_all(text, '{_LETTERS}')) AS term FROM d),
+kept AS (SELECT lang, term, COUNT(*) AS ln FROM w GROUP BY lang, term HAVING COUNT(DISTINCT k) >= {divergence.MIN_DOCS}),
+l AS (SELECT lang, COUNT(*) AS v, SUM(ln) AS lt FROM kept GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+used AS (SELECT lang, source, term, COUNT(*) AS c FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+gt AS (SELECT g.lang, g.source, COALESCE(SUM(c), 0) AS gt FROM g LEFT JOIN used USING (lang, source) GROUP BY g.lang, g.source),
+p AS (SELECT gt.lang, gt.source, kept.term, COALESCE(c, 0) AS c, {_share_sql('COALESCE(c, 0)', 'gt')} AS p, {_share_sql('ln', 'lt')} AS q
+      FROM gt JOIN l USING (lang) JOIN kept USING (lang) LEFT JOIN used USING (lang, source, term)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, COALESCE(SUM(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)), 0) AS value
+          FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source
+          LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term GROUP BY a.lang, a.source, b.source),
+terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE c > 0 AND p > q),
+ranked AS (SELECT lang, source, 'pair' AS part, item, value, ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS r FROM pairs
+           UNION ALL SELECT lang, source, 'term', item, value, ROW_NUMBER() OVER (PARTITION BY lang, source ORDER BY value DESC, item) FROM terms)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(r AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR r <= {divergence.RANKS}
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
