@@ -94,7 +94,8 @@ class Encoder:
     white-space words in order, and ASCII letters may be lower-cased and ASCII punctuation after
     a letter split off beforehand. Each distinct word is encoded once: words are joined by a mark
     that is a word of its own, and the mark's ids part the result again. Words with a mark
-    character are encoded alone."""
+    character are encoded alone. The tokenizer looks for its added tokens before it lower-cases, so
+    texts that hold the characters of one in any case are encoded by the library as they are."""
 
     MARK = "☃"
 
@@ -105,6 +106,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bits = id_bits(self.tokenizer.get_vocab_size())
         self.mark = np.array(self.tokenizer.encode(self.MARK, add_special_tokens=False).ids)
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
@@ -132,6 +134,21 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, document offsets) of the texts, each with the end id appended."""
         # a compact copy first: string kernels misread arrays whose offsets do not begin at 0
+        texts = pa.concat_arrays([texts.cast(pa.large_string()), pa.array([], pa.large_string())]).fill_null("")
+        special = np.zeros(len(texts), bool)
+        for token in self.added:
+            special |= pc.match_substring(texts, token, ignore_case=True).to_numpy(zero_copy_only=False)
+        if not special.any():
+            return self._encode_plain(texts)
+        ids, offsets = self._encode_plain(pc.if_else(pa.array(special), "", texts))
+        rows = np.flatnonzero(special)
+        own = [np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, np.uint32) for k in rows.tolist()]
+        many = np.zeros(len(texts), np.int64)
+        many[rows] = [len(x) for x in own]
+        return (np.insert(ids, np.repeat(offsets[rows], many[rows]), np.concatenate(own)),
+                offsets + np.concatenate(([0], np.cumsum(many))))
+
+    def _encode_plain(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         offsets, data = utf8(texts)
         data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
         texts = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1,

@@ -43,6 +43,16 @@ def test_encoder_equals_the_library():
             assert ids[offsets[k]:offsets[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
 
 
+def test_control_strings_in_any_case():
+    tokenizer = Tokenizer.from_file(PATH)
+    rng = random.Random(11)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftext|>", "<|EndOf", "text|>", "A", "b.", "É", " ", " ", "x<|", "|>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 9))) for _ in range(600)] + [None, "plain Text."]
+    ids, offsets = B.Encoder(PATH).encode(pa.array(texts, pa.string()))
+    for k, text in enumerate(texts):
+        assert ids[offsets[k]:offsets[k + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+
+
 def test_encoder_on_slices():
     """Slices of a string column, with nulls and capitals, as the batches of a large partition are cut."""
     tokenizer = Tokenizer.from_file(PATH)
