@@ -9,9 +9,10 @@ the two meet there and no link is lost. Only distinct fingerprints are replicate
 documents with equal fingerprints are linked by their key.
 
 Nulls and empties: a null or word-less text has fingerprint zero and is linked like any other;
-rows with a null doc_id get the component of their fingerprint (null if no row of that
-fingerprint has an id). Repeated rows are separate rows with equal results. An empty table
-gives an empty result.
+so are rows with a null doc_id: components are taken over fingerprints, and a row's component_id is
+the smallest id in its component (null if no row of it has an id). One doc_id on several texts is
+several rows, which share nothing but the id. Repeated rows are separate rows with equal results.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stallboard.llm.common import checkpointed, connected_components
@@ -56,13 +57,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): signed 64-bit fingerprint of every whole text."""
+    """(doc_id, text_key, fp): a 64-bit hash and the signed 64-bit fingerprint of every whole text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], ["doc_id", "text_key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       text_key().alias("text_key")).mapInArrow(run, "doc_id long, text_key long, fp long")
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 @lru_cache(maxsize=None)
@@ -119,48 +125,52 @@ def anchors(fps: np.ndarray, threshold: int, home: bool) -> tuple[np.ndarray, np
 
 
 def links(nodes: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """(a, b): labels of distinct fingerprints at most ``max_distance`` bits apart.
+    """(a, b): pairs of fingerprints at most ``max_distance`` bits apart, a < b as signed numbers.
 
-    ``nodes`` has one row (fp, label) per distinct fingerprint."""
+    ``nodes`` has one row (fp) per distinct fingerprint."""
     def spread(home: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, batch.num_rows, 20_000):
-                    part = batch.slice(at, 20_000)
-                    fps = part.column(0).to_numpy(zero_copy_only=False)
+                    fps = batch.column(0).slice(at, 20_000).to_numpy(zero_copy_only=False)
                     row, anchor = anchors(fps, max_distance, home)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(anchor), pa.array(fps[row]), part.column(1).take(pa.array(row))],
-                        ["anchor", "fp", "label"])
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[row])], ["anchor", "fp"])
         return run
 
-    homes = nodes.mapInArrow(spread(True), "anchor long, fp long, label long")
-    copies = nodes.mapInArrow(spread(False), "anchor long, fp long, label long").alias("c")
+    own = nodes.select("fp")
+    homes = own.mapInArrow(spread(True), "anchor long, fp long").alias("h")
+    copies = own.mapInArrow(spread(False), "anchor long, fp long").alias("c")
     near = F.bit_count(F.col("h.fp").bitwiseXOR(F.col("c.fp"))) <= max_distance
-    return (copies.join(homes.alias("h"), (F.col("h.anchor") == F.col("c.anchor")) & near
-                        & (F.col("h.label") < F.col("c.label")))
-            .select(F.col("h.label").alias("a"), F.col("c.label").alias("b")))
+    return (copies.join(homes, (F.col("h.anchor") == F.col("c.anchor")) & near & (F.col("h.fp") < F.col("c.fp")))
+            .select(F.col("h.fp").alias("a"), F.col("c.fp").alias("b")))
+
+
+def _classes(nodes: DataFrame, max_distance: int) -> DataFrame:
+    """``nodes`` with ``root``: the smallest fingerprint of each one's component."""
+    roots = connected_components(links(nodes, max_distance), "a", "b")
+    return nodes.join(roots, nodes.fp == roots.node, "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """(doc_id, fingerprint, component_id): whole-corpus near-duplicate classes."""
     fps = checkpointed(fingerprints(docs, shingle))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("label")))
-    roots = connected_components(links(nodes.where("label IS NOT NULL"), max_distance), "a", "b")
-    classes = (nodes.join(roots, nodes.label == roots.node, "left")
-               .select("fp", F.coalesce("root", "label").alias("component_id")))
-    return (fps.join(classes, "fp")
+    classes = checkpointed(_classes(nodes, max_distance))
+    least = classes.groupBy("root").agg(F.min("label").alias("component_id"))
+    return (fps.join(classes.join(least, "root").select("fp", "component_id"), "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, max_distance: int = MAX_DISTANCE) -> DataFrame:
-    """Keeps one document of each class, the one with the smallest doc_id, with all its columns.
-
-    Of repeated rows with that doc_id the one with the smallest text stays; rows without a doc_id
-    cannot be told apart from others and stay."""
-    keep = (near_duplicates(docs, shingle, max_distance).where("component_id = doc_id")
-            .select(F.col("doc_id").alias("__keep")).distinct())
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    with_id = (docs.where("doc_id IS NOT NULL").join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-               .withColumn("__first", first).where("__first = 1").drop("__first"))
-    return with_id.unionByName(docs.where("doc_id IS NULL"))
+    """Keeps one row of each class with all its columns: the smallest by doc_id (rows without one last), then by a
+    hash of the text; of rows that agree in both, one."""
+    fps = checkpointed(fingerprints(docs, shingle))
+    classes = _classes(checkpointed(fps.select("fp").distinct()), max_distance)
+    rank = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "text_key")
+    keep = fps.join(classes, "fp").groupBy("root").agg(F.min(rank).alias("first")).select(
+        "root", F.col("first.doc_id").alias("kept id"), F.col("first.text_key").alias("kept text"))
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       text_key().alias("key"))
+    # repeated rows meet again as one row per task before they are shuffled
+    return (rows.join(keep, F.col("id").eqNullSafe(F.col("kept id")) & (F.col("key") == F.col("kept text")))
+            .groupBy("root").agg(F.first("row").alias("row")).select("row.*"))

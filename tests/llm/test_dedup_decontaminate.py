@@ -78,17 +78,24 @@ def test_near_duplicates_equal_brute_force(spark):
              (2003, "one", "en", "", 1, 1), (2004, "ONE", "en", "", 1, 1), rows[0], (None, rows[0][1], "en", "", 0, 0), (2005, "É é", "en", "", 1, 1)]
     df = spark.createDataFrame(rows, SCHEMA)
     got = S.near_duplicates(df).collect()
-    fps = {r[0]: plain_fingerprint(r[1]) for r in rows if r[0] is not None}
-    want = plain_components(fps)
-    assert len(got) == len(rows)
-    for r in got:
-        if r.doc_id is not None:
-            assert r.fingerprint == f"{fps[r.doc_id]:016x}" and r.component_id == want[r.doc_id]
-    assert {r.component_id for r in got if r.doc_id is None} == {None, want[0]}
+    numbers = [plain_fingerprint(r[1]) for r in rows]
+    root = plain_components(dict(enumerate(numbers)))
+    least = {}
+    for k, r in enumerate(rows):
+        least.setdefault(root[k], []).append(r[0])
+    want = [min((i for i in least[root[k]] if i is not None), default=None) for k in range(len(rows))]
+    assert Counter((r.doc_id, r.fingerprint, r.component_id) for r in got) == Counter(
+        (r[0], f"{f:016x}", w) for r, f, w in zip(rows, numbers, want))
     kept = S.deduplicate(df)
     assert kept.columns == df.columns
-    ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({want[i] for i in want}) and ids.count(None) == 2
+    found = Counter((r.doc_id, r.text) for r in kept.collect())
+    classes = {}
+    for k, r in enumerate(rows):
+        classes.setdefault(root[k], []).append(r)
+    assert sum(found.values()) == len(classes)
+    for own in classes.values():  # the smallest id of each class, once
+        first = min((r[0] for r in own if r[0] is not None), default=None)
+        assert sum(found[(r[0], r[1])] for r in {r[:2]: r for r in own if r[0] == first}.values()) == 1
     assert S.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
@@ -100,9 +107,19 @@ def test_links_are_all_links(spark):
     fps |= {1 << b for b in range(40)}
     fps = sorted(fps)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    nodes = spark.createDataFrame([(f, k) for k, f in enumerate(signed)], "fp long, label long")
-    got = {(r.a, r.b) for r in S.links(nodes).collect()}
-    assert got == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+    got = {(r.a, r.b) for r in S.links(spark.createDataFrame([(f,) for f in signed], "fp long")).collect()}
+    assert got == {(min(signed[a], signed[b]), max(signed[a], signed[b]))
+                   for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 2}
+
+
+def test_one_id_on_two_texts(spark):
+    """A clean text stays although its id also stands on a copy of another document; rows without id link like others."""
+    ships = "the old ships left the harbour before the storm came in from the west " * 4
+    birds = "small birds build their nests high in the trees of the quiet garden every spring " * 4
+    rows = [(0, birds), (1, ships), (1, birds), (None, ships), (None, "alone without an id"), (None, "alone without an id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in S.deduplicate(df).collect()) == [
+        (False, 0, birds), (False, 1, ships), (True, 0, "alone without an id")]
 
 
 def test_connected_components(spark):
