@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stallboard.session import checkpoint_dir, cut_lineage, ship_package
 
-__all__ = ["read", "utf8", "byte_slices", "word_table", "packed_words", "checkpointed", "scratch_path", "parallelism",
+__all__ = ["read", "utf8", "byte_slices", "word_table", "packed_words", "checkpointed", "scratch_path", "remove_path", "parallelism",
            "group_ranks", "hash_bound", "connected_components", "ship_package"]
 
 
@@ -85,6 +85,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Removes a written table of ``scratch_path`` that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Configured number of shuffle partitions: the unit all explicit counts derive from."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -106,15 +112,17 @@ def group_ranks(df: DataFrame, keys: list[str], order: list[Column], spread: Col
     with a third of all rows is numbered by many tasks. The order is (piece, ``order``); a given
     ``piece`` (a number of the row) replaces the hash piece."""
     piece = F.pmod(F.xxhash64(spread), F.lit(parts)) if piece is None else piece
-    cut = df.withColumn("__piece", piece.cast("int"))
-    group = [*keys, "__piece"]
-    local = cut.withColumn("__local", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
-    before = Window.partitionBy(*keys).orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)
-    counts = cut.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    # names that no column has
+    piece_, local_, n_, before_ = (f"{c}_{uuid.uuid4().hex}" for c in ("piece", "local", "n", "before"))
+    cut = df.withColumn(piece_, piece.cast("int"))
+    group = [*keys, piece_]
+    local = cut.withColumn(local_, F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+    before = Window.partitionBy(*keys).orderBy(piece_).rowsBetween(Window.unboundedPreceding, -1)
+    counts = cut.groupBy(*group).agg(F.count(F.lit(1)).alias(n_))
+    offsets = counts.withColumn(before_, F.coalesce(F.sum(n_).over(before), F.lit(0))).drop(n_)
     return (local.join(offsets, group)
-            .withColumn(rank, (F.col("__before") + F.col("__local")).cast("long"))
-            .drop("__piece", "__local", "__before"))
+            .withColumn(rank, (F.col(before_) + F.col(local_)).cast("long"))
+            .drop(piece_, local_, before_))
 
 
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:

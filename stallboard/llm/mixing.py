@@ -1,98 +1,106 @@
 """Operator 6: mixing sources to target weights by Pfair scheduling.
 
-Every source is cut into blocks of ``block_docs`` documents. With integer shares a_s (sum Q)
-made from the target weights, block k of source s may not run before slot floor(k Q / a_s) and
-must have run by slot ceil((k + 1) Q / a_s); earliest deadline first among released blocks
-meets every deadline, so at any slot each source has run within one block of its share. The
-schedule of one period of Q slots repeats, so it is solved once on the driver (its size is the
-number of shares, not of documents) and every block finds its slot by arithmetic. A source
-with less than a period left goes on in its own slots; the period is cut at the slot where an
-empty source would be due, and the others go on with renewed shares: all documents are emitted
-exactly once, and the bound holds until a source is empty, whatever the sizes.
+Every source is cut into blocks of ``block_docs`` documents. In an ideal, endlessly divisible
+stream, all sources that still have blocks run side by side at speeds in proportion to their
+target weights. With sizes n_r and exact rational weights w_r this stream has run
+T(v) = sum over r of min(n_r, w_r v) blocks when a source of weight w has run w v, so block k of
+source s occupies the time from T(k / w_s) to T((k + 1) / w_s). It is released at the floor of the
+first and due by the ceiling of the second; both are integer arithmetic, there is no period and no
+rounded share. Earliest deadline first among the released blocks meets every deadline, so after any
+number of slots each source is less than one block from the ideal stream: from its target until the
+first source is empty, and from the renewed targets of the others afterwards.
+
+The schedule has one small row (source, block, slot, first position) per block. Choosing the next
+block depends on all before it, so one task writes them as a stream, about four seconds per million
+blocks, holding one entry per source; the documents find their rows by a join that Spark plans by
+size. Larger ``block_docs`` make it shorter.
 
 Nulls and empties: null sources form one source of their own (named by ``NO_SOURCE``); null
 texts count like others. Repeated rows are separate documents, ordered among themselves by
 their values. Sources without a target weight get ``default_weight``; weights must be positive.
-An empty table gives an empty result.
+An empty table gives an empty result. Columns of the documents that are called like a result
+column are replaced; other names never clash.
 """
 
 from __future__ import annotations
 
 import heapq
-from bisect import bisect_left
-from collections.abc import Mapping
+from bisect import bisect_right
+from collections.abc import Iterator, Mapping
 from fractions import Fraction
+from itertools import accumulate
+from math import lcm
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from stallboard.llm.common import group_ranks, parallelism
+from stallboard.llm.common import group_ranks, parallelism, scratch_path
 
 BLOCK_DOCS = 16
-PERIOD = 1000
 NO_SOURCE = ""
 POWER = 0.5
-
-
-def shares(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Integer shares of about ``period`` slots by largest remainder, at least 1 each."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    short = period - sum(out.values())
-    for s in sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s))[:max(0, short)]:
-        out[s] += 1
-    return out
-
-
-def edf_period(share: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slot of each block of one period: earliest deadline first among the released blocks."""
-    period = sum(share.values())
-    released = sorted((int(Fraction(k * period, a)), -int(-Fraction((k + 1) * period, a) // 1), s)
-                      for s, a in share.items() for k in range(a))
-    slots: dict[str, list[int]] = {s: [] for s in share}
-    ready: list[tuple[int, str]] = []
-    at = 0
-    for slot in range(period):
-        while at < len(released) and released[at][0] <= slot:
-            heapq.heappush(ready, released[at][1:])
-            at += 1
-        deadline, s = heapq.heappop(ready)
+#: Schedule rows that the writing task holds at once.
+BATCH = 1 << 17
+SCHEDULE = "mix_source string, mix_block long, mix_slot long, first long"
+
+
+class IdealStream:
+    """Times at which the blocks of an endlessly divisible stream begin and end."""
+
+    def __init__(self, sizes: Mapping[str, int], weights: Mapping[str, float]):
+        exact = {s: Fraction(weights[s]) for s in sizes}
+        if any(w <= 0 for w in exact.values()):
+            raise ValueError("target weights must be positive")
+        scale = lcm(*(w.denominator for w in exact.values())) if exact else 1
+        #: weights as integers in the given proportions
+        self.weight = {s: int(w * scale) for s, w in exact.items()}
+        self.ends = sorted((Fraction(sizes[s], self.weight[s]), s) for s in sizes)
+        self.near = [float(v) for v, _ in self.ends]
+        #: blocks of the sources that have ended before each end, and the weight of the others
+        self.ended = list(accumulate((sizes[s] for _, s in self.ends), initial=0))
+        self.running = list(accumulate((-self.weight[s] for _, s in self.ends), initial=sum(self.weight.values())))
+
+    def time(self, source: str, k: int) -> tuple[int, int]:
+        """The time at which ``source`` has run ``k`` blocks, as numerator and denominator."""
+        w = self.weight[source]
+        j = bisect_right(self.near, k / w)
+        # the floating-point place is put right by exact comparisons
+        while j and self.ends[j - 1][0] * w > k:
+            j -= 1
+        while j < len(self.ends) and self.ends[j][0] * w <= k:
+            j += 1
+        return self.ended[j] * w + k * self.running[j], w
+
+    def window(self, source: str, k: int) -> tuple[int, int]:
+        """(release, deadline) of block ``k``: slots from ``release`` on, before ``deadline``."""
+        begin, w = self.time(source, k)
+        end, _ = self.time(source, k + 1)
+        return begin // w, -(-end // w)
+
+
+def edf(sizes: Mapping[str, int], weights: Mapping[str, float]) -> Iterator[tuple[str, int]]:
+    """(source, block) of every slot: earliest deadline first among the released blocks."""
+    sizes = {s: n for s, n in sizes.items() if n}
+    ideal = IdealStream(sizes, weights)
+    coming, ready = [], []
+
+    def wait(s: str, k: int) -> None:
+        if k < sizes[s]:
+            release, deadline = ideal.window(s, k)
+            heapq.heappush(coming, (release, deadline, s, k))
+
+    for s in sizes:
+        wait(s, 0)
+    for slot in range(sum(sizes.values())):
+        while coming and coming[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(coming)[1:])
+        deadline, s, k = heapq.heappop(ready)
         if slot >= deadline:
             raise RuntimeError("a block missed its deadline")
-        slots[s].append(slot)
-    return slots
-
-
-def schedule(blocks: Mapping[str, int], weights: Mapping[str, float], period: int = PERIOD) -> list[tuple]:
-    """(source, first block, blocks in a period, periods, first slot, period length, slots) per phase and source.
-
-    Block ``first + p * n + j`` (p < periods, j < n) runs in slot ``first slot + p * length + slots[j]``."""
-    left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out, slot = [], 0
-    while left:
-        share = shares({s: weights[s] for s in left}, max(period, len(left)))
-        period_slots, length = edf_period(share), sum(share.values())
-        whole = min(left[s] // a for s, a in share.items())
-        if whole:
-            for s, own in period_slots.items():
-                out.append((s, done[s], share[s], whole, slot, length, own))
-                done[s] += share[s] * whole
-                left[s] -= share[s] * whole
-            slot += length * whole
-        # the next period runs up to the slot where a source has no block left
-        end = min((own[left[s]] for s, own in period_slots.items() if left[s] < share[s]), default=0)
-        for s, own in period_slots.items():
-            own = own[:bisect_left(own, end)]
-            if own:
-                out.append((s, done[s], len(own), 1, slot, end, own))
-                done[s] += len(own)
-                left[s] -= len(own)
-        slot += end
-        left = {s: n for s, n in left.items() if n}
-    return out
+        yield s, k
+        wait(s, k + 1)
 
 
 def damped_weights(sizes: Mapping[str, int], power: float = POWER) -> dict[str, float]:
@@ -100,44 +108,59 @@ def damped_weights(sizes: Mapping[str, int], power: float = POWER) -> dict[str,
     return {s: float(n) ** power for s, n in sizes.items()}
 
 
+def write_schedule(spark: SparkSession, sizes: Mapping[str, int], weights: Mapping[str, float], block_docs: int) -> DataFrame:
+    """(mix_source, mix_block, mix_slot, first) of every block, written in the shared folder and read back.
+
+    ``sizes`` are documents per source; ``first`` counts the documents of all slots before."""
+    if any(weights[s] <= 0 for s in sizes):
+        raise ValueError("target weights must be positive")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(b.num_rows for b in batches):
+            return
+        last = {s: -(-n // block_docs) for s, n in sizes.items()}
+        names, blocks, docs = [], [], []
+        slot = first = 0
+
+        def rows() -> pa.RecordBatch:
+            upto = np.cumsum(docs, dtype=np.int64)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(blocks, pa.int64()), pa.array(np.arange(slot, slot + len(docs))),
+                 pa.array(first + upto - docs)], ["mix_source", "mix_block", "mix_slot", "first"])
+
+        for s, k in edf(last, weights):
+            names.append(s)
+            blocks.append(k)
+            docs.append(min(block_docs, sizes[s] - k * block_docs))
+            if len(docs) == BATCH:
+                yield rows()
+                slot, first = slot + BATCH, first + sum(docs)
+                names, blocks, docs = [], [], []
+        yield rows()
+
+    path = scratch_path(spark, "mix-schedule")
+    spark.range(0, 1, 1, 1).mapInArrow(run, SCHEDULE).write.parquet(path)
+    return spark.read.schema(SCHEDULE).parquet(path)
+
+
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_docs: int = BLOCK_DOCS,
-        period: int = PERIOD, power: float = POWER, default_weight: float = 1.0) -> DataFrame:
+        power: float = POWER, default_weight: float = 1.0, prefix: str = "mix_") -> DataFrame:
     """All columns of ``docs`` with ``mix_source``, ``mix_block``, ``mix_slot`` and ``mix_position``.
 
-    ``mix_position`` numbers the whole stream from 0 without gaps. The driver sees one row per
-    source. Within a source documents come in a hash order of their id, so a block is a random draw."""
+    ``mix_position`` numbers the whole stream from 0 without gaps; ``prefix`` replaces ``mix_``. The driver sees
+    one row per source. Within a source documents come in a hash order of their id, so a block is a random draw."""
     spark = docs.sparkSession
-    own = docs.drop("mix_source", "mix_block", "mix_slot", "mix_position")
-    named = own.withColumn("mix_source", F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
-    sizes = {r.mix_source: r.n for r in named.groupBy("mix_source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = docs.drop(*(prefix + c for c in ("source", "block", "slot", "position")))
+    source = F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE))
+    sizes = {r.s: r.n for r in docs.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
     goal = damped_weights(sizes, power) if weights is None else {s: weights.get(s, default_weight) for s in sizes}
-    plan = schedule({s: -(-n // block_docs) for s, n in sizes.items()}, goal, period)
+    schedule = write_schedule(spark, sizes, goal, block_docs)
     parts = max(parallelism(spark), sum(sizes.values()) // 100_000)
-    ranked = group_ranks(named, ["mix_source"], [F.col("doc_id"), F.xxhash64("text")],
-                         F.concat_ws("/", F.col("doc_id").cast("string"), F.col("mix_source")), "__rank", parts)
-    # one row per phase, source and block of a period: at most (2 sources + 1) x period rows
-    rows = [(s, first, first + n * periods, n, j, slot + at, length)
-            for s, first, n, periods, slot, length, slots in plan for j, at in enumerate(slots)]
-    table = F.broadcast(spark.createDataFrame(rows, T.StructType([
-        T.StructField("__s", T.StringType())] + [T.StructField(c, T.LongType()) for c in
-                                                 ("__first", "__end", "__n", "__j", "__slot", "__length")])))
-    block = F.floor(F.col("__rank") / block_docs)
-    slotted = (ranked.withColumn("mix_block", block)
-               .join(table, (F.col("mix_source") == F.col("__s")) & (F.col("mix_block") >= F.col("__first"))
-                     & (F.col("mix_block") < F.col("__end"))
-                     & ((F.col("mix_block") - F.col("__first")) % F.col("__n") == F.col("__j")))
-               .withColumn("mix_slot", F.col("__slot") + F.floor((F.col("mix_block") - F.col("__first")) / F.col("__n"))
-                           * F.col("__length")))
-    # the last block of a source may be short: later slots move up by what it lacks
-    short = []
-    for s, first, n, periods, slot, length, slots in plan:
-        last = -(-sizes[s] // block_docs) - 1
-        if first <= last < first + n * periods and sizes[s] % block_docs:
-            p, j = divmod(last - first, n)
-            short.append((slot + p * length + slots[j], block_docs - sizes[s] % block_docs))
-    lacking = F.lit(0)
-    for slot, n in short:
-        lacking = lacking + F.when(F.col("mix_slot") > slot, n).otherwise(0)
-    position = F.col("mix_slot") * block_docs + F.col("__rank") % block_docs - lacking
-    return slotted.withColumn("mix_position", position.cast("long")).select(
-        *own.columns, "mix_source", "mix_block", "mix_slot", "mix_position")
+    # the row travels as one value, so no name of its columns can clash
+    rows = own.select(F.struct(*(own[c] for c in own.columns)).alias("row"), source.alias("mix_source"))
+    ranked = group_ranks(rows, ["mix_source"], [F.col("row.doc_id"), F.xxhash64("row.text")],
+                         F.concat_ws("/", F.col("row.doc_id").cast("string"), F.col("mix_source")), "rank", parts)
+    placed = ranked.withColumn("mix_block", F.floor(F.col("rank") / block_docs)).join(schedule, ["mix_source", "mix_block"])
+    return placed.select("row.*", F.col("mix_source").alias(prefix + "source"), F.col("mix_block").alias(prefix + "block"),
+                         F.col("mix_slot").alias(prefix + "slot"),
+                         (F.col("first") + F.col("rank") % block_docs).cast("long").alias(prefix + "position"))

@@ -106,7 +106,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("text_crc32"))
     path = scratch_path(spark, "op10")
     old = sharding.write_layout(docs, source_shard(sharding.SHARDS), path)
-    sharding.rewrite(sharding.reshard(old, F.col("shard")).drop("slot"), path)
+    sharding.rewrite(old, path)
     new = sharding.read_layout(spark, path, old.schema).withColumn("old_shard", source_shard(sharding.SHARDS))
     placed = group_ranks(new, ["shard"], [F.col("doc_id"), F.col("text_crc32"), F.col("size")],
                          F.concat_ws("/", "doc_id", "text_crc32"), "slot", max(parallelism(spark) // 4, 1))
