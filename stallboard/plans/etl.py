@@ -2,7 +2,8 @@
 
 A1 read -> B1 keep-first orders -> B3 drop merchant_id from unit lines -> B2 distinct
 quantity lines -> B4/B5/B6 join_date -> B8-B10 audits -> A3 parquet -> A8 view.
-Constraint violations abort the load (``strict=True``), as the relational load does.
+Constraint violations abort the load (``strict=True``), as the relational load does. ``load_and_clean`` replaces
+everything; ``add_load`` adds to published versions (``stores.versions``).
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from stallboard.operators import cleaning as B
 from stallboard.operators import views as V
 from stallboard.session import checkpoint_dir
 from stallboard.sources import files
+from stallboard.stores.keyed import BUCKET, insert_if_absent
+from stallboard.stores.versions import Published
 
 
 def clean_tables(raw: dict[str, DataFrame]) -> dict[str, DataFrame]:
@@ -74,6 +77,38 @@ def load_and_clean(spark: SparkSession, raw_folder: str, out_folder: str, strict
     return view
 
 
+#: Key and order within a batch of the tables whose rows are inserted if absent; every column of
+#: new_transaction_items is its key (the statement inserts distinct rows and the table has none).
+INSERT_KEYS = {
+    "merchants": (["merchant_id"], "merchant_id"),
+    "items": (["item_id"], "item_id"),
+    "keywords": (["id"], "id"),
+    "transaction_data": (["order_id"], "id"),
+    "transaction_items": (["id"], "id"),
+    "new_transaction_items": (["order_id", "merchant_id", "item_id", "quantity"], "order_id"),
+}
+
+
+def add_load(store: Published, tables: dict[str, DataFrame], strict: bool = True) -> int:
+    """K10 as an increment: cleaned tables are inserted where their key is absent, audited as a whole, and
+    published all at once; returns the version. Rows that are stored already stay, so a repeated load changes
+    nothing but the version. A violation (``strict``) or a lost driver leaves the version before in place."""
+    load = store.begin()
+    for name, df in tables.items():
+        keys, order = INSERT_KEYS[name]
+        insert_if_absent(load, name, df, keys, order)
+    if strict:
+        report = audit({name: load.read(name).drop(BUCKET) for name in tables})
+        B.require_clean(report.groupBy().agg(F.sum("violations").alias("violations")), "violations")
+    return load.publish()
+
+
+def published_view(store: Published) -> DataFrame:
+    """The order-line view over one version of all published tables."""
+    tables = {name: df.drop(BUCKET) for name, df in store.snapshot().items()}
+    return V.build_order_lines(tables["new_transaction_items"], tables["transaction_data"], tables["items"], tables["merchants"])
+
+
 def materialize_order_lines(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write the order-line view once, partitioned by order month: time-range jobs (K2's
     look-back, the training cutoff) then prune whole month folders at planning time

@@ -1261,7 +1261,7 @@ def k7_dashboard_bundle(spark, sf_dir):
     return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
 
 
-from stallboard import registry_forms  # noqa: E402, F401 - registers its queries
+from stallboard import registry_forms, registry_stores  # noqa: E402, F401 - register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
