@@ -79,3 +79,24 @@ def best_per_group(df: DataFrame, keys, order) -> DataFrame:
     from pyspark.sql import Window
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+
+
+def running_total(df: DataFrame, keys, order, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``value`` over the earlier rows of the same keys in ``order`` (0 for the first).
+
+    Rows are range-partitioned by (keys, order) and summed inside their partition; the sums of the same keys in the
+    partitions before are added (one row per partition and key in it), so no task holds all rows of a key."""
+    import uuid
+
+    from pyspark.sql import Window
+    keys = list(keys)
+    order = [F.col(o) if isinstance(o, str) else o for o in order]
+    part, inside, before = (f"{c}_{uuid.uuid4().hex}" for c in ("part", "inside", "before"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = cut_lineage(df.repartitionByRange(n, *keys, *order).withColumn(part, F.spark_partition_id()))
+    own = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    sums = (ranged.groupBy(*keys, part).agg(F.sum(value).alias(before))
+            .select(*keys, part, F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before)))
+    return (ranged.withColumn(inside, F.coalesce(F.sum(value).over(own), F.lit(0))).join(sums, [*keys, part])
+            .withColumn(name, F.col(inside) + F.col(before)).drop(part, inside, before))

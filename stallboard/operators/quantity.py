@@ -240,3 +240,34 @@ def pivot_pred_actual(results: DataFrame, items: list) -> DataFrame:
             iid, kind = c.rsplit("_", 1)
             ren[c] = f"item_{iid}_{kind}"
     return g.select(*[F.col(c).alias(ren.get(c, c)) for c in g.columns])
+
+
+PIVOT_WIDTH = 256
+
+
+def item_dictionary(pairs: DataFrame) -> DataFrame:
+    """(merchant_id, item_id, position): a merchant's items in ascending order, numbered from 0."""
+    from stallboard.operators import ordering as G
+    items = pairs.select("merchant_id", "item_id").distinct().withColumn("one", F.lit(1).cast("long"))
+    return G.running_total(items, ["merchant_id"], ["item_id"], "one", "position").select("merchant_id", "item_id", F.col("position").cast("int").alias("position"))
+
+
+def pivot_all_items(results: DataFrame, width: int = PIVOT_WIDTH) -> DataFrame:
+    """E15 / D7 with the columns found in the data: (merchant_id, forecast_date, chunk, items, predicted, actual).
+
+    The columns of a merchant's pivot are its items in ascending order, ``width`` to a row; ``items`` are the
+    ids that the columns ``item_<id>_pred`` and ``item_<id>_actual`` would be named after, ``predicted`` and
+    ``actual`` their values on the day, null where the item has none. No list of items is given and none is lost; a row holds
+    ``width`` items at most, whatever the catalogue."""
+    names = item_dictionary(results).withColumn("chunk", F.floor(F.col("position") / width).cast("int"))
+    columns = names.groupBy("merchant_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("position", "item_id"))).alias("columns"))
+    cells = (results.join(names, ["merchant_id", "item_id"]).groupBy("merchant_id", "forecast_date", "chunk")
+             .agg(F.map_from_entries(F.collect_list(F.struct("item_id", F.struct("forecasted_quantity", "actual_quantity")))).alias("cells")))
+    # days on which none of a chunk's items has a value have a row too, as the pivot has
+    days = results.select("merchant_id", "forecast_date").distinct()
+    rows = days.join(columns, "merchant_id").join(cells, ["merchant_id", "forecast_date", "chunk"], "left")
+
+    def values(kind: str):
+        return F.transform("columns", lambda c: F.element_at(F.col("cells"), c["item_id"])[kind])
+    return rows.select("merchant_id", "forecast_date", "chunk", F.transform("columns", lambda c: c["item_id"]).alias("items"),
+                       values("forecasted_quantity").alias("predicted"), values("actual_quantity").alias("actual"))

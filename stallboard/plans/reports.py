@@ -65,6 +65,37 @@ def chart_payload(monthly: DataFrame, limit: int = 4000) -> DataFrame:
                     T.cut_text("payload", limit).alias("payload_cut"))
 
 
+def payload_pieces(rows: DataFrame, fields: list[str], order: list[str], limit: int = 4000, key: str = "merchant_id") -> DataFrame:
+    """The merchant's rows as JSON text indented by two spaces, in numbered pieces of ``limit`` characters:
+    (merchant_id, piece, text, payload_chars, prompt_text). The pieces joined are the whole text; ``prompt_text``, on piece 1,
+    is what the prompt holds: the text, cut at ``limit`` with the marker if there is more.
+
+    The text is never one value: each row is formatted alone, a running total of the lengths says where it
+    lies in the whole, and it is cut at the piece borders; a piece is put together from the few parts in it."""
+    values = [F.concat(F.lit(f'    "{f}": '), F.coalesce(F.regexp_extract(F.to_json(F.struct(F.col(f).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1), F.lit("")))
+              for f in fields]
+    # a null is left out of Spark's JSON object, and null in the list
+    values = [F.when(F.col(f).isNull(), F.lit(f'    "{f}": null')).otherwise(v) for f, v in zip(fields, values)]
+    one = F.concat(F.lit("  {\n"), F.concat_ws(",\n", *values), F.lit("\n  }"))
+    sized = rows.select(key, *order, one.alias("object")).withColumn("chars", (F.length("object") + 2).cast("long"))
+    placed = G.running_total(sized, [key], order, "chars", "before")
+    whole = sized.groupBy(key).agg((F.sum("chars") + 2).alias("payload_chars"))
+    # "[" and a line break stand before the first object, a comma and a line break before the others; the end closes the list
+    first, last = F.col("before") == 0, F.col("before") + F.col("chars") + 2 == F.col("payload_chars")
+    text = F.concat(F.when(first, "[\n").otherwise(",\n"), F.col("object"), F.when(last, "\n]").otherwise(""))
+    parts = placed.join(whole, key).select(key, "before", "payload_chars", text.alias("text"))
+    start, end = F.col("before"), F.col("before") + F.length("text")
+    cut = parts.withColumn("piece", F.explode(F.sequence(F.floor(start / limit), F.floor((end - 1) / limit))))
+    low = F.greatest(start, F.col("piece") * limit)
+    high = F.least(end, (F.col("piece") + 1) * limit)
+    cut = cut.select(key, "payload_chars", (F.col("piece") + 1).cast("int").alias("piece"), low.alias("at"),
+                     F.substr("text", (low - start + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda x: x["part"]), "")
+    pieces = cut.groupBy(key, "payload_chars", "piece").agg(joined.alias("text"))
+    more = F.when(F.col("payload_chars") > limit, F.lit(T.TRUNCATION_MARKER)).otherwise("")
+    return pieces.select(key, "piece", "text", "payload_chars", F.when(F.col("piece") == 1, F.concat("text", more)).alias("prompt_text"))
+
+
 def dashboard_summary(monthly: DataFrame, recent_items: DataFrame, target: float = 60000.0) -> DataFrame:
     """K7 (history part): months with sales, all-time sales, last-N-day item sales and KPI."""
     m = monthly.groupBy("merchant_id").agg(

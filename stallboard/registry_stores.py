@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallboard.functions.dates import lookback_bounds
-from stallboard.operators import selection
+from stallboard.operators import aggregates as A
+from stallboard.operators import audits, selection
+from stallboard.operators import quantity as Q
 from stallboard.operators import views as V
 from stallboard.plans import customers as PC
-from stallboard.plans import etl
-from stallboard.registry import AS_OF, ITEM_DAYS, K1_SQL, OL, ORACLE, register
+from stallboard.plans import etl, sql_gate
+from stallboard.plans import naive as NV
+from stallboard.plans import reports as R
+from stallboard.registry import AS_OF, ITEM_DAYS, K1_SQL, OL, ORACLE, _r2, register
+from stallboard.registry_forms import D7_SQL, WEEKDAY_SQL, _lines, _weekday
 from stallboard.session import checkpoint_dir
 from stallboard.sources import tables
 from stallboard.stores import keyed, page_index
@@ -201,3 +206,99 @@ def b15_profile_all_columns(spark, sf_dir):
                      "shortest", "longest", "least", "greatest", F.when(kind != "n", F.col("top")).alias("top"), "top_count")
         out = p if out is None else out.unionByName(p)
     return out
+
+
+# ------------------------------------------------------------------ E15 / D7 with all items
+
+@register("e15_pivot_all_items", f"""
+WITH {OL}, {WEEKDAY_SQL}, {D7_SQL},
+pr AS (SELECT fc.merchant_id, fc.item_id, fc.order_date AS forecast_date, {_r2('prediction')} AS p, CAST(d7.daily_quantity_sold AS DOUBLE) AS a
+       FROM fc LEFT JOIN d7 ON d7.merchant_id = fc.merchant_id AND d7.order_date = fc.order_date AND d7.item_id = fc.item_id),
+di AS (SELECT merchant_id, item_id, ROW_NUMBER() OVER (PARTITION BY merchant_id ORDER BY item_id) - 1 AS pos FROM (SELECT DISTINCT merchant_id, item_id FROM pr)),
+days AS (SELECT DISTINCT merchant_id, forecast_date FROM pr)
+SELECT merchant_id, forecast_date, CAST(pos // {Q.PIVOT_WIDTH} AS INTEGER) AS chunk, CAST(to_json(list(item_id ORDER BY pos)) AS VARCHAR) AS items,
+       CAST(to_json(list(p ORDER BY pos)) AS VARCHAR) AS predicted, CAST(to_json(list(a ORDER BY pos)) AS VARCHAR) AS actual
+FROM days JOIN di USING (merchant_id) LEFT JOIN pr USING (merchant_id, forecast_date, item_id) GROUP BY 1, 2, 3
+""")
+def e15_pivot_all_items(spark, sf_dir):
+    """E15 + D7 over every item of every merchant, columns found in the data; lists as JSON text."""
+    pairs = NV.with_actuals(_weekday(spark, sf_dir), A.daily_item_quantity(_lines(spark, sf_dir), by_name=False))
+    got = Q.pivot_all_items(NV.results(pairs))
+    return got.select("merchant_id", "forecast_date", "chunk", *(F.to_json(c).alias(c) for c in ("items", "predicted", "actual")))
+
+
+# ------------------------------------------------------------------ I33 / K8 in pieces
+
+@register("k8_payload_pieces", f"""
+WITH {OL},
+k AS (SELECT order_merchant_id AS merchant_id, item_id, item_name, CAST(SUM(quantity) AS INTEGER) AS total_quantity,
+             CAST(SUM(item_price * quantity) AS DECIMAL(18,2)) AS total_sales FROM order_lines GROUP BY 1, 2, 3),
+o AS (SELECT merchant_id, '[' || chr(10) || string_agg('  {{' || chr(10) || '    "item_name": ' || CAST(to_json(item_name) AS VARCHAR) || ',' || chr(10)
+        || '    "total_quantity": ' || total_quantity || ',' || chr(10) || '    "total_sales": ' || total_sales || chr(10) || '  }}',
+        ',' || chr(10) ORDER BY item_id) || chr(10) || ']' AS payload FROM k GROUP BY merchant_id),
+p AS (SELECT merchant_id, payload, unnest(range(1, CAST(CEIL(length(payload) / 4000) AS BIGINT) + 1)) AS piece FROM o)
+SELECT merchant_id, CAST(piece AS INTEGER) AS piece, substring(payload, 4000 * (piece - 1) + 1, 4000) AS text, length(payload) AS payload_chars,
+       CASE WHEN piece = 1 THEN substring(payload, 1, 4000) || CASE WHEN length(payload) > 4000 THEN chr(10) || '... (data truncated)' ELSE '' END END AS prompt_text
+FROM p
+""")
+def k8_payload_pieces(spark, sf_dir):
+    """The all-time item list of every merchant as indented JSON in pieces of 4000 characters."""
+    sales = A.item_sales(_lines(spark, sf_dir)).withColumn("total_sales", F.col("total_sales").cast("decimal(18,2)"))
+    return R.payload_pieces(sales, ["item_name", "total_quantity", "total_sales"], ["item_id"])
+
+
+# ------------------------------------------------------------------ B9 / B10 by key domain
+
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[dict[str, DataFrame], list[audits.Domain]]:
+    names = ["nation", "customer", "supplier", "part", "orders", "lineitem"]
+    declared = [
+        audits.Domain("orders", "o_orderkey", True, [("lineitem", "l_orderkey")]),
+        audits.Domain("part", "p_partkey", True, [("lineitem", "l_partkey")]),
+        audits.Domain("supplier", "s_suppkey", True, [("lineitem", "l_suppkey")]),
+        audits.Domain("customer", "c_custkey", True, [("orders", "o_custkey")]),
+        audits.Domain("nation", "n_nationkey", True, [("customer", "c_nationkey"), ("supplier", "s_nationkey")]),
+        audits.Domain("lineitem", "l_orderkey,l_linenumber", True),
+    ]
+    return {t: tables.read_table(spark, sf_dir, t) for t in names}, declared
+
+
+def _domain_sql() -> str:
+    declared = [("orders", ["o_orderkey"], [("lineitem", "l_orderkey")]), ("part", ["p_partkey"], [("lineitem", "l_partkey")]),
+                       ("supplier", ["s_suppkey"], [("lineitem", "l_suppkey")]), ("customer", ["c_custkey"], [("orders", "o_custkey")]),
+                       ("nation", ["n_nationkey"], [("customer", "c_nationkey"), ("supplier", "s_nationkey")]), ("lineitem", ["l_orderkey", "l_linenumber"], [])]
+    parts = []
+    for table, keys, children in declared:
+        k = ", ".join(keys)
+        known = " AND ".join(f"{c} IS NOT NULL" for c in keys)
+        parts.append(f"SELECT 'unique {table}:{','.join(keys)}' AS \"check\", COUNT(*) FILTER (WHERE n > 1) AS duplicated_keys, "
+                     f"CAST(COALESCE(SUM(n - 1), 0) AS BIGINT) AS violations FROM (SELECT COUNT(*) AS n FROM {table} WHERE {known} GROUP BY {k})")
+        parts += [f"SELECT 'fk {t}.{c}->{table}.{k}', CAST(NULL AS BIGINT), COUNT(*) FROM {t} WHERE {c} IS NOT NULL AND {c} NOT IN (SELECT {k} FROM {table} WHERE {known})"
+                  for t, c in children]
+    return "\nUNION ALL\n".join(parts)
+
+
+@register("b9_b10_audit_by_key_domain", _domain_sql())
+def b9_b10_audit_by_key_domain(spark, sf_dir):
+    """All unique and foreign-key checks of six tables, one exchange per key domain."""
+    found, declared = _audited(spark, sf_dir)
+    return audits.audit_keys(found, declared=declared)
+
+
+# ------------------------------------------------------------------ A7
+
+@register("a7_checked_sql_text", f"""
+WITH {OL}
+SELECT CAST(to_json({{'item_name': item_name, 'merchants': COUNT(DISTINCT order_merchant_id), 'quantity': CAST(SUM(quantity) AS BIGINT)}}) AS VARCHAR) AS row_json
+FROM order_lines WHERE quantity >= 10 AND order_merchant_id IN (SELECT s_suppkey FROM supplier WHERE s_name > 'Supplier#0') GROUP BY item_name HAVING SUM(quantity) > 20
+""")
+def a7_checked_sql_text(spark, sf_dir):
+    """SQL text over two registered views, let through by its plan, with parameters."""
+    V.register_order_lines(spark, sf_dir)
+    tables.merchants(spark, sf_dir).createOrReplaceTempView("merchants_view")
+    text = """
+        WITH large AS (SELECT item_name, order_merchant_id, quantity FROM combined_order_view WHERE quantity >= :least)
+        SELECT item_name, COUNT(DISTINCT order_merchant_id) AS merchants, SUM(quantity) AS quantity FROM large
+        WHERE order_merchant_id IN (SELECT merchant_id FROM merchants_view WHERE merchant_name > :after)
+        GROUP BY item_name HAVING SUM(quantity) > 20
+    """
+    return sql_gate.rows_json(spark, text, ["combined_order_view", "merchants_view"], {"least": 10, "after": "Supplier#0"})
