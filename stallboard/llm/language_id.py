@@ -3,8 +3,8 @@
 The network reads UTF-8 bytes through one gated recurrent layer per direction and labels every
 byte position with language probabilities; a document's probabilities are the mean over all
 its positions. It is trained in numpy by backpropagation through time on at most
-``train_windows`` windows of ``train_chars`` characters, drawn from hash-chosen places of the
-documents (the draws with the smallest hashes, whatever the corpus size). Prediction reads
+``train_windows`` windows of ``train_chars`` characters, the same number for every language, drawn from
+hash-chosen places of the documents (the draws with the smallest hashes, whatever the corpus size). Prediction reads
 whole texts, cut into windows of ``WINDOW`` bytes; the last window of a longer text is its last ``WINDOW`` bytes, of
 which only the positions not yet labelled count.
 
@@ -15,13 +15,13 @@ alphabetically first language. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stallboard.llm.common import byte_slices, hash_bound, utf8
@@ -35,7 +35,7 @@ DRAWS = 4
 STEPS = 150
 UNDETERMINED = "und"
 MIN_SCORE = 0.3
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass
@@ -173,18 +173,23 @@ def train(windows: list[bytes], labels: list[str], hidden: int = HIDDEN, steps:
 def fit(docs: DataFrame, train_windows: int = TRAIN_WINDOWS, train_chars: int = TRAIN_CHARS) -> Model:
     """Model from a bounded sample of the labelled documents that are not held out.
 
-    ``train_windows`` bounds the rows and ``train_chars`` the characters of each, so the sample
-    stays below a megabyte at any corpus size; each document offers ``DRAWS`` windows and those
-    with the smallest hashes are taken."""
-    text = F.col("text").cast("string")
-    key = F.xxhash64(F.col("doc_id").cast("string"), F.col("__k"))
-    labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    bound = hash_bound(labelled.select("doc_id").count() * DRAWS, train_windows)
-    start = F.pmod(key, F.greatest(F.length(text) - train_chars, F.lit(1))).cast("int") + 1
-    sample = (labelled.withColumn("__k", F.explode(F.sequence(F.lit(1), F.lit(DRAWS))))
-              .where(F.col("text").isNotNull() & (key <= F.lit(bound)))
-              .select(key.alias("k"), F.substring(text, start, F.lit(train_chars)).alias("w"), F.col("lang").cast("string").alias("y"))
-              .where(F.col("w").rlike(r"\p{L}")).orderBy("k", "w", "y").limit(train_windows).collect())
+    Each language gives the same number of windows, ``train_windows`` in all (one each if there are more
+    languages), of ``train_chars`` characters, of which the first ``train_chars`` bytes train; so the sample
+    stays below a megabyte at any corpus size and no language is too rare to be learned. Each document offers
+    ``DRAWS`` windows and those with the smallest hashes within their language are taken."""
+    text, lang = F.col("text").cast("string"), F.col("lang").cast("string")
+    labelled = (docs.where(lang.isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+                .select(F.col("doc_id").cast("string").alias("doc"), lang.alias("y"), text.alias("t")))
+    rows = {r.y: r.n for r in labelled.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
+    each = max(1, train_windows // max(len(rows), 1))
+    spark = docs.sparkSession
+    bounds = F.broadcast(spark.createDataFrame([(y, hash_bound(n * DRAWS, each)) for y, n in rows.items()], "y string, bound long"))
+    drawn = labelled.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(DRAWS)))).withColumn("k", F.xxhash64("doc", "draw"))
+    start = F.pmod(F.col("k"), F.greatest(F.length("t") - train_chars, F.lit(1))).cast("int") + 1
+    windows = (drawn.join(bounds, "y").where(F.col("t").isNotNull() & (F.col("k") <= F.col("bound")))
+               .select("k", "y", F.substring(F.col("t"), start, F.lit(train_chars)).alias("w")).where(F.col("w").rlike(r"\p{L}")))
+    place = F.row_number().over(Window.partitionBy("y").orderBy("k", "w"))
+    sample = windows.withColumn("place", place).where(F.col("place") <= each).orderBy("y", "place").collect()
     return train([r.w.encode()[:train_chars] for r in sample], [r.y for r in sample])
 
 
