@@ -1,46 +1,55 @@
-"""Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
-
-Test items and documents are cut into lower-case words (``\\w+``). The corpus document
-frequency of every item n-gram is counted over all documents; the rarer half of an item's
-n-grams (document frequency at most the item's median) are its seeds. The score of a pair is the
-best local alignment (Smith-Waterman, match 1, mismatch and gap -1) over the item's number of
-words, so that copies with replaced, dropped or inserted words still score. A pair is a leak from
-``MIN_SCORE`` on.
-
-Which pairs and places are aligned is decided without loss: an alignment of m matches and e errors
-has at most e + 1 runs of matches, so a score of m - e leaves at least m - e - 1 pairs of
-neighbouring item words intact, on diagonals (place in the document less place in the item) at
-most (item words - score) apart. Every (document, item) that shares as many word pairs within
-such a band is aligned there. Seeds only shorten this: all of them lie in a whole copy, which is
-aligned around them alone.
-
-The items go to the tasks in blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_CHARS``
-characters, one pass over the documents per block, so what is broadcast is bounded for any
-benchmark. Documents never meet each other and no candidate is capped.
-
-Nulls and empties: null texts have no words. Items with fewer than ``MIN_WORDS`` words cannot
-be told from ordinary text and never match. Repeated rows give repeated results; rows with a
-null doc_id are checked like others. Empty tables: no leaks, and every document is kept.
+r"""Operator 2: benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment.
+
+Test items and documents are cut into lower-case words (``\w+``). The score of a pair is the best
+local alignment (Smith-Waterman, match 1, mismatch and gap -1) over the item's number of words, so
+that copies with replaced, dropped or inserted words still score. A pair is a leak from ``MIN_SCORE`` on.
+
+Seeds that decide, without loss. An alignment of m matches and e errors has at most e + 1 runs of
+matches, so a score of s = m - e leaves at least s - 1 of the item's L - 1 pairs of neighbouring words
+intact. Any L - s + 1 of the pairs therefore hold an intact one. An item's seeds are its L - s + 1 rarest
+pairs, by the number of documents of the whole corpus that hold them; its common pairs are never looked up. A
+document that shares a seed and at least s - 1 of the item's pairs is a candidate. Candidates are aligned
+where s - 1 shared pairs lie within a band of diagonals (place in the document less place in the item) of
+the width that e errors allow.
+
+One pass over the corpus writes, per document, the 64-bit codes of its word pairs that may belong to an
+item. A table of ``TABLE_BITS`` bits, the same for any benchmark, leaves most others out; the joins with
+the items' pairs are exact in the codes. The frequencies, the join of seeds with documents and the
+counting are Spark joins and aggregates, so neither the items nor the candidates pass through the driver. A common pair
+is looked up only if it is among an item's rarest; Spark splits such a key of a join over tasks.
+
+Short items: those with fewer than ``MIN_WORDS`` words leak only as a whole, every word in order (their score is
+1); items of one or two words only into documents that consist of them. Items without words never match.
+
+Nulls and empties: null texts have no words. Repeated document rows give repeated results, repeated items
+one; rows with a null doc_id are checked like others. Empty tables: no leaks, and every document is kept.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NGRAM = 3
+from stallboard.llm.common import byte_slices, checkpointed
+
 MIN_WORDS = 8
 MIN_SCORE = 0.5
-BLOCK_ITEMS = 20_000
-BLOCK_CHARS = 16 << 20
+TABLE_BITS = 1 << 24
+#: Bits of one value of Spark's bitmap aggregate.
+BITMAP = 1 << 15
+#: Parts in which the candidates of one document are aligned.
+CHUNKS = 16
+SLICE_BYTES = 8 << 20
 WORD = re.compile(r"\w+")
+ITEMS = "item_key long, item_id long, words string, n_words int, need int, pairs array<long>"
 LEAKS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -48,135 +57,105 @@ def words(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-@dataclass
-class Block:
-    """Items of one block: ids, word numbers, their n-grams as sorted codes with places, and their
-    word pairs: sorted codes, and the item of each place of code g at ``pair_from[g]:pair_from[g + 1]``."""
-    item_ids: list[int]
-    items: list[np.ndarray]
-    vocabulary: dict[str, int]
-    codes: np.ndarray
-    places: list[list[tuple[int, int]]]
-    lengths: np.ndarray
-    pairs: np.ndarray
-    pair_from: np.ndarray
-    pair_item: np.ndarray
-
-    def grams(self, ids: np.ndarray) -> np.ndarray:
-        """Index in ``codes`` of the n-gram at each position, -1 where it is no item's."""
-        return self._find(ids, self.codes, NGRAM)
-
-    def _find(self, ids: np.ndarray, codes: np.ndarray, length: int) -> np.ndarray:
-        n = len(ids) - length + 1
-        if n <= 0 or not len(codes):
-            return np.empty(0, np.int64)
-        known = ids >= 0
-        at = np.flatnonzero(np.logical_and.reduce([known[k:k + n] for k in range(length)]))
-        code = _codes(ids, at, len(self.vocabulary), length)
-        found = np.full(n, -1, np.int64)
-        place = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
-        ok = codes[place] == code
-        found[at[ok]] = place[ok]
-        return found
-
-    def near(self, ids: np.ndarray, needed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Items with ``needed`` word pairs or more somewhere in the words, and the word pair at each position."""
-        found = self._find(ids, self.pairs, 2)
-        own = np.unique(found[found >= 0])
-        many = self.pair_from[own + 1] - self.pair_from[own]
-        total = int(many.sum())
-        if total < needed.min(initial=total + 1):
-            return np.empty(0, np.int64), found
-        at = np.repeat(self.pair_from[own] - np.cumsum(many) + many, many) + np.arange(total)
-        count = np.bincount(self.pair_item[at], minlength=len(self.items))
-        return np.flatnonzero(count >= needed), found
-
-    def ids(self, text: str | None) -> np.ndarray:
-        get = self.vocabulary.get
-        found = [get(w, -1) for w in words(text)]
-        return np.array(found, np.int64)
-
-
-def _codes(ids: np.ndarray, at: np.ndarray, size: int, length: int = NGRAM) -> np.ndarray:
-    code = np.zeros(len(at), np.int64)
-    for k in range(length):
-        code = code * size + ids[at + k]
-    return code
-
-
-def make_block(rows: list[tuple[int, str]]) -> Block:
-    vocabulary: dict[str, int] = {}
-    item_ids, items = [], []
-    for item_id, text in rows:
-        own = words(text)
-        if len(own) >= MIN_WORDS:
-            item_ids.append(item_id)
-            items.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in own], np.int64))
-    if len(vocabulary) ** NGRAM >= 1 << 63:
-        raise ValueError("too many different words in one block of items; lower BLOCK_ITEMS")
-    where = defaultdict(list)
-    for i, item in enumerate(items):
-        for k, code in enumerate(_codes(item, np.arange(len(item) - NGRAM + 1), len(vocabulary)).tolist()):
-            where[code].append((i, k))
-    codes = np.array(sorted(where), np.int64)
-    owner = np.repeat(np.arange(len(items)), [len(item) - 1 for item in items])
-    pair = np.concatenate([_codes(item, np.arange(len(item) - 1), len(vocabulary), 2) for item in items] or [codes])
-    order = np.argsort(pair, kind="stable")
-    pairs, first = np.unique(pair[order], return_index=True)
-    return Block(item_ids, items, vocabulary, codes, [where[c] for c in codes.tolist()],
-                 np.array([len(item) for item in items], np.int64), pairs, np.append(first, len(pair)), owner[order])
-
-
-def blocks(benchmark: DataFrame) -> Iterator[Block]:
-    """The test items in blocks of bounded size, streamed through the driver one block at a time."""
-    rows: list[tuple[int, str]] = []
-    chars = 0
-    items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text IS NOT NULL")
-    for item_id, text in items.orderBy("item_id", "text").toLocalIterator():
-        if rows and (len(rows) >= BLOCK_ITEMS or chars + len(text) > BLOCK_CHARS):
-            yield make_block(rows)
-            rows, chars = [], 0
-        rows.append((item_id, text))
-        chars += len(text)
-    if rows:
-        yield make_block(rows)
-
-
-def document_frequency(docs: DataFrame, block: Block) -> np.ndarray:
-    """Documents of the whole corpus that hold each n-gram of the block."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def needed_score(n_words: int, min_score: float) -> int:
+    """Least alignment score of a leak: the whole item if it is short, two words at least."""
+    return n_words if n_words < MIN_WORDS else max(2, math.ceil(min_score * n_words - 1e-9))
+
+
+def pair_codes(found: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(code, row) of all pairs of neighbouring words, and of the whole of a text with one or two words."""
+    lens = np.fromiter(map(len, found), np.int64, len(found))
+    coded = pa.array(chain.from_iterable(found), pa.large_string(), size=int(lens.sum())).dictionary_encode()
+    digest = xxhash.xxh64_intdigest
+    known = np.fromiter((digest(w) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    h = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else known
+    row = np.repeat(np.arange(len(found)), lens)
+    mixed = (h[:-1] * np.uint64(0x9E3779B97F4A7C15)) ^ (h[1:] + np.uint64(0x632BE59BD9B4E019))
+    mixed ^= mixed >> np.uint64(29)
+    inside = row[:-1] == row[1:]
+    short = np.flatnonzero((lens > 0) & (lens < 3))
+    first = (np.cumsum(lens) - lens)[short]
+    whole = ~(h[first] * np.uint64(3) + np.where(lens[short] == 2, h[np.minimum(first + 1, max(len(h) - 1, 0))], np.uint64(0)))
+    return np.concatenate((mixed[inside], whole)).view(np.int64), np.concatenate((row[:-1][inside], short))
 
+
+def item_table(benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
+    """One row per different item with words: its words, the score that it needs, and the codes of its pairs in order."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        count = np.zeros(len(own.codes), np.int64)
-        for batch in batches:
-            for text in batch.column(0):
-                grams = own.grams(own.ids(text.as_py()))
-                count[np.unique(grams[grams >= 0])] += 1
-        some = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(count[some])], ["gram", "n"])
-
-    rows = (docs.select(F.col("text").cast("string")).mapInArrow(run, "gram long, n long")
-            .groupBy("gram").agg(F.sum("n").alias("n")).collect())  # one row per n-gram of the block at most
-    df = np.zeros(len(block.codes), np.int64)
+        for batch in byte_slices(batches, "text", SLICE_BYTES):
+            found = [words(t) for t in batch.column(2).to_pylist()]
+            code, row = pair_codes(found)
+            order = np.argsort(row, kind="stable")
+            cut = np.searchsorted(row[order], np.arange(len(found) + 1))
+            # a text of two words has a pair too, but only its whole counts
+            lists = [code[order][a:b][-1:] if len(w) < 3 else code[order][a:b] for w, a, b in zip(found, cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([" ".join(w) for w in found], pa.string()),
+                 pa.array([len(w) for w in found], pa.int32()), pa.array([needed_score(len(w), min_score) for w in found], pa.int32()),
+                 pa.array([x.tolist() for x in lists], pa.list_(pa.int64()))], ["item_key", "item_id", "words", "n_words", "need", "pairs"])
+
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL").distinct()
+    return items.select(F.xxhash64("item_id", "text").alias("item_key"), "item_id", "text").mapInArrow(run, ITEMS).where("n_words > 0")
+
+
+def _bit(pair: Column) -> Column:
+    return F.pmod(pair, F.lit(TABLE_BITS))
+
+
+def bit_table(pairs: DataFrame) -> np.ndarray:
+    """``TABLE_BITS`` flags, set where a pair's code falls; at most 2 MB come to the driver."""
+    bit = _bit(F.col("pair")) + 1
+    rows = pairs.groupBy(F.bitmap_bucket_number(bit).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits")).collect()
+    out = np.zeros(TABLE_BITS, bool)
     for r in rows:
-        df[r.gram] = r.n
-    return df
+        out[(r.k - 1) * BITMAP:r.k * BITMAP] = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+    return out
+
 
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
-def seeds(block: Block, df: np.ndarray) -> dict[int, list[tuple[int, int]]]:
-    """Seed n-gram -> its places (item, position): per item the n-grams not commoner than its median."""
-    by_item = defaultdict(list)
-    for gram, places in enumerate(block.places):
-        for i, k in places:
-            by_item[i].append((gram, k))
-    out = defaultdict(list)
-    for i, own in by_item.items():
-        median = np.median([df[g] for g, _ in own])
-        for g, k in own:
-            if df[g] <= median:
-                out[g].append((i, k))
-    return dict(out)
+
+def document_pairs(docs: DataFrame, table: np.ndarray) -> DataFrame:
+    """(text_key, pair): the different pairs of every document row that may belong to an item."""
+    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.unpackbits(shared.value).view(bool)
+        for batch in byte_slices(batches, "text", SLICE_BYTES):
+            code, row = pair_codes([words(t) for t in batch.column(1).to_pylist()])
+            hit = flags[code & (TABLE_BITS - 1)]
+            code, row = code[hit], row[hit]
+            order = np.lexsort((code, row))
+            code, row = code[order], row[order]
+            new = np.ones(len(code), bool)
+            new[1:] = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(code[new])], ["text_key", "pair"])
+
+    return (docs.where(F.col("text").isNotNull()).select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+            .mapInArrow(run, "text_key long, pair long"))
+
+
+def seeds(items: DataFrame, held: DataFrame) -> DataFrame:
+    """(item_key, pair): the rarest pairs of each item, as many as no leak can do without; ``held`` are the documents' pairs."""
+    frequency = held.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    places = items.select("item_key", F.greatest(F.col("n_words") - F.col("need") + 1, F.lit(1)).alias("many"), F.posexplode("pairs").alias("place", "pair"))
+    rarest = Window.partitionBy("item_key").orderBy(F.coalesce("df", F.lit(0)), "place")
+    return (places.join(frequency, "pair", "left").withColumn("k", F.row_number().over(rarest)).where("k <= many")
+            .where("df IS NOT NULL").select("item_key", "pair").distinct())
+
+
+def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(text_key, item_key) of the texts that share a seed and enough pairs with an item."""
+    pairs = items.select(F.explode("pairs").alias("pair"))
+    held = checkpointed(document_pairs(docs, bit_table(pairs)))
+    meet = checkpointed(held.join(seeds(items, held), "pair").select("text_key", "item_key").distinct())
+    # pairs of the candidates' items that their text holds, place by place
+    places = meet.join(items.select("item_key", F.greatest(F.when(F.col("n_words") < 3, 1).otherwise(F.col("need") - 1), F.lit(1)).alias("least"),
+                                    F.posexplode("pairs").alias("place", "pair")), "item_key")
+    own = held.join(meet.select("text_key").distinct(), "text_key", "left_semi").distinct()
+    return (places.join(own, ["text_key", "pair"]).groupBy("text_key", "item_key", "least").agg(F.count(F.lit(1)).alias("n"))
+            .where("n >= least").select("text_key", "item_key"))
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
@@ -234,69 +213,60 @@ def _band_starts(item_pairs: np.ndarray, found: np.ndarray, needed: int, width:
     return begins[diagonal[needed - 1:] - begins <= width]
 
 
-def document_leaks(block: Block, own_seeds: dict[int, list[tuple[int, int]]], text: str | None,
-                   min_score: float) -> list[tuple[int, float, int, int]]:
-    """(item_id, score, first word, last word) of the items that leak into one text, best place each."""
-    ids = block.ids(text)
-    least = np.ceil(min_score * block.lengths).astype(np.int64)
-    near, found = block.near(ids, least - 1)
-    bands = {}
-    for i in near.tolist():
-        own = block._find(block.items[i], block.pairs, 2)
-        starts = _band_starts(own, found, int(least[i]) - 1, int(block.lengths[i] - least[i]))
-        if starts is None or len(starts):
-            bands[i] = starts
-    if not bands:
-        return []
-    seeded = defaultdict(list)
-    grams = block.grams(ids)
-    for p in np.flatnonzero(grams >= 0).tolist():
-        for i, k in own_seeds.get(int(grams[p]), ()):
-            if i in bands:
-                seeded[i].append(p - k)
+def text_leaks(text: str | None, items: list[tuple[int, str, int]]) -> list[tuple[int, float, int, int]]:
+    """(item_id, score, first word, last word) of the given (item_id, words, needed score) that leak into one text, best place each."""
+    numbers: dict[str, int] = {}
+    wanted = [(item_id, np.array([numbers.setdefault(w, len(numbers)) for w in own.split(" ")], np.int64), need) for item_id, own, need in items]
+    get, size = numbers.get, len(numbers)
+    ids = np.array([get(w, -1) for w in words(text)], np.int64)
+    found = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), ids[:-1] * size + ids[1:], -1)
     out = []
-    for i, starts in bands.items():
-        item, slack = block.items[i], int(block.lengths[i] - least[i]) + 2
-        best = _aligned(item, ids, np.sort(seeded[i]), slack) if i in seeded else (0, 0, -1)
-        if best[0] < len(item):  # no whole copy
-            best = smith_waterman(item, ids) if starts is None else _aligned(item, ids, starts, slack)
-        if best[0] and best[0] >= min_score * len(item):
-            out.append((block.item_ids[i], best[0] / len(item), best[1], best[2]))
+    for item_id, item, need in wanted:
+        n = len(item)
+        if n < 3 and not np.array_equal(ids, item):
+            continue
+        starts = _band_starts(item[:-1] * size + item[1:], found, need - 1, n - need)
+        if starts is not None and not len(starts):
+            continue
+        score, first, last = smith_waterman(item, ids) if starts is None else _aligned(item, ids, starts, n - need + 2)
+        if score >= need:
+            out.append((item_id, score / n, first, last))
     return out
 
 
-def _prepared(docs: DataFrame, benchmark: DataFrame) -> Iterator:
-    for block in blocks(benchmark):
-        own_seeds = seeds(block, document_frequency(docs, block))
-        yield docs.sparkSession.sparkContext.broadcast((block, own_seeds))
+def _with_items(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFrame:
+    """``docs`` (with their ``text``) that are candidates, each with a list ``items`` of (item_id, words, need)."""
+    items = checkpointed(item_table(benchmark, min_score))
+    found = candidates(docs, items).join(items.select("item_key", "item_id", "words", "need"), "item_key")
+    lists = (found.groupBy("text_key", F.pmod("item_key", F.lit(CHUNKS)).alias("chunk"))
+             .agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items")).drop("chunk"))
+    return docs.withColumn("text_key", text_key()).join(lists, "text_key").drop("text_key")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word): one row per document row and leaking item."""
-    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = docs.sparkSession.createDataFrame([], LEAKS)
-    for shared in _prepared(docs, benchmark):
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, own_seeds = shared.value
-            for batch in batches:
-                rows = [(d.as_py(), *leak) for d, t in zip(batch.column(0), batch.column(1))
-                        for leak in document_leaks(block, own_seeds, t.as_py(), min_score)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
-                                                 ["doc_id", "item_id", "score", "first_word", "last_word"])
-        out = out.unionByName(source.mapInArrow(run, LEAKS))
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(d.as_py(), *leak) for d, t, i in zip(*batch.columns)
+                    for leak in text_leaks(t.as_py(), [(x["item_id"], x["words"], x["need"]) for x in i.as_py()])]
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)],
+                                             ["doc_id", "item_id", "score", "first_word", "last_word"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return _with_items(own, benchmark, min_score).select("doc_id", "text", "items").mapInArrow(run, LEAKS)
 
 
 def remove_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, with all their columns, into which no test item leaks."""
-    out = docs
-    for shared in _prepared(docs, benchmark):
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block, own_seeds = shared.value
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index("text"))
-                clean = [not document_leaks(block, own_seeds, t.as_py(), min_score) for t in texts]
-                yield batch.filter(pa.array(clean, pa.bool_()))
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [bool(text_leaks(t.as_py(), [(x["item_id"], x["words"], x["need"]) for x in i.as_py()])) for t, i in zip(batch.column(1), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit, pa.bool_()))], ["name"])
+
+    # texts are told apart by 128 bits here: a clean one must not go for a chance tie
+    name = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")).alias("name")
+    texts = docs.where(F.col("text").isNotNull()).select(name, F.col("text").cast("string").alias("text"))
+    gone = _with_items(texts, benchmark, min_score).select("name", "text", "items").mapInArrow(run, "name string").distinct()
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), name)
+    return rows.join(checkpointed(gone), "name", "left_anti").select("row.*")

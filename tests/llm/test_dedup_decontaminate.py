@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from stallboard.llm import decontaminate as D
 from stallboard.llm import simhash_dedup as S
@@ -178,18 +179,20 @@ def leaking_rows():
         rows.append((k, " ".join(body), "en", "a", 1, 2))
     rows += [(500 + k, " ".join(items[4]) + " .", "en", "b", 1, 2) for k in range(60)]
     planted |= {(500 + k, 4) for k in range(60)}
-    bench = [(i, " ".join(t).upper() + "!") for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "too few words")]
+    bench = [(i, " ".join(t).upper() + "!") for i, t in enumerate(items)] + [(90, None), (91, ""), (92, "too few words!"), (93, "seven"), (94, "words, two")]
     return rows, bench, planted
 
 
-def test_copies_and_edited_copies_are_found(spark, monkeypatch):
+def test_copies_and_edited_copies_are_found(spark):
     rows, bench, planted = leaking_rows()
-    rows += [(900, None, None, None, None, None), (901, "", "en", "a", 1, 2), (902, "too few words", "en", "a", 1, 2), (None, "x y z", "en", "a", 1, 2)]
+    rows += [(900, None, None, None, None, None), (901, "", "en", "a", 1, 2), (902, "here are TOO few words again", "en", "a", 1, 2), (None, "x y z", "en", "a", 1, 2),
+             (903, "too few other words", "en", "a", 1, 2), (904, "Seven.", "en", "a", 1, 2), (905, "seven words, two more", "en", "a", 1, 2), (906, "words two", "en", "a", 1, 2)]
+    planted |= {(902, 92), (904, 93), (906, 94)}  # short items: whole ones only
     df, items = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")
     got = D.leaks(df, items).collect()
     assert {(r.doc_id, r.item_id) for r in got} == planted and all(r.score >= D.MIN_SCORE for r in got)
-    monkeypatch.setattr(D, "BLOCK_ITEMS", 7)
-    assert {(r.doc_id, r.item_id) for r in D.leaks(df, items).collect()} == planted
+    assert {r.item_id: r.score for r in got if r.item_id > 90} == {92: 1.0, 93: 1.0, 94: 1.0}
+    assert len(D.leaks(df, items.unionByName(items)).collect()) == len(got)
     clean = D.remove_leaking(df, items)
     assert clean.columns == df.columns
     left = Counter(r.doc_id for r in clean.collect())
@@ -227,6 +230,21 @@ def test_edits_up_to_the_limit_equal_all_alignments(spark):
     assert {(r.doc_id, r.item_id): r.score for r in D.leaks(df, bench).collect()} == want
 
 
+def test_seeds_are_the_rarest_pairs(spark):
+    """As many seeds as no leak can do without, by the frequency of the pairs over all documents."""
+    item = [f"w{k}" for k in range(12)]
+    docs = [(k, " ".join(item[k % 6:k % 6 + 4])) for k in range(60)] + [(99, "w10 w11")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = D.item_table(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    held = D.document_pairs(df, D.bit_table(items.select(F.explode("pairs").alias("pair"))))
+    frequency = Counter(p for _, t in docs for p in set(zip(t.split(), t.split()[1:])))
+    code = dict(zip(zip(item, item[1:]), items.first().pairs))
+    found = {r.pair for r in D.seeds(items, held).collect()}
+    rarest = sorted(code, key=lambda p: (frequency[p], item.index(p[0])))[:12 - 6 + 1]
+    assert found == {code[p] for p in rarest if frequency[p]}
+    assert {r.pair: r.n for r in held.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).collect() if r.pair in code.values()} == {code[p]: n for p, n in frequency.items()}
+
+
 def test_given_benchmark_passages(spark):
     """Every document that holds a whole item's words leaks, and no other but near copies of one."""
     sf = "/root/testdata/sf0.01"
