@@ -7,15 +7,19 @@ cut suffixes.
 Cover sample. A perfect difference set modulo ``V`` has 17 residues and holds every difference:
 for any two places i, j there is one d < V with i + d and j + d both in the sample. If the
 strings at i and j agree on ``LENGTH`` bytes, the sample suffixes at i + d and j + d agree on
-``DEPTH`` = LENGTH - V + 1 bytes. The sample suffixes (one place in 16) are therefore ranked
-first, bucket by bucket: a bucket holds the sample suffixes whose key begins with the same
-bits and is sorted on its own. Only places within reach of a tied sample suffix can be long
-ties; all other suffixes are settled by their sample ranks and are never moved.
+``DEPTH`` = LENGTH - V + 1 bytes. The sample suffixes (one place in 16), cut at DEPTH bytes, are
+therefore sorted first, bucket by bucket: a bucket holds the sample suffixes whose key begins with the
+same bits and is sorted on its own. Only places within reach of a tied sample suffix can be long
+ties; all other suffixes are settled by the sample and are never moved.
 
 Blockwise sort. The remaining suffixes are again sorted one bucket at a time, by a 64-bit key of
 their ``LENGTH`` bytes and then by a second, independent key: equal keys are long ties. A bucket
-answers a block with one bit per suffix, in the order in which the block sent them. (The bytes of two suffixes are rarely on one machine, so a bucket compares fixed-width keys of
-the cut suffixes where a shared-memory sorter would compare the bytes before the sample.)
+answers a block with one bit per suffix, in the order in which the block sent them.
+
+Keys instead of ranks. A shared-memory sorter numbers the sample suffixes by rank and compares the bytes
+of two suffixes before it. Here the bytes of two suffixes are rarely on one machine, and only equality
+matters, so no rank is kept: suffixes are compared by fixed-width keys of their bytes (polynomial hashes), and the
+order of a bucket is that of its keys. Equal keys (64 + 16 bits and the bucket) are taken for equal strings.
 
 Documents lie in blocks by a hash of their id. A block sends each key once however often it
 holds it, so a string that occurs in a third of all documents is one row per block. Exact copies
@@ -23,7 +27,9 @@ of a text take no part beyond their smallest row.
 
 Nulls and empties: null counts as empty: no bytes, nothing removed. A text shorter than LENGTH
 keeps all bytes. Repeated rows are copies of each other. Rows with a null doc_id take part like
-others. An empty table gives an empty result.
+others. An empty table gives an empty result. A very long text is worked on in pieces of ``PIECE_BYTES``
+that overlap by LENGTH - 1 bytes, so that each string starts in one of them. ``text`` is what is left of a text;
+bytes of a character that was cut through become U+FFFD there (``kept_sha256`` is of the bytes themselves).
 """
 
 from __future__ import annotations
@@ -44,8 +50,9 @@ LENGTH = 400
 V = 273
 BLOCK_BYTES = 4 << 20
 BUCKET_ENTRIES = 1 << 20
+PIECE_BYTES = 1 << 20
 BASE = (0x9E3779B97F4A7C15 | 5, 0xD1B54A32D192ED03 | 5)
-RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string"
 
 
 def difference_cover(v: int = V, size: int = 17) -> np.ndarray:
@@ -246,6 +253,11 @@ def _sort_bucket(kind: int, key_type: type, second_type: type):
     return run
 
 
+def pieces(data: np.ndarray, length: int, size: int = PIECE_BYTES) -> list[np.ndarray]:
+    """Parts of a text such that every ``length``-byte string starts in exactly one, ``size`` strings in each but the last."""
+    return [data[at:at + size + length - 1] for at in range(0, len(data) - length + 1, size)]
+
+
 def covered(size: int, starts: np.ndarray, length: int) -> np.ndarray:
     """Bytes covered by the windows that start at ``starts``."""
     mark = np.zeros(size + 1, np.int32)
@@ -254,8 +266,8 @@ def covered(size: int, starts: np.ndarray, length: int) -> np.ndarray:
     return np.cumsum(mark[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row of ``docs``."""
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, text) of every row of ``docs``; ``text`` is what is left."""
     spark = docs.sparkSession
     if length < V:
         raise ValueError(f"length must be at least {V}")
@@ -288,9 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         return texts.groupBy("block").cogroup(notes.repartition(n, "block").groupBy("block")).applyInPandas(fn, schema)
 
     def taking_part(rows: pd.DataFrame, notes: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
-        """All rows (doc_id, bytes, status), and the bytes of those whose suffixes are sorted."""
+        """All rows (doc_id, bytes, status), and the pieces of those whose suffixes are sorted."""
         every = list(_text_rows(rows, _status(notes)))
-        return every, [data for _, data, state in every if state < 2 and len(data) >= length]
+        return every, [part for _, data, state in every if state < 2 for part in pieces(data, length, piece_bytes)]
 
     def send_samples(key: tuple, rows: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
         return sample_entries(taking_part(rows, notes)[1], length, sample_buckets)[0].rows(int(key[0]))
@@ -311,13 +323,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
         for doc_id, data, state in every:
             size = len(data)
             gone = np.zeros(size, bool)
-            if size >= length:
-                gone = covered(size, next(starts), length) if state < 2 else ~gone
-                if state == 1:
-                    gone[:] = True
+            if state < 2:
+                own_starts = [at + next(starts) for at in range(0, size - length + 1, piece_bytes)]
+                if own_starts:
+                    gone = covered(size, np.concatenate(own_starts), length)
+            if state:
+                gone[:] = True
             edges = np.diff(np.concatenate(([0], gone.view(np.int8), [0])))
-            out.append((doc_id, size, int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(data[~gone].tobytes()).hexdigest()))
-        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            left = data[~gone].tobytes()
+            out.append((doc_id, size, int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(left).hexdigest(), left.decode(errors="replace")))
+        frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
         return frame.astype({"doc_id": "Int64"})
 
     sample_ties = (with_notes(status, send_samples, ENTRIES).groupBy("bucket")

@@ -23,7 +23,7 @@ def brute(rows, length=S.LENGTH):
                 gone[i:i + length] = True
         edges = np.diff(np.concatenate(([0], gone.astype(int), [0])))
         kept = bytes(b for b, g in zip(d, gone) if not g)
-        out.append((r[0], len(d), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        out.append((r[0], len(d), int(gone.sum()), int((edges == 1).sum()), hashlib.sha256(kept).hexdigest(), kept.decode(errors="replace")))
     return sorted(out, key=str)
 
 
@@ -68,6 +68,16 @@ def test_longer_strings(spark, rows):
     assert sorted(map(tuple, got), key=str) == brute(rows, 500)
 
 
+def test_long_texts_in_pieces(spark, rows):
+    """Texts cut into pieces of 300 strings, also of exactly one and two pieces; matches cross the cuts."""
+    more = rows + [(900 + n, rows[-2][1] + word_text(random.Random(8), 80).encode()[:n].decode(errors="ignore"), 0, "") for n in (99, 100, 101, 399, 400, 401)]
+    for length in (S.LENGTH, 401):
+        got = S.remove_repeats(spark.createDataFrame(more, SCHEMA), length=length, block_bytes=5000, piece_bytes=300).collect()
+        assert sorted(map(tuple, got), key=str) == brute(more, length)
+    data = np.arange(1700) % 251
+    assert [len(p) for p in S.pieces(data, 400, 300)] == [699, 699, 699, 699, 500] and not S.pieces(data[:399], 400, 300)
+
+
 def test_text_buffer_is_read_once(spark, rows):
     """The three passes share one exchange of the texts."""
     df = S.remove_repeats(spark.createDataFrame(rows, SCHEMA))
