@@ -41,8 +41,9 @@ from stallboard.llm.common import byte_slices
 #: Fixed value: the mark that SentencePiece writes for a space.
 SPACE = "▁"
 SLICE_BYTES = 4 << 20
-REMEMBERED_SEGMENTS = 1_000_000
-REMEMBERED_PAIRS = 4_000_000
+#: Segments and pairs of tokens that a worker remembers; beyond that it starts anew.
+REMEMBERED_SEGMENTS = 250_000
+REMEMBERED_PAIRS = 250_000
 NEVER = 1 << 62
 
 
@@ -51,9 +52,8 @@ class PieceTable:
 
     def __init__(self, path: str):
         import ahocorasick
-        import sentencepiece
 
-        self.library = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.library = library(path)
         self._check(self.library)
         lib, size = self.library, self.library.vocab_size()
         normal = [k for k in range(size) if not (lib.is_control(k) or lib.is_unknown(k) or lib.is_byte(k))]
@@ -232,6 +232,13 @@ def _neighbour_hash(points: np.ndarray) -> np.ndarray:
     return mixed >> np.uint32(10)
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path)
+
+
 @lru_cache(maxsize=2)
 def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
@@ -256,12 +263,11 @@ def decode(coded: DataFrame, model: str) -> DataFrame:
     own = coded.drop("decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = piece_table(model).library
+        decoder = library(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                lists = [x or [] for x in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([library.decode(x) for x in lists], pa.string())],
-                                                 [*part.schema.names, "decoded"])
+            for at in range(0, batch.num_rows, 100):
+                part = batch.slice(at, 100)
+                texts = [decoder.decode(x.as_py() or []) for x in part.column("ids")]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("decoded", T.StringType())]))

@@ -183,7 +183,7 @@ def test_spark_encoding_and_decoding(spark, model):
     texts = odd_texts()
     frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, ids string").repartition(3)
     got = {r.doc_id: r for r in sentence_pieces.decode(sentence_pieces.encode(frame, model), model).collect()}
-    library = sentence_pieces.piece_table(model).library
+    library = sentence_pieces.library(model)
     for k, t in enumerate(texts):
         ids = library.encode(t or "")
         assert got[k].ids == ids and got[k].decoded == library.decode(ids) and got[k].text == t
