@@ -15,9 +15,12 @@ The common words are found exactly: a Misra-Gries summary per task and a two-lev
 every word that can reach the share (its size is bounded by 1 / share, not by the corpus), a
 second pass counts those words over all documents, and the reference takes those that do reach it.
 
+A language with fewer than ``MIN_REFERENCE_DOCS`` documents or ``MIN_REFERENCE_WORDS`` words is no reference: a
+document would mostly be compared with itself.
+
 Nulls and empties: null texts have no words and fail the base rules. A document with a null or
-unknown language is compared with every reference and takes the smallest distances; with no
-reference at all the divergence tests are passed. Repeated rows count as often as they occur.
+unknown language, or one without reference, is compared with every reference and takes the smallest distances;
+with no reference at all the divergence tests are passed. Repeated rows count as often as they occur.
 An empty table gives an empty result.
 """
 
@@ -44,6 +47,8 @@ MAX_REPEAT = 20
 COMMON_SHARE = 0.002
 MIN_CHARS = 150
 MIN_HISTOGRAM_WORDS = 40
+MIN_REFERENCE_DOCS = 10
+MIN_REFERENCE_WORDS = 1000
 MAX_CHAR_DISTANCE = 0.28
 MAX_WORD_DISTANCE = 0.45
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -146,22 +151,25 @@ class References:
 
 
 def fit(docs: DataFrame) -> References:
-    """References of every language in ``docs``, counted over all its documents."""
+    """References of every language in ``docs`` with enough documents and words, counted over all its documents."""
     spark = docs.sparkSession
     source = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary: dict[str, Counter] = {}
         chars: dict[str, np.ndarray] = {}
+        docs_of: Counter = Counter()
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 chars[lang] = chars.get(lang, 0) + char_histogram(text)
+                docs_of[lang] += 1
                 own = summary.setdefault(lang, Counter())
                 own.update(letter_words(text))
                 if len(own) > 200_000:
                     summary[lang] = summarize(own)
         rows = [(lang, w, n) for lang, own in summary.items() for w, n in summarize(own).items()]
         rows += [(lang, None, int(n) * CLASSES + k) for lang, c in chars.items() for k, n in enumerate(c)]
+        rows += [(lang, "", n) for lang, n in docs_of.items()]  # documents, under the empty word
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()),
                                           pa.array([r[2] for r in rows], pa.int64())], ["lang", "word", "n"])
 
@@ -181,7 +189,8 @@ def fit(docs: DataFrame) -> References:
     cells = found.where("word IS NULL").select("lang", (F.col("n") % CLASSES).cast("int").alias("k"), F.floor(F.col("n") / CLASSES).alias("n"))
     for r in cells.groupBy("lang", "k").agg(F.sum("n").alias("n")).collect():  # languages x classes rows
         chars.setdefault(r.lang, np.zeros(CLASSES))[r.k] = r.n
-    merged = (found.where("word IS NOT NULL").select("lang", "part", "word", "n")
+    documents = {r.lang: r.n for r in found.where("word = ''").groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    merged = (found.where("word <> ''").select("lang", "part", "word", "n")
               .groupBy("lang", "part").applyInPandas(merge, schema).groupBy("lang").applyInPandas(merge, schema))
     candidates: dict[str, set[str]] = {}
     for r in merged.collect():  # at most KEPT_COUNTERS words per language
@@ -209,6 +218,8 @@ def fit(docs: DataFrame) -> References:
     out = References({}, {}, {})
     for lang, c in chars.items():
         total = exact.get(lang, {}).pop(None, 0)
+        if documents[lang] < MIN_REFERENCE_DOCS or total < MIN_REFERENCE_WORDS:
+            continue
         common = sorted((w for w, n in exact.get(lang, {}).items() if n >= COMMON_SHARE * total), key=lambda w: (-exact[lang][w], w))
         share = np.array([exact[lang][w] for w in common] + [0.0])
         share[-1] = total - share.sum()

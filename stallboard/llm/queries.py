@@ -73,7 +73,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document, and the text that is left."""
     return suffix_dedup.remove_repeats(read(spark, sf_dir, "documents"))
 
 
@@ -159,7 +159,9 @@ _CLASSES = (r"\p{Ll}", r"\p{Lu}", r"\p{Lt}\p{Lm}\p{Lo}\p{M}", r"\p{N}", r"\p{Z}\
 _COUNTS = [f"length(regexp_replace(text, '[^{c.replace(chr(39), chr(39) * 2)}]', '', 'g'))" for c in _CLASSES]
 
 ORACLE["op4_quality_rules"] = f"""
-WITH d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, lang, COALESCE(text, '') AS text FROM documents),
+WITH known AS (SELECT lang FROM documents WHERE lang IS NOT NULL AND text IS NOT NULL GROUP BY lang HAVING COUNT(*) >= {quality_rules.MIN_REFERENCE_DOCS}
+               AND SUM(len(regexp_extract_all(lower(text), '\\p{{L}}+|[^\\p{{L}}\\p{{N}}_\\s]+'))) >= {quality_rules.MIN_REFERENCE_WORDS}),
+d AS (SELECT ROW_NUMBER() OVER () AS k, doc_id, CASE WHEN lang IN (SELECT lang FROM known) THEN lang END AS lang, COALESCE(text, '') AS text FROM documents),
 w AS (SELECT k, lang, text, doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS ws FROM d),
 u AS (SELECT k, len(ws) AS n, unnest(range(1, len(ws) - {quality_rules.WINDOW - 2})) AS i, ws FROM w WHERE len(ws) >= {quality_rules.WINDOW}),
 g AS (SELECT k, i, COUNT(*) OVER (PARTITION BY k, list_slice(ws, i, i + {quality_rules.WINDOW - 1})) AS c FROM u),

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from stallboard.llm import language_id as L
 from stallboard.llm import quality_rules as Q
@@ -78,6 +79,18 @@ def test_held_out_accuracy(spark, sf_dir):
     assert kept.columns == df.columns and {-1, -2, -3}.isdisjoint(r.doc_id for r in kept.collect())
 
 
+def test_rare_languages_are_learned(spark):
+    """A language with one labelled document in thousands is in the model; texts without a letter are undetermined."""
+    rng = random.Random(12)
+    common = [(k, " ".join(rng.choice(["the", "of", "and", "house"]) for _ in range(30)), "en") for k in range(4000)]
+    rare = [(10_000 + k, "κείμενο σε άλλη γλώσσα " * 6, "el") for k in range(5)]
+    df = spark.createDataFrame(common + rare, "doc_id long, text string, lang string")
+    model = L.fit(df, train_windows=60)
+    assert model.langs == ["el", "en"]
+    langs, score = L.predict_batch(model, pa.array(["½ ² ① 123", "_", "", None, rare[0][1], common[0][1]], pa.string()))
+    assert langs[:4] == ["und"] * 4 and langs[4:] == ["el", "en"] and (score[:4] == 0).all()
+
+
 def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, "abc", None, "a", 1, "")], SCHEMA)
     assert [(r.lang_pred, r.score) for r in L.predict(df, L.fit(df)).collect()] == [("und", 0.0)]
@@ -130,6 +143,9 @@ def test_references_and_verdicts(spark, sf_dir):
         texts = [r[1] for r in rows if r[2] == lang and r[1] is not None]
         count = Counter(w for t in texts for w in Q.letter_words(t))
         total = sum(count.values())
+        if len(texts) < Q.MIN_REFERENCE_DOCS or total < Q.MIN_REFERENCE_WORDS:
+            assert lang not in refs.chars
+            continue
         assert {w: n / total for w, n in count.items() if n >= Q.COMMON_SHARE * total} == {w: refs.words[lang][k] for w, k in refs.cells[lang].items()}
         chars = sum(Q.char_histogram(t) for t in texts)
         assert np.allclose(refs.chars[lang], chars / chars.sum())
@@ -145,6 +161,15 @@ def test_references_and_verdicts(spark, sf_dir):
     assert by_id[-1].n_words == 0 and by_id[-1].base_failed and by_id[-5].n_words == 30_000
 
 
+def test_a_rare_language_is_no_reference(spark, sf_dir):
+    """Junk as the only document of its language is judged like junk of a known one."""
+    _, df = documents(spark, "/root/testdata/sf0.01")
+    junk = "# $ % & * | " * 60
+    more = df.unionByName(spark.createDataFrame([(90_001, junk, "xx", None, None, None), (90_002, junk, "en", None, None, None)], SCHEMA).select(*df.columns))
+    got = {r.doc_id: r for r in Q.judge(more, Q.fit(more)).where("doc_id > 90000").collect()}
+    assert got[90_001].char_distance > Q.MAX_CHAR_DISTANCE and not got[90_001].kept and not got[90_002].kept
+
+
 def test_no_documents(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert Q.judge(empty, Q.fit(empty)).collect() == []
