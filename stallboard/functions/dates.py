@@ -72,6 +72,16 @@ def seconds_between(start, end) -> Column:
     return F.timestamp_diff("SECOND", _c(start), _c(end))
 
 
+def order_durations(df):
+    """I10 over orders with their four times: seconds to the driver's arrival, from there to pickup, from there to
+    delivery; null where either time is missing."""
+    return df.withColumns({
+        "time_to_arrive": seconds_between("order_time", "driver_arrival_time"),
+        "wait_to_pickup": seconds_between("driver_arrival_time", "driver_pickup_time"),
+        "delivery_duration": seconds_between("driver_pickup_time", "delivery_time"),
+    })
+
+
 def start_of_day(ts) -> Column:
     """Midnight of a date or timestamp, as a zone-less timestamp."""
     return F.date_trunc("DAY", _c(ts).cast("timestamp_ntz"))

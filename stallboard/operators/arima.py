@@ -516,11 +516,11 @@ def forecast_rows(fits: DataFrame, series: DataFrame, keys=("merchant_id",), dat
 
 
 def holdout_rows(fits: DataFrame, series: DataFrame, keys=("merchant_id",), date_col: str = "order_date") -> DataFrame:
-    """Pair the h-th forecast with the h-th held-out row (positional), giving the actual."""
+    """Pair the h-th forecast with the h-th held-out row (positional), giving the actual. Every held-out row
+    of every model stays: where a merchant has no forecast (``too_short``) it is null."""
     keys = list(keys)
     test = (series.where(~F.col("is_train"))
             .withColumn("h", F.col("t") - (F.col("n_total") - F.count(F.lit(1)).over(Window.partitionBy(*keys)))))
-    ex = fits.select(*keys, "model", "method", F.posexplode("forecast").alias("_h0", "forecast"))
-    return (ex.withColumn("h", F.col("_h0") + 1).drop("_h0")
-              .join(test.select(*keys, "h", F.col(date_col).alias("forecast_date"), F.col("y").alias("actual")),
-                    keys + ["h"]))
+    held = test.select(*keys, F.col("h").cast("int").alias("h"), F.col(date_col).alias("forecast_date"), F.col("y").alias("actual"))
+    return (held.join(fits.select(*keys, "model", "method", F.col("forecast").alias("_all")), keys)
+            .select(*keys, "model", "method", "h", "forecast_date", F.get("_all", F.col("h") - 1).alias("forecast"), "actual"))

@@ -44,13 +44,13 @@ def revenue_forecast(daily: DataFrame, horizon: int = 30, holdout: int = 30,
 
 def historical_evaluation(fits: DataFrame, series: DataFrame) -> DataFrame:
     """The held-out rows predicted by the train fit, with the API's deviation (I23) and
-    five-way label (I25), rounded to 2."""
+    five-way label (I25), rounded to 2; no deviation and no label where a merchant has no forecast."""
     ho = AR.holdout_rows(fits, series)
     return ho.select("merchant_id", "model", "h", "forecast_date",
                      N.round2("forecast").alias("forecasted_revenue"),
                      N.round2("actual").alias("total_revenue"),
                      N.round2(L.deviation_api("forecast", "actual")).alias("deviation_pct"),
-                     L.label5(F.col("forecast") - F.col("actual"), F.col("actual")).alias("label"))
+                     F.when(F.col("forecast").isNotNull(), L.label5(F.col("forecast") - F.col("actual"), F.col("actual"))).alias("label"))
 
 
 def notebook_evaluation(fits: DataFrame, series: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def notebook_evaluation(fits: DataFrame, series: DataFrame) -> DataFrame:
                      N.round2("forecast").alias("forecasted_revenue"),
                      N.round2("actual").alias("total_revenue"),
                      N.round2(L.deviation_nb("actual", "forecast")).alias("deviation_pct"),
-                     L.label3(F.col("actual") - F.col("forecast"), F.col("forecast")).alias("label"))
+                     F.when(F.col("forecast").isNotNull(), L.label3(F.col("actual") - F.col("forecast"), F.col("forecast"))).alias("label"))
 
 
 def grid_search(daily: DataFrame, holdout: int = 30, orders=None) -> DataFrame:

@@ -54,9 +54,3 @@ def results(pairs: DataFrame) -> DataFrame:
     """J17 over (prediction, daily_quantity_sold) pairs."""
     return Q.holdout_results(pairs)
 
-
-def deviations(pairs: DataFrame) -> DataFrame:
-    """I24 and I28 beside the pair."""
-    actual, forecast = F.col("daily_quantity_sold"), F.col("prediction")
-    return pairs.select("merchant_id", "item_id", "order_date", N.round2(L.deviation_nb(actual, forecast)).alias("deviation_pct"),
-                        L.label3_inclusive(actual - forecast, forecast).alias("label"))

@@ -335,10 +335,14 @@ def b12_coerced_props(spark, sf_dir):
                     B.coerce_numeric(F.regexp_extract("props", "[0-9]+", 0)).alias("digits"))
 
 
-@register("b13_dtype_null_audit", """
-SELECT * FROM (VALUES ('o_orderkey', 'bigint'), ('o_orderdate', 'timestamp_ntz'), ('o_totalprice', 'double'), ('o_orderpriority', 'string')) v(column_name, data_type),
-  (SELECT CAST(0 AS BIGINT) AS null_count)
-""")
+def _dtype_sql() -> str:
+    """Types as DuckDB tells them of the stored columns, in Spark's names."""
+    names = "CASE typeof({c}) WHEN 'BIGINT' THEN 'bigint' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' END"
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, {names.format(c=f'ANY_VALUE({c})')} AS data_type, COUNT(*) - COUNT({c}) AS null_count FROM orders"
+                              for c in ("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"))
+
+
+@register("b13_dtype_null_audit", _dtype_sql())
 def b13_dtype_null_audit(spark, sf_dir):
     return B.dtype_null_audit(tables.read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice", "o_orderpriority"))
 

@@ -78,6 +78,20 @@ def test_holdout_rows_pair_positions(spark):
     assert np.allclose([r["actual"] for r in ho], y[90:])
 
 
+def test_short_merchants_keep_their_held_out_rows(spark):
+    """A merchant with 25 trading days has no forecast: its rows stay, without deviation and label."""
+    from stallboard.plans import forecasts as PF
+    y = 50 + np.cumsum(np.random.default_rng(2).normal(size=120))
+    s = AR.index_series(_series(spark, {"long": y, "short": y[:25]}), "total_revenue", holdout=30)
+    fits = AR.fit_forecast(s, [AR.ARIMA_111], 30)
+    for evaluate in (PF.historical_evaluation, PF.notebook_evaluation):
+        got = evaluate(fits, s).collect()
+        assert sorted(r.h for r in got if r.merchant_id == "long") == list(range(1, 31))
+        short = [r for r in got if r.merchant_id == "short"]
+        assert len(short) == 25 and all(r.forecasted_revenue is None and r.label is None and r.total_revenue is not None for r in short)
+        assert all(r.label is not None for r in got if r.merchant_id == "long")
+
+
 def test_sarimax_with_exog(spark):
     import datetime as dt
     rng = np.random.default_rng(9)
