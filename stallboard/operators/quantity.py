@@ -120,6 +120,17 @@ def name_map(daily: DataFrame) -> DataFrame:
         F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"))
 
 
+def horizon_items(daily_train: DataFrame) -> DataFrame:
+    """The items seen in training with display name (D8), key and levels, in one aggregate per item."""
+    y = F.col("daily_quantity_sold").cast("double")
+    merchant = daily_train.groupBy("merchant_id").agg(F.avg(y).alias("merchant_level"))
+    name = F.coalesce(F.col("item_name"), F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string")))
+    return (daily_train.groupBy("merchant_id", "item_id")
+            .agg(F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"), F.sum(y).alias("_is"), F.count(y).alias("item_days"))
+            .join(merchant, "merchant_id").withColumn("item_level", _shrunk(F.col("_is"), F.col("item_days"), F.col("merchant_level"))).drop("_is")
+            .withColumn("item_name", name).withColumn("safe_name", T.safe_key("item_name")))
+
+
 def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names: bool = False) -> DataFrame:
     """Every (date, item) pair for the ``horizon`` days after ``cutoff``, per merchant, over
     the items seen in training. Each distinct item row explodes its own date sequence -- a
@@ -127,13 +138,7 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     and its levels for scoring are attached to the distinct items *before* the fan-out, so nothing is joined or shuffled at
     horizon size."""
     start = D.as_date(cutoff)
-    if with_names:
-        items = name_map(daily_train).join(final_levels(daily_train), ["merchant_id", "item_id"])
-        items = (items.withColumn("item_name", F.coalesce(
-                     F.col("item_name"), F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string"))))
-                 .withColumn("safe_name", T.safe_key("item_name")))
-    else:
-        items = daily_train.select("merchant_id", "item_id").distinct()
+    items = horizon_items(daily_train) if with_names else daily_train.select("merchant_id", "item_id").distinct()
     # the distinct items are few bytes, so AQE would coalesce them into a handful of
     # partitions; the fan-out then multiplies the rows (and the scoring) by ``horizon``,
     # so spread them explicitly (a count-only repartition: neither elided as redundant nor
@@ -148,11 +153,23 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
 def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
     """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
     predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
-    a known name would show as 'UnknownID_<id>' (D8's fallback)."""
-    grid = add_calendar(horizon_frame(daily_train, cutoff, horizon, with_names=True))
-    pred = predict(model, grid)
-    return pred.select("merchant_id", "h", "order_date", "item_id", "item_name", "safe_name",
-                       N.nonneg_int("prediction").alias("predicted_quantity"))
+    a known name would show as 'UnknownID_<id>' (D8's fallback).
+
+    The model sees an item by its levels alone, and many items of a merchant share them, so the model scores
+    every day once per distinct combination of levels; the items join the list of their combination's days."""
+    items = cut_lineage(horizon_items(daily_train))  # read twice: its levels, and the items themselves
+    n = 2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    dates = D.date_sequence(F.date_add(F.lit(D.as_date(cutoff)), 1), horizon)
+    # few bytes, which AQE would leave to a handful of tasks, but scoring is CPU-heavy
+    levels = items.select(*LEVELS).distinct().repartition(n)
+    grid = levels.select(*LEVELS, F.posexplode(dates).alias("_h0", "order_date"))
+    scored = predict(model, add_calendar(grid)).select(*LEVELS, "_h0", N.nonneg_int("prediction").alias("predicted_quantity"))
+    # one value per day of the horizon
+    days = scored.groupBy(*LEVELS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h0", "predicted_quantity"))), lambda x: x["predicted_quantity"]).alias("_days"))
+    return (items.join(days, LEVELS)
+            .select("merchant_id", "item_id", "item_name", "safe_name", F.posexplode(F.arrays_zip(dates.alias("d"), F.col("_days").alias("q"))).alias("_h0", "_day"))
+            .select("merchant_id", (F.col("_h0") + 1).alias("h"), F.col("_day.d").alias("order_date"), "item_id", "item_name", "safe_name",
+                    F.col("_day.q").alias("predicted_quantity")))
 
 
 def long_records(forecast_long: DataFrame) -> DataFrame:

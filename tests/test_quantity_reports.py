@@ -131,3 +131,22 @@ def test_dense_codes_match_sorted_classes(spark):
     got = {r["item_id"]: r["item_id_encoded"] for r in Q.dense_codes(df, "item_id").collect()}
     classes = sorted({i for i in ids if i is not None})
     assert got == {c: k for k, c in enumerate(classes)}
+
+
+def test_scoring_distinct_levels_equals_scoring_every_pair(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from stallboard.functions import numeric as N
+    from stallboard.operators import quantity as Q
+    from stallboard.plans import quantity as PQ
+    rng = random.Random(8)
+    rows = [(m, i, f"item {i}", f"2024-01-{d:02}", rng.randint(1, 4)) for m in (1, 2, 3) for i in range(40) for d in rng.sample(range(1, 29), rng.randint(1, 3))]
+    train = spark.createDataFrame(rows, "merchant_id long, item_id long, item_name string, order_date string, daily_quantity_sold long").withColumn("order_date", F.to_date("order_date"))
+    model = PQ.fit_quantity_model(train, max_iter=3)
+    got = Q.horizon_forecast(model, train, "2024-01-31", 30)
+    grid = Q.add_calendar(Q.horizon_frame(train, "2024-01-31", 30, with_names=True))
+    want = Q.predict(model, grid).select(*got.columns[:-1], N.nonneg_int("prediction").alias("predicted_quantity"))
+    assert got.columns[-1] == "predicted_quantity" and got.count() == 3 * 40 * 30
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
