@@ -33,16 +33,25 @@ def chat_parts(conv: DataFrame) -> DataFrame:
     return flat.select("conv_id", "turn", F.to_json(F.struct("role", F.array(F.struct("text")).alias("parts"))).alias("message"))
 
 
-def bundle_long(monthly: DataFrame, recent_items: DataFrame, revenue_forecast: DataFrame) -> DataFrame:
+def bundle_long(monthly: DataFrame, recent_items: DataFrame, revenue_forecast: DataFrame,
+                quantity_forecast: DataFrame | None = None, target: float = 60000.0, days: int = 7) -> DataFrame:
     """K7 as rows (merchant_id, section, entry, value): months, items of the last days, their total
-    and the forecast. The form for catalogues of any size; ``dashboard_bundle`` nests it."""
+    and the forecast; with ``quantity_forecast`` also the items' forecast totals of ``days`` days and whether the
+    target is passed (1 or 0). The form for catalogues of any size; ``dashboard_bundle`` nests it."""
     def rows(df, section, entry, value):
         return df.select("merchant_id", F.lit(section).alias("section"), entry.cast("string").alias("entry"), F.round(value, 2).alias("value"))
-    total = A.sales_kpi(recent_items).select("merchant_id", "total_sales")
+    kpi = A.sales_kpi(recent_items, target)
+    total = kpi.select("merchant_id", "total_sales")
+    more = monthly.sparkSession.createDataFrame([], rows(monthly, "", F.lit(""), F.lit(0.0)).schema)
+    if quantity_forecast is not None:
+        quantities = A.horizon_item_totals(quantity_forecast, days)
+        more = (rows(quantities, "item forecast", F.col("safe_name"), F.col("total_quantity").cast("double"))
+                .unionByName(rows(kpi, "target passed", F.lit(None), F.col("above_target").cast("int").cast("double"))))
     return (rows(monthly, "month", F.col("month"), F.col("total_sales"))
             .unionByName(rows(recent_items, "item", F.col("item_id"), F.col("total_sales")))
             .unionByName(rows(total, "recent sales", F.lit(None), F.col("total_sales")))
-            .unionByName(rows(revenue_forecast, "revenue forecast", F.col("forecast_date"), F.col("forecasted_revenue"))))
+            .unionByName(rows(revenue_forecast, "revenue forecast", F.col("forecast_date"), F.col("forecasted_revenue")))
+            .unionByName(more))
 
 
 def item_report(item_sales: DataFrame, with_sales: bool = True) -> DataFrame:

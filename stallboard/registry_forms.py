@@ -189,6 +189,21 @@ def k7_bundle_long(spark, sf_dir):
     return R.bundle_long(_k3(spark, sf_dir), _k2(spark, sf_dir), rows)
 
 
+@register("k7_bundle_with_quantities", f"""
+WITH {OL}, {DAILY_SQL}, {CALENDAR_SQL}, {K2_SQL}, {K3_SQL}, {WEEKDAY_SQL}
+SELECT merchant_id, 'month' AS section, month AS entry, ROUND(total_sales, 2) AS value FROM k3
+UNION ALL SELECT merchant_id, 'item', CAST(item_id AS VARCHAR), ROUND(total_sales, 2) FROM k2
+UNION ALL SELECT merchant_id, 'recent sales', NULL, ROUND(CAST(SUM(CAST(total_sales AS DECIMAL(20,2))) AS DOUBLE), 2) FROM k2 GROUP BY merchant_id
+UNION ALL SELECT merchant_id, 'target passed', NULL, CASE WHEN SUM(CAST(total_sales AS DECIMAL(20,2))) > 60000 THEN 1.0 ELSE 0.0 END FROM k2 GROUP BY merchant_id
+UNION ALL SELECT merchant_id, 'revenue forecast', strftime(forecast_date, '%Y-%m-%d'), ROUND(f, 2) FROM cal
+UNION ALL SELECT merchant_id, 'item forecast', safe_name, CAST(SUM(predicted_quantity) AS DOUBLE) FROM fc WHERE h <= 7 GROUP BY merchant_id, safe_name
+""")
+def k7_bundle_with_quantities(spark, sf_dir):
+    """K7 as rows with the items' forecast totals (weekday means) and the target flag."""
+    _, rows = _calendar(spark, sf_dir)
+    return R.bundle_long(_k3(spark, sf_dir), _k2(spark, sf_dir), rows, _weekday(spark, sf_dir), 60000.0, 7)
+
+
 # ------------------------------------------------------------------ the panel keyed by item name
 
 NAME_PANEL_SQL = f"""nd AS (SELECT order_merchant_id AS merchant_id, CAST(order_time AS DATE) AS order_date, item_name AS item_id,
