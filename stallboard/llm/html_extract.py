@@ -209,11 +209,13 @@ def forest(pages: list[Page]) -> Forest:
                 marks[begin + node] += text.count(".") + text.count(",")
                 if in_link[begin + node]:
                     linked[begin + node] += size
-    total, links, stops = own.copy(), linked.copy(), marks.copy()
-    for level in range(int(depth.max(initial=0)), 0, -1):
-        at_level = np.flatnonzero((depth == level) & ~observed)
-        for sums in (total, links, stops):
-            np.add.at(sums, parent[at_level], sums[at_level])
+    # nodes by depth, sorted once: badly nested pages have as many levels as nodes
+    levels = np.split(np.argsort(depth, kind="stable"), np.cumsum(np.bincount(depth))[:-1]) if n else []
+    sums = np.stack((own, linked, marks), axis=1)
+    for level in levels[:0:-1]:
+        shown = level[~observed[level]]
+        np.add.at(sums, parent[shown], sums[shown])
+    total, links, stops = sums.T
     page_total = np.repeat(total[first[:-1]], sizes)
     f[:, at] = np.log1p(total) / 8
     f[:, at + 1] = links / np.maximum(total, 1)
@@ -226,7 +228,6 @@ def forest(pages: list[Page]) -> Forest:
     f[:, at + 8] = np.minimum(depth, 10) / 10
     f[:, at + 9] = 1
     label = np.array([x for p in pages for x in p.label], np.int64)
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max(initial=0)) + 1)]
     return Forest(parent, depth, kind, f, observed, label, first, levels)
 
 
@@ -248,8 +249,7 @@ def marginals(model: Model, trees: Forest) -> tuple[np.ndarray, np.ndarray]:
     for own in trees.levels[:0:-1]:  # upward: what a node's subtree tells its parent
         told = _log_sum(pair[own] + inward[own][:, None, :], 2)
         up[own] = told - told.max(axis=1, keepdims=True)
-        for y in (0, 1):
-            inward[:, y] += np.bincount(trees.parent[own], up[own, y], minlength=n)
+        np.add.at(inward, trees.parent[own], up[own])
     belief, joint = inward.copy(), np.zeros((n, 2, 2))
     for own in trees.levels[1:]:  # downward: what the rest of the tree tells a node
         rest = belief[trees.parent[own]] - up[own]
