@@ -134,7 +134,7 @@ def op13_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     model = public_tokenizers.path(PIECES)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentence_pieces.decode(sentence_pieces.encode(docs, model).drop("text"), model)
+    coded = sentence_pieces.encode(docs, model, decoded=True)
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed.cast("binary"), 256).alias("ids_sha256"),
                         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))

@@ -74,6 +74,8 @@ class PieceTable:
                 self.sides[k] = steps
                 self.automaton.add_word(name, (k, len(name)))
         self.automaton.make_automaton()
+        self.token = {self.names[k]: k for k in self.sides}
+        self.length = [len(self.names.get(k, "")) for k in range(size)]
         #: neighbours in some piece, as a table of hashes: a false hit only makes a segment longer
         self.neighbours = np.zeros(1 << 22, bool)
         for name in self.names.values():
@@ -145,42 +147,51 @@ class PieceTable:
 
     def encode_segment(self, text: str) -> list[int]:
         """Ids of one text (space marks in place of spaces) by its prefix table."""
+        whole = self.token.get(text)
+        if whole is not None:
+            return [whole]
         last = [-1] * (len(text) + 1)
-        compatible = self.compatible
-        size, names, rank = self.size, self.names, self.rank
-
-        def fill(upto: int) -> None:
-            # characters without a piece are tokens of their own
-            for k in range(filled, upto):
-                if last[k + 1] < 0 and text[k] not in rank:
-                    token = size + ord(text[k])
-                    if not k or last[k] >= 0 and compatible(last[k], token):
-                        last[k + 1] = token
-
-        filled = 0
+        known, compatible = self.pairs.get, self.compatible
         for end, (token, length) in self.automaton.iter(text):
-            if filled < end:
-                fill(end)
-                filled = end
-            if last[end + 1] >= 0:
+            end += 1
+            if last[end] >= 0:
                 continue
-            start = end + 1 - length
-            before = last[start]
-            if not start or before >= 0 and compatible(before, token):
-                last[end + 1] = token
-        fill(len(text))
-        out, at = [], len(text)
+            if end > length:
+                before = last[end - length]
+                if before < 0:
+                    continue
+                fits = known(before << 22 | token)
+                if not (compatible(before, token) if fits is None else fits):
+                    continue
+            last[end] = token
+        if last[-1] < 0:
+            last = self._with_unknown(text)
+        out, at, size, length = [], len(text), self.size, self.length
         while at:
             token = last[at]
             if token < size:
                 out.append(token)
-                at -= len(names[token])
+                at -= length[token]
             else:
                 at -= 1
-                coded = text[at].encode()
-                out.extend([self.bytes[x] for x in reversed(coded)] if self.has_bytes else [self.unknown])
+                out.extend([self.bytes[x] for x in reversed(text[at].encode())] if self.has_bytes else [self.unknown])
         return out[::-1]
 
+    def _with_unknown(self, text: str) -> list[int]:
+        """The prefix table of a text in which characters without a piece are tokens of their own."""
+        last = [-1] * (len(text) + 1)
+        ending: dict[int, list[tuple[int, int]]] = {}
+        for end, found in self.automaton.iter(text):
+            ending.setdefault(end + 1, []).append(found)
+        for end, char in enumerate(text, 1):
+            own = ending.get(end, []) if char in self.rank else [*ending.get(end, []), (self.size + ord(char), 1)]
+            for token, length in own:
+                before = last[end - length]
+                if end == length or before >= 0 and self.compatible(before, token):
+                    last[end] = token
+                    break
+        return last
+
     def forget(self) -> None:
         self.segments = pa.array([], pa.large_string())
         self.starts = np.zeros(1, np.int64)
@@ -244,18 +255,22 @@ def piece_table(path: str) -> PieceTable:
     return PieceTable(path)
 
 
-def encode(docs: DataFrame, model: str) -> DataFrame:
-    """All columns of ``docs`` with ``ids``: the ids of the whole text by the model file ``model``."""
-    own = docs.drop("ids")
+def encode(docs: DataFrame, model: str, decoded: bool = False) -> DataFrame:
+    """All columns of ``docs`` with ``ids``: the ids of the whole text by the model file ``model``; with ``decoded``
+    also the text that the library's decoder makes of them, as ``decode`` adds it, in the same pass."""
+    own = docs.drop("ids", "decoded") if decoded else docs.drop("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = piece_table(model)
         for batch in byte_slices(batches, "text", SLICE_BYTES):
             ids, offsets = table.encode(batch.column("text").cast(pa.string()).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "ids"])
+            new = [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))]
+            if decoded:
+                new.append(pa.array([table.library.decode(ids[a:b].tolist()) for a, b in zip(offsets, offsets[1:])], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *("ids", "decoded")[:len(new)]])
 
-    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    fields = [T.StructField("ids", T.ArrayType(T.IntegerType()))] + [T.StructField("decoded", T.StringType())] * decoded
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, *fields]))
 
 
 def decode(coded: DataFrame, model: str) -> DataFrame:

@@ -187,6 +187,8 @@ def test_spark_encoding_and_decoding(spark, model):
     for k, t in enumerate(texts):
         ids = library.encode(t or "")
         assert got[k].ids == ids and got[k].decoded == library.decode(ids) and got[k].text == t
+    again = sentence_pieces.encode(frame, model, decoded=True).collect()
+    assert {r.doc_id: (r.ids, r.decoded) for r in again} == {k: (r.ids, r.decoded) for k, r in got.items()}
     empty = frame.where("false")
     assert sentence_pieces.decode(sentence_pieces.encode(empty, model), model).collect() == []
 
