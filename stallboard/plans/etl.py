@@ -17,7 +17,7 @@ from stallboard.operators import cleaning as B
 from stallboard.operators import views as V
 from stallboard.session import checkpoint_dir
 from stallboard.sources import files
-from stallboard.stores.keyed import BUCKET, insert_if_absent
+from stallboard.stores.keyed import BUCKET, BUCKETS, insert_if_absent
 from stallboard.stores.versions import Published
 
 
@@ -89,14 +89,14 @@ INSERT_KEYS = {
 }
 
 
-def add_load(store: Published, tables: dict[str, DataFrame], strict: bool = True) -> int:
+def add_load(store: Published, tables: dict[str, DataFrame], strict: bool = True, buckets: int = BUCKETS) -> int:
     """K10 as an increment: cleaned tables are inserted where their key is absent, audited as a whole, and
     published all at once; returns the version. Rows that are stored already stay, so a repeated load changes
-    nothing but the version. A violation (``strict``) or a lost driver leaves the version before in place."""
+    nothing but the version; ``buckets`` stays what it was in the first load. A violation (``strict``) or a lost driver leaves the version before in place."""
     load = store.begin()
     for name, df in tables.items():
         keys, order = INSERT_KEYS[name]
-        insert_if_absent(load, name, df, keys, order)
+        insert_if_absent(load, name, df, keys, order, buckets)
     if strict:
         report = audit({name: load.read(name).drop(BUCKET) for name in tables})
         B.require_clean(report.groupBy().agg(F.sum("violations").alias("violations")), "violations")

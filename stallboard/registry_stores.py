@@ -76,7 +76,7 @@ def k10_published_order_lines(spark, sf_dir):
     first = raw | {"transaction_data": early, "new_transaction_items": raw["new_transaction_items"].join(early.select("order_id"), "order_id", "left_semi")}
     store = Published(spark, fresh_root(spark, "k10"))
     for load in (first, raw):
-        etl.add_load(store, load, strict=False)
+        etl.add_load(store, load, strict=False, buckets=8)
     broken = store.begin()
     broken.replace("transaction_data", early)
     view = etl.published_view(store)

@@ -114,16 +114,16 @@ def _tables(spark, orders, items, units=()):
 def test_incremental_load_publishes_all_or_nothing(spark, root):
     store = Published(spark, root)
     first = _tables(spark, [(2, "o1", 9.0), (3, "o2", 3.0)], [("o1", "A0001", 1, 3), ("o2", "A0001", 1, 1)], [(1, "o1", 1)])
-    assert etl.add_load(store, first) == 1
+    assert etl.add_load(store, first, buckets=4) == 1
     second = _tables(spark, [(1, "o1", 7.5), (4, "o3", 4.0)], [("o3", "A0001", 1, 2), ("o1", "A0001", 1, 3)], [(1, "o1", 1), (2, "o3", 1)])
     want = {("o1", 9.0, 3), ("o2", 3.0, 1), ("o3", 4.0, 2)}  # the stored o1 stays, although the new one has a lower id
     for version in (2, 3):  # the second load comes twice
-        assert etl.add_load(store, second) == version
+        assert etl.add_load(store, second, buckets=4) == version
         assert {(r.order_id, r.order_value, r.quantity) for r in etl.published_view(store).collect()} == want
         assert etl.published_view(store).count() == 3
     orphan = _tables(spark, [(9, "o9", 1.0)], [("o9", "A0001", 1, 2)], [(5, "missing", 1)])
     with pytest.raises(ValueError):
-        etl.add_load(store, orphan)
+        etl.add_load(store, orphan, buckets=4)
     assert {(r.order_id, r.order_value, r.quantity) for r in etl.published_view(store).collect()} == want
     assert store.read("transaction_data").count() == 3
     assert sorted(os.listdir(f"{root}/published"))[-1].endswith("3")
