@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stallboard.session import checkpoint_dir, cut_lineage, ship_package
 
-__all__ = ["read", "utf8", "byte_slices", "word_table", "packed_words", "checkpointed", "scratch_path", "remove_path", "parallelism",
+__all__ = ["read", "utf8", "byte_slices", "word_table", "packed_words", "checkpointed", "scratch_path", "written", "remove_path", "parallelism",
            "group_ranks", "hash_bound", "connected_components", "ship_package"]
 
 
@@ -85,6 +85,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: unlike a checkpoint it has a known size, by which
+    Spark chooses between broadcasting and shuffling it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Removes a written table of ``scratch_path`` that nothing reads any more."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

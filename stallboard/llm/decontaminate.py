@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.llm.common import byte_slices, checkpointed
+from stallboard.llm.common import byte_slices, checkpointed, written
 
 MIN_WORDS = 8
 MIN_SCORE = 0.5
@@ -47,7 +47,7 @@ TABLE_BITS = 1 << 24
 BITMAP = 1 << 15
 #: Parts in which the candidates of one document are aligned.
 CHUNKS = 16
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 1 << 20
 WORD = re.compile(r"\w+")
 ITEMS = "item_key long, item_id long, words string, n_words int, need int, pairs array<long>"
 LEAKS = "doc_id long, item_id long, score double, first_word long, last_word long"
@@ -117,7 +117,9 @@ def text_key() -> Column:
 
 
 def document_pairs(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """(text_key, pair): the different pairs of every document row that may belong to an item."""
+    """(text_key, pair, n): the different pairs of every text that may belong to an item, and the rows with that text.
+
+    Copies of a text are one row per task and pair before they are shuffled."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,12 +135,12 @@ def document_pairs(docs: DataFrame, table: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[new])), pa.array(code[new])], ["text_key", "pair"])
 
     return (docs.where(F.col("text").isNotNull()).select(text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
-            .mapInArrow(run, "text_key long, pair long"))
+            .mapInArrow(run, "text_key long, pair long").groupBy("text_key", "pair").agg(F.count(F.lit(1)).alias("n")))
 
 
 def seeds(items: DataFrame, held: DataFrame) -> DataFrame:
     """(item_key, pair): the rarest pairs of each item, as many as no leak can do without; ``held`` are the documents' pairs."""
-    frequency = held.groupBy("pair").agg(F.count(F.lit(1)).alias("df"))
+    frequency = held.groupBy("pair").agg(F.sum("n").alias("df"))
     places = items.select("item_key", F.greatest(F.col("n_words") - F.col("need") + 1, F.lit(1)).alias("many"), F.posexplode("pairs").alias("place", "pair"))
     rarest = Window.partitionBy("item_key").orderBy(F.coalesce("df", F.lit(0)), "place")
     return (places.join(frequency, "pair", "left").withColumn("k", F.row_number().over(rarest)).where("k <= many")
@@ -149,12 +151,11 @@ def candidates(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(text_key, item_key) of the texts that share a seed and enough pairs with an item."""
     pairs = items.select(F.explode("pairs").alias("pair"))
     held = checkpointed(document_pairs(docs, bit_table(pairs)))
-    meet = checkpointed(held.join(seeds(items, held), "pair").select("text_key", "item_key").distinct())
+    meet = written(held.join(seeds(items, held), "pair").select("text_key", "item_key").distinct(), "leak-candidates")
     # pairs of the candidates' items that their text holds, place by place
     places = meet.join(items.select("item_key", F.greatest(F.when(F.col("n_words") < 3, 1).otherwise(F.col("need") - 1), F.lit(1)).alias("least"),
                                     F.posexplode("pairs").alias("place", "pair")), "item_key")
-    own = held.join(meet.select("text_key").distinct(), "text_key", "left_semi").distinct()
-    return (places.join(own, ["text_key", "pair"]).groupBy("text_key", "item_key", "least").agg(F.count(F.lit(1)).alias("n"))
+    return (places.join(held, ["text_key", "pair"]).groupBy("text_key", "item_key", "least").agg(F.count(F.lit(1)).alias("n"))
             .where("n >= least").select("text_key", "item_key"))
 
 
@@ -240,7 +241,7 @@ def _with_items(docs: DataFrame, benchmark: DataFrame, min_score: float) -> Data
     found = candidates(docs, items).join(items.select("item_key", "item_id", "words", "need"), "item_key")
     lists = (found.groupBy("text_key", F.pmod("item_key", F.lit(CHUNKS)).alias("chunk"))
              .agg(F.collect_list(F.struct("item_id", "words", "need")).alias("items")).drop("chunk"))
-    return docs.withColumn("text_key", text_key()).join(lists, "text_key").drop("text_key")
+    return docs.withColumn("text_key", text_key()).join(written(lists, "leak-items"), "text_key").drop("text_key")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
@@ -269,4 +270,4 @@ def remove_leaking(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN
     texts = docs.where(F.col("text").isNotNull()).select(name, F.col("text").cast("string").alias("text"))
     gone = _with_items(texts, benchmark, min_score).select("name", "text", "items").mapInArrow(run, "name string").distinct()
     rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), name)
-    return rows.join(checkpointed(gone), "name", "left_anti").select("row.*")
+    return rows.join(written(gone, "leaking-texts"), "name", "left_anti").select("row.*")
