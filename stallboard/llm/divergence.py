@@ -38,9 +38,11 @@ from stallboard.llm.common import byte_slices, checkpointed, packed_words, utf8,
 MIN_DOCS = 10
 RANKS = 10
 SCALE_STEPS = 3  # p is found in three steps of three decimal digits: SCALE is 1000 ** 3
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: Pairs of sources that a task holds at once.
 PAIRS = 1 << 21
+#: Tasks over which the count cells of one language are dealt, at least.
+SALTS = 32
 WORD = word_table("".join(c for c in map(chr, range(128)) if not c.isalpha()))
 COUNTS = "lang string, source string, term string, n long, docs long"
 
@@ -155,7 +157,10 @@ def _pairs(groups: DataFrame, uses: DataFrame) -> DataFrame:
     both = absent.join(other, "lang").where("source <> item")  # the result's own rows
     base = both.select("lang", "source", "item", (F.col("many") * divergence(F.col("y"), F.col("z"))).alias("value"))
     cells = uses.groupBy("lang", "source", "p", "y").agg(F.count(F.lit(1)).alias("m"))
-    own = (cells.join(other, "lang").where("source <> item")
+    # a language may hold most cells: they are dealt by a salt, and the list of its sources goes to each
+    salted = cells.withColumn("salt", F.pmod(F.xxhash64("source", "p"), F.lit(SALTS)).cast("int"))
+    every = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    own = (salted.join(every, ["lang", "salt"]).where("source <> item")
            .select("lang", "source", "item", (F.col("m") * (divergence(F.col("p"), F.col("z")) - divergence(F.col("y"), F.col("z")))).alias("value"))
            .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
     turned = own.select("lang", F.col("item").alias("source"), F.col("source").alias("item"), "value")
