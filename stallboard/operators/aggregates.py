@@ -108,11 +108,16 @@ def forecast_actual_totals(df: DataFrame, keys=("merchant_id", "item_id", "order
                                  N.round2(F.sum(actual)).alias("actual_total"))
 
 
-def horizon_item_totals(forecast_long: DataFrame, days: int, qty: str = "predicted_quantity",
+def horizon_item_totals(forecast: DataFrame, days: int, qty: str = "predicted_quantity",
                         key: str = "safe_name") -> DataFrame:
-    """E17 (+G6): total per item over the first ``days`` horizon days of a long forecast."""
+    """E17 (+G6): total per item over the first ``days`` horizon days of a forecast, in long form or with a row per item
+    (``quantities``), whose days are added up before the rows are shuffled."""
     days = D.check_days(days, 1, 30)
-    return (forecast_long.where(F.col("h") <= days)
+    if "quantities" in forecast.columns:
+        per_item = sum((F.coalesce(F.get("quantities", F.lit(k)).cast("long"), F.lit(0).cast("long")) for k in range(1, days)),
+                       F.coalesce(F.get("quantities", F.lit(0)).cast("long"), F.lit(0).cast("long")))
+        return forecast.groupBy("merchant_id", key).agg(F.sum(per_item).alias("total_quantity"))
+    return (forecast.where(F.col("h") <= days)
             .groupBy("merchant_id", key).agg(F.sum(qty).cast("long").alias("total_quantity")))
 
 

@@ -120,15 +120,30 @@ def name_map(daily: DataFrame) -> DataFrame:
         F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"))
 
 
-def horizon_items(daily_train: DataFrame) -> DataFrame:
-    """The items seen in training with display name (D8), key and levels, in one aggregate per item."""
+def horizon_items(daily_train: DataFrame, levels: bool = True, more=()) -> DataFrame:
+    """The items seen in training with display name (D8), key, levels (if asked for) and the aggregates ``more``, in one
+    aggregate per item.
+
+    The daily rows are dealt by item into a given number of partitions, which AQE does not coalesce, so what a job does per
+    item next (the fan-out, a join by item) needs no shuffle at horizon size and is spread over all tasks."""
+    keys = ["merchant_id", "item_id"]
     y = F.col("daily_quantity_sold").cast("double")
-    merchant = daily_train.groupBy("merchant_id").agg(F.avg(y).alias("merchant_level"))
     name = F.coalesce(F.col("item_name"), F.concat(F.lit("UnknownID_"), F.col("item_id").cast("string")))
-    return (daily_train.groupBy("merchant_id", "item_id")
-            .agg(F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"), F.sum(y).alias("_is"), F.count(y).alias("item_days"))
-            .join(merchant, "merchant_id").withColumn("item_level", _shrunk(F.col("_is"), F.col("item_days"), F.col("merchant_level"))).drop("_is")
-            .withColumn("item_name", name).withColumn("safe_name", T.safe_key("item_name")))
+    dealt = daily_train.repartition(2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), *keys)
+    items = dealt.groupBy(*keys).agg(F.max_by("item_name", F.struct("order_date", "item_name")).alias("item_name"),
+                                     F.sum(y).alias("_is"), F.count(y).alias("item_days"), *more)
+    if levels:
+        merchant = daily_train.groupBy("merchant_id").agg(F.avg(y).alias("merchant_level"))
+        items = items.join(merchant, "merchant_id").withColumn("item_level", _shrunk(F.col("_is"), F.col("item_days"), F.col("merchant_level")))
+    else:
+        items = items.drop("item_days")
+    return items.drop("_is").withColumn("item_name", name).withColumn("safe_name", T.safe_key("item_name"))
+
+
+def fan_out(items: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+    """D6 over rows that hold items once: each row explodes its own dates and ``h`` from 1 on -- a bounded fan-out, no join."""
+    dates = D.date_sequence(F.date_add(F.lit(D.as_date(cutoff)), 1), horizon)
+    return items.select("*", F.posexplode(dates).alias("_h0", "order_date")).withColumn("h", F.col("_h0") + 1).drop("_h0")
 
 
 def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names: bool = False) -> DataFrame:
@@ -137,7 +152,6 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     bounded fan-out per item, no join. With ``with_names`` the item's display name (D8) is
     and its levels for scoring are attached to the distinct items *before* the fan-out, so nothing is joined or shuffled at
     horizon size."""
-    start = D.as_date(cutoff)
     items = horizon_items(daily_train) if with_names else daily_train.select("merchant_id", "item_id").distinct()
     # the distinct items are few bytes, so AQE would coalesce them into a handful of
     # partitions; the fan-out then multiplies the rows (and the scoring) by ``horizon``,
@@ -145,45 +159,62 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     # coalesced by AQE; Spark sorts before it, so a retried task sees the same rows)
     items = items.repartition(2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
     extra = ["item_name", "safe_name", *LEVELS] if with_names else []
-    return (items.select("merchant_id", "item_id", *extra,
-                         F.posexplode(D.date_sequence(F.date_add(F.lit(start), 1), horizon)).alias("_h0", "order_date"))
-                 .withColumn("h", F.col("_h0") + 1).drop("_h0"))
+    return fan_out(items.select("merchant_id", "item_id", *extra), cutoff, horizon)
 
 
-def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
-    """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
-    predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
-    a known name would show as 'UnknownID_<id>' (D8's fallback).
+def horizon_quantities(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+    """J16 with a row per item: (merchant_id, item_id, item_name, safe_name, first_day, quantities), the quantities of the
+    ``horizon`` days from ``first_day`` on. ``predicted_days`` has them as rows.
 
     The model sees an item by its levels alone, and many items of a merchant share them, so the model scores
     every day once per distinct combination of levels; the items join the list of their combination's days."""
     items = cut_lineage(horizon_items(daily_train))  # read twice: its levels, and the items themselves
     n = 2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    dates = D.date_sequence(F.date_add(F.lit(D.as_date(cutoff)), 1), horizon)
     # few bytes, which AQE would leave to a handful of tasks, but scoring is CPU-heavy
     levels = items.select(*LEVELS).distinct().repartition(n)
-    grid = levels.select(*LEVELS, F.posexplode(dates).alias("_h0", "order_date"))
-    scored = predict(model, add_calendar(grid)).select(*LEVELS, "_h0", N.nonneg_int("prediction").alias("predicted_quantity"))
+    grid = fan_out(levels, cutoff, horizon)
+    scored = predict(model, add_calendar(grid)).select(*LEVELS, "h", N.nonneg_int("prediction").alias("predicted_quantity"))
     # one value per day of the horizon
-    days = scored.groupBy(*LEVELS).agg(F.transform(F.array_sort(F.collect_list(F.struct("_h0", "predicted_quantity"))), lambda x: x["predicted_quantity"]).alias("_days"))
-    return (items.join(days, LEVELS)
-            .select("merchant_id", "item_id", "item_name", "safe_name", F.posexplode(F.arrays_zip(dates.alias("d"), F.col("_days").alias("q"))).alias("_h0", "_day"))
-            .select("merchant_id", (F.col("_h0") + 1).alias("h"), F.col("_day.d").alias("order_date"), "item_id", "item_name", "safe_name",
-                    F.col("_day.q").alias("predicted_quantity")))
+    days = scored.groupBy(*LEVELS).agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "predicted_quantity"))), lambda x: x["predicted_quantity"]).alias("quantities"))
+    return items.join(days, LEVELS).select("merchant_id", "item_id", "item_name", "safe_name",
+                                           F.date_add(F.lit(D.as_date(cutoff)), 1).alias("first_day"), "quantities")
+
 
+def predicted_days(forecast: DataFrame) -> DataFrame:
+    """The long form of a forecast with a row per item: (merchant_id, h, order_date, item_id, item_name, safe_name, predicted_quantity)."""
+    return (forecast.select("*", F.posexplode("quantities").alias("_h0", "predicted_quantity"))
+            .select("merchant_id", (F.col("_h0") + 1).alias("h"), F.date_add("first_day", F.col("_h0")).alias("order_date"), "item_id", "item_name",
+                    "safe_name", "predicted_quantity"))
 
-def long_records(forecast_long: DataFrame) -> DataFrame:
+
+def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+    """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
+    predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
+    a known name would show as 'UnknownID_<id>' (D8's fallback)."""
+    return predicted_days(horizon_quantities(model, daily_train, cutoff, horizon))
+
+
+def long_records(forecast: DataFrame, horizon: int = 30) -> DataFrame:
     """E16 as rows: (merchant_id, order_date, '<safe_name>_pred', quantity). Items whose safe names
-    collide are summed (the reference keeps the last one). The form for catalogues of any size."""
-    return (forecast_long.groupBy("merchant_id", "order_date", T.add_suffix("safe_name").alias("record_key"))
-            .agg(F.sum("predicted_quantity").cast("long").alias("quantity")))
+    collide are summed (the reference keeps the last one). The form for catalogues of any size.
 
+    ``forecast`` is in long form or has a row per item with its ``horizon`` quantities; the latter are added up per name
+    before they become days, so nothing is shuffled at horizon size."""
+    if "quantities" not in forecast.columns:
+        return (forecast.groupBy("merchant_id", "order_date", T.add_suffix("safe_name").alias("record_key"))
+                .agg(F.sum("predicted_quantity").cast("long").alias("quantity")))
+    sums = [F.sum(F.get("quantities", F.lit(k))).cast("long") for k in range(horizon)]
+    per_name = forecast.groupBy("merchant_id", "first_day", T.add_suffix("safe_name").alias("record_key")).agg(F.array(*sums).alias("_sums"))
+    return (per_name.select("merchant_id", "first_day", "record_key", F.posexplode("_sums").alias("_h0", "quantity"))
+            .where(F.col("quantity").isNotNull())  # days beyond the horizon
+            .select("merchant_id", F.date_add("first_day", F.col("_h0")).alias("order_date"), "record_key", "quantity"))
 
-def wide_records(forecast_long: DataFrame) -> DataFrame:
+
+def wide_records(forecast: DataFrame) -> DataFrame:
     """E16 as the reference returns it: one record per (merchant, date) with a map
     '<safe_name>_pred' -> quantity. A record holds a merchant's whole catalogue, so this is an
     output format for catalogues that fit one value; jobs use ``long_records``."""
-    return (long_records(forecast_long).groupBy("merchant_id", "order_date")
+    return (long_records(forecast).groupBy("merchant_id", "order_date")
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("record_key", "quantity")))).alias("predictions")))
 
 
@@ -246,9 +277,11 @@ def holdout_results(pred: DataFrame) -> DataFrame:
                                           F.col("prediction")).alias("label"))
 
 
-def pivot_pred_actual(results: DataFrame, items: list) -> DataFrame:
+def pivot_pred_actual(results: DataFrame, items: list, days: DataFrame | None = None) -> DataFrame:
     """One row per (merchant, date) with item_<id>_pred / item_<id>_actual columns for an
-    explicit item list (a pivot needs its values known up front)."""
+    explicit item list (a pivot needs its values known up front).
+
+    With ``days`` (merchant_id, forecast_date) these have a row each; ``results`` then need no rows of other items."""
     g = results.groupBy("merchant_id", "forecast_date").pivot("item_id", items).agg(
         F.first("forecasted_quantity").alias("pred"), F.first("actual_quantity").alias("actual"))
     ren = {}
@@ -256,7 +289,8 @@ def pivot_pred_actual(results: DataFrame, items: list) -> DataFrame:
         if c.endswith("_pred") or c.endswith("_actual"):
             iid, kind = c.rsplit("_", 1)
             ren[c] = f"item_{iid}_{kind}"
-    return g.select(*[F.col(c).alias(ren.get(c, c)) for c in g.columns])
+    g = g.select(*[F.col(c).alias(ren.get(c, c)) for c in g.columns])
+    return g if days is None else days.join(g, ["merchant_id", "forecast_date"], "left")
 
 
 PIVOT_WIDTH = 256
@@ -288,3 +322,19 @@ def pivot_all_items(results: DataFrame, width: int = PIVOT_WIDTH) -> DataFrame:
         return F.transform("columns", lambda c: F.element_at(F.col("cells"), c["item_id"])[kind])
     return rows.select("merchant_id", "forecast_date", "chunk", F.transform("columns", lambda c: c["item_id"]).alias("items"),
                        values("forecasted_quantity").alias("predicted"), values("actual_quantity").alias("actual"))
+
+
+def pivot_item_days(items: DataFrame, cutoff, horizon: int, predicted, actual, width: int = PIVOT_WIDTH) -> DataFrame:
+    """``pivot_all_items`` for a forecast that has a row per item and a value on every day of the horizon.
+
+    ``predicted`` and ``actual`` tell an item's value on a day: functions of (the item's row, the day). The items of
+    a chunk meet once, with their lists, and the row becomes days after that, so nothing is shuffled at horizon size."""
+    values = [c for c in items.columns if c not in ("merchant_id", "item_id")]
+    names = item_dictionary(items).select(F.col("merchant_id").alias("_m"), F.col("item_id").alias("_i"), "position")
+    placed = items.join(names, (F.col("merchant_id") == F.col("_m")) & (F.col("item_id") == F.col("_i")))
+    chunks = (placed.groupBy("merchant_id", F.floor(F.col("position") / width).cast("int").alias("chunk"))
+              .agg(F.array_sort(F.collect_list(F.struct("position", "item_id", *values))).alias("columns")))
+    days = fan_out(chunks, cutoff, horizon)
+    return days.select("merchant_id", F.col("order_date").alias("forecast_date"), "chunk", F.transform("columns", lambda c: c["item_id"]).alias("items"),
+                       F.transform("columns", lambda c: predicted(c, F.col("order_date"))).alias("predicted"),
+                       F.transform("columns", lambda c: actual(c, F.col("order_date"))).alias("actual"))

@@ -58,8 +58,16 @@ def _weekday(spark, sf_dir):
     return NV.weekday_mean_forecast(PQ.training_panel(_lines(spark, sf_dir), CUTOFF), CUTOFF)
 
 
+def _weekday_items(spark, sf_dir):
+    return NV.weekday_items(PQ.training_panel(_lines(spark, sf_dir), CUTOFF))
+
+
+def _sold(spark, sf_dir):
+    return A.daily_item_quantity(_lines(spark, sf_dir), by_name=False)
+
+
 def _pairs(spark, sf_dir):
-    return NV.with_actuals(_weekday(spark, sf_dir), A.daily_item_quantity(_lines(spark, sf_dir), by_name=False), "inner")
+    return NV.with_actuals(_weekday_items(spark, sf_dir), _sold(spark, sf_dir), CUTOFF, how="inner")
 
 
 @register("j16_weekday_mean_forecast", f"""
@@ -78,7 +86,7 @@ FROM fc GROUP BY 1, 2, 3
 """)
 def e16_weekday_mean_records(spark, sf_dir):
     """E16 in long form: one row per merchant, date and record key."""
-    return Q.long_records(_weekday(spark, sf_dir))
+    return Q.long_records(NV.weekday_quantities(_weekday_items(spark, sf_dir), CUTOFF))
 
 
 @register("e17_weekday_mean_totals_7_days", f"""
@@ -126,8 +134,11 @@ FROM pr GROUP BY 1, 2
 """)
 def e15_weekday_mean_pivot(spark, sf_dir):
     """E15 + D7: predicted and actual columns of five items, for every merchant and forecast day."""
-    pairs = NV.with_actuals(_weekday(spark, sf_dir), A.daily_item_quantity(_lines(spark, sf_dir), by_name=False))
-    return Q.pivot_pred_actual(NV.results(pairs), list(PIVOT_ITEMS))
+    items = _weekday_items(spark, sf_dir)
+    # a merchant has a row per forecast day whatever it sells; only the five items have columns
+    days = Q.fan_out(items.select("merchant_id").distinct(), CUTOFF, 30).select("merchant_id", F.col("order_date").alias("forecast_date"))
+    pairs = NV.with_actuals(items.where(F.col("item_id").isin(*PIVOT_ITEMS)), _sold(spark, sf_dir), CUTOFF)
+    return Q.pivot_pred_actual(NV.results(pairs), list(PIVOT_ITEMS), days)
 
 
 # ------------------------------------------------------------------ revenue forecasts by the last season
