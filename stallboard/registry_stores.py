@@ -19,8 +19,8 @@ from stallboard.plans import customers as PC
 from stallboard.plans import etl, sql_gate
 from stallboard.plans import naive as NV
 from stallboard.plans import reports as R
-from stallboard.registry import AS_OF, ITEM_DAYS, K1_SQL, OL, ORACLE, _r2, register
-from stallboard.registry_forms import D7_SQL, WEEKDAY_SQL, _lines, _weekday
+from stallboard.registry import AS_OF, CUTOFF, ITEM_DAYS, K1_SQL, OL, ORACLE, _r2, register
+from stallboard.registry_forms import D7_SQL, WEEKDAY_SQL, _lines, _sold, _weekday_items
 from stallboard.session import checkpoint_dir
 from stallboard.sources import tables
 from stallboard.stores import keyed, page_index
@@ -229,8 +229,7 @@ FROM days JOIN di USING (merchant_id) LEFT JOIN pr USING (merchant_id, forecast_
 """)
 def e15_pivot_all_items(spark, sf_dir):
     """E15 + D7 over every item of every merchant, columns found in the data; lists as JSON text."""
-    pairs = NV.with_actuals(_weekday(spark, sf_dir), A.daily_item_quantity(_lines(spark, sf_dir), by_name=False))
-    got = Q.pivot_all_items(NV.results(pairs))
+    got = NV.pivot_all_items(_weekday_items(spark, sf_dir), _sold(spark, sf_dir), CUTOFF)
     return got.select("merchant_id", "forecast_date", "chunk", *(F.to_json(c).alias(c) for c in ("items", "predicted", "actual")))
 
 
