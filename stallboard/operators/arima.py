@@ -11,10 +11,11 @@ Plan (all merchants in one job):
    ``e`` is then a column expression of the joined coefficients.
 4. Stage 2: the same sums with the AR lags of ``w``, the MA lags of ``e`` and the exogenous
    columns over the union of all requested orders' lags -- one aggregate serves every order.
-5. Refinement: per merchant, a grouped Arrow function over the merchant's own differenced
-   series minimises the conditional sum of squares of the multiplicative model from the
-   stage-2 start values (damped Gauss-Newton; stationarity and invertibility are not
-   enforced, as in the reference), then rolls the recursion forward ``horizon`` steps and undoes the differencing.
+5. Refinement: a merchant's series is one row of lists, and an Arrow function stacks the series of a few
+   hundred merchants. It minimises the conditional sum of squares of the multiplicative model from the
+   stage-2 start values (damped Gauss-Newton, each series with its own damping and end; stationarity and
+   invertibility are not enforced, as in the reference), then rolls the recursion forward ``horizon`` steps and undoes
+   the differencing. numpy takes one time step of all stacked series at once.
 
 This is conditional least squares, not the exact Kalman-filter likelihood, so coefficients
 differ from a state-space fit; AIC uses the Gaussian CSS likelihood with sigma^2 = S/n.
@@ -372,94 +373,268 @@ def _seasonal_naive(y: np.ndarray, horizon: int, s: int) -> np.ndarray:
     return np.asarray([y[len(y) - s + (h % s)] for h in range(horizon)])
 
 
-def fit_forecast_group(pdf: pd.DataFrame, orders: list[Order], ar: list[int], ma: list[int],
-                       keys: list[str], horizon: int, m: int = STAGE1_LAGS, s2=None,
-                       residuals: bool = False) -> pd.DataFrame:
-    """Refinement and roll-out for one merchant (all requested orders)."""
-    pdf = pdf.sort_values("t")
-    train = pdf[pdf["is_train"]]
-    test = pdf[~pdf["is_train"]]
+# ------------------------------------------------------------------ many merchants at once
+
+#: Values of one work array: as many series are refined together as their trading days x parameters leave room for.
+CELLS = 1 << 21
+#: Series of an Arrow batch that are looked at together.
+SERIES = 2048
+
+
+def _poly_columns(order: Order, params: np.ndarray):
+    """``_expand`` for a stack of parameters (series, n_params): [(lag, coefficients)] of the AR and of the MA part."""
+    p, P, q, Q = order.p, order.P, order.q, order.Q
+    phi, Phi = params[:, :p], params[:, p:p + P]
+    theta, Theta = params[:, p + P:p + P + q], params[:, p + P + q:p + P + q + Q]
+    out = []
+    for one, seasonal, sign in ((phi, Phi, -1.0), (theta, Theta, 1.0)):
+        c: dict[int, np.ndarray] = {}
+        for i in range(one.shape[1]):
+            c[i + 1] = c.get(i + 1, 0.0) + one[:, i]
+        for k in range(seasonal.shape[1]):
+            c[order.s * (k + 1)] = c.get(order.s * (k + 1), 0.0) + seasonal[:, k]
+        for i in range(one.shape[1]):
+            for k in range(seasonal.shape[1]):
+                lag = i + 1 + order.s * (k + 1)
+                c[lag] = c.get(lag, 0.0) + sign * one[:, i] * seasonal[:, k]
+        out.append(sorted(c.items()))
+    return out
+
+
+def _stacked_residuals(order: Order, params: np.ndarray, w: np.ndarray, X: np.ndarray, lengths: np.ndarray, rows: np.ndarray):
+    """``_residuals`` of a stack: row i has ``params[i]`` and series ``rows[i]`` of ``w`` (time, series), ``X`` (regressor, time, series).
+    Returns (time, row) with zeros before the first residual and after the end of the series; the recursion as written
+    (``_ma_filter_direct``), one step for all rows."""
+    a, b = _poly_columns(order, params)
+    u = w[:, rows]
+    for j in range(X.shape[0]):
+        u = u - X[j][:, rows] * params[:, order.n_arma + j]
+    start = max([l for l, _ in a], default=0)
+    v = u.copy()
+    for l, c in a:
+        v[l:] -= c * u[:-l]
+    e = np.zeros_like(v)
+    e[start:] = v[start:]
+    deg = max([l for l, _ in b], default=0)
+    if deg:
+        taps = [(l, c) for l, c in b]
+        for t in range(start, len(e)):
+            row = e[t]
+            for l, c in taps:
+                if t - l >= start:
+                    row -= c * e[t - l]
+    e[np.arange(len(e))[:, None] >= lengths[rows][None, :]] = 0.0
+    return e, u, start
+
+
+def _stacked_css(order, params, w, X, lengths, rows):
+    e, _, _ = _stacked_residuals(order, params, w, X, lengths, rows)
+    return np.einsum("tr,tr->r", e, e), e
+
+
+def _refine_stack(order: Order, x0: np.ndarray, w: np.ndarray, X: np.ndarray, lengths: np.ndarray, iters: int = MAX_ITERATIONS):
+    """``_refine`` for a stack of series: the same damped steps, each series with its own damping and its own end. Returns
+    (parameters, sums, converged), one row per series."""
+    n, k = x0.shape
+    x, every = x0.copy(), np.arange(n)
+    S, e = _stacked_css(order, x, w, X, lengths, every)
+    bad = ~np.isfinite(S)
+    if bad.any():  # explosive starts: begin at zero
+        x[bad] = 0.0
+        S, e = _stacked_css(order, x, w, X, lengths, every)
+    converged = np.ones(n, bool)
+    if k == 0:
+        return x, S, converged
+    lam = np.full(n, 1e-3)
+    active = every
+    for _ in range(iters):
+        if not len(active):
+            break
+        m = len(active)
+        h = 1e-6 * np.maximum(1.0, np.abs(x[active]))                       # (m, k)
+        moved = np.repeat(x[active][None], k, 0)                            # (k, m, k)
+        for i in range(k):
+            moved[i, :, i] += h[:, i]
+        _, ej = _stacked_css(order, moved.reshape(k * m, k), w, X, lengths, np.tile(active, k))
+        J = (ej.reshape(len(ej), k, m) - e[:, None, active]) / h.T[None]    # (time, k, m)
+        J = np.ascontiguousarray(J.transpose(2, 1, 0))                      # (m, k, time)
+        g = (J @ np.ascontiguousarray(e[:, active].T)[:, :, None])[:, :, 0]
+        H = J @ J.transpose(0, 2, 1)
+        D = np.zeros_like(H)
+        D[:, np.arange(k), np.arange(k)] = H[:, np.arange(k), np.arange(k)] + 1e-12
+        trying, improved, rel = np.arange(m), np.zeros(m, bool), np.zeros(m)
+        for _ in range(8):
+            ids = active[trying]
+            M = H[trying] + lam[ids][:, None, None] * D[trying]
+            step, solved = _solve_stack(M, -g[trying])
+            lam[ids[~solved]] *= 10
+            unsolved, trying, ids, step = trying[~solved], trying[solved], ids[solved], step[solved]
+            if len(ids):
+                xn = x[ids] + step
+                Sn, en = _stacked_css(order, xn, w, X, lengths, ids)
+                ok = np.isfinite(Sn) & (Sn < S[ids])
+                good = ids[ok]
+                rel[trying[ok]] = (S[good] - Sn[ok]) / np.maximum(S[good], 1e-300)
+                x[good], S[good] = xn[ok], Sn[ok]
+                e[:, good] = en[:, ok]
+                lam[good] = np.maximum(lam[good] / 3, 1e-9)
+                improved[trying[ok]] = True
+                lam[ids[~ok]] *= 4
+                trying = trying[~ok]
+            trying = np.concatenate([trying, unsolved])
+            if not len(trying):
+                break
+        active = active[improved & (rel >= 1e-7)]
+    converged[active] = False
+    return x, S, converged
+
+
+def _solve_stack(M: np.ndarray, g: np.ndarray):
+    """Solutions of stacked systems and which of them have one."""
+    ok = np.ones(len(M), bool)
+    try:
+        return np.linalg.solve(M, g[:, :, None])[:, :, 0], ok
+    except np.linalg.LinAlgError:
+        out = np.zeros_like(g)
+        for i in range(len(M)):
+            try:
+                out[i] = np.linalg.solve(M[i], g[i])
+            except np.linalg.LinAlgError:
+                ok[i] = False
+        return out, ok
+
+
+def _forecast_stack(order: Order, params: np.ndarray, y_tail: np.ndarray, w, X, Xf, lengths, horizon: int, sd: np.ndarray) -> np.ndarray:
+    """``_forecast`` of a stack: (series, horizon). ``y_tail`` has the last values that undo the differencing, oldest first."""
+    a, b = _poly_columns(order, params)
+    n = len(lengths)
+    e, u, _ = _stacked_residuals(order, params, w, X, lengths, np.arange(n))
+    deep = max([l for l, _ in a] + [l for l, _ in b] + [1])
+    # the last ``deep`` values of each series, oldest first; zero before its first
+    at = lengths[None, :] - deep + np.arange(deep)[:, None]
+    take = lambda z: np.where(at >= 0, z[np.maximum(at, 0), np.arange(n)[None, :]], 0.0)
+    ue, ee = np.zeros((deep + horizon, n)), np.zeros((deep + horizon, n))
+    ue[:deep], ee[:deep] = take(u), take(e)
+    for t in range(deep, deep + horizon):
+        val = np.zeros(n)
+        for l, c in a:
+            val = val + c * ue[t - l]
+        for l, c in b:
+            val = val + c * ee[t - l]
+        ue[t] = val
+    wf = ue[deep:] * sd
+    for j in range(len(Xf)):
+        wf = wf + Xf[j] * params[:, order.n_arma + j] * sd
+    poly = order.diff_poly()
+    K = len(poly) - 1
+    yy = np.vstack([y_tail, np.zeros((horizon, n))])
+    for h in range(horizon):
+        t = K + h
+        yy[t] = (wf[h] - sum(poly[k] * yy[t - k] for k in range(1, K + 1))) / poly[0]
+    return yy[K:].T
+
+
+def _start(o: Order, G, ar: list[int], ma: list[int], sd: float) -> np.ndarray:
+    """Start values of one series from its stage-2 sums."""
+    x0 = np.zeros(o.n_params)
+    if G is None:
+        return x0
+    idx = [0] + [1 + ar.index(i) for i in o.ar_lags()] + [1 + len(ar) + ma.index(j) for j in o.ma_lags()] \
+        + [1 + len(ar) + len(ma) + i for i in range(len(o.exog))]
+    coef = _ls(G[np.ix_(idx, idx)] / (sd * sd))
+    na_l, nm_l = len(o.ar_lags()), len(o.ma_lags())
+    arc = dict(zip(o.ar_lags(), coef[:na_l]))
+    mac = dict(zip(o.ma_lags(), coef[na_l:na_l + nm_l]))
+    ex = coef[na_l + nm_l:]
+    x0 = np.asarray([arc.get(i, 0.0) for i in range(1, o.p + 1)]
+                    + [arc.get(o.s * kk, 0.0) for kk in range(1, o.P + 1)]
+                    + [mac.get(j, 0.0) for j in range(1, o.q + 1)]
+                    + [mac.get(o.s * kk, 0.0) for kk in range(1, o.Q + 1)]
+                    + list(ex), dtype=float)
+    return np.nan_to_num(x0)
+
+
+def fit_forecast_chunk(series: list[dict], orders: list[Order], ar: list[int], ma: list[int], horizon: int, residuals: bool = False) -> list[dict]:
+    """Refinement and roll-out of the models ``orders`` for some series: dicts with ``y`` (train values), ``n_test``, ``x`` (regressor:
+    train and test values) and ``sums`` (stage 2). One record per series and order, in that order.
+
+    Series are stacked in order of their length; numpy takes one step of all of them at a time."""
     o0 = orders[0]
-    y = train["y"].to_numpy(dtype=float)
-    poly = o0.diff_poly()
+    poly = np.asarray(o0.diff_poly())
     K = len(poly) - 1
-    w_full = np.asarray([sum(poly[k] * y[t - k] for k in range(len(poly))) for t in range(K, len(y))])
-    sd = float(np.std(w_full)) if len(w_full) > 1 else 0.0
-    ws = w_full / sd if sd > 0 else w_full * 0.0
-
-    def dx(col_vals):
-        return np.asarray([sum(poly[k] * col_vals[t - k] for k in range(len(poly))) for t in range(K, len(col_vals))])
-
-    if o0.exog:
-        xall = {x: np.concatenate([train[x].to_numpy(float), test[x].to_numpy(float)]) for x in o0.exog}
-        X = np.column_stack([dx(xall[x][:len(y)]) / (sd if sd > 0 else 1.0) for x in o0.exog])
-        full = {x: dx(xall[x]) / (sd if sd > 0 else 1.0) for x in o0.exog}
-        Xf_all = np.column_stack([full[x][len(w_full):] for x in o0.exog])
-    else:
-        X = np.zeros((len(ws), 0))
-        Xf_all = np.zeros((len(test), 0))
-    if o0.exog:  # regressors are known for the held-out rows only: no forecast beyond them
-        horizon = min(horizon, len(Xf_all))
-    Xf = Xf_all[:horizon] if o0.exog else np.zeros((horizon, 0))
-    if s2 is None and "s2" in pdf.columns:
-        s2 = pdf["s2"].iloc[0]
-    reg = ["w"] + [f"_w{i}" for i in ar] + [f"_e{j}" for j in ma] + [f"_dx_{x}" for x in o0.exog]
-    G = _unpack(s2["sums"], len(reg)) if s2 is not None and s2["sums"] is not None else None
-    rows = []
-    key_vals = {k: pdf[k].iloc[0] for k in keys}
-    for o in orders:
+    size = 1 + len(ar) + len(ma) + len(o0.exog)
+
+    def difference(z):
+        return sum(poly[k] * z[K - k:len(z) - k] for k in range(K + 1)) if len(z) > K else np.zeros(0)
+
+    for r in series:
+        y = r["y"]
+        r["w"] = difference(y)
+        r["sd"] = float(np.std(r["w"])) if len(r["w"]) > 1 else 0.0
+        scale = r["sd"] if r["sd"] > 0 else 1.0
+        r["ws"] = r["w"] / scale if r["sd"] > 0 else r["w"] * 0.0
+        r["X"] = [difference(r["x"][c][:len(y)]) / scale for c in o0.exog]
+        r["Xf"] = [(difference(r["x"][c]) / scale)[len(r["w"]):] for c in o0.exog]
+        # regressors are known for the held-out rows only: no forecast beyond them
+        r["horizon"] = min(horizon, len(r["Xf"][0])) if o0.exog else horizon
+        r["G"] = _unpack(r["sums"], size) if r["sums"] is not None else None
+    out: dict[tuple[int, int], dict] = {}
+    for oi, o in enumerate(orders):
         k = o.n_params
-        rec = dict(key_vals, model=o.name, ar_p=o.p, diff_d=o.d, ma_q=o.q, sar_p=o.P, sdiff_d=o.D,
-                   sma_q=o.Q, season=o.s, n_obs=int(len(ws)))
-        rec.update(converged=None, resid=None)
         need = max(o.ar_lags() + o.ma_lags() + [0]) + k + 2   # one residual more than parameters
-        if len(y) == 0:
-            rec.update(method="too_short", params=[], sigma2=None, aic=None, forecast=None)
-            rows.append(rec)
-            continue
-        if len(ws) < need:
-            rec.update(method="seasonal_naive", params=[], sigma2=None, aic=None,
-                       forecast=_seasonal_naive(y, horizon, o.s).tolist())
-            rows.append(rec)
-            continue
-        if sd == 0:
-            x0 = np.zeros(k)
-            fc = _forecast(o, x0, y, ws, X, Xf, horizon, 1.0)
-            rec.update(method="zero_variance", params=x0.tolist(), sigma2=0.0, aic=None, forecast=fc.tolist())
-            rows.append(rec)
-            continue
-        x0 = np.zeros(k)
-        if G is not None:
-            idx = [0] + [1 + ar.index(i) for i in o.ar_lags()] + [1 + len(ar) + ma.index(j) for j in o.ma_lags()] \
-                + [1 + len(ar) + len(ma) + i for i in range(len(o0.exog))]
-            coef = _ls(G[np.ix_(idx, idx)] / (sd * sd))
-            na_l, nm_l = len(o.ar_lags()), len(o.ma_lags())
-            arc = dict(zip(o.ar_lags(), coef[:na_l]))
-            mac = dict(zip(o.ma_lags(), coef[na_l:na_l + nm_l]))
-            ex = coef[na_l + nm_l:]
-            x0 = np.asarray([arc.get(i, 0.0) for i in range(1, o.p + 1)]
-                            + [arc.get(o.s * kk, 0.0) for kk in range(1, o.P + 1)]
-                            + [mac.get(j, 0.0) for j in range(1, o.q + 1)]
-                            + [mac.get(o.s * kk, 0.0) for kk in range(1, o.Q + 1)]
-                            + list(ex), dtype=float)
-            x0 = np.nan_to_num(x0)
-        try:
-            with np.errstate(over="ignore", invalid="ignore"):
-                xh, S, n_eff, converged = _refine(o, x0, ws, X)
-            if not np.isfinite(S):
-                raise FloatingPointError
-            S = max(S, 1e-300)
-            sigma2 = S / n_eff * sd * sd
-            aic = n_eff * math.log(S / n_eff * sd * sd) + n_eff * (1 + math.log(2 * math.pi)) + 2 * (k + 1)
-            fc = _forecast(o, xh, y, ws, X, Xf, horizon, sd)
-            rec.update(method="css", params=xh.tolist(), sigma2=float(sigma2), aic=float(aic), forecast=fc.tolist(),
-                       converged=bool(converged))
-            if residuals:
-                rec["resid"] = (_residuals(o, xh, ws, X)[0] * sd).tolist()
-        except (FloatingPointError, ValueError, np.linalg.LinAlgError):
-            rec.update(method="failed", params=[], sigma2=None, aic=None, forecast=None)
-        rows.append(rec)
-    return pd.DataFrame(rows)
+        fit = []
+        for si, r in enumerate(series):
+            rec = dict(model=o.name, ar_p=o.p, diff_d=o.d, ma_q=o.q, sar_p=o.P, sdiff_d=o.D, sma_q=o.Q, season=o.s, n_obs=len(r["ws"]),
+                       converged=None, resid=None, params=[], sigma2=None, aic=None, forecast=None)
+            out[si, oi] = rec
+            if len(r["y"]) == 0:
+                rec.update(method="too_short")
+            elif len(r["ws"]) < need:
+                rec.update(method="seasonal_naive", forecast=_seasonal_naive(r["y"], r["horizon"], o.s).tolist())
+            elif r["sd"] == 0:
+                fc = _forecast(o, np.zeros(k), r["y"], r["ws"], np.zeros((len(r["ws"]), len(o0.exog))), np.zeros((horizon, len(o0.exog))), r["horizon"], 1.0)
+                rec.update(method="zero_variance", params=[0.0] * k, sigma2=0.0, forecast=fc.tolist())
+            elif not np.isfinite(r["ws"]).all():
+                rec.update(method="failed")
+            else:
+                fit.append(si)
+        fit.sort(key=lambda si: len(series[si]["ws"]))
+        longest = len(series[fit[-1]]["ws"]) if fit else 1
+        chunk = max(1, CELLS // (longest * max(k, 1)))
+        for lo in range(0, len(fit), chunk):
+            ids = fit[lo:lo + chunk]
+            some = [series[si] for si in ids]
+            lengths = np.asarray([len(r["ws"]) for r in some])
+            T = int(lengths.max())
+
+            def stack(values):
+                z = np.zeros((T, len(values)))
+                for i, v in enumerate(values):
+                    z[:len(v), i] = v
+                return z
+            w = stack([r["ws"] for r in some])
+            X = np.stack([stack([r["X"][j] for r in some]) for j in range(len(o0.exog))]) if o0.exog else np.zeros((0, *w.shape))
+            far = max(r["horizon"] for r in some)
+            Xf = [np.asarray([np.pad(r["Xf"][j][:far], (0, far - len(r["Xf"][j][:far]))) for r in some]).T.reshape(far, len(some)) for j in range(len(o0.exog))]
+            sd = np.asarray([r["sd"] for r in some])
+            with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+                x0 = np.stack([_start(o, r["G"], ar, ma, r["sd"]) for r in some])
+                xh, S, conv = _refine_stack(o, x0, w, X, lengths)
+                tail = np.stack([r["y"][len(r["y"]) - K:] for r in some], axis=1) if K else np.zeros((0, len(some)))
+                fc = _forecast_stack(o, xh, tail, w, X, Xf, lengths, far, sd)
+                resid, _, first = _stacked_residuals(o, xh, w, X, lengths, np.arange(len(some))) if residuals else (None, None, 0)
+            start = max(o.ar_lags() + [0])
+            for i, (si, r) in enumerate(zip(ids, some)):
+                if not np.isfinite(S[i]):
+                    out[si, oi].update(method="failed")
+                    continue
+                n_eff, s = int(lengths[i]) - start, max(float(S[i]), 1e-300)
+                sigma2 = s / n_eff * r["sd"] * r["sd"]
+                out[si, oi].update(method="css", params=xh[i].tolist(), sigma2=float(sigma2),
+                                   aic=float(n_eff * math.log(sigma2) + n_eff * (1 + math.log(2 * math.pi)) + 2 * (k + 1)),
+                                   forecast=fc[i, :r["horizon"]].tolist(), converged=bool(conv[i]),
+                                   resid=(resid[first:lengths[i], i] * r["sd"]).tolist() if residuals else None)
+    return [out[si, oi] for si in range(len(series)) for oi in range(len(orders))]
 
 
 def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys=("merchant_id",),
@@ -474,28 +649,43 @@ def fit_forecast(series: DataFrame, orders: list[Order], horizon: int = 30, keys
     keys = list(keys)
     ship_package(series.sparkSession)
     base, s2, ar, ma = prepare(series, orders, keys, date_col, m)
-    key_types = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys)
+    kinds = dict(series.dtypes)
+    key_types = ", ".join(f"{k} {kinds[k]}" for k in keys)
     schema = (f"{key_types}, model string, ar_p int, diff_d int, ma_q int, sar_p int, sdiff_d int, sma_q int, "
               f"season int, n_obs int, "
               f"method string, params array<double>, sigma2 double, aic double, forecast array<double>, "
               f"converged boolean, resid array<double>")
-    ords = list(orders)
+    ords, exog = list(orders), list(orders[0].exog)
     out_cols = [c.split(" ")[0] for c in schema.split(", ")]
+    fixed = {"ar_p": "int32", "diff_d": "int32", "ma_q": "int32", "sar_p": "int32", "sdiff_d": "int32", "sma_q": "int32", "season": "int32", "n_obs": "int32"}
 
-    def fn(rows: pd.DataFrame, sums: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame(columns=out_cols)
-        s2v = sums["s2"].iloc[0] if len(sums) else None
-        out = fit_forecast_group(rows, ords, ar, ma, keys, horizon, m, s2=s2v, residuals=residuals)
-        return out[out_cols]
-
-    # The merchant's rows and its single row of stage-2 sums meet in a cogroup, so the sums
-    # travel once per merchant, not once per trading day. The solve is CPU-heavy but its
-    # input is tiny: ``spread_by`` keeps AQE from coalescing it into one Python worker.
-    s2 = s2.select(*[F.col(k).alias(k) for k in keys], "s2")     # fresh attribute ids: both sides share lineage
-    return (spread_by(base, keys).groupBy(*keys)
-            .cogroup(spread_by(s2, keys).groupBy(*keys))
-            .applyInPandas(fn, schema))
+    def fn(batches):
+        nan = lambda v: np.asarray([np.nan if z is None else z for z in v], dtype=float)
+        for pdf in batches:
+            for lo in range(0, len(pdf), SERIES):
+                part = pdf.iloc[lo:lo + SERIES]
+                found = []
+                for row in part.itertuples(index=False):
+                    train = np.asarray(row.is_train, dtype=bool)
+                    y = nan(row.y)
+                    found.append({"y": y[train], "x": {c: nan(getattr(row, f"x{j}")) for j, c in enumerate(exog)},
+                                  "sums": None if row.sums is None else list(row.sums)})
+                recs = fit_forecast_chunk(found, ords, ar, ma, horizon, residuals)
+                out = pd.DataFrame(recs)
+                for k in keys:
+                    out[k] = np.repeat(part[k].to_numpy(), len(ords))
+                yield out[out_cols].astype(fixed)
+
+    # A merchant's series is one row of lists (its trading days) beside its stage-2 sums. The solve is CPU-heavy but
+    # its input is tiny: ``spread_by`` keeps AQE from coalescing it into one Python worker.
+    cells = F.array_sort(F.collect_list(F.struct("t", "is_train", "y", *(F.col(x).cast("double").alias(f"x{j}") for j, x in enumerate(exog)))))
+    lists = spread_by(base, keys, 1).groupBy(*keys).agg(cells.alias("_cells"))
+    names = ["is_train", "y", *(f"x{j}" for j in range(len(exog)))]
+    lists = lists.select(*keys, *(F.col("_cells")[c].alias(c) for c in names))
+    s2 = spread_by(s2.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("s2.sums").alias("sums")), [f"_{k}" for k in keys], 1)
+    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = lists.join(s2, on, "left").select(*keys, *names, "sums")
+    return joined.mapInPandas(fn, schema)
 
 
 def forecast_rows(fits: DataFrame, series: DataFrame, keys=("merchant_id",), date_col: str = "order_date",
