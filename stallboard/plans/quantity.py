@@ -33,19 +33,26 @@ def training_panel(lines: DataFrame, cutoff) -> DataFrame:
 
 def fit_quantity_model(train: DataFrame, step_size: float = 0.3, max_iter: int = 100):
     """J12 over a training panel."""
-    return Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter)
+    # calendar and binned levels repeat, so the fit reads far fewer rows than the panel has
+    return Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter, binned=Q.LEVELS)
 
 
 def quantity_forecast(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
                       max_iter: int = 100, model_path: str | None = None) -> DataFrame:
-    """K5 = D1 -> C3 -> E8 -> J12 -> J16: long-form per-item forecasts for ``horizon`` days.
+    """K5 = D1 -> C3 -> E8 -> J12 -> J16: long-form per-item forecasts for ``horizon`` days."""
+    return Q.predicted_days(item_quantities(lines, cutoff, horizon, step_size, max_iter, model_path))
+
+
+def item_quantities(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
+                    max_iter: int = 100, model_path: str | None = None) -> DataFrame:
+    """K5's forecast with a row per item (``Q.horizon_quantities``), for reports that add its days up.
 
     With ``model_path`` the forecast is scored by the model saved there (``save_quantity_model``)
     instead of a fresh fit."""
     D.check_days(horizon, 1, 30)
     train = cut_lineage(training_panel(lines, cutoff))   # feeds the levels, the fit and the horizon frame
     model = PipelineModel.load(model_path) if model_path else fit_quantity_model(train, step_size, max_iter)
-    return Q.horizon_forecast(model, train, cutoff, horizon)
+    return Q.horizon_quantities(model, train, cutoff, horizon)
 
 
 def save_quantity_model(lines: DataFrame, cutoff, path: str, step_size: float = 0.3, max_iter: int = 100) -> str:

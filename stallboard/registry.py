@@ -1202,14 +1202,14 @@ def k5_quantity_forecast(spark, sf_dir):
 def e16_wide_forecast_records(spark, sf_dir):
     from stallboard.operators import quantity as Q
     from stallboard.plans import quantity as PQ
-    return Q.wide_records(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)))
+    return Q.wide_records(PQ.item_quantities(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)))
 
 
 @register("e17_forecast_item_totals_7_days")
 def e17_forecast_item_totals_7_days(spark, sf_dir):
     from stallboard.operators import aggregates as A
     from stallboard.plans import quantity as PQ
-    return A.horizon_item_totals(PQ.quantity_forecast(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)), 7)
+    return A.horizon_item_totals(PQ.item_quantities(V.order_lines(spark, sf_dir), CUTOFF, 30, model_path=_saved_model(spark, sf_dir)), 7)
 
 
 @register("j13_quantity_lags_holdout")
@@ -1273,7 +1273,7 @@ def k7_dashboard_bundle(spark, sf_dir):
     from stallboard.plans import reports as R
     lines = V.order_lines(spark, sf_dir)
     _, rev, _ = PF.revenue_forecast(PF.daily_revenue(lines))
-    qty = PQ.quantity_forecast(lines, CUTOFF, 30, model_path=_saved_model(spark, sf_dir))
+    qty = PQ.item_quantities(lines, CUTOFF, 30, model_path=_saved_model(spark, sf_dir))
     return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
 
 

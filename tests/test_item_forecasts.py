@@ -61,3 +61,18 @@ def test_pivot_has_the_days_of_merchants_without_a_listed_item(spark):
     got = Q.pivot_pred_actual(NV.results(listed), [4], days).collect()
     assert len(got) == 60 and sum(r.item_4_pred is not None for r in got) == 30
     assert [r.item_4_actual for r in got if r.merchant_id == 1 and r.forecast_date == dt.date(2024, 2, 3)] == [2.0]
+
+
+def test_binned_levels_train_the_same_trees_from_fewer_rows(spark, monkeypatch):
+    from stallboard.plans import quantity as PQ
+    panel = Q.add_calendar(Q.add_levels(_panel(spark))).localCheckpoint()
+    rows = []
+    cut = Q.cut_lineage
+    monkeypatch.setattr(Q, "cut_lineage", lambda df: rows.append(df) or cut(df))
+    plain, binned = (Q.fit(panel, PQ.API_FEATURES, "daily_quantity_sold", 0.3, 3, binned=b) for b in ((), Q.LEVELS))
+    keys = ["merchant_id", "item_id", "order_date"]
+    a, b = ({tuple(r[:3]): r[3] for r in Q.predict(m, panel).select(*keys, "prediction").collect()} for m in (plain, binned))
+    assert len(a) == panel.count() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+    assert rows[-1].count() < rows[0].count() == panel.count()
+    splits = Q.level_splits(spark.createDataFrame([(float(k % 10), None) for k in range(50)], "a double, b double"), ["a", "b"])
+    assert splits == {"a": [k + 0.5 for k in range(9)], "b": []}
