@@ -21,6 +21,25 @@ ORDER_LINE_COLUMNS = [
 ]
 
 
+#: Lines that one task of the join with their orders holds, and of the per-order aggregates behind it.
+TASK_LINES = 500_000
+
+
+def dealt_by_order(lines: DataFrame, task_lines: int = TASK_LINES) -> DataFrame:
+    """Lines in as many partitions by order as their number asks for, at least the configured ones.
+
+    Adaptive execution sizes a join's partitions by their bytes in the shuffle. Lines are a few bytes there, and a task that
+    is full by that measure sorts and hashes some twenty times as much, once per operator: joins and aggregates by
+    order run in one stage. Partitions of a given number are not joined by it (nor split: an order's lines stay
+    together), and the orders follow, so no shuffle is added. The count reads the files' footers. Fewer lines than a
+    task holds are left as they are."""
+    rows = lines.count()
+    if rows <= task_lines:
+        return lines
+    n = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return lines.repartition(max(n, -(-rows // task_lines)), "order_id")
+
+
 def build_order_lines(lines: DataFrame, orders: DataFrame, items: DataFrame,
                       merchants: DataFrame) -> DataFrame:
     """Join logical tables into the combined view.
@@ -64,7 +83,7 @@ def build_order_lines(lines: DataFrame, orders: DataFrame, items: DataFrame,
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """combined_order_view over the driver's tables."""
-    return build_order_lines(tables.order_items(spark, sf_dir), tables.orders(spark, sf_dir),
+    return build_order_lines(dealt_by_order(tables.order_items(spark, sf_dir)), tables.orders(spark, sf_dir),
                              tables.items(spark, sf_dir), tables.merchants(spark, sf_dir))
 
 
