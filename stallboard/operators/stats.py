@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import cut_lineage, ship_package
+from stallboard.session import ship_package, spread_by
 
 DAILY_METRICS = ("total_orders", "total_revenue", "total_items")
 
@@ -294,87 +294,69 @@ def _regression(gram, lags: int, last: int, n: int):
     return (beta, inverse, ssr) if n > len(cols) and ssr > 0 else None
 
 
-def _gram(frame: DataFrame, keys: list[str], cols: list[str], used) -> DataFrame:
-    """Rows in use and the upper triangle of the product sums, one row per group."""
-    products = [F.sum(F.when(used, F.coalesce(F.col(cols[i]) * F.col(cols[j]), F.lit(0.0))))
-                for i in range(len(cols)) for j in range(i, len(cols))]
-    return frame.groupBy(*keys).agg(F.count_if(used).alias("rows"), F.max("_lags").alias("lags"), F.array(*products).alias("sums"))
-
-
-def _square(sums, size: int):
+def _products(y, known, lags: int):
+    """Rows of a series from ``lags`` + 2 on, where that many lagged differences exist, and the product sums of its columns:
+    the constant, the centred lagged level, ``lags`` lagged differences and the difference. A missing value adds nothing."""
     import numpy as np
-    out = np.zeros((size, size))
-    upper = np.triu_indices(size)
-    out[upper] = [0.0 if v is None else v for v in sums]
-    return out + np.triu(out, 1).T
+    n = len(y)
+    rows = max(0, n - lags - 1)
+    if not rows:
+        return 0, np.zeros((lags + 3, lags + 3))
+    level = np.where(known, y - (y[known].mean() if known.any() else 0.0), 0.0)
+    step = np.zeros(n)  # step[t] leads to row t from the row before
+    step[1:] = np.where(known[1:] & known[:-1], y[1:] - y[:-1], 0.0)
+    first = lags + 1
+    x = np.empty((rows, lags + 3))
+    x[:, 0], x[:, 1], x[:, -1] = 1.0, level[first - 1:n - 1], step[first:]
+    for k in range(1, lags + 1):
+        x[:, k + 1] = step[first - k:n - k]
+    return rows, x.T @ x
 
 
 def adf(series: DataFrame, value: str, keys=("merchant_id",), order: str = "order_date") -> DataFrame:
     """J11 per merchant: augmented Dickey-Fuller with a constant, lag length by AIC over
     0..ceil(12 (n/100)^(1/4)) on a common sample, then refitted on all usable rows.
 
-    Spark builds the lag columns and the product sums: one aggregate over the common sample serves
-    every lag length, a second one the chosen length. Python only solves the small systems of one
-    aggregated row per merchant. The level is centred, which the constant absorbs."""
+    Spark puts every series together as one ordered list, a number per day; the product sums of its lag columns (the
+    columns themselves are never rows) and the small systems are solved next to it, each series in one pass.
+    The level is centred, which the constant absorbs. Series with a null in their key are left out."""
     import numpy as np
     keys = list(keys)
     ship_package(series.sparkSession)
-    w = Window.partitionBy(*keys).orderBy(order)
-    wa = Window.partitionBy(*keys)
     y = F.col(value).cast("double")
-    n = F.count(F.lit(1)).over(wa)
-    # the lag limit of the longest series bounds the columns: one number comes to the driver
-    longest = series.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    most = max(0, min(longest // 2 - 2, math.ceil(12.0 * (longest / 100.0) ** 0.25)))
-    limit = F.greatest(F.lit(0), F.least(F.floor(n / 2) - 2, F.ceil(12.0 * F.pow(n / 100.0, F.lit(0.25)))))
-    x = series.select(*keys, F.col(order).alias("_o"), F.row_number().over(w).alias("_t"), n.alias("_n"), limit.cast("int").alias("_lags"),
-                      F.lit(1.0).alias("_c0"), (F.lag(y).over(w) - F.avg(y).over(wa)).alias("_c1"), (y - F.lag(y).over(w)).alias("_d"))
-    lag_w = Window.partitionBy(*keys).orderBy("_o")
-    x = x.select("*", *[F.lag("_d", k).over(lag_w).alias(f"_c{k + 1}") for k in range(1, most + 1)])
-    x = cut_lineage(x)                                     # read by both passes
-    cols = [f"_c{k}" for k in range(most + 2)] + ["_d"]
     kinds = ", ".join(f"{k} {dict(series.dtypes)[k]}" for k in keys)
-    size, last = len(cols), len(cols) - 1
 
-    def choose(batches):
-        for pdf in batches:
-            chosen = []
-            for rows, lags, sums in zip(pdf["rows"], pdf["lags"], pdf["sums"]):
-                best = None
-                gram = _square(sums, size)
-                for k in range(int(lags) + 1):
-                    fit = _regression(gram, k, last, int(rows))
-                    if fit is not None:
-                        aic = rows * (math.log(2 * math.pi) + math.log(fit[2] / rows) + 1) + 2 * (k + 2)
-                        if best is None or aic < best[0]:
-                            best = (aic, k)
-                chosen.append(best[1] if best else 0)
-            yield pdf[keys].assign(_chosen=np.array(chosen, np.int32))
+    def test(y, known) -> dict:
+        n = len(y)
+        limit = max(0, min(n // 2 - 2, math.ceil(12.0 * (n / 100.0) ** 0.25)))
+        rows, gram = _products(y, known, limit)
+        best, chosen = None, 0
+        for k in range(limit + 1):
+            fit = _regression(gram, k, limit + 2, rows)
+            if fit is not None:
+                aic = rows * (math.log(2 * math.pi) + math.log(fit[2] / rows) + 1) + 2 * (k + 2)
+                if best is None or aic < best:
+                    best, chosen = aic, k
+        rows, gram = _products(y, known, chosen)
+        fit = _regression(gram, chosen, chosen + 2, rows) if n >= 6 else None
+        if fit is None:
+            return ADF_EMPTY
+        beta, inverse, ssr = fit
+        stat = float(beta[1] / math.sqrt(ssr / (rows - chosen - 2) * inverse[1, 1]))
+        crit = adf_critical(rows)
+        return dict(adf_stat=stat, pvalue=adf_pvalue(stat), used_lag=chosen, nobs=rows, crit_1pct=crit["1%"],
+                    crit_5pct=crit["5%"], crit_10pct=crit["10%"])
 
     def solve(batches):
-        names = list(ADF_EMPTY)
         for pdf in batches:
-            out = []
-            for rows, used, total, sums in zip(pdf["rows"], pdf["lags"], pdf["total"], pdf["sums"]):
-                rec = dict(ADF_EMPTY)
-                fit = _regression(_square(sums, size), int(used), last, int(rows)) if total >= 6 else None
-                if fit is not None:
-                    beta, inverse, ssr = fit
-                    stat = float(beta[1] / math.sqrt(ssr / (rows - int(used) - 2) * inverse[1, 1]))
-                    crit = adf_critical(int(rows))
-                    rec = dict(adf_stat=stat, pvalue=adf_pvalue(stat), used_lag=int(used), nobs=int(rows), crit_1pct=crit["1%"],
-                               crit_5pct=crit["5%"], crit_10pct=crit["10%"])
-                out.append([rec[c] for c in names])
-            frame = pd.DataFrame(out, columns=names)
+            out = [test(np.asarray(y, float), np.asarray(known, bool)) for y, known in zip(pdf["_y"], pdf["_known"])]
+            frame = pd.DataFrame(out, columns=list(ADF_EMPTY))
             for c in ("used_lag", "nobs"):
                 frame[c] = frame[c].astype("Int32")
             yield pd.concat([pdf[keys].reset_index(drop=True), frame], axis=1)
 
-    # row _t holds the difference from row _t - 1, so k lags exist from row k + 2 on
-    common = _gram(x, keys, cols, F.col("_t") >= F.col("_lags") + 2)
-    chosen = common.mapInPandas(choose, f"{kinds}, _chosen int")
-    y2 = x.drop("_lags").join(chosen.withColumnRenamed("_chosen", "_lags"), keys)
-    final = _gram(y2, keys, cols, F.col("_t") >= F.col("_lags") + 2).join(
-        x.groupBy(*keys).agg(F.max("_n").alias("total")), keys)
-    return final.select(*keys, "rows", "lags", "total", "sums").mapInPandas(
+    lists = (series.dropna(subset=keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), y.alias("y")))).alias("_s"))
+             .select(*keys, F.transform("_s", lambda p: F.coalesce(p["y"], F.lit(0.0))).alias("_y"), F.transform("_s", lambda p: p["y"].isNotNull()).alias("_known")))
+    # few bytes, but a series is some milliseconds of work
+    return spread_by(lists, keys, 1).mapInPandas(
         solve, f"{kinds}, adf_stat double, pvalue double, used_lag int, nobs int, crit_1pct double, crit_5pct double, crit_10pct double")

@@ -33,3 +33,29 @@ def test_lines_are_dealt_by_order_in_proportion(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert text.count("REPARTITION_BY_NUM") == 1 and text.count("hashpartitioning(order_id") == 2, text
+
+
+def test_adf_makes_no_rows_of_lag_columns(spark):
+    import numpy as np
+
+    from stallboard.operators import stats as ST
+    rng = np.random.default_rng(4)
+    rows = [(m, k, float(v)) for m in (1, 2, None) for k, v in enumerate(rng.normal(0, 1, 60).cumsum())]
+    rows += [(3, k, None if k % 9 == 4 else float(v)) for k, v in enumerate(rng.normal(5, 1, 50))] + [(4, k, None) for k in range(20)]
+    got = ST.adf(spark.createDataFrame(rows, "merchant_id long, order_date int, y double"), "y")
+    # the lag columns of every day would be ten times the series, stored and read twice
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Join" not in plan
+    found = {r.merchant_id: r for r in got.collect()}
+    assert sorted(found) == [1, 2, 3, 4] and found[4].adf_stat is None  # no series without a key
+    y = np.array([v for m, _, v in rows if m == 3], dtype=object)
+    lag = found[3].used_lag
+    assert found[3].nobs == 50 - lag - 1
+    known = np.array([v is not None for v in y])
+    level = np.where(known, np.where(known, y, 0.0) - np.mean([v for v in y if v is not None]), 0.0).astype(float)
+    step = np.array([0.0] + [y[t] - y[t - 1] if known[t] and known[t - 1] else 0.0 for t in range(1, 50)])
+    x = np.array([[1.0, level[t - 1], *(step[t - k] for k in range(1, lag + 1))] for t in range(lag + 1, 50)])
+    d = step[lag + 1:]
+    beta = np.linalg.lstsq(x, d, rcond=None)[0]
+    spread = np.sum((d - x @ beta) ** 2) / (len(d) - lag - 2) * np.linalg.inv(x.T @ x)[1, 1]
+    assert abs(found[3].adf_stat - beta[1] / np.sqrt(spread)) < 1e-6
