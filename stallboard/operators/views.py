@@ -111,5 +111,5 @@ def customer_lines(orders: DataFrame, unit_lines: DataFrame, items: DataFrame) -
 
 
 def driver_customer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return customer_lines(tables.orders(spark, sf_dir), tables.order_items(spark, sf_dir),
+    return customer_lines(tables.orders(spark, sf_dir), dealt_by_order(tables.order_items(spark, sf_dir)),
                           tables.items(spark, sf_dir))

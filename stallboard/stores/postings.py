@@ -1,19 +1,22 @@
 """C7 / K6: "contains" from stored posting lists of three-character grams.
 
-Every searched text is lower-cased and cut into all runs of three characters; a posting is a (gram, row)
-pair, stored in folders by a hash of the gram and sorted by gram inside, beside the gram's number of rows. A
-query of three characters or more starts at its rarest gram and keeps the rows that hold all of its
-grams; the text itself then decides, so the answer is exactly that of a scan. A shorter query scans the texts.
+Whether a row is found depends on the texts of its columns alone, and many rows share them (names, days, customers), so the
+distinct lower-cased texts are indexed, not the rows. Every text is cut into all runs of three characters; a posting is a
+(gram, text) pair, stored in folders by a hash of the gram and sorted by gram inside, beside the gram's number of texts. A
+query of three characters or more starts at its rarest gram and keeps the texts that hold all of its
+grams; the text itself then decides, so the answer is exactly that of a scan. The found texts are written, so that Spark
+knows their size, and the rows that have one of them in a column are the answer: the rows are read once and, where the
+found texts are few, not shuffled. A shorter query scans the rows.
 
-A gram that stands in a third of all rows is a long run of rows, never one value, and it is read only if all
-grams of a query are that common. Posting pairs are made distinct per row inside one expression, before
-anything is shuffled.
+A text goes by a 64-bit number in the postings; two texts of one number only add a candidate. A gram that stands in a
+third of all texts is a long run of rows, never one value, and it is read only if all grams of a query are that common.
 
 Nulls: a null text holds nothing. An empty query matches every row, as in the scan.
 """
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,8 +59,10 @@ class Postings:
     def write(self, df: DataFrame) -> "Postings":
         df.write.parquet(f"{self.root}/rows")
         rows = self.spark.read.parquet(f"{self.root}/rows")
-        every = F.array_distinct(F.flatten(F.array(*(F.coalesce(grams_of(c), F.array().cast("array<string>")) for c in searched(rows, self.columns)))))
-        pairs = rows.select(*self.key, F.explode(every).alias("gram"))
+        # combined in each task before they are shuffled
+        texts = (rows.select(F.explode(F.array_distinct(F.array(*searched(rows, self.columns)))).alias("text")).where(F.col("text").isNotNull()).distinct())
+        texts.select(F.xxhash64("text").alias("text_id"), "text").write.parquet(f"{self.root}/texts")
+        pairs = self.texts().select("text_id", F.explode(grams_of(F.col("text"))).alias("gram"))
         # a large folder (a common gram) is split over tasks by Spark, small ones share a task
         (pairs.withColumn(FOLDER, folder_of(F.col("gram"))).hint("rebalance", FOLDER).sortWithinPartitions(FOLDER, "gram")
          .write.partitionBy(FOLDER).parquet(f"{self.root}/postings"))
@@ -69,9 +74,13 @@ class Postings:
     def rows(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/rows")
 
+    def texts(self) -> DataFrame:
+        """(text_id, text): the distinct lower-cased texts of the searched columns."""
+        return self.spark.read.schema("text_id long, text string").parquet(f"{self.root}/texts")
+
     def _table(self, name: str) -> DataFrame:
         """A stored table with its schema given, as an empty one has no file to tell it."""
-        fields = ([self.rows().schema[k] for k in self.key] if name == "postings" else []) + [T.StructField("gram", T.StringType())]
+        fields = ([T.StructField("text_id", T.LongType())] if name == "postings" else []) + [T.StructField("gram", T.StringType())]
         fields += [T.StructField("n", T.LongType())] if name == "grams" else []
         return self.spark.read.schema(T.StructType([*fields, T.StructField(FOLDER, T.IntegerType())])).parquet(f"{self.root}/{name}")
 
@@ -81,22 +90,29 @@ class Postings:
         return self._table(table).where(F.col(FOLDER).isin(numbers) & F.col("gram").isin(grams))
 
     def candidates(self, query: str) -> DataFrame | None:
-        """Keys of the rows that hold the query's rarest grams; None if the query is too short for a gram."""
+        """Numbers of the texts that hold the query's rarest grams; None if the query is too short for a gram."""
         grams = query_grams(query)
         if not grams:
             return None
         counts = {r.gram: r.n for r in self._of("grams", grams).collect()}  # the query's grams
         if len(counts) < len(grams):  # a gram that no text holds
-            return self.rows().select(*self.key).limit(0)
+            return self.texts().select("text_id").limit(0)
         rarest = sorted(grams, key=lambda g: (counts[g], g))[:MOST_GRAMS]
-        lists = [self._of("postings", [g]).select(*self.key) for g in rarest]
-        return reduce(lambda a, b: a.join(b, self.key, "left_semi"), lists)
+        lists = [self._of("postings", [g]).select("text_id") for g in rarest]
+        return reduce(lambda a, b: a.join(b, "text_id", "left_semi"), lists)
 
     def search(self, query: str) -> DataFrame:
         """Rows one of whose columns contains the query, cases ignored."""
         if not query:
             return self.rows()
-        found = self.candidates(query)
-        rows = self.rows() if found is None else self.rows().join(found, self.key, "left_semi")
-        low = F.lit(query.lower())
-        return rows.where(reduce(lambda a, b: a | b, (F.coalesce(F.contains(c, low), F.lit(False)) for c in searched(rows, self.columns))))
+        found, low = self.candidates(query), F.lit(query.lower())
+        rows = self.rows()
+        if found is None:
+            return rows.where(reduce(lambda a, b: a | b, (F.coalesce(F.contains(c, low), F.lit(False)) for c in searched(rows, self.columns))))
+        place = f"{self.root}/found/{uuid.uuid4().hex}"
+        self.texts().join(found, "text_id", "left_semi").where(F.contains(F.col("text"), low)).select("text").write.parquet(place)
+        hits = self.spark.read.schema("text string").parquet(place)
+        out = rows
+        for k, c in enumerate(searched(rows, self.columns)):  # a text is there once, so no row is doubled
+            out = out.join(hits.select(F.col("text").alias(f"_hit_{k}")), c == F.col(f"_hit_{k}"), "left")
+        return out.where(reduce(lambda a, b: a | b, (F.col(f"_hit_{k}").isNotNull() for k in range(len(self.columns))))).select(*rows.columns)

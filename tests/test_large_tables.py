@@ -59,3 +59,17 @@ def test_adf_makes_no_rows_of_lag_columns(spark):
     beta = np.linalg.lstsq(x, d, rcond=None)[0]
     spread = np.sum((d - x @ beta) ** 2) / (len(d) - lag - 2) * np.linalg.inv(x.T @ x)[1, 1]
     assert abs(found[3].adf_stat - beta[1] / np.sqrt(spread)) < 1e-6
+
+
+def test_postings_grow_with_the_texts_not_with_the_rows(spark, tmp_path):
+    from stallboard.operators import filters as C
+    from stallboard.stores.postings import Postings
+    names = ["Almond blue", "gold leaf", None, "x", "GOLD", "gold"]
+    df = spark.createDataFrame([(k % 400, names[k % 6], k % 30) for k in range(600)], "id int, name string, n int")
+    stored = Postings(spark, str(tmp_path / "p"), ["id"], ["name", "n"]).write(df)
+    assert stored.texts().count() == 34  # 4 names without regard to case, 30 numbers
+    assert stored._table("postings").count() == 9 + 7 + 2
+    for q in ("gold", "GOLD ", "d b", "x", "29", "zzz"):
+        assert sorted(map(tuple, stored.search(q).collect()), key=str) == sorted(map(tuple, C.search_all_columns(df, q, ["name", "n"]).collect()), key=str), q
+    plan = stored.search("gold")._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
