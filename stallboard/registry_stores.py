@@ -23,9 +23,9 @@ from stallboard.registry import AS_OF, CUTOFF, ITEM_DAYS, K1_SQL, OL, ORACLE, _r
 from stallboard.registry_forms import D7_SQL, WEEKDAY_SQL, _lines, _sold, _weekday_items
 from stallboard.session import checkpoint_dir
 from stallboard.sources import tables
-from stallboard.stores import keyed, page_index
+from stallboard.stores import folders, keyed, page_index
 from stallboard.stores.co_located import StoredOrders
-from stallboard.stores.daily_state import DailyState
+from stallboard.stores.daily_state import LINE_COLUMNS, DailyState
 from stallboard.stores.postings import Postings
 from stallboard.stores.versions import Published
 
@@ -94,11 +94,15 @@ def _state(spark: SparkSession, sf_dir: str) -> DailyState:
     across, the last part twice."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STATES:
-        lines = V.order_lines(spark, sf_dir)
-        state = DailyState(spark, fresh_root(spark, "daily-state"), buckets=8)
         flag = F.pmod(F.xxhash64("item_id", "quantity"), F.lit(3))
+        # a load reads its lines twice: the joins behind them are made once, for all loads
+        staged = fresh_root(spark, "daily-state-lines")
+        V.order_lines(spark, sf_dir).select(*LINE_COLUMNS, flag.alias("part")).write.partitionBy("part").parquet(staged)
+        lines = spark.read.parquet(staged)
+        state = DailyState(spark, fresh_root(spark, "daily-state"), buckets=8)
         for k in (0, 1, 2, 2):
-            state.add(lines.where(flag == k), f"load {k}")
+            state.add(lines.where(F.col("part") == k).drop("part"), f"load {k}")
+        folders.remove(spark, staged)
         _STATES[key] = state
     return _STATES[key]
 

@@ -35,16 +35,19 @@ from stallboard.stores.versions import Published
 
 MONEY = "decimal(30,4)"
 MONTH = "state_month"
+#: Rows of a month that one task adds up, about.
+TASK_ROWS = 200_000
+#: What a load needs of its lines.
+LINE_COLUMNS = ["order_id", "order_merchant_id", "item_id", "item_name", "item_price", "quantity", "order_value", "order_time"]
 ITEM_KEYS = ["merchant_id", "item_id", "item_name", "order_date"]
 ORDER_KEYS = ["merchant_id", "order_date"]
 
 
-def item_partials(lines: DataFrame) -> DataFrame:
-    """Sums per (merchant, item, day) of some lines."""
+def item_parts(lines: DataFrame) -> DataFrame:
+    """What each of some lines adds to its (merchant, item, day)."""
     return (lines.where(F.col("order_time").isNotNull())
-            .groupBy(F.col("order_merchant_id").alias("merchant_id"), "item_id", "item_name", D.order_date("order_time").alias("order_date"))
-            .agg(F.sum("quantity").cast("long").alias("quantity"),
-                 F.sum((F.col("item_price") * F.col("quantity")).cast(MONEY)).cast(MONEY).alias("sales")))
+            .select(F.col("order_merchant_id").alias("merchant_id"), "item_id", "item_name", D.order_date("order_time").alias("order_date"),
+                    F.col("quantity").cast("long").alias("quantity"), (F.col("item_price") * F.col("quantity")).cast(MONEY).alias("sales")))
 
 
 def order_rows(lines: DataFrame) -> DataFrame:
@@ -52,7 +55,8 @@ def order_rows(lines: DataFrame) -> DataFrame:
     return (lines.where(F.col("order_time").isNotNull())
             .groupBy(F.col("order_merchant_id").alias("merchant_id"), "order_id")
             .agg(D.order_date(F.min("order_time")).alias("order_date"), F.max("order_value").cast(MONEY).alias("order_value"),
-                 F.sum(F.col("order_value").cast(MONEY)).cast(MONEY).alias("line_value"), F.sum("quantity").cast("long").alias("items")))
+                 F.sum(F.col("order_value").cast(MONEY)).cast(MONEY).alias("line_value"), F.sum("quantity").cast("long").alias("items"),
+                 F.count(F.lit(1)).alias("lines")))
 
 
 def _month(df: DataFrame) -> DataFrame:
@@ -71,14 +75,15 @@ class DailyState:
         if done is not None and done.where(F.col("batch") == batch).take(1):
             return False
         load = self.store.begin()
-        load.append("item_days", _month(item_partials(lines)), [MONTH])
         orders = load.replace("arrived", order_rows(lines))
+        lines_size, orders_size = _sizes(_month(orders), F.sum("lines"), 2 * F.count(F.lit(1)))
+        load.append("item_days", *_laid(item_parts(lines), ITEM_KEYS, lines_size))
         new = keyed.insert_if_absent(load, "orders", orders.select("merchant_id", "order_id", "order_date", "order_value"),
-                                     ["merchant_id", "order_id"], "order_date", self.buckets)
+                                     ["merchant_id", "order_id"], "order_date", self.buckets, unique=True)
         parts = orders.select(*ORDER_KEYS, F.lit(0).cast("long").alias("orders"), F.lit(0).cast(MONEY).alias("order_value"), "line_value", "items")
         first = new.select(*ORDER_KEYS, F.lit(1).cast("long").alias("orders"), "order_value",
                            F.lit(0).cast(MONEY).alias("line_value"), F.lit(0).cast("long").alias("items"))
-        load.append("order_days", _month(_add_up(parts.unionByName(first), ORDER_KEYS)), [MONTH])
+        load.append("order_days", *_laid(parts.unionByName(first), ORDER_KEYS, orders_size))
         staged = load.tables.pop("arrived")["folders"]  # for this load alone
         load.append("batches", self.spark.createDataFrame([(batch,)], "batch string"))
         load.publish()
@@ -90,7 +95,8 @@ class DailyState:
         """One row per key and one folder per table; readers see either form."""
         load = self.store.begin()
         for table, keys in (("item_days", ITEM_KEYS), ("order_days", ORDER_KEYS)):
-            load.replace(table, _month(_add_up(load.read(table).drop(MONTH), keys)), [MONTH])
+            rows = load.read(table)
+            load.replace(table, *_laid(rows.drop(MONTH), keys, *_sizes(rows, F.count(F.lit(1)))))
         load.publish()
 
     def _days(self, table: str, first: dt.date | None, last: dt.date | None) -> DataFrame:
@@ -118,6 +124,25 @@ class DailyState:
                         F.col("items").alias("total_items")))
 
 
+def _sizes(rows: DataFrame, *counts) -> list[tuple[int, int]]:
+    """(of the greatest month, of all months) of each of some counts of rows: a few numbers."""
+    got = rows.groupBy(MONTH).agg(*(c.alias(f"n{i}") for i, c in enumerate(counts)))
+    got = got.agg(*(f(f"n{i}") for i in range(len(counts)) for f in (F.max, F.sum))).first()
+    return [(got[2 * i] or 0, got[2 * i + 1] or 0) for i in range(len(counts))]
+
+
+def _laid(parts: DataFrame, keys: list[str], size: tuple[int, int], task_rows: int = TASK_ROWS) -> tuple:
+    """``_add_up`` with the month, for a table in folders by month: arguments of ``Load.append`` behind the table's name.
+
+    Rows are shuffled once, by month and a hash of their key, into as many slots a month as the greatest month of
+    ``size`` (``_sizes``) asks for. Equal keys meet there, so they are added up in place, and a task holds few months, so it
+    writes few files: no shuffle by key before, and none by folder behind."""
+    most, total = size
+    n = max(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total // task_rows))
+    placed = _month(parts).withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(max(1, -(-most // task_rows))))).repartition(n, MONTH, "_slot")
+    return _add_up(placed, [MONTH, "_slot", *keys]).drop("_slot"), [MONTH], True
+
+
 def _add_up(parts: DataFrame, keys: list[str]) -> DataFrame:
     sums = [c for c in parts.columns if c not in keys]
     return parts.groupBy(*keys).agg(*(F.sum(c).cast(parts.schema[c].dataType).alias(c) for c in sums))

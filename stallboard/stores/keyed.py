@@ -30,23 +30,28 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def fresh_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], order: str | Column, buckets: int = BUCKETS) -> DataFrame:
-    """Rows of ``new`` to insert beside ``stored`` (with its ``key_bucket``; None: nothing is stored), with their bucket."""
+def fresh_rows(new: DataFrame, stored: DataFrame | None, keys: list[str], order: str | Column, buckets: int = BUCKETS,
+               unique: bool = False) -> DataFrame:
+    """Rows of ``new`` to insert beside ``stored`` (with its ``key_bucket``; None: nothing is stored), with their bucket.
+
+    ``unique``: ``new`` holds no key twice, as an aggregate by the key does not, and is not combined again."""
     known = None
     for k in keys:
         known = F.col(k).isNotNull() if known is None else known & F.col(k).isNotNull()
-    first = B.keep_first(new.where(known), keys, order).withColumn(BUCKET, bucket_of(keys, buckets))
+    first = (new.where(known) if unique else B.keep_first(new.where(known), keys, order)).withColumn(BUCKET, bucket_of(keys, buckets))
     without = new.where(~known).withColumn(BUCKET, F.lit(0))
     if stored is None:
         return first.unionByName(without)
-    touched = [r[0] for r in first.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    # at most ``buckets`` numbers; the buckets of all rows are those of the first rows, which need not be found for it
+    touched = [r[0] for r in new.where(known).select(bucket_of(keys, buckets).alias(BUCKET)).distinct().collect()]
     present = stored.where(F.col(BUCKET).isin(touched)).select(*keys).join(first.select(*keys), keys, "left_semi").distinct()
     return first.join(present, keys, "left_anti").select(*first.columns).unionByName(without)
 
 
-def insert_if_absent(load: Load, table: str, new: DataFrame, keys: list[str], order: str | Column, buckets: int = BUCKETS) -> DataFrame:
+def insert_if_absent(load: Load, table: str, new: DataFrame, keys: list[str], order: str | Column, buckets: int = BUCKETS,
+                     unique: bool = False) -> DataFrame:
     """Adds to ``table``, as part of ``load``, the rows of ``new`` whose key is not stored; returns the added rows.
 
     ``buckets`` must stay what it was in the table's first load."""
-    rows = fresh_rows(new, load.read(table), keys, order, buckets)
+    rows = fresh_rows(new, load.read(table), keys, order, buckets, unique)
     return load.append(table, rows, [BUCKET]).drop(BUCKET)

@@ -90,24 +90,24 @@ class Load:
         self.name = f"{self.number:012d}-{uuid.uuid4().hex}"
         self.tables = store.manifest()
 
-    def _write(self, table: str, rows: DataFrame, partition_by: list[str]) -> dict:
+    def _write(self, table: str, rows: DataFrame, partition_by: list[str], laid: bool = False) -> dict:
         path = f"{self.name}/{table}-{uuid.uuid4().hex[:8]}"
         # folders' columns come last when a partitioned table is read back
         rows = rows.select(*(c for c in rows.columns if c not in partition_by), *partition_by)
         if partition_by:  # few files a folder; Spark splits large folders and joins small ones
-            rows.hint("rebalance", *partition_by).write.partitionBy(*partition_by).parquet(f"{self.store.root}/data/{path}")
+            (rows if laid else rows.hint("rebalance", *partition_by)).write.partitionBy(*partition_by).parquet(f"{self.store.root}/data/{path}")
         else:
             rows.write.parquet(f"{self.store.root}/data/{path}")
         return {"schema": rows.schema.jsonValue(), "folders": [path]}
 
-    def replace(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
-        """The whole table anew; returns it read back."""
-        self.tables[table] = self._write(table, rows, partition_by or [])
+    def replace(self, table: str, rows: DataFrame, partition_by: list[str] | None = None, laid: bool = False) -> DataFrame:
+        """The whole table anew; returns it read back. ``laid`` rows come in partitions by folder and are not shuffled."""
+        self.tables[table] = self._write(table, rows, partition_by or [], laid)
         return self.read(table)
 
-    def append(self, table: str, rows: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+    def append(self, table: str, rows: DataFrame, partition_by: list[str] | None = None, laid: bool = False) -> DataFrame:
         """More rows of a table, which keeps its folders; returns the rows that were added, read back."""
-        new = self._write(table, rows, partition_by or [])
+        new = self._write(table, rows, partition_by or [], laid)
         have = self.tables.get(table, {"folders": []})
         self.tables[table] = {"schema": new["schema"], "folders": [*have["folders"], *new["folders"]]}
         return self.store.frame(new)

@@ -176,6 +176,44 @@ def test_state_equals_the_reports_over_all_lines(spark, root):
     assert not [n for n in os.listdir(f"{root}/data") for t in os.listdir(f"{root}/data/{n}") if t.startswith("arrived")]
 
 
+def test_state_tables_are_shuffled_once_and_the_days_lie_in_few_files(spark, root, monkeypatch):
+    from stallboard.stores import daily_state, versions
+    lines = spark.createDataFrame(_lines(4, 500), LINE)
+    state = daily_state.DailyState(spark, f"{root}/a", buckets=4)
+    plans, write = {}, versions.Load._write
+
+    def spied(self, table, rows, partition_by, *more):
+        laid = bool(more and more[0])
+        plans[table] = (rows if laid or not partition_by else rows.hint("rebalance", *partition_by))._jdf.queryExecution().executedPlan().toString()
+        return write(self, table, rows, partition_by, *more)
+
+    monkeypatch.setattr(versions.Load, "_write", spied)
+    state.add(lines, "b")
+    state.compact()
+    assert plans["item_days"].count("Exchange") == 1 and plans["order_days"].count("Exchange") == 1
+    # many slots a month, null keys among them: the same sums, no key in two rows
+    parts = daily_state.item_parts(lines).unionByName(daily_state.item_parts(lines.withColumn("item_id", F.lit(None).cast("long"))))
+    got = daily_state._laid(parts, daily_state.ITEM_KEYS, (parts.count(), parts.count()), 7)[0].drop(daily_state.MONTH)
+    want = daily_state._add_up(parts, daily_state.ITEM_KEYS)
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_daily_state_loads_read_lines_joined_once(spark, monkeypatch):
+    from stallboard import registry_stores as S
+    from stallboard.stores.daily_state import DailyState
+    from tests.conftest import SF_SMALL
+    seen, add = [], DailyState.add
+
+    def spied(self, lines, batch):
+        seen.append(lines._jdf.queryExecution().executedPlan().toString())
+        return add(self, lines, batch)
+
+    monkeypatch.setattr(DailyState, "add", spied)
+    monkeypatch.setattr(S, "_STATES", {})
+    S._state(spark, SF_SMALL)
+    assert len(seen) == 4 and not any("Join" in p for p in seen)
+
+
 # ------------------------------------------------------------------ buckets
 
 def test_buckets_join_without_exchange_and_split_hot_orders(spark, root):
