@@ -1,8 +1,8 @@
 """Per-item daily quantity models on Spark ML.
 
 The reference trains one boosted-tree model per merchant in one process, with the item as a
-category. Here one distributed ``GBTRegressor`` is trained over the whole (merchant, item, day)
-panel. A category with millions of values cannot be binned, so an item enters by its own level:
+category. Here one distributed model is trained over the whole (merchant, item, day) panel: Spark's
+``GBTRegressor`` where binned rows repeat (J12), the same trees from ``operators.boosting`` elsewhere. A category with millions of values cannot be binned, so an item enters by its own level:
 the mean and count of its quantities on *earlier* days, shrunk towards its merchant's level, and
 the merchant by its mean on earlier days (``add_levels``). A row's own quantity is never part
 of its features; a forecast uses the levels of the whole training part (``final_levels``). The
@@ -31,6 +31,8 @@ from stallboard.functions import dates as D
 from stallboard.functions import labels as L
 from stallboard.functions import numeric as N
 from stallboard.functions import text as T
+from stallboard.operators import boosting
+from stallboard.operators.boosting import BoostedTrees
 
 CAL_FEATURES = ["weekday", "month", "day", "year", "day_of_year"]
 NB_BASE = ["day_of_week", "day_of_year", "month", "year", "is_weekend"]
@@ -119,22 +121,22 @@ def level_splits(values: DataFrame, columns: list[str], bins: int = MAX_BINS, se
 
 
 def fit(train: DataFrame, features: list[str], label: str, step_size: float, max_iter: int = 100,
-        max_depth: int = 6, seed: int = 42, binned: list[str] = ()) -> PipelineModel:
+        max_depth: int = 6, seed: int = 42, binned: list[str] = ()) -> PipelineModel | BoostedTrees:
     """J12-J15 training over the panel (one distributed fit).
 
-    Features are assembled once and the (features, label) frame is checkpointed, so each of
+    Features are made once and the (features, label) frame is checkpointed, so each of
     the ~6 passes per tree reads compact vectors instead of re-running the feature plan. They are
     dealt over the configured partitions first: the panel is few bytes, which AQE would leave to a
     handful of tasks, but every pass over it is CPU-heavy.
 
     ``binned`` features become the numbers of the ``MAX_BINS`` bins that the trees divide them into anyway, and rows
     that are then alike are one row, with their mean label and their number as its weight: every sum that a tree
-    compares stays what it was, but a pass reads distinct rows only."""
+    compares stays what it was, but a pass reads distinct rows only. Without ``binned`` rows are not taken to repeat, and the same
+    trees are grown by ``operators.boosting``, whose passes read a byte per feature."""
     n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     stages, inputs = [], list(features)
-    rows = train.select(*dict.fromkeys(features), F.col(label).cast("double").alias("label"))
+    rows = cut_lineage(train.select(*dict.fromkeys(features), F.col(label).cast("double").alias("label")))  # read by the splits and the bins
     if binned:
-        rows = cut_lineage(rows)  # read by the splits and the bins
         splits = level_splits(rows, list(binned))
         # a tree sends a value at the split to the left, the bucketizer to the right
         edges = [[-math.inf, *(math.nextafter(v, math.inf) for v in splits[c]), math.inf] for c in binned]
@@ -146,7 +148,8 @@ def fit(train: DataFrame, features: list[str], label: str, step_size: float, max
         rows = numbers.transform(cuts.transform(rows)).where(F.col("label").isNotNull()).groupBy(*inputs).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
         stages += [cuts, numbers]
     else:
-        rows = rows.withColumn("weight", F.lit(1.0))
+        inputs = list(dict.fromkeys(features))
+        return boosting.fit(rows, inputs, level_splits(rows, inputs, seed=seed), rows.count(), step_size, max_iter, max_depth)
     asm = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
     vec = cut_lineage(asm.transform(rows).select("features", "label", "weight").repartition(n))
     gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, maxDepth=max_depth,
@@ -156,7 +159,7 @@ def fit(train: DataFrame, features: list[str], label: str, step_size: float, max
     return PipelineModel(stages=[*stages, asm, gbt.fit(vec)])
 
 
-def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
+def predict(model: PipelineModel | BoostedTrees, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "prediction")
 
 
