@@ -79,7 +79,7 @@ def notebook_model(lines: DataFrame, variant: str = "lags", unseen: str = "error
     panel = notebook_panel(lines, variant, item_key)
     numeric = Q.NB_BASE + Q.NB_LAGS + (Q.NB_ROLL if variant in ("rolling", "encoded") else [])
     if variant == "encoded":
-        panel = Q.encode_items(panel, unseen)
+        panel = Q.encode_items(cut_lineage(panel), unseen)  # read by the codes and the rows
         numeric = numeric + ["item_id_encoded"]
     panel = cut_lineage(panel)
     train = panel.where(F.col("split") == "train")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from stallboard.operators import boosting as BT
 from stallboard.operators import quantity as Q
+from stallboard.plans import quantity as PQ
 
 NAMES = ["a", "b", "c", "d"]
 
@@ -65,3 +66,13 @@ def test_a_pass_reads_bytes_of_bins_and_the_smaller_children(spark):
     assert bins.dtype == np.uint8 and 0 < counted[0, 0].sum() <= 250
     every = next(BT.histograms(iter([(bins, target)]), tree, 1, np.arange(2), 9))
     assert np.allclose(BT.next_level(root, slots, counted), every)
+
+
+def test_encoded_panel_is_made_once(spark, monkeypatch):
+    """J15's codes and rows read one written copy of the panel, not two plans of it."""
+    from test_quantity_reports import _dense_lines
+    seen = []
+    real = Q.encode_items
+    monkeypatch.setattr(Q, "encode_items", lambda panel, unseen="error": seen.append(panel._jdf.queryExecution().toString()) or real(panel, unseen))
+    assert PQ.notebook_model(_dense_lines(spark, 60), "encoded", max_iter=2).count() > 0
+    assert len(seen) == 1 and "Window" not in seen[0]
