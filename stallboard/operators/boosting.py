@@ -1,4 +1,4 @@
-"""Boosted regression trees over panels whose rows seldom repeat.
+"""Boosted regression trees over binned panels.
 
 The model is the one that Spark's ``GBTRegressor`` fits with squared error, all rows and all features in every tree: the
 first tree fits the label and counts in full, each later one fits twice the residual and counts ``step_size``; a node is
@@ -11,18 +11,25 @@ with fewer rows; the other is the parent's histogram less that one. The driver h
 (at most 32 nodes) and the trees, whatever the number of rows. Every ``CHECKPOINT_TREES`` trees the blocks go to the
 checkpoint folder, so a lost executor redoes a few trees at most.
 
+A pass costs a Spark job, which takes longer than one core needs for the rows of a small panel. Up to ``ALONE_ROWS`` binned
+rows, a task reads all blocks and grows all trees over them, by the same functions.
+
+A row may stand for many that are alike in all bins (``distinct``): with their mean label and their number as its weight,
+every sum that a tree compares is what it was.
+
 Nulls: a missing feature counts as larger than every split point, in training and in scoring. A null label is an error.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallboard.session import cut_lineage
@@ -33,7 +40,11 @@ BLOCK_ROWS = 1 << 13
 #: Up to so many tasks' histograms (0.4 MB each) are added up without a shuffle.
 DIRECT_TASKS = 32
 CHECKPOINT_TREES = 10
+#: Most rows over which one task grows all trees: 25 bytes each, held in the task, and about as long as the passes' jobs would take.
+ALONE_ROWS = 1 << 20
 BLOCKS = "bins binary, target binary"
+#: A block of rows: (feature, row) bins and residuals; a third array has the weights, without it every row counts once.
+Block = tuple[np.ndarray, ...]
 
 
 @dataclass
@@ -66,22 +77,25 @@ def route(bins: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
     return node
 
 
-def histograms(blocks: Iterator[tuple[np.ndarray, np.ndarray]], tree: Tree, depth: int, slots: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """(rows or sum of residuals, feature, slot, bin) of the rows whose node of level ``depth`` has a slot (not -1)."""
+def histograms(blocks: Iterator[Block], tree: Tree, depth: int, slots: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """(weight or sum of weighted residuals, feature, slot, bin) of the rows whose node of level ``depth`` has a slot (not -1)."""
     out = None
     taken = int(slots.max()) + 1
-    for bins, target in blocks:
+    for bins, target, *weights in blocks:
+        weight = weights[0] if weights else None
         if out is None:
             out = np.zeros((2, len(bins), taken * width))
         slot = slots.take(route(bins, tree, depth))
         if depth:
             rows = np.flatnonzero(slot >= 0)
             bins, target, slot = bins.take(rows, axis=1), target.take(rows), slot.take(rows)
+            weight = None if weight is None else weight.take(rows)
         base = slot * width
+        total = target if weight is None else target * weight
         for f, own in enumerate(bins):
             place = base + own
-            out[0, f] += np.bincount(place, minlength=taken * width)
-            out[1, f] += np.bincount(place, target, taken * width)
+            out[0, f] += np.bincount(place, weight, taken * width)
+            out[1, f] += np.bincount(place, total, taken * width)
     if out is not None:
         yield out.reshape(2, -1, taken, width)
 
@@ -131,14 +145,13 @@ def next_level(parents: np.ndarray, slots: np.ndarray, counted: np.ndarray) -> n
     return out
 
 
-def grow(blocks: RDD, max_depth: int, width: int) -> Tree:
-    """One tree over the residuals of ``blocks``, a pass a level."""
-    merges = 2 if blocks.getNumPartitions() > DIRECT_TASKS else 1
+def grow(count: Callable[[Tree, int, np.ndarray], np.ndarray], max_depth: int) -> Tree:
+    """One tree, a pass a level: ``count`` has the histograms of (the tree so far, the level, its slots)."""
     size = (1 << max_depth) - 1
     tree = Tree(np.zeros(size, np.intp), np.full(size, 255), np.zeros(size + 1))
     slots, level, means = np.zeros(1, np.intp), None, None
     for depth in range(max_depth):
-        counted = blocks.mapPartitions(lambda it, t=tree, d=depth, s=slots: histograms(it, t, d, s, width)).treeReduce(np.add, merges)
+        counted = count(tree, depth, slots)
         level = counted if level is None else next_level(level, slots, counted)
         feature, cut, means = best_splits(level)
         places = slice((1 << depth) - 1, (2 << depth) - 1)
@@ -148,11 +161,26 @@ def grow(blocks: RDD, max_depth: int, width: int) -> Tree:
     return tree
 
 
-def without(blocks: Iterator[tuple[np.ndarray, np.ndarray]], tree: Tree, step_size: float, first: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grow_in_jobs(blocks: RDD, max_depth: int, width: int) -> Tree:
+    """One tree over the residuals of ``blocks``, a job a pass."""
+    merges = 2 if blocks.getNumPartitions() > DIRECT_TASKS else 1
+    return grow(lambda tree, depth, slots: blocks.mapPartitions(lambda it: histograms(it, tree, depth, slots, width)).treeReduce(np.add, merges), max_depth)
+
+
+def without(blocks: Iterator[Block], tree: Tree, step_size: float, first: bool) -> Iterator[Block]:
     """The blocks with the tree's share taken off: of the first tree's labels twice the residuals are left."""
-    for bins, target in blocks:
+    for bins, target, *weights in blocks:
         value = tree.leaf.take(route(bins, tree, tree.depth))
-        yield bins, 2.0 * (target - value) if first else target - 2.0 * step_size * value
+        yield bins, 2.0 * (target - value) if first else target - 2.0 * step_size * value, *weights
+
+
+def grow_alone(blocks: Iterator[Block], max_iter: int, step_size: float, max_depth: int, width: int) -> Iterator[Tree]:
+    """All trees over the blocks, held in this process."""
+    held = [*blocks]
+    for k in range(max_iter):
+        tree = grow(lambda *level: next(histograms(iter(held), *level, width)), max_depth)
+        yield tree
+        held = [*without(iter(held), tree, step_size, not k)]
 
 
 @dataclass
@@ -178,37 +206,81 @@ class BoostedTrees:
             return pd.Series(out)
         return df.withColumn("prediction", score(F.struct(*[F.col(c).cast("double").alias(c) for c in self.inputs])))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Writes the model under ``path``, from where ``load`` has it again, number for number."""
+        text = json.dumps({"inputs": self.inputs, "splits": [s.tolist() for s in self.splits], "step_size": self.step_size,
+                           "trees": [[t.feature.tolist(), t.cut.tolist(), t.leaf.tolist()] for t in self.trees]})
+        spark.createDataFrame([(text,)], "model string").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BoostedTrees:
+        kept = json.loads(spark.read.parquet(path).first()["model"])
+        trees = [Tree(np.asarray(f, np.intp), np.asarray(c), np.asarray(leaf, float)) for f, c, leaf in kept["trees"]]
+        return cls(kept["inputs"], [np.asarray(s, float) for s in kept["splits"]], kept["step_size"], trees)
+
+
+def words(inputs: list[str]) -> list[str]:
+    """The columns that hold a row's bins, eight features to one."""
+    return [f"bins_{k}" for k in range(-(-len(inputs) // 8))]
+
+
+def distinct(rows: DataFrame, inputs: list[str], splits: dict[str, list[float]]) -> DataFrame:
+    """A row for all that are alike in all bins: the bins as ``words``, a byte per feature, their mean ``label`` and their
+    number as ``weight``. Rows without a label are left out."""
+    points, taken = [np.asarray(splits[c], float) for c in inputs], words(inputs)
+
+    def code(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            bins = np.zeros((len(part), 8 * len(taken)), np.uint8)
+            bins[:, :len(inputs)] = bins_of([part[c].to_numpy(float) for c in inputs], points).T
+            yield pd.DataFrame(bins.view(np.int64), columns=taken).assign(label=part["label"].to_numpy(float))
+
+    labelled = rows.where(F.col("label").isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in inputs], "label")
+    coded = labelled.mapInPandas(code, ", ".join(f"{w} long" for w in taken) + ", label double")
+    return coded.groupBy(*taken).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
+
 
 def binned(rows: DataFrame, inputs: list[str], splits: list[np.ndarray], tasks: int) -> RDD:
-    """(bins, label) of every row in blocks of up to ``BLOCK_ROWS``, dealt over ``tasks`` partitions."""
+    """(bins, label, weight) of every row in blocks of up to ``BLOCK_ROWS``, dealt over ``tasks`` partitions. ``rows`` hold
+    the inputs, or else their bins and weights (``distinct``)."""
+    features, taken = len(inputs), words(inputs)
+    weighted = taken[0] in rows.columns
+
     def pack(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             label = part["label"].to_numpy(float)
             if np.isnan(label).any():
                 raise ValueError("labels must not be null or NaN")
-            bins = bins_of([part[c].to_numpy(float) for c in inputs], splits)
+            if weighted:
+                bins = np.ascontiguousarray(part[taken].to_numpy(np.int64)).view(np.uint8)[:, :features].T
+            else:
+                bins = bins_of([part[c].to_numpy(float) for c in inputs], splits)
             cuts = range(0, len(label), BLOCK_ROWS)
-            yield pd.DataFrame({"bins": [bins[:, k:k + BLOCK_ROWS].tobytes() for k in cuts],
-                                "target": [label[k:k + BLOCK_ROWS].tobytes() for k in cuts]})
+            yield pd.DataFrame({"bins": [bins[:, k:k + BLOCK_ROWS].tobytes() for k in cuts]} | {
+                c: [v[k:k + BLOCK_ROWS].tobytes() for k in cuts] for c, v in [("target", label), *([("weight", part["weight"].to_numpy(float))] if weighted else [])]})
 
-    dealt = rows.select(*[F.col(c).cast("double").alias(c) for c in inputs], "label").repartition(tasks)
-    features = len(inputs)
-    packed = cut_lineage(dealt.mapInPandas(pack, BLOCKS))
-    return packed.rdd.map(lambda r: (np.frombuffer(r[0], np.uint8).reshape(features, -1), np.frombuffer(r[1])))
+    own = [*taken, "label", "weight"] if weighted else [*[F.col(c).cast("double").alias(c) for c in inputs], "label"]
+    packed = cut_lineage(rows.select(*own).repartition(tasks).mapInPandas(pack, f"{BLOCKS}, weight binary" if weighted else BLOCKS))
+    return packed.rdd.map(lambda r: (np.frombuffer(r[0], np.uint8).reshape(features, -1), *[np.frombuffer(x) for x in r[1:]]))
 
 
 def fit(rows: DataFrame, inputs: list[str], splits: dict[str, list[float]], count: int, step_size: float,
         max_iter: int, max_depth: int) -> BoostedTrees:
-    """``max_iter`` trees over ``rows`` (the inputs and ``label``, ``count`` rows) with the given split points."""
+    """``max_iter`` trees over ``rows`` (the inputs and ``label``, or what ``distinct`` makes of them; ``count`` rows) with
+    the given split points."""
     context = rows.sparkSession.sparkContext
     points = [np.asarray(splits[c], float) for c in inputs]
     width = max(2, 1 + max(len(p) for p in points))
     model = BoostedTrees(list(inputs), points, step_size)
     cores = context.defaultParallelism
-    blocks = binned(rows, inputs, points, cores * max(1, -(-count // (TASK_ROWS * cores)))).persist(StorageLevel.MEMORY_AND_DISK)
+    blocks = binned(rows, inputs, points, cores * max(1, -(-count // (TASK_ROWS * cores))))
+    if count <= ALONE_ROWS:
+        model.trees.extend(blocks.coalesce(1).mapPartitions(lambda it: grow_alone(it, max_iter, step_size, max_depth, width)).collect())
+        return model
+    blocks.persist(StorageLevel.MEMORY_AND_DISK)
     before = None
     for k in range(max_iter):
-        tree = grow(blocks, max_depth, width)
+        tree = grow_in_jobs(blocks, max_depth, width)
         model.trees.append(tree)
         if before is not None:
             before.unpersist()  # its residuals made those of the tree just grown

@@ -1,14 +1,15 @@
-"""Per-item daily quantity models on Spark ML.
+"""Per-item daily quantity models.
 
 The reference trains one boosted-tree model per merchant in one process, with the item as a
-category. Here one distributed model is trained over the whole (merchant, item, day) panel: Spark's
-``GBTRegressor`` where binned rows repeat (J12), the same trees from ``operators.boosting`` elsewhere. A category with millions of values cannot be binned, so an item enters by its own level:
+category. Here one distributed model is trained over the whole (merchant, item, day) panel by
+``operators.boosting``, which grows the trees of Spark's ``GBTRegressor``; where binned rows repeat (J12), over the
+distinct ones. A category with millions of values cannot be binned, so an item enters by its own level:
 the mean and count of its quantities on *earlier* days, shrunk towards its merchant's level, and
 the merchant by its mean on earlier days (``add_levels``). A row's own quantity is never part
 of its features; a forecast uses the levels of the whole training part (``final_levels``). The
 number of items does not limit how finely they are told apart: levels are ordered numbers in
 ``MAX_BINS`` bins. Tree training aggregates histograms per partition and merges them, so it
-scales with the panel; the model state is checkpointed to the shared folder every 10 trees.
+scales with the panel; the residuals are checkpointed to the shared folder every 10 trees.
 
 Hyper-parameters follow the reference (100 trees, depth 6, learning rate 0.3 for the API
 model and 0.1 for the notebook models, seed 42, squared error). xgboost's own histogram
@@ -17,11 +18,6 @@ trainer (regularisation lambda, child weight) is not reproduced.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml import PipelineModel
-from pyspark.ml.feature import Bucketizer, SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,45 +117,23 @@ def level_splits(values: DataFrame, columns: list[str], bins: int = MAX_BINS, se
 
 
 def fit(train: DataFrame, features: list[str], label: str, step_size: float, max_iter: int = 100,
-        max_depth: int = 6, seed: int = 42, binned: list[str] = ()) -> PipelineModel | BoostedTrees:
+        max_depth: int = 6, seed: int = 42, binned: list[str] = ()) -> BoostedTrees:
     """J12-J15 training over the panel (one distributed fit).
 
-    Features are made once and the (features, label) frame is checkpointed, so each of
-    the ~6 passes per tree reads compact vectors instead of re-running the feature plan. They are
-    dealt over the configured partitions first: the panel is few bytes, which AQE would leave to a
-    handful of tasks, but every pass over it is CPU-heavy.
-
-    ``binned`` features become the numbers of the ``MAX_BINS`` bins that the trees divide them into anyway, and rows
-    that are then alike are one row, with their mean label and their number as its weight: every sum that a tree
-    compares stays what it was, but a pass reads distinct rows only. Without ``binned`` rows are not taken to repeat, and the same
-    trees are grown by ``operators.boosting``, whose passes read a byte per feature."""
-    n = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    stages, inputs = [], list(features)
-    rows = cut_lineage(train.select(*dict.fromkeys(features), F.col(label).cast("double").alias("label")))  # read by the splits and the bins
+    Features are made once and the (features, label) frame is checkpointed, as the split points and the bins both read it.
+
+    With ``binned`` features, rows that are alike in the ``MAX_BINS`` bins that the trees divide every feature into are one
+    row, with their mean label and their number as its weight: every sum that a tree compares stays what it was, but
+    a pass reads distinct rows only. Without, rows are not taken to repeat."""
+    inputs = list(dict.fromkeys(features))
+    rows = cut_lineage(train.select(*inputs, F.col(label).cast("double").alias("label")))
+    splits = level_splits(rows, inputs, seed=seed)
     if binned:
-        splits = level_splits(rows, list(binned))
-        # a tree sends a value at the split to the left, the bucketizer to the right
-        edges = [[-math.inf, *(math.nextafter(v, math.inf) for v in splits[c]), math.inf] for c in binned]
-        cuts = Bucketizer(splitsArray=[e if len(e) > 2 else [-math.inf, 0.0, math.inf] for e in edges], inputCols=list(binned),
-                          outputCols=[f"{c}_bin" for c in binned], handleInvalid="keep")
-        # a bin's number without the bucketizer's column attributes, by which the trees would take it for a category
-        numbers = SQLTransformer(statement=f"SELECT *, {', '.join(f'{c}_bin + 0D AS {c}_place' for c in binned)} FROM __THIS__")
-        inputs = [f"{c}_place" if c in binned else c for c in features]
-        rows = numbers.transform(cuts.transform(rows)).where(F.col("label").isNotNull()).groupBy(*inputs).agg(F.avg("label").alias("label"), F.count(F.lit(1)).cast("double").alias("weight"))
-        stages += [cuts, numbers]
-    else:
-        inputs = list(dict.fromkeys(features))
-        return boosting.fit(rows, inputs, level_splits(rows, inputs, seed=seed), rows.count(), step_size, max_iter, max_depth)
-    asm = VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep")
-    vec = cut_lineage(asm.transform(rows).select("features", "label", "weight").repartition(n))
-    gbt = GBTRegressor(featuresCol="features", labelCol="label", weightCol="weight", maxIter=max_iter, maxDepth=max_depth,
-                       stepSize=step_size, seed=seed, lossType="squared", subsamplingRate=1.0,
-                       featureSubsetStrategy="all", maxBins=MAX_BINS, maxMemoryInMB=512,
-                       checkpointInterval=10)
-    return PipelineModel(stages=[*stages, asm, gbt.fit(vec)])
-
-
-def predict(model: PipelineModel | BoostedTrees, df: DataFrame) -> DataFrame:
+        rows = cut_lineage(boosting.distinct(rows, inputs, splits))
+    return boosting.fit(rows, inputs, splits, rows.count(), step_size, max_iter, max_depth)
+
+
+def predict(model: BoostedTrees, df: DataFrame) -> DataFrame:
     return model.transform(df).select(*df.columns, "prediction")
 
 
@@ -213,7 +187,7 @@ def horizon_frame(daily_train: DataFrame, cutoff, horizon: int = 30, with_names:
     return fan_out(items.select("merchant_id", "item_id", *extra), cutoff, horizon)
 
 
-def horizon_quantities(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+def horizon_quantities(model: BoostedTrees, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
     """J16 with a row per item: (merchant_id, item_id, item_name, safe_name, first_day, quantities), the quantities of the
     ``horizon`` days from ``first_day`` on. ``predicted_days`` has them as rows.
 
@@ -238,7 +212,7 @@ def predicted_days(forecast: DataFrame) -> DataFrame:
                     "safe_name", "predicted_quantity"))
 
 
-def horizon_forecast(model: PipelineModel, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
+def horizon_forecast(model: BoostedTrees, daily_train: DataFrame, cutoff, horizon: int = 30) -> DataFrame:
     """J16 in long form: (merchant_id, h, order_date, item_id, item_name, safe_name,
     predicted_quantity), prediction = max(0, round half to even) as int (I21). Items without
     a known name would show as 'UnknownID_<id>' (D8's fallback)."""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +11,7 @@ from stallboard.functions import dates as D
 from stallboard.operators import aggregates as A
 from stallboard.operators import filters as C
 from stallboard.operators import quantity as Q
+from stallboard.operators.boosting import BoostedTrees
 
 # merchant and item enter the panel model by their levels (see operators.quantity)
 API_FEATURES = [*Q.CAL_FEATURES, *Q.LEVELS]
@@ -51,13 +51,13 @@ def item_quantities(lines: DataFrame, cutoff, horizon: int = 30, step_size: floa
     instead of a fresh fit."""
     D.check_days(horizon, 1, 30)
     train = cut_lineage(training_panel(lines, cutoff))   # feeds the levels, the fit and the horizon frame
-    model = PipelineModel.load(model_path) if model_path else fit_quantity_model(train, step_size, max_iter)
+    model = BoostedTrees.load(lines.sparkSession, model_path) if model_path else fit_quantity_model(train, step_size, max_iter)
     return Q.horizon_quantities(model, train, cutoff, horizon)
 
 
 def save_quantity_model(lines: DataFrame, cutoff, path: str, step_size: float = 0.3, max_iter: int = 100) -> str:
     """J12's model, fitted on the lines before ``cutoff`` and saved under ``path``."""
-    fit_quantity_model(training_panel(lines, cutoff), step_size, max_iter).write().overwrite().save(path)
+    fit_quantity_model(training_panel(lines, cutoff), step_size, max_iter).save(lines.sparkSession, path)
     return path
 
 
