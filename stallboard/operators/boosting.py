@@ -29,7 +29,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 from pyspark import RDD, StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stallboard.session import cut_lineage
@@ -206,6 +206,25 @@ class BoostedTrees:
             return pd.Series(out)
         return df.withColumn("prediction", score(F.struct(*[F.col(c).cast("double").alias(c) for c in self.inputs])))
 
+    def place(self, columns: list[str]) -> Column:
+        """The bins of these inputs (seven at most) as one number, a byte each: alike in it, rows are alike to the model."""
+        splits = [self.splits[self.inputs.index(c)] for c in columns]
+
+        @F.pandas_udf("long")
+        def number(rows: pd.DataFrame) -> pd.Series:
+            bins = bins_of([rows[c].to_numpy(float) for c in rows.columns], splits)
+            return pd.Series(sum(b.astype(np.int64) << 8 * k for k, b in enumerate(bins)), dtype="int64")
+        return number(F.struct(*[F.col(c).cast("double").alias(c) for c in columns]))
+
+    def values_at(self, place: str, columns: list[str]) -> list[Column]:
+        """Values of these inputs that lie in the bins of a ``place``."""
+        out = []
+        for k, c in enumerate(columns):
+            points = self.splits[self.inputs.index(c)].tolist()
+            inside = F.array(*[F.lit(v) for v in [*points, points[-1] + 1.0 if points else 0.0]])
+            out.append(F.get(inside, F.shiftright(place, 8 * k).bitwiseAND(255).cast("int")).alias(c))
+        return out
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Writes the model under ``path``, from where ``load`` has it again, number for number."""
         text = json.dumps({"inputs": self.inputs, "splits": [s.tolist() for s in self.splits], "step_size": self.step_size,

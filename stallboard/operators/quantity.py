@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stallboard.session import cut_lineage
+from stallboard.session import cut_lineage, table_of
 
 from stallboard.functions import dates as D
 from stallboard.functions import labels as L
@@ -124,9 +124,12 @@ def fit(train: DataFrame, features: list[str], label: str, step_size: float, max
 
     With ``binned`` features, rows that are alike in the ``MAX_BINS`` bins that the trees divide every feature into are one
     row, with their mean label and their number as its weight: every sum that a tree compares stays what it was, but
-    a pass reads distinct rows only. Without, rows are not taken to repeat."""
+    a pass reads distinct rows only; ``train`` is then read as it is, so it should be a written table. Without, rows are not
+    taken to repeat."""
     inputs = list(dict.fromkeys(features))
-    rows = cut_lineage(train.select(*inputs, F.col(label).cast("double").alias("label")))
+    rows = train.select(*inputs, F.col(label).cast("double").alias("label"))
+    if not binned:
+        rows = cut_lineage(rows)
     splits = level_splits(rows, inputs, seed=seed)
     if binned:
         rows = cut_lineage(boosting.distinct(rows, inputs, splits))
@@ -191,17 +194,19 @@ def horizon_quantities(model: BoostedTrees, daily_train: DataFrame, cutoff, hori
     """J16 with a row per item: (merchant_id, item_id, item_name, safe_name, first_day, quantities), the quantities of the
     ``horizon`` days from ``first_day`` on. ``predicted_days`` has them as rows.
 
-    The model sees an item by its levels alone, and many items of a merchant share them, so the model scores
-    every day once per distinct combination of levels; the items join the list of their combination's days."""
-    items = cut_lineage(horizon_items(daily_train))  # read twice: its levels, and the items themselves
+    The model sees an item by the bins of its levels alone, and many items share them, so the model scores
+    every day once per combination of bins; the items join the list of their combination's days. That list is written: where
+    it is small, the planner knows it, and no item is shuffled."""
+    # read twice: its bins, and the items themselves
+    items = table_of(horizon_items(daily_train).withColumn("place", model.place(LEVELS)).drop(*LEVELS))
     n = 2 * int(daily_train.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
     # few bytes, which AQE would leave to a handful of tasks, but scoring is CPU-heavy
-    levels = items.select(*LEVELS).distinct().repartition(n)
-    grid = fan_out(levels, cutoff, horizon)
-    scored = predict(model, add_calendar(grid)).select(*LEVELS, "h", N.nonneg_int("prediction").alias("predicted_quantity"))
+    places = items.select("place").distinct().repartition(n)
+    grid = fan_out(places.select("place", *model.values_at("place", LEVELS)), cutoff, horizon)
+    scored = predict(model, add_calendar(grid)).select("place", "h", N.nonneg_int("prediction").alias("predicted_quantity"))
     # one value per day of the horizon
-    days = scored.groupBy(*LEVELS).agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "predicted_quantity"))), lambda x: x["predicted_quantity"]).alias("quantities"))
-    return items.join(days, LEVELS).select("merchant_id", "item_id", "item_name", "safe_name",
+    days = table_of(scored.groupBy("place").agg(F.transform(F.array_sort(F.collect_list(F.struct("h", "predicted_quantity"))), lambda x: x["predicted_quantity"]).alias("quantities")))
+    return items.join(days, "place").select("merchant_id", "item_id", "item_name", "safe_name",
                                            F.date_add(F.lit(D.as_date(cutoff)), 1).alias("first_day"), "quantities")
 
 
@@ -219,6 +224,12 @@ def horizon_forecast(model: BoostedTrees, daily_train: DataFrame, cutoff, horizo
     return predicted_days(horizon_quantities(model, daily_train, cutoff, horizon))
 
 
+def _summed_names(forecast: DataFrame, horizon: int) -> DataFrame:
+    """A row per (merchant, name) of a forecast with a row per item: its ``horizon`` quantities added up, null beyond the last."""
+    sums = [F.sum(F.get("quantities", F.lit(k))).cast("long") for k in range(horizon)]
+    return forecast.groupBy("merchant_id", "first_day", T.add_suffix("safe_name").alias("record_key")).agg(F.array(*sums).alias("_sums"))
+
+
 def long_records(forecast: DataFrame, horizon: int = 30) -> DataFrame:
     """E16 as rows: (merchant_id, order_date, '<safe_name>_pred', quantity). Items whose safe names
     collide are summed (the reference keeps the last one). The form for catalogues of any size.
@@ -228,17 +239,32 @@ def long_records(forecast: DataFrame, horizon: int = 30) -> DataFrame:
     if "quantities" not in forecast.columns:
         return (forecast.groupBy("merchant_id", "order_date", T.add_suffix("safe_name").alias("record_key"))
                 .agg(F.sum("predicted_quantity").cast("long").alias("quantity")))
-    sums = [F.sum(F.get("quantities", F.lit(k))).cast("long") for k in range(horizon)]
-    per_name = forecast.groupBy("merchant_id", "first_day", T.add_suffix("safe_name").alias("record_key")).agg(F.array(*sums).alias("_sums"))
-    return (per_name.select("merchant_id", "first_day", "record_key", F.posexplode("_sums").alias("_h0", "quantity"))
+    return (_summed_names(forecast, horizon).select("merchant_id", "first_day", "record_key", F.posexplode("_sums").alias("_h0", "quantity"))
             .where(F.col("quantity").isNotNull())  # days beyond the horizon
             .select("merchant_id", F.date_add("first_day", F.col("_h0")).alias("order_date"), "record_key", "quantity"))
 
 
-def wide_records(forecast: DataFrame) -> DataFrame:
+#: Days of a merchant's records that are gathered as one value before they become records.
+DAYS_TOGETHER = 5
+
+
+def wide_records(forecast: DataFrame, horizon: int = 30) -> DataFrame:
     """E16 as the reference returns it: one record per (merchant, date) with a map
     '<safe_name>_pred' -> quantity. A record holds a merchant's whole catalogue, so this is an
-    output format for catalogues that fit one value; jobs use ``long_records``."""
+    output format for catalogues that fit one value; jobs use ``long_records``.
+
+    Where ``forecast`` has a row per item, a name and its quantities of ``DAYS_TOGETHER`` days travel as one row, and what a
+    merchant gathers becomes that many records: names are shuffled that much less often."""
+    if "quantities" in forecast.columns:
+        span = F.sequence(F.lit(0), F.lit(horizon - 1), F.lit(DAYS_TOGETHER))
+        parts = (_summed_names(forecast, horizon).select("merchant_id", "first_day", "record_key", "_sums", F.explode(span).alias("_from"))
+                 .select("merchant_id", "first_day", "_from", "record_key", F.slice("_sums", F.col("_from") + 1, DAYS_TOGETHER).alias("_days")))
+        lists = parts.groupBy("merchant_id", "first_day", "_from").agg(F.array_sort(F.collect_list(F.struct("record_key", "_days"))).alias("_names"))
+        day = (lists.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(DAYS_TOGETHER), F.lit(horizon) - F.col("_from")) - 1)).alias("_k"))
+               .select("merchant_id", F.date_add("first_day", F.col("_from") + F.col("_k")).alias("order_date"), F.filter(
+                   F.transform("_names", lambda x: F.struct(x["record_key"], F.get(x["_days"], F.col("_k")).alias("quantity"))),
+                   lambda x: x["quantity"].isNotNull()).alias("_entries")))
+        return day.where(F.size("_entries") > 0).select("merchant_id", "order_date", F.map_from_entries("_entries").alias("predictions"))
     return (long_records(forecast).groupBy("merchant_id", "order_date")
             .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("record_key", "quantity")))).alias("predictions")))
 

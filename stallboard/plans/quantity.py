@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stallboard.session import cut_lineage
+from stallboard.session import cut_lineage, passing_table
+from stallboard.stores import folders
 
 from stallboard.functions import dates as D
 from stallboard.operators import aggregates as A
@@ -33,8 +34,10 @@ def training_panel(lines: DataFrame, cutoff) -> DataFrame:
 
 def fit_quantity_model(train: DataFrame, step_size: float = 0.3, max_iter: int = 100):
     """J12 over a training panel."""
+    label = "daily_quantity_sold"
     # calendar and binned levels repeat, so the fit reads far fewer rows than the panel has
-    return Q.fit(Q.add_calendar(Q.add_levels(train)), API_FEATURES, "daily_quantity_sold", step_size, max_iter, binned=Q.LEVELS)
+    with passing_table(Q.add_calendar(Q.add_levels(train)).select(*API_FEATURES, label)) as features:
+        return Q.fit(features, API_FEATURES, label, step_size, max_iter, binned=Q.LEVELS)
 
 
 def quantity_forecast(lines: DataFrame, cutoff, horizon: int = 30, step_size: float = 0.3,
@@ -47,17 +50,23 @@ def item_quantities(lines: DataFrame, cutoff, horizon: int = 30, step_size: floa
                     max_iter: int = 100, model_path: str | None = None) -> DataFrame:
     """K5's forecast with a row per item (``Q.horizon_quantities``), for reports that add its days up.
 
-    With ``model_path`` the forecast is scored by the model saved there (``save_quantity_model``)
-    instead of a fresh fit."""
+    With ``model_path`` the forecast is scored by the model saved there; if there is none yet, it is fitted on the same
+    panel and saved there (``save_quantity_model``)."""
     D.check_days(horizon, 1, 30)
-    train = cut_lineage(training_panel(lines, cutoff))   # feeds the levels, the fit and the horizon frame
-    model = BoostedTrees.load(lines.sparkSession, model_path) if model_path else fit_quantity_model(train, step_size, max_iter)
-    return Q.horizon_quantities(model, train, cutoff, horizon)
-
-
-def save_quantity_model(lines: DataFrame, cutoff, path: str, step_size: float = 0.3, max_iter: int = 100) -> str:
-    """J12's model, fitted on the lines before ``cutoff`` and saved under ``path``."""
-    fit_quantity_model(training_panel(lines, cutoff), step_size, max_iter).save(lines.sparkSession, path)
+    spark = lines.sparkSession
+    with passing_table(training_panel(lines, cutoff)) as train:   # feeds the levels, the fit and the horizon frame
+        if model_path is None:
+            model = fit_quantity_model(train, step_size, max_iter)
+        else:
+            if not any(name.startswith("part-") for name in folders.names(spark, model_path)):
+                save_quantity_model(train, model_path, step_size, max_iter)
+            model = BoostedTrees.load(spark, model_path)
+        return Q.horizon_quantities(model, train, cutoff, horizon)
+
+
+def save_quantity_model(train: DataFrame, path: str, step_size: float = 0.3, max_iter: int = 100) -> str:
+    """J12's model, fitted on a training panel and saved under ``path``."""
+    fit_quantity_model(train, step_size, max_iter).save(train.sparkSession, path)
     return path
 
 

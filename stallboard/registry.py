@@ -1181,14 +1181,14 @@ _MODELS: dict[tuple[str, str], str] = {}
 
 
 def _saved_model(spark, sf_dir) -> str:
-    """Path of K5's model for these tables, fitted and saved once per application."""
+    """Path of K5's model for these tables: the first query that scores by it fits it on its own panel and saves it there,
+    once per application."""
     import uuid
 
-    from stallboard.plans import quantity as PQ
     from stallboard.session import checkpoint_dir
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _MODELS:
-        _MODELS[key] = PQ.save_quantity_model(V.order_lines(spark, sf_dir), CUTOFF, f"{checkpoint_dir(spark)}/quantity-model-{uuid.uuid4().hex}")
+        _MODELS[key] = f"{checkpoint_dir(spark)}/quantity-model-{uuid.uuid4().hex}"
     return _MODELS[key]
 
 
