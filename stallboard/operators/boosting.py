@@ -65,27 +65,29 @@ def bins_of(columns: list[np.ndarray], splits: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(s, c).astype(np.uint8) for s, c in zip(splits, columns)])
 
 
-def route(bins: np.ndarray, tree: Tree, depth: int) -> np.ndarray:
-    """The node of level ``depth`` that each row falls to."""
+def route(bins: np.ndarray, tree: Tree, depth: int, above: np.ndarray | None = None) -> np.ndarray:
+    """The node of level ``depth`` that each row falls to, from the root or from the nodes of the level ``above``."""
     rows = bins.shape[1]
     at, flat, offset = np.arange(rows), bins.ravel(), tree.feature * rows
-    node = np.zeros(rows, np.intp)
-    for level in range(depth):
+    node = np.zeros(rows, np.intp) if above is None else above
+    for level in range(depth) if above is None else (depth - 1,):
         place = node + ((1 << level) - 1)
-        node += node
+        node = node + node
         node += flat.take(offset.take(place) + at) > tree.cut.take(place)
     return node
 
 
-def histograms(blocks: Iterator[Block], tree: Tree, depth: int, slots: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """(weight or sum of weighted residuals, feature, slot, bin) of the rows whose node of level ``depth`` has a slot (not -1)."""
+def histograms(blocks: Iterator[Block], tree: Tree, depth: int, slots: np.ndarray, width: int,
+               nodes: list[np.ndarray] | None = None) -> Iterator[np.ndarray]:
+    """(weight or sum of weighted residuals, feature, slot, bin) of the rows whose node of level ``depth`` has a slot (not -1).
+    ``nodes`` has the nodes of each block's rows where they are known."""
     out = None
     taken = int(slots.max()) + 1
-    for bins, target, *weights in blocks:
+    for k, (bins, target, *weights) in enumerate(blocks):
         weight = weights[0] if weights else None
         if out is None:
             out = np.zeros((2, len(bins), taken * width))
-        slot = slots.take(route(bins, tree, depth))
+        slot = slots.take(route(bins, tree, depth) if nodes is None else nodes[k])
         if depth:
             rows = np.flatnonzero(slot >= 0)
             bins, target, slot = bins.take(rows, axis=1), target.take(rows), slot.take(rows)
@@ -167,20 +169,30 @@ def grow_in_jobs(blocks: RDD, max_depth: int, width: int) -> Tree:
     return grow(lambda tree, depth, slots: blocks.mapPartitions(lambda it: histograms(it, tree, depth, slots, width)).treeReduce(np.add, merges), max_depth)
 
 
-def without(blocks: Iterator[Block], tree: Tree, step_size: float, first: bool) -> Iterator[Block]:
+def without(blocks: Iterator[Block], tree: Tree, step_size: float, first: bool, leaves: list[np.ndarray] | None = None) -> Iterator[Block]:
     """The blocks with the tree's share taken off: of the first tree's labels twice the residuals are left."""
-    for bins, target, *weights in blocks:
-        value = tree.leaf.take(route(bins, tree, tree.depth))
+    for k, (bins, target, *weights) in enumerate(blocks):
+        value = tree.leaf.take(route(bins, tree, tree.depth) if leaves is None else leaves[k])
         yield bins, 2.0 * (target - value) if first else target - 2.0 * step_size * value, *weights
 
 
 def grow_alone(blocks: Iterator[Block], max_iter: int, step_size: float, max_depth: int, width: int) -> Iterator[Tree]:
-    """All trees over the blocks, held in this process."""
+    """All trees over the blocks, held in this process with the nodes that their rows have come to."""
     held = [*blocks]
+
+    def down(tree: Tree, depth: int, nodes: list[np.ndarray]) -> None:
+        nodes[:] = [route(block[0], tree, depth, above) for block, above in zip(held, nodes or [None] * len(held), strict=True)]
+
     for k in range(max_iter):
-        tree = grow(lambda *level: next(histograms(iter(held), *level, width)), max_depth)
+        nodes: list[np.ndarray] = []
+
+        def count(tree: Tree, depth: int, slots: np.ndarray, nodes: list[np.ndarray] = nodes) -> np.ndarray:
+            down(tree, depth, nodes)
+            return next(histograms(iter(held), tree, depth, slots, width, nodes))
+        tree = grow(count, max_depth)
         yield tree
-        held = [*without(iter(held), tree, step_size, not k)]
+        down(tree, max_depth, nodes)
+        held = [*without(iter(held), tree, step_size, not k, nodes)]
 
 
 @dataclass
