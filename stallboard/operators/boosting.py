@@ -11,11 +11,11 @@ with fewer rows; the other is the parent's histogram less that one. The driver h
 (at most 32 nodes) and the trees, whatever the number of rows. Every ``CHECKPOINT_TREES`` trees the blocks go to the
 checkpoint folder, so a lost executor redoes a few trees at most.
 
-A pass costs a Spark job, which takes longer than one core needs for the rows of a small panel. Up to ``ALONE_ROWS`` binned
-rows, a task reads all blocks and grows all trees over them, by the same functions.
-
 A row may stand for many that are alike in all bins (``distinct``): with their mean label and their number as its weight,
-every sum that a tree compares is what it was.
+every sum that a tree compares is what it was. A pass costs a Spark job, which takes longer than one core needs for the
+rows of a small panel: up to ``ALONE_ROWS`` distinct rows, a task reads all blocks and grows all trees over them, by the same
+functions. In small nodes many places divide the rows alike, and rounding, so the order of the rows, decided between them;
+over distinct rows the first place within ``TIES`` of the best is taken, in whatever order the rows lie.
 
 Nulls: a missing feature counts as larger than every split point, in training and in scoring. A null label is an error.
 """
@@ -40,7 +40,9 @@ BLOCK_ROWS = 1 << 13
 #: Up to so many tasks' histograms (0.4 MB each) are added up without a shuffle.
 DIRECT_TASKS = 32
 CHECKPOINT_TREES = 10
-#: Most rows over which one task grows all trees: 25 bytes each, held in the task, and about as long as the passes' jobs would take.
+#: Share of the best gain within which splits of distinct rows count as equal.
+TIES = 1e-9
+#: Most distinct rows over which one task grows all trees: 25 bytes each, held in the task, and about as long as the passes' jobs would take.
 ALONE_ROWS = 1 << 20
 BLOCKS = "bins binary, target binary"
 #: A block of rows: (feature, row) bins and residuals; a third array has the weights, without it every row counts once.
@@ -102,8 +104,8 @@ def histograms(blocks: Iterator[Block], tree: Tree, depth: int, slots: np.ndarra
         yield out.reshape(2, -1, taken, width)
 
 
-def best_splits(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(feature, cut, means of both children) per node of a level's histograms. Nodes that no split improves get a cut
+def best_splits(level: np.ndarray, ties: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(feature, cut, means of both children) per node of a level's histograms: the first place within ``ties`` of the best. Nodes that no split improves get a cut
     beyond all bins and their own mean on the left."""
     count, total = level
     nodes = np.arange(count.shape[1])
@@ -113,8 +115,9 @@ def best_splits(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     with np.errstate(divide="ignore", invalid="ignore"):
         gain = left * right * (left_sum / left - right_sum / right) ** 2
     gain = np.where((left > 0) & (right > 0), gain, 0.0).transpose(1, 0, 2).reshape(len(nodes), -1)
-    feature, cut = np.divmod(gain.argmax(1), left.shape[2])
-    found = gain.max(1) > 0
+    most = gain.max(1)
+    feature, cut = np.divmod((gain >= most[:, None] * (1 - ties)).argmax(1), left.shape[2])
+    found = most > 0
     feature = np.where(found, feature, 0)
 
     def mean(sums: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -147,7 +150,7 @@ def next_level(parents: np.ndarray, slots: np.ndarray, counted: np.ndarray) -> n
     return out
 
 
-def grow(count: Callable[[Tree, int, np.ndarray], np.ndarray], max_depth: int) -> Tree:
+def grow(count: Callable[[Tree, int, np.ndarray], np.ndarray], max_depth: int, ties: float = 0.0) -> Tree:
     """One tree, a pass a level: ``count`` has the histograms of (the tree so far, the level, its slots)."""
     size = (1 << max_depth) - 1
     tree = Tree(np.zeros(size, np.intp), np.full(size, 255), np.zeros(size + 1))
@@ -155,7 +158,7 @@ def grow(count: Callable[[Tree, int, np.ndarray], np.ndarray], max_depth: int) -
     for depth in range(max_depth):
         counted = count(tree, depth, slots)
         level = counted if level is None else next_level(level, slots, counted)
-        feature, cut, means = best_splits(level)
+        feature, cut, means = best_splits(level, ties)
         places = slice((1 << depth) - 1, (2 << depth) - 1)
         tree.feature[places], tree.cut[places] = feature, cut
         slots = children(level, feature, cut)
@@ -163,10 +166,10 @@ def grow(count: Callable[[Tree, int, np.ndarray], np.ndarray], max_depth: int) -
     return tree
 
 
-def grow_in_jobs(blocks: RDD, max_depth: int, width: int) -> Tree:
+def grow_in_jobs(blocks: RDD, max_depth: int, width: int, ties: float = 0.0) -> Tree:
     """One tree over the residuals of ``blocks``, a job a pass."""
     merges = 2 if blocks.getNumPartitions() > DIRECT_TASKS else 1
-    return grow(lambda tree, depth, slots: blocks.mapPartitions(lambda it: histograms(it, tree, depth, slots, width)).treeReduce(np.add, merges), max_depth)
+    return grow(lambda tree, depth, slots: blocks.mapPartitions(lambda it: histograms(it, tree, depth, slots, width)).treeReduce(np.add, merges), max_depth, ties)
 
 
 def without(blocks: Iterator[Block], tree: Tree, step_size: float, first: bool, leaves: list[np.ndarray] | None = None) -> Iterator[Block]:
@@ -189,7 +192,7 @@ def grow_alone(blocks: Iterator[Block], max_iter: int, step_size: float, max_dep
         def count(tree: Tree, depth: int, slots: np.ndarray, nodes: list[np.ndarray] = nodes) -> np.ndarray:
             down(tree, depth, nodes)
             return next(histograms(iter(held), tree, depth, slots, width, nodes))
-        tree = grow(count, max_depth)
+        tree = grow(count, max_depth, TIES)
         yield tree
         down(tree, max_depth, nodes)
         held = [*without(iter(held), tree, step_size, not k, nodes)]
@@ -305,13 +308,14 @@ def fit(rows: DataFrame, inputs: list[str], splits: dict[str, list[float]], coun
     model = BoostedTrees(list(inputs), points, step_size)
     cores = context.defaultParallelism
     blocks = binned(rows, inputs, points, cores * max(1, -(-count // (TASK_ROWS * cores))))
-    if count <= ALONE_ROWS:
+    weighted = words(inputs)[0] in rows.columns
+    if weighted and count <= ALONE_ROWS:
         model.trees.extend(blocks.coalesce(1).mapPartitions(lambda it: grow_alone(it, max_iter, step_size, max_depth, width)).collect())
         return model
     blocks.persist(StorageLevel.MEMORY_AND_DISK)
     before = None
     for k in range(max_iter):
-        tree = grow_in_jobs(blocks, max_depth, width)
+        tree = grow_in_jobs(blocks, max_depth, width, TIES if weighted else 0.0)
         model.trees.append(tree)
         if before is not None:
             before.unpersist()  # its residuals made those of the tree just grown

@@ -1271,10 +1271,14 @@ def k7_dashboard_bundle(spark, sf_dir):
     from stallboard.plans import forecasts as PF
     from stallboard.plans import quantity as PQ
     from stallboard.plans import reports as R
-    lines = V.order_lines(spark, sf_dir)
-    _, rev, _ = PF.revenue_forecast(PF.daily_revenue(lines))
-    qty = PQ.item_quantities(lines, CUTOFF, 30, model_path=_saved_model(spark, sf_dir))
-    return R.dashboard_bundle(_k3(spark, sf_dir), _k2(spark, sf_dir), rev, qty, 60000.0, 30)
+    from stallboard.session import passing_table, table_of
+    joined = V.order_lines(spark, sf_dir).select("order_id", "order_merchant_id", "item_id", "item_name", "item_price", "quantity",
+                                                 "subtotal", "order_value", "order_time")
+    with passing_table(joined) as lines:   # read by all four jobs: one join of the lines with their orders
+        _, rev, _ = PF.revenue_forecast(PF.daily_revenue(lines))
+        months, items = table_of(PS.monthly_sales(lines)), table_of(PS.item_sales_over_days(lines, ITEM_DAYS, AS_OF))
+        qty = PQ.item_quantities(lines, CUTOFF, 30, model_path=_saved_model(spark, sf_dir))
+    return R.dashboard_bundle(months, items, rev, qty, 60000.0, 30)
 
 
 from stallboard import registry_forms, registry_stores  # noqa: E402, F401 - register their queries

@@ -46,6 +46,21 @@ def test_one_task_grows_the_trees_that_jobs_grow(spark, monkeypatch):
     assert max(abs(x - y) for x, y in zip(a, b, strict=True)) < 1e-9
 
 
+def test_equal_splits_are_taken_by_place_in_any_order_of_the_rows():
+    import numpy as np
+    rng = np.random.default_rng(2)
+    day = rng.integers(0, 40, 300)
+    bins = np.stack([day % 7, day // 7, day, rng.integers(0, 9, 300)]).astype(np.uint8)
+    label, weight = rng.integers(0, 9, 300) / 3, rng.integers(1, 5, 300).astype(float)
+    unseen = np.stack([rng.integers(0, 9, 5000) for _ in range(4)]).astype(np.uint8) * np.array([[1], [1], [5], [1]], np.uint8)
+    found = []
+    for seed in range(3):
+        order = np.random.default_rng(seed).permutation(300)
+        trees = BT.grow_alone(iter([(np.ascontiguousarray(bins[:, order]), label[order], weight[order])]), 12, 0.3, 6, 40)
+        found.append(sum(t.leaf.take(BT.route(unseen, t, 6)) for t in trees))
+    assert np.allclose(found[0], found[1], atol=1e-9) and np.allclose(found[0], found[2], atol=1e-9)
+
+
 def test_weighted_rows_count_as_often_as_they_occur(spark):
     rows = spark.createDataFrame([(k % 3, float(k % 5), float(k % 7)) if k % 11 else (k % 3, None, None) for k in range(400)], "a int, b double, label double")
     splits = Q.level_splits(rows, ["a", "b"])
@@ -112,3 +127,19 @@ def test_wide_records_of_items_are_those_of_their_days(spark):
         assert got.count() == 2 * horizon
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Generate") < plan.index("Exchange")  # days come after the last shuffle
+
+
+def test_the_bundle_joins_its_lines_once(spark, tmp_path, monkeypatch):
+    """Months, items, revenue and quantities each joined all lines with their orders."""
+    lines, made = _dense_lines(spark, 60), []
+    monkeypatch.setattr(registry, "CUTOFF", CUTOFF)
+    monkeypatch.setattr(registry, "AS_OF", "2023-07-30")
+    monkeypatch.setattr(registry.V, "order_lines", lambda *a: made.append(1) or lines)
+    fit = PQ.fit_quantity_model
+    monkeypatch.setattr(PQ, "fit_quantity_model", lambda train, step_size=0.3, max_iter=100: fit(train, step_size, 3))
+    got = {r.merchant_id: r for r in registry.k7_dashboard_bundle(spark, str(tmp_path)).collect()}
+    assert len(made) == 1 and set(got) == {"A", "B"}
+    months, items = registry._k3(spark, ""), registry._k2(spark, "")
+    assert {m: [tuple(x) for x in r.monthly_sales] for m, r in got.items()} == {m: sorted((r.month, r.total_sales) for r in months.where(F.col("merchant_id") == m).collect()) for m in got}
+    assert {(m, *x) for m, r in got.items() for x in r["items"]} == {tuple(r) for r in items.collect()}
+    assert all(len(r.revenue_forecast) == 30 and set(r.forecast_quantities) for r in got.values())
